@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusindex.llm import jaccard, licenses, mixing, pii, secrets
+from corpusindex.llm import jaccard, licenses, mixing, pii, secrets, toxicity
 from corpusindex.llm.common import table
 
 
@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "op1_secret_scan": lambda spark, d: secrets.secret_digest(table(spark, d, "documents")),
         "op2_license_scan": lambda spark, d: licenses.scan_licenses(table(spark, d, "documents")),
+        "op4_toxicity": lambda spark, d: toxicity.score_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
         "op6_jaccard_join": lambda spark, d: jaccard.jaccard_join(table(spark, d, "documents")),
         "op7_mix_sources": lambda spark, d: mixing.mix_digest(table(spark, d, "documents")),
         "op8_personal_data": lambda spark, d: pii.personal_data_digest(table(spark, d, "documents")),
