@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,35 @@ def record(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema
     )
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` dealt out by `keys` and sorted by them within each partition, for `grouped`."""
+    return df.repartition(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+
+
+def runs(keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal values, and the end."""
+    return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]) if len(keys) else np.zeros(1, int)
+
+
+def grouped(batches, keys: int):
+    """The rows of sorted batches in groups of equal values in the first `keys` columns: (key, table), one at a time."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        edges = np.concatenate([[0], np.flatnonzero(change), [batch.num_rows]])
+        for a, b in zip(edges[:-1], edges[1:]):
+            now = tuple(batch.column(i)[int(a)].as_py() for i in range(keys))
+            if held and now != key:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield key, pa.Table.from_batches(held)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusindex.llm import jaccard, licenses, mixing, packing, pii, secrets, topk, toxicity
+from corpusindex.llm import jaccard, licenses, mixing, packing, pii, secrets, spans, topk, toxicity, vectors
 from corpusindex.llm.common import table
 
 
@@ -12,8 +12,10 @@ def queries() -> dict:
         "op2_license_scan": lambda spark, d: licenses.scan_licenses(table(spark, d, "documents")),
         "op3_pack_documents": lambda spark, d: packing.pack_documents(table(spark, d, "documents")),
         "op4_toxicity": lambda spark, d: toxicity.score_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op5_near_vectors": lambda spark, d: vectors.near_vectors(table(spark, d, "embeddings")),
         "op6_jaccard_join": lambda spark, d: jaccard.jaccard_join(table(spark, d, "documents")),
         "op7_mix_sources": lambda spark, d: mixing.mix_digest(table(spark, d, "documents")),
+        "op9_sentence_spans": lambda spark, d: spans.dedup_sentence_spans(table(spark, d, "documents")),
         "op10_top_inner_products": lambda spark, d: topk.top_inner_products(table(spark, d, "embeddings")),
         "op8_personal_data": lambda spark, d: pii.personal_data_digest(table(spark, d, "documents")),
     }
