@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from corpusindex.jobs import retrieval_queries
+
+MODULES = (retrieval_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {key: query for module in MODULES for key, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {key: sql for module in MODULES for key, sql in module.ORACLE.items()}
