@@ -13,6 +13,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,8 +65,8 @@ def _members(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(scan, "id long, n_shingles long, owner long")
 
 
-FRAGMENT_ROW = "fragment int, owners binary, sizes binary, counts binary, hashes binary"
-OWNER_ROW = "bucket int, owners binary, sizes binary, counts binary, hashes binary, spread binary"
+FRAGMENT_ROW = "fragment int, batch long, places binary, hashes binary, owners binary, sizes binary"
+BATCH_ROW = "batch long, places binary, hashes binary, spread binary, owners binary, sizes binary"
 
 
 def _runs(keys: np.ndarray) -> np.ndarray:
@@ -74,32 +75,29 @@ def _runs(keys: np.ndarray) -> np.ndarray:
 
 
 def _fragments(docs: DataFrame, size: int, fragments: int, at_once: int = 1 << 20) -> DataFrame:
-    """The shingles of each class, cut into `fragments` equal ranges of hashes and packed per range.
+    """The shingles of each class, cut into `fragments` equal ranges of hashes: 10 bytes a shingle.
 
-    A partition sends a class once, however many copies of its text it holds.
+    Texts are taken in batches of about `at_once` shingles; a shingle carries its text's place in the batch, and one
+    fragment of the batch carries the classes and set sizes of all its texts. A partition sends a class once, however many
+    copies of its text it holds.
     """
-    schema = pa.schema([("fragment", pa.int32())] + [(c, pa.binary()) for c in ("owners", "sizes", "counts", "hashes")])
+    schema = pa.schema([("fragment", pa.int32()), ("batch", pa.int64())] + [(c, pa.binary()) for c in ("places", "hashes", "owners", "sizes")])
 
-    def pack(sets, owners):
-        owners = np.array(owners, np.int64)
+    def pack(batch, sets, owners):
         sizes = np.array([len(s) for s in sets], np.int32)
-        hashes, of = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+        hashes, places = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
         cut = ((hashes >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
         order = np.argsort(cut, kind="stable")
-        cut, hashes, of = cut[order], hashes[order], of[order]
+        cut, hashes, places = cut[order], hashes[order], places[order]
         edges = _runs(cut)
-        rows = []
-        for a, b in zip(edges[:-1], edges[1:]):
-            heads = _runs(of[a:b])
-            who = of[a:b][heads[:-1]]
-            rows.append(
-                (int(cut[a]), owners[who].tobytes(), sizes[who].tobytes(), np.diff(heads).astype(np.int32).tobytes(), hashes[a:b].tobytes())
-            )
+        rows = [[int(cut[a]), batch, places[a:b].tobytes(), hashes[a:b].tobytes(), None, None] for a, b in zip(edges[:-1], edges[1:])]
+        rows[batch % len(rows)][4:] = [np.array(owners, np.int64).tobytes(), sizes.tobytes()]
         return record(schema, [list(c) for c in zip(*rows)])
 
     def scan(batches):
         seen: set[int] = set()
         sets, owners, held = [], [], 0
+        number = TaskContext.get().partitionId() << 32
         for batch in sliced(batches):
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 shingles = shingle_set(text, size) if text else ()
@@ -112,19 +110,16 @@ def _fragments(docs: DataFrame, size: int, fragments: int, at_once: int = 1 << 2
                 sets.append(shingles)
                 owners.append(owner)
                 held += len(shingles)
-                if held >= at_once:
-                    yield pack(sets, owners)
+                if held >= at_once or len(sets) == 1 << 16:
+                    yield pack(number, sets, owners)
+                    number += 1
                     sets, owners, held = [], [], 0
         if sets:
-            yield pack(sets, owners)
+            yield pack(number, sets, owners)
 
     return docs.select("text").mapInArrow(scan, FRAGMENT_ROW)
 
 
-def _unpacked(batch: pa.RecordBatch, kinds: dict[str, type]) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(batch.column(c).to_pylist()), kind) for c, kind in kinds.items()]
-
-
 def _grouped(batches, keys: int):
     """The rows of sorted batches in groups of equal values in the first `keys` columns: (key, one batch)."""
     held, key = [], None
@@ -147,54 +142,39 @@ def _grouped(batches, keys: int):
         yield key, pa.Table.from_batches(held)
 
 
-def _shared(packed: DataFrame, buckets: int) -> DataFrame:
-    """Per fragment, the shingles that two classes or more hold, with the number of classes, dealt to the classes' buckets."""
-    schema = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("owners", "sizes", "counts", "hashes", "spread")])
+def _shared(packed: DataFrame) -> DataFrame:
+    """Per fragment, the shingles that two texts or more hold, with their number, sent back to the texts' batches."""
+    schema = pa.schema([("batch", pa.int64())] + [(c, pa.binary()) for c in ("places", "hashes", "spread", "owners", "sizes")])
 
     def count(batches):
         for _, rows in _grouped(batches, 1):
-            owners, sizes, counts, hashes = _unpacked(rows, {"owners": np.int64, "sizes": np.int32, "counts": np.int32, "hashes": np.uint64})
-            of = np.repeat(np.arange(len(owners), dtype=np.int64), counts)
+            batch, blobs, tables = (rows.column(c).to_pylist() for c in ("batch", "hashes", "owners"))
+            ends = np.cumsum([0] + [len(x) // 8 for x in blobs])
+            hashes = np.frombuffer(b"".join(blobs), np.uint64)
             order = np.argsort(hashes, kind="stable")
-            hashes, of = hashes[order], of[order]
-            lengths = np.diff(_runs(hashes))
-            several = np.repeat(lengths, lengths) > 1
-            hashes, of = hashes[several], of[several]
-            if not len(hashes):
-                continue
-            # copies of a class that came from several partitions count once
-            order = np.lexsort((owners[of], hashes))
-            hashes, of = hashes[order], of[order]
-            again = np.zeros(len(hashes), bool)
-            again[1:] = (hashes[1:] == hashes[:-1]) & (owners[of][1:] == owners[of][:-1])
-            hashes, of = hashes[~again], of[~again]
-            lengths = np.diff(_runs(hashes))
-            spread = np.repeat(lengths, lengths)
-            several = spread > 1
-            hashes, of, spread = hashes[several], of[several], spread[several]
-            if not len(hashes):
-                continue
-            bucket = owners[of] % buckets
-            order = np.lexsort((owners[of], bucket))
-            hashes, of, spread, bucket = hashes[order], of[order], spread[order], bucket[order]
-            edges = _runs(bucket)
+            ordered = hashes[order]
+            lengths = np.diff(_runs(ordered))
+            spread = np.empty(len(hashes), np.int32)
+            spread[order] = np.repeat(lengths, lengths)
             out = []
-            for a, b in zip(edges[:-1], edges[1:]):
-                heads = _runs(owners[of[a:b]])
-                who = of[a:b][heads[:-1]]
-                out.append(
-                    (
-                        int(bucket[a]),
-                        owners[who].tobytes(),
-                        sizes[who].tobytes(),
-                        np.diff(heads).astype(np.int32).tobytes(),
-                        hashes[a:b].tobytes(),
-                        spread[a:b].astype(np.int32).tobytes(),
+            for i, places in enumerate(rows.column("places").to_pylist()):
+                some = slice(ends[i], ends[i + 1])
+                several = spread[some] > 1
+                if several.any() or tables[i] is not None:
+                    out.append(
+                        (
+                            batch[i],
+                            np.frombuffer(places, np.uint16)[several].tobytes(),
+                            hashes[some][several].tobytes(),
+                            spread[some][several].tobytes(),
+                            tables[i],
+                            rows.column("sizes")[i].as_py(),
+                        )
                     )
-                )
-            yield record(schema, [list(c) for c in zip(*out)])
+            if out:
+                yield record(schema, [list(c) for c in zip(*out)])
 
-    return packed.mapInArrow(count, OWNER_ROW)
+    return packed.mapInArrow(count, BATCH_ROW)
 
 
 def _at_least(n, percent: int):
@@ -212,23 +192,28 @@ def _candidates(shared: DataFrame, percent: int) -> DataFrame:
 
     def gather(batches):
         for _, rows in _grouped(batches, 1):
-            owners, sizes, counts, hashes, spread = _unpacked(
-                rows, {"owners": np.int64, "sizes": np.int32, "counts": np.int32, "hashes": np.uint64, "spread": np.int32}
+            owners, sizes = (b"".join(x for x in rows.column(c).to_pylist() if x) for c in ("owners", "sizes"))
+            owners, sizes = np.frombuffer(owners, np.int64), np.frombuffer(sizes, np.int32).astype(np.int64)
+            places, hashes, spread = (
+                np.frombuffer(b"".join(rows.column(c).to_pylist()), kind)
+                for c, kind in (("places", np.uint16), ("hashes", np.uint64), ("spread", np.int32))
             )
-            of = np.repeat(owners, counts)
-            order = np.lexsort((hashes, spread, of))
-            of, hashes, size = of[order], hashes[order], np.repeat(sizes, counts)[order]
-            edges = _runs(of)
-            heads = edges[:-1]
-            n = size[heads].astype(np.int64)
-            prefix = np.diff(edges) - _at_least(n, percent) + 1
+            prefix = np.bincount(places, minlength=len(owners)) - _at_least(sizes, percent) + 1
+            keep = prefix[places] > 0
+            places, hashes, spread = places[keep], hashes[keep], spread[keep]
+            order = np.lexsort((hashes, spread, places))
+            places, hashes = places[order], hashes[order]
+            edges = _runs(places)
             out = [
-                (int(of[a]), int(size[a]), int(p), hashes[a:b].tobytes()) for a, b, p in zip(heads, edges[1:], prefix) if p > 0
+                (int(owners[places[a]]), int(sizes[places[a]]), int(prefix[places[a]]), hashes[a:b].tobytes())
+                for a, b in zip(edges[:-1], edges[1:])
             ]
             if out:
                 yield record(schema, [list(c) for c in zip(*out)])
 
-    return shared.mapInArrow(gather, "owner long, size int, prefix int, hashes binary")
+    found = shared.mapInArrow(gather, "owner long, size int, prefix int, hashes binary")
+    # copies of a text in several batches give the same row
+    return found.dropDuplicates(["owner"])
 
 
 def _postings(live: DataFrame) -> DataFrame:
@@ -377,7 +362,7 @@ def jaccard_join(
     percent: int = 80,
     block: int = 2048,
     cuts: int = 4,
-    fragment_shingles: int = 500_000,
+    fragment_shingles: int = 1_000_000,
 ) -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id (smallest id reachable by links), n_links.
 
@@ -387,16 +372,16 @@ def jaccard_join(
     directly; rows with equal sets link. Rows that repeat an id count each. Null ids take part but never name a component.
     Ids must be integers; other columns are not read. The result is exact but for collisions of 64-bit hashes.
 
-    Memory: a task holds one fragment (about `fragment_shingles` shingles, 16 bytes each, and all places of its most
-    frequent shingle) or one pair of blocks (2 * `block` members).
+    Memory: a task holds one fragment (about `fragment_shingles` shingles, and all places of its most frequent shingle, 10
+    bytes each; a batch of texts sends a shingle once per text and a partition once per class) or one pair of blocks (2 * `block` members).
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
     members = checkpointed(_members(docs, size))
     shingles = members.agg(F.sum("n_shingles")).first()[0] or 0
-    fragments = max(4 * shuffle_partitions(spark), math.ceil(shingles / fragment_shingles))
+    fragments = max(shuffle_partitions(spark), math.ceil(shingles / fragment_shingles))
     packed = _dealt(_fragments(docs, size, fragments), "fragment")
-    live = checkpointed(_candidates(_dealt(_shared(packed, fragments), "bucket"), percent))
+    live = checkpointed(_candidates(_dealt(_shared(packed), "batch"), percent))
     classes = members.where("owner IS NOT NULL").groupBy("owner").agg(F.count("*").alias("weight"))
     parts = _dealt(_blocks(live, _clusters(live), classes, block, cuts), "cluster", "left", "right", "cut")
     links = checkpointed(_links(_dealt(_partial_overlaps(parts), "cluster", "left", "right"), percent))
