@@ -16,8 +16,9 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from corpusindex.llm.common import checkpointed, record, shuffle_partitions, sliced
+from corpusindex.llm.common import checkpointed, dealt, grouped, record, runs, shuffle_partitions, sliced
 from corpusindex.llm.graph import connected_components, local_roots
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -52,28 +53,24 @@ def class_of(shingles: np.ndarray) -> int:
 
 
 def _members(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n_shingles, owner): `owner` is the class, null for a text without words."""
-    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("owner", pa.int64())])
+    """(id, key, n_shingles, owner): `key` tells texts apart, `owner` is the class, null for a text without words."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("owner", pa.int64())])
 
     def scan(batches):
         for batch in sliced(batches):
-            sets = [shingle_set(t, size) if t else None for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            sets = [shingle_set(t, size) if t else None for t in batch.column(2).cast(pa.binary()).to_pylist()]
             n = [0 if s is None else len(s) for s in sets]
             owners = [class_of(s) if k else None for s, k in zip(sets, n)]
-            yield record(schema, [batch.column(0), n, owners])
+            yield record(schema, [batch.column(0), batch.column(1), n, owners])
 
-    return docs.mapInArrow(scan, "id long, n_shingles long, owner long")
+    picked = docs.select("id", F.xxhash64("text").alias("key"), "text")
+    return picked.mapInArrow(scan, "id long, key long, n_shingles long, owner long")
 
 
 FRAGMENT_ROW = "fragment int, batch long, places binary, hashes binary, owners binary, sizes binary"
 BATCH_ROW = "batch long, places binary, hashes binary, spread binary, owners binary, sizes binary"
 
 
-def _runs(keys: np.ndarray) -> np.ndarray:
-    """Starts of the runs of equal values, and the end."""
-    return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]) if len(keys) else np.zeros(1, int)
-
-
 def _fragments(docs: DataFrame, size: int, fragments: int, at_once: int = 1 << 20) -> DataFrame:
     """The shingles of each class, cut into `fragments` equal ranges of hashes: 10 bytes a shingle.
 
@@ -89,7 +86,7 @@ def _fragments(docs: DataFrame, size: int, fragments: int, at_once: int = 1 << 2
         cut = ((hashes >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
         order = np.argsort(cut, kind="stable")
         cut, hashes, places = cut[order], hashes[order], places[order]
-        edges = _runs(cut)
+        edges = runs(cut)
         rows = [[int(cut[a]), batch, places[a:b].tobytes(), hashes[a:b].tobytes(), None, None] for a, b in zip(edges[:-1], edges[1:])]
         rows[batch % len(rows)][4:] = [np.array(owners, np.int64).tobytes(), sizes.tobytes()]
         return record(schema, [list(c) for c in zip(*rows)])
@@ -120,40 +117,18 @@ def _fragments(docs: DataFrame, size: int, fragments: int, at_once: int = 1 << 2
     return docs.select("text").mapInArrow(scan, FRAGMENT_ROW)
 
 
-def _grouped(batches, keys: int):
-    """The rows of sorted batches in groups of equal values in the first `keys` columns: (key, one batch)."""
-    held, key = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        edges = np.concatenate([[0], np.flatnonzero(change), [batch.num_rows]])
-        for a, b in zip(edges[:-1], edges[1:]):
-            now = tuple(c[a].item() for c in columns)
-            if held and now != key:
-                yield key, pa.Table.from_batches(held)
-                held = []
-            key = now
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield key, pa.Table.from_batches(held)
-
-
 def _shared(packed: DataFrame) -> DataFrame:
     """Per fragment, the shingles that two texts or more hold, with their number, sent back to the texts' batches."""
     schema = pa.schema([("batch", pa.int64())] + [(c, pa.binary()) for c in ("places", "hashes", "spread", "owners", "sizes")])
 
     def count(batches):
-        for _, rows in _grouped(batches, 1):
+        for _, rows in grouped(batches, 1):
             batch, blobs, tables = (rows.column(c).to_pylist() for c in ("batch", "hashes", "owners"))
             ends = np.cumsum([0] + [len(x) // 8 for x in blobs])
             hashes = np.frombuffer(b"".join(blobs), np.uint64)
             order = np.argsort(hashes, kind="stable")
             ordered = hashes[order]
-            lengths = np.diff(_runs(ordered))
+            lengths = np.diff(runs(ordered))
             spread = np.empty(len(hashes), np.int32)
             spread[order] = np.repeat(lengths, lengths)
             out = []
@@ -191,7 +166,7 @@ def _candidates(shared: DataFrame, percent: int) -> DataFrame:
     schema = pa.schema([("owner", pa.int64()), ("size", pa.int32()), ("prefix", pa.int32()), ("hashes", pa.binary())])
 
     def gather(batches):
-        for _, rows in _grouped(batches, 1):
+        for _, rows in grouped(batches, 1):
             owners, sizes = (b"".join(x for x in rows.column(c).to_pylist() if x) for c in ("owners", "sizes"))
             owners, sizes = np.frombuffer(owners, np.int64), np.frombuffer(sizes, np.int32).astype(np.int64)
             places, hashes, spread = (
@@ -203,7 +178,7 @@ def _candidates(shared: DataFrame, percent: int) -> DataFrame:
             places, hashes, spread = places[keep], hashes[keep], spread[keep]
             order = np.lexsort((hashes, spread, places))
             places, hashes = places[order], hashes[order]
-            edges = _runs(places)
+            edges = runs(places)
             out = [
                 (int(owners[places[a]]), int(sizes[places[a]]), int(prefix[places[a]]), hashes[a:b].tobytes())
                 for a, b in zip(edges[:-1], edges[1:])
@@ -288,7 +263,7 @@ def _partial_overlaps(parts: DataFrame, at_once: int = 4096) -> DataFrame:
     names = ["cluster", "left", "right", "owners", "sizes", "weights", "sides", "pairs", "overlap"]
 
     def count(batches):
-        for key, rows in _grouped(batches, 4):
+        for key, rows in grouped(batches, 4):
             owners = rows.column("owner").to_numpy()
             order = np.argsort(owners, kind="stable")
             blobs = rows.column("hashes").to_pylist()
@@ -329,7 +304,7 @@ def _links(partial: DataFrame, percent: int) -> DataFrame:
     schema = pa.schema([("owner", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
     def total(batches):
-        for (_, left, right), rows in _grouped(batches, 3):
+        for (_, left, right), rows in grouped(batches, 3):
             first = {c: rows.column(c)[0].as_py() for c in ("owners", "sizes", "weights", "sides")}
             owners, weights = (np.frombuffer(first[c], np.int64) for c in ("owners", "weights"))
             sizes, sides = (np.frombuffer(first[c], np.int32).astype(np.int64) for c in ("sizes", "sides"))
@@ -350,8 +325,28 @@ def _links(partial: DataFrame, percent: int) -> DataFrame:
     return partial.mapInArrow(total, "owner long, root long, links long")
 
 
-def _dealt(df: DataFrame, *keys: str) -> DataFrame:
-    return df.repartition(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+def _classified(
+    docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, block: int, cuts: int, fragment_shingles: int
+) -> DataFrame:
+    """(id, key, n_shingles, owner, label, weight, links) of each row; rows with equal labels are one group."""
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    spark = docs.sparkSession
+    members = checkpointed(_members(docs, size))
+    shingles = members.agg(F.sum("n_shingles")).first()[0] or 0
+    fragments = max(shuffle_partitions(spark), math.ceil(shingles / fragment_shingles))
+    packed = dealt(_fragments(docs, size, fragments), "fragment")
+    live = checkpointed(_candidates(dealt(_shared(packed), "batch"), percent))
+    classes = members.where("owner IS NOT NULL").groupBy("owner").agg(F.count("*").alias("weight"))
+    parts = dealt(_blocks(live, _clusters(live), classes, block, cuts), "cluster", "left", "right", "cut")
+    links = checkpointed(_links(dealt(_partial_overlaps(parts), "cluster", "left", "right"), percent))
+    roots = connected_components(links.select(F.col("owner").alias("a"), F.col("root").alias("b")))
+    labels = (
+        links.groupBy("owner").agg(F.sum("links").alias("links"))
+        .join(roots, links.owner == roots.node, "left")
+        .select("owner", F.coalesce("component", "owner").alias("root"), "links")
+    )
+    classed = members.join(classes, "owner", "left").join(labels, "owner", "left")
+    return classed.withColumn("label", F.coalesce("root", "owner"))
 
 
 def jaccard_join(
@@ -375,24 +370,7 @@ def jaccard_join(
     Memory: a task holds one fragment (about `fragment_shingles` shingles, and all places of its most frequent shingle, 10
     bytes each; a batch of texts sends a shingle once per text and a partition once per class) or one pair of blocks (2 * `block` members).
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    spark = docs.sparkSession
-    members = checkpointed(_members(docs, size))
-    shingles = members.agg(F.sum("n_shingles")).first()[0] or 0
-    fragments = max(shuffle_partitions(spark), math.ceil(shingles / fragment_shingles))
-    packed = _dealt(_fragments(docs, size, fragments), "fragment")
-    live = checkpointed(_candidates(_dealt(_shared(packed), "batch"), percent))
-    classes = members.where("owner IS NOT NULL").groupBy("owner").agg(F.count("*").alias("weight"))
-    parts = _dealt(_blocks(live, _clusters(live), classes, block, cuts), "cluster", "left", "right", "cut")
-    links = checkpointed(_links(_dealt(_partial_overlaps(parts), "cluster", "left", "right"), percent))
-    roots = connected_components(links.select(F.col("owner").alias("a"), F.col("root").alias("b")))
-    labels = (
-        links.groupBy("owner").agg(F.sum("links").alias("links"))
-        .join(roots, links.owner == roots.node, "left")
-        .select("owner", F.coalesce("component", "owner").alias("root"), "links")
-    )
-    classed = members.join(classes, "owner", "left").join(labels, "owner", "left")
-    classed = classed.withColumn("label", F.coalesce("root", "owner"))
+    classed = _classified(docs, id_col, text_col, size, percent, block, cuts, fragment_shingles)
     heads = classed.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("component_id"))
     return classed.join(heads, "label", "left").select(
         F.col("id").alias(id_col),
@@ -400,3 +378,22 @@ def jaccard_join(
         F.coalesce("component_id", "id").alias("component_id"),
         F.when(F.col("owner").isNull(), 0).otherwise(F.col("weight") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
     )
+
+
+def keep_one_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, with all columns, of which one of each group of linked rows stays: that with the smallest id.
+
+    Of rows with that id the one with the smallest hash of the text stays, and one of equal rows. Rows without words are
+    linked with nothing and stay.
+    """
+    names = docs.columns
+    classed = _classified(docs, "doc_id", "text", size, percent, 2048, 4, 1_000_000)
+    heads = classed.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("id", "key")).alias("head"))
+    heads = heads.select(F.col("head.id").alias("h_id"), F.col("head.key").alias("h_key"), F.lit(False).alias("wordless"))
+    wordless = classed.where("label IS NULL").select("id", "key", F.lit(True)).distinct()
+    rows = docs.select(
+        F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_key")
+    )
+    kept = rows.join(heads.unionAll(wordless), F.col("k_id").eqNullSafe(F.col("h_id")) & (F.col("k_key") == F.col("h_key")))
+    number = F.row_number().over(Window.partitionBy("k_id", "k_key").orderBy(F.lit(1)))
+    return kept.withColumn("number", number).where("wordless OR number = 1").select("row.*")
