@@ -60,7 +60,7 @@ VIEWS = {
         FROM {conversations}""",
     "costs_v": """
         SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS query,
-               l_returnflag AS route, CAST(l_quantity AS BIGINT) AS used, CAST(l_extendedprice / 100 AS BIGINT) AS raw,
+               l_returnflag AS route, CAST(floor(l_quantity) AS BIGINT) AS used, CAST(floor(l_extendedprice / 100) AS BIGINT) AS raw,
                l_linenumber <= 3 AS structural
         FROM {lineitem}""",
     "functional_v": """
