@@ -69,21 +69,57 @@ VIEWS = {
                p_name AS cap1, CASE WHEN p_size % 2 = 0 THEN 'handle ' || lower(p_type) ELSE NULL END AS cap2,
                'h' || CAST(p_size AS STRING) AS src_hash
         FROM {part}""",
+    "javasrc_v": """
+        SELECT 'r' || CAST(c_nationkey % 2 AS STRING) AS repo,
+               'mod' || CAST(c_nationkey % 5 AS STRING) || '/src/C' || CAST(c_custkey AS STRING) || 'Controller.java' AS path,
+               'package com.shop.n' || CAST(c_nationkey AS STRING) || ';' || chr(10) || '// class Fake { }' || chr(10)
+               || '@RestController' || chr(10) || '@RequestMapping("/c' || CAST(c_custkey AS STRING) || '/")' || chr(10)
+               || 'public class C' || CAST(c_custkey AS STRING) || 'Controller {' || chr(10)
+               || '  private final String note = "not } a brace {";' || chr(10)
+               || '  public C' || CAST(c_custkey AS STRING) || 'Controller(final Map<String, Long> m, N' || CAST(c_nationkey AS STRING) || 'Service svc) { if (m == null) { return; } }' || chr(10)
+               || '  @GetMapping("/{id}")' || chr(10) || '  public S' || CAST(c_custkey % 7 AS STRING) || 'Entity get(@PathVariable("id") String id) { return null; }' || chr(10)
+               || CASE WHEN c_mktsegment = 'BUILDING' THEN '  @org.x.PostMapping(value = "make",' || chr(10) || '     consumes = "json")' || chr(10) || '  public List<String> create(' || chr(10) || '      @RequestBody(required = true) C' || CAST(c_custkey AS STRING) || 'Dto dto, int n) throws E { for (;;) { } }' || chr(10)
+                       WHEN c_mktsegment = 'MACHINERY' THEN '  @RequestMapping(method = RequestMethod.PUT)' || chr(10) || '  void touch() { }' || chr(10) ELSE '' END
+               || '  public String getName() { return "x"; }' || chr(10) || '}' || chr(10) AS content
+        FROM {customer}
+        UNION ALL
+        SELECT 'r' || CAST(n_nationkey % 2 AS STRING), 'mod' || CAST(n_nationkey % 5 AS STRING) || '/src/N' || CAST(n_nationkey AS STRING) || 'Service.java',
+               'package com.shop.n' || CAST(n_nationkey AS STRING) || ';' || chr(10) || '@Service' || chr(10) || 'public class N' || CAST(n_nationkey AS STRING) || 'Service extends Base<S0Entity> implements Runnable, Closeable {' || chr(10)
+               || '  /* class Hidden { */' || chr(10) || '  @Autowired' || chr(10) || '  private R' || CAST(n_regionkey AS STRING) || 'Repository repo;' || chr(10)
+               || '  @Value("${limit:' || CAST(n_nationkey AS STRING) || '}")' || chr(10) || '  private int limit = 3;' || chr(10)
+               || '  public List<S1Entity> run(String s, int[] n) { char c = ' || chr(39) || '}' || chr(39) || '; return null; }' || chr(10) || '}' || chr(10)
+        FROM {nation}
+        UNION ALL
+        SELECT 'r' || CAST(n_nationkey % 2 AS STRING), 'mod0/src/R' || CAST(n_regionkey AS STRING) || 'Repository.java',
+               'package com.shop.data;' || chr(10) || '@Repository' || chr(10) || 'public interface R' || CAST(n_regionkey AS STRING) || 'Repository extends JpaRepository<S' || CAST(n_regionkey AS STRING) || 'Entity, Long> { }' || chr(10)
+        FROM {nation} GROUP BY n_nationkey % 2, n_regionkey
+        UNION ALL
+        SELECT 'r' || CAST(s_nationkey % 2 AS STRING), 'mod' || CAST(s_nationkey % 5 AS STRING) || '/src/S' || CAST(s_suppkey AS STRING) || 'Entity.java',
+               'package com.shop.n' || CAST(s_nationkey AS STRING) || ';' || chr(10) || '@Entity' || chr(10) || CASE WHEN s_suppkey % 2 = 0 THEN '@Table(name = "t_' || CAST(s_suppkey AS STRING) || '")' || chr(10) ELSE '' END
+               || CASE WHEN s_suppkey % 5 = 0 THEN '@ConfigurationProperties("app.s' || CAST(s_suppkey AS STRING) || '")' || chr(10) ELSE '' END
+               || 'class S' || CAST(s_suppkey AS STRING) || 'Entity {' || chr(10) || '  @OneToMany(mappedBy = "x")' || chr(10) || '  private List<S1Entity> others;' || chr(10)
+               || '  @ManyToOne' || chr(10) || '  S2Entity owner;' || chr(10) || '  enum Kind { A, B; }' || chr(10) || '}' || chr(10)
+        FROM {supplier}""",
 }
 
 
-def _names(sql: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
+TABLES = ("customer", "supplier", "nation", "region", "part", "orders", "lineitem", "events", "documents", "benchmark", "conversations")
+NAME = re.compile(r"\{(" + "|".join((*VIEWS, *TABLES)) + r")\}")
 
 
 def sql_for(name: str) -> str:
     """DuckDB's form: a parenthesised query over the registered tables."""
-    sql = VIEWS[name]
-    return "(" + sql.format(**{n: sql_for(n) if n in VIEWS else n for n in _names(sql)}) + ")"
+    return "(" + NAME.sub(lambda m: sql_for(m[1]) if m[1] in VIEWS else m[1], VIEWS[name]) + ")"
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The view or table as a DataFrame; its SQL is analysed at once, so the names it is given meanwhile are free again."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = VIEWS[name]
-    return spark.sql(sql, **{n: view(spark, sf_dir, n) for n in _names(sql)})
+    used = dict.fromkeys(NAME.findall(VIEWS[name]))
+    for other in used:
+        view(spark, sf_dir, other).createOrReplaceTempView(f"corpusindex_{other}")
+    out = spark.sql(NAME.sub(lambda m: f"corpusindex_{m[1]}", VIEWS[name]))
+    for other in used:
+        spark.catalog.dropTempView(f"corpusindex_{other}")
+    return out
