@@ -100,6 +100,36 @@ VIEWS = {
                || 'class S' || CAST(s_suppkey AS STRING) || 'Entity {' || chr(10) || '  @OneToMany(mappedBy = "x")' || chr(10) || '  private List<S1Entity> others;' || chr(10)
                || '  @ManyToOne' || chr(10) || '  S2Entity owner;' || chr(10) || '  enum Kind { A, B; }' || chr(10) || '}' || chr(10)
         FROM {supplier}""",
+    "pysrc_v": """
+        SELECT 'r' || CAST(p_partkey % 2 AS STRING) AS repo, 'src/shop/pkg' || CAST(p_partkey % 9 AS STRING) || '/m' || CAST(p_partkey AS STRING) || '.py' AS path, p_partkey AS k,
+               CASE p_partkey % 3 WHEN 0 THEN
+                   'from fastapi import APIRouter, Depends' || chr(10) || 'router = APIRouter()' || chr(10) || 'class Item' || CAST(p_partkey AS STRING) || '(BaseModel):' || chr(10)
+                   || '    name: str' || chr(10) || '    size: int = ' || CAST(p_size AS STRING) || chr(10) || chr(10) || '@router.get("/p' || CAST(p_partkey AS STRING) || '/{item_id}")' || chr(10)
+                   || 'async def read' || CAST(p_partkey AS STRING) || '(' || chr(10) || '    item_id: int' || CASE WHEN p_size % 2 = 0 THEN ', db=Depends(get_db),' || chr(10) || '    user: User = Depends(auth.current)' ELSE '' END || '):' || chr(10)
+                   || '    x = "def fake(): # no"' || chr(10) || '    return x' || chr(10) || 'def helper(y): return y' || chr(10)
+                 WHEN 1 THEN
+                   'bp = Blueprint("b", __name__)' || chr(10) || '@bp.route("/f' || CAST(p_partkey AS STRING) || '", methods=["GET", "POST"])' || chr(10) || 'def view' || CAST(p_partkey AS STRING) || '():' || chr(10) || '    return 1' || chr(10)
+                   || 'class Plain' || CAST(p_partkey AS STRING) || ':' || chr(10) || '    @bp.route("/g' || CAST(p_partkey AS STRING) || '")' || chr(10) || '    def show(self): pass' || chr(10)
+                 ELSE
+                   'urlpatterns = [' || chr(10) || '    path("d' || CAST(p_partkey AS STRING) || '/", views.D' || CAST(p_partkey AS STRING) || '.as_view(), name="x"),' || chr(10) || '    re_path(r"/e' || CAST(p_partkey AS STRING) || '", handler),' || chr(10) || ']' || chr(10)
+                   || 'class Row' || CAST(p_partkey AS STRING) || '(models.Model):' || chr(10) || '    title = models.CharField(max_length=10)' || chr(10)
+                   || CASE WHEN p_size % 10 = 0 THEN 'def broken(:' || chr(10) ELSE '' END END AS content
+        FROM {part}""",
+    "nodesrc_v": """
+        SELECT 'r' || CAST(c_custkey % 2 AS STRING) AS repo, 'src/modules/f' || CAST(c_custkey % 9 AS STRING) || '/c' || CAST(c_custkey AS STRING) || '.ts' AS path, c_custkey AS k,
+               CASE c_custkey % 3 WHEN 0 THEN
+                   'import { Controller } from "@nestjs/common";' || chr(10) || '@Controller("c' || CAST(c_custkey AS STRING) || '/")' || chr(10) || 'export class C' || CAST(c_custkey AS STRING) || 'Controller {' || chr(10)
+                   || '  constructor(private readonly svc: S' || CAST(c_custkey AS STRING) || 'Service, @Inject(X) repo: Repo<Y>) {}' || chr(10)
+                   || '  @Get(":id")' || chr(10) || '  @UseGuards(G)' || chr(10) || '  async find(@Param("id") id: string) { return `x ${id} }`; }' || chr(10)
+                   || '  @Post()' || chr(10) || '  create() { /* @Delete("no") } */ }' || chr(10) || '}' || chr(10)
+                   || '@Injectable("app")' || chr(10) || 'export class S' || CAST(c_custkey AS STRING) || 'Service { constructor(private db: Db) {} }' || chr(10)
+                   || '@Module({ controllers: [C' || CAST(c_custkey AS STRING) || 'Controller], providers: [S' || CAST(c_custkey AS STRING) || 'Service, P], imports: [] })' || chr(10) || 'export class M' || CAST(c_custkey AS STRING) || 'Module {}' || chr(10)
+                 WHEN 1 THEN
+                   'const express = require("express");' || chr(10) || 'const router = express.Router();' || chr(10) || 'router.get("/e' || CAST(c_custkey AS STRING) || '", users.list);' || chr(10)
+                   || 'router.post("/e' || CAST(c_custkey AS STRING) || '", (req, res) => { res.send(1); });' || chr(10) || 'map.get(key); cache.get("k"); // router.get("/no", x)' || chr(10)
+                 ELSE
+                   'import fastify from "fastify";' || chr(10) || 'const f = fastify();' || chr(10) || 'fastify.get("/z' || CAST(c_custkey AS STRING) || '", async () => 1);' || chr(10) || 'fastify.get("/z' || CAST(c_custkey AS STRING) || '", again);' || chr(10) END AS content
+        FROM {customer}""",
 }
 
 
