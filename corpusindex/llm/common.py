@@ -7,6 +7,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -75,3 +76,19 @@ def grouped(batches, keys: int):
             held.append(batch.slice(a, b - a))
     if held:
         yield key, pa.Table.from_batches(held)
+
+
+ROW_KEY = ("k_id", "k_named", "k_key")
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """`docs` with each row as a struct `row` and the columns ROW_KEY, never null, of its id and text.
+
+    Joins and windows on the same plain columns need the texts shuffled once only.
+    """
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), *row_key(doc_id, F.xxhash64("text")))
+
+
+def row_key(doc_id, text_key) -> list:
+    return [F.coalesce(doc_id, F.lit(0)).alias("k_id"), doc_id.isNotNull().alias("k_named"), text_key.alias("k_key")]

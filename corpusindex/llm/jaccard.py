@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusindex.llm.common import checkpointed, dealt, grouped, record, runs, shuffle_partitions, sliced
+from corpusindex.llm.common import ROW_KEY, checkpointed, dealt, grouped, keyed_rows, record, row_key, runs, shuffle_partitions, sliced
 from corpusindex.llm.graph import connected_components, local_roots
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -68,11 +68,31 @@ def _members(docs: DataFrame, size: int) -> DataFrame:
 
 
 FRAGMENT_ROW = "fragment int, batch long, places binary, hashes binary, owners binary, sizes binary"
-BATCH_ROW = "batch long, places binary, hashes binary, spread binary, owners binary, sizes binary"
+BATCH_ROW = "batch long, fragment int, places binary, hashes binary, spread binary, owners binary, sizes binary"
+
+
+def _short(hashes: np.ndarray) -> bytes:
+    """The low 48 bits of each hash; the fragment tells the rest that matters."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _steps(places: np.ndarray) -> bytes:
+    """Ascending places as differences, which compress well."""
+    return np.diff(places, prepend=places[:0].dtype.type(0)).tobytes()
+
+
+def _places(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(blob, np.uint16), dtype=np.int64)
 
 
 def _fragments(docs: DataFrame, size: int, fragments: int, at_once: int = 1 << 20) -> DataFrame:
-    """The shingles of each class, cut into `fragments` equal ranges of hashes: 10 bytes a shingle.
+    """The shingles of each class, cut into `fragments` equal ranges of hashes: 6 bytes a shingle and its place.
 
     Texts are taken in batches of about `at_once` shingles; a shingle carries its text's place in the batch, and one
     fragment of the batch carries the classes and set sizes of all its texts. A partition sends a class once, however many
@@ -87,7 +107,7 @@ def _fragments(docs: DataFrame, size: int, fragments: int, at_once: int = 1 << 2
         order = np.argsort(cut, kind="stable")
         cut, hashes, places = cut[order], hashes[order], places[order]
         edges = runs(cut)
-        rows = [[int(cut[a]), batch, places[a:b].tobytes(), hashes[a:b].tobytes(), None, None] for a, b in zip(edges[:-1], edges[1:])]
+        rows = [[int(cut[a]), batch, _steps(places[a:b]), _short(hashes[a:b]), None, None] for a, b in zip(edges[:-1], edges[1:])]
         rows[batch % len(rows)][4:] = [np.array(owners, np.int64).tobytes(), sizes.tobytes()]
         return record(schema, [list(c) for c in zip(*rows)])
 
@@ -119,28 +139,32 @@ def _fragments(docs: DataFrame, size: int, fragments: int, at_once: int = 1 << 2
 
 def _shared(packed: DataFrame) -> DataFrame:
     """Per fragment, the shingles that two texts or more hold, with their number, sent back to the texts' batches."""
-    schema = pa.schema([("batch", pa.int64())] + [(c, pa.binary()) for c in ("places", "hashes", "spread", "owners", "sizes")])
+    schema = pa.schema(
+        [("batch", pa.int64()), ("fragment", pa.int32())] + [(c, pa.binary()) for c in ("places", "hashes", "spread", "owners", "sizes")]
+    )
 
     def count(batches):
-        for _, rows in grouped(batches, 1):
+        for (fragment,), rows in grouped(batches, 1):
             batch, blobs, tables = (rows.column(c).to_pylist() for c in ("batch", "hashes", "owners"))
-            ends = np.cumsum([0] + [len(x) // 8 for x in blobs])
-            hashes = np.frombuffer(b"".join(blobs), np.uint64)
+            ends = np.cumsum([0] + [len(x) // 6 for x in blobs])
+            hashes = _long(b"".join(blobs))
             order = np.argsort(hashes, kind="stable")
             ordered = hashes[order]
             lengths = np.diff(runs(ordered))
             spread = np.empty(len(hashes), np.int32)
             spread[order] = np.repeat(lengths, lengths)
             out = []
-            for i, places in enumerate(rows.column("places").to_pylist()):
+            for i, steps in enumerate(rows.column("places").to_pylist()):
                 some = slice(ends[i], ends[i + 1])
                 several = spread[some] > 1
                 if several.any() or tables[i] is not None:
+                    places = _places(steps)[several].astype(np.uint16)
                     out.append(
                         (
                             batch[i],
-                            np.frombuffer(places, np.uint16)[several].tobytes(),
-                            hashes[some][several].tobytes(),
+                            fragment,
+                            _steps(places),
+                            _short(hashes[some][several]),
                             spread[some][several].tobytes(),
                             tables[i],
                             rows.column("sizes")[i].as_py(),
@@ -169,10 +193,12 @@ def _candidates(shared: DataFrame, percent: int) -> DataFrame:
         for _, rows in grouped(batches, 1):
             owners, sizes = (b"".join(x for x in rows.column(c).to_pylist() if x) for c in ("owners", "sizes"))
             owners, sizes = np.frombuffer(owners, np.int64), np.frombuffer(sizes, np.int32).astype(np.int64)
-            places, hashes, spread = (
-                np.frombuffer(b"".join(rows.column(c).to_pylist()), kind)
-                for c, kind in (("places", np.uint16), ("hashes", np.uint64), ("spread", np.int32))
-            )
+            places = np.concatenate([_places(x) for x in rows.column("places").to_pylist()])
+            spread = np.frombuffer(b"".join(rows.column("spread").to_pylist()), np.int32)
+            blobs = rows.column("hashes").to_pylist()
+            tags = rows.column("fragment").to_numpy().astype(np.uint64) & np.uint64(0xFFFF)
+            # 48 bits that are spread evenly, and 16 of the fragment
+            hashes = (_long(b"".join(blobs)) << np.uint64(16)) | np.repeat(tags, [len(x) // 6 for x in blobs])
             prefix = np.bincount(places, minlength=len(owners)) - _at_least(sizes, percent) + 1
             keep = prefix[places] > 0
             places, hashes, spread = places[keep], hashes[keep], spread[keep]
@@ -367,8 +393,8 @@ def jaccard_join(
     directly; rows with equal sets link. Rows that repeat an id count each. Null ids take part but never name a component.
     Ids must be integers; other columns are not read. The result is exact but for collisions of 64-bit hashes.
 
-    Memory: a task holds one fragment (about `fragment_shingles` shingles, and all places of its most frequent shingle, 10
-    bytes each; a batch of texts sends a shingle once per text and a partition once per class) or one pair of blocks (2 * `block` members).
+    Memory: a task holds one fragment (about `fragment_shingles` shingles, and all places of its most frequent shingle; a
+    batch of texts sends a shingle once per text and a partition once per class) or one pair of blocks (2 * `block` members).
     """
     classed = _classified(docs, id_col, text_col, size, percent, block, cuts, fragment_shingles)
     heads = classed.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("component_id"))
@@ -386,14 +412,10 @@ def keep_one_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     Of rows with that id the one with the smallest hash of the text stays, and one of equal rows. Rows without words are
     linked with nothing and stay.
     """
-    names = docs.columns
     classed = _classified(docs, "doc_id", "text", size, percent, 2048, 4, 1_000_000)
-    heads = classed.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("id", "key")).alias("head"))
-    heads = heads.select(F.col("head.id").alias("h_id"), F.col("head.key").alias("h_key"), F.lit(False).alias("wordless"))
-    wordless = classed.where("label IS NULL").select("id", "key", F.lit(True)).distinct()
-    rows = docs.select(
-        F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_key")
-    )
-    kept = rows.join(heads.unionAll(wordless), F.col("k_id").eqNullSafe(F.col("h_id")) & (F.col("k_key") == F.col("h_key")))
-    number = F.row_number().over(Window.partitionBy("k_id", "k_key").orderBy(F.lit(1)))
+    heads = classed.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("head"))
+    heads = heads.select(*row_key(F.col("head.id"), F.col("head.key")), F.lit(False).alias("wordless"))
+    wordless = classed.where("label IS NULL").select(*row_key(F.col("id"), F.col("key")), F.lit(True).alias("wordless")).distinct()
+    kept = keyed_rows(docs).join(heads.unionAll(wordless), list(ROW_KEY))
+    number = F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy(F.lit(1)))
     return kept.withColumn("number", number).where("wordless OR number = 1").select("row.*")

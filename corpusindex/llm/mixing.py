@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusindex.llm.common import checkpointed, record, shuffle_partitions, sliced
+from corpusindex.llm.common import ROW_KEY, checkpointed, keyed_rows, record, row_key, shuffle_partitions, sliced
 from corpusindex.llm.words import word_counts
 
 #: Largest remainder, in words, that the dynamic programme fits.
@@ -207,12 +207,10 @@ def repeat_mixed(docs: DataFrame) -> DataFrame:
     All columns stay. The decisions are joined back by id and text; where rows are equal in both, the first ones in any
     order take the larger shares, which gives the same rows.
     """
-    names = docs.columns
-    mixed = mix_sources(docs).groupBy("doc_id", "key").agg(F.sum("times").alias("sum_times"), F.count("*").alias("alike"))
-    mixed = mixed.where("sum_times > 0").toDF("m_id", "m_key", "sum_times", "alike")
-    keyed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_key"))
-    joined = keyed.join(mixed, F.col("k_id").eqNullSafe(F.col("m_id")) & (F.col("k_key") == F.col("m_key")))
-    number = F.row_number().over(Window.partitionBy("k_id", "k_key").orderBy(F.lit(1)))
+    mixed = mix_sources(docs).select(*row_key(F.col("doc_id"), F.col("key")), "times")
+    mixed = mixed.groupBy(*ROW_KEY).agg(F.sum("times").alias("sum_times"), F.count("*").alias("alike")).where("sum_times > 0")
+    joined = keyed_rows(docs).join(mixed, list(ROW_KEY))
+    number = F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy(F.lit(1)))
     share = F.floor(F.col("sum_times") / F.col("alike")) + (number <= F.col("sum_times") % F.col("alike")).cast("long")
     repeated = joined.withColumn("copies", share).where("copies > 0")
     return repeated.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
