@@ -86,7 +86,7 @@ VIEWS = {
         SELECT 'r' || CAST(n_nationkey % 2 AS STRING), 'mod' || CAST(n_nationkey % 5 AS STRING) || '/src/N' || CAST(n_nationkey AS STRING) || 'Service.java',
                'package com.shop.n' || CAST(n_nationkey AS STRING) || ';' || chr(10) || '@Service' || chr(10) || 'public class N' || CAST(n_nationkey AS STRING) || 'Service extends Base<S0Entity> implements Runnable, Closeable {' || chr(10)
                || '  /* class Hidden { */' || chr(10) || '  @Autowired' || chr(10) || '  private R' || CAST(n_regionkey AS STRING) || 'Repository repo;' || chr(10)
-               || '  @Value("${limit:' || CAST(n_nationkey AS STRING) || '}")' || chr(10) || '  private int limit = 3;' || chr(10)
+               || '  @Value("$' || '{limit:' || CAST(n_nationkey AS STRING) || '}")' || chr(10) || '  private int limit = 3;' || chr(10)
                || '  public List<S1Entity> run(String s, int[] n) { char c = ' || chr(39) || '}' || chr(39) || '; return null; }' || chr(10) || '}' || chr(10)
         FROM {nation}
         UNION ALL
@@ -120,7 +120,7 @@ VIEWS = {
                CASE c_custkey % 3 WHEN 0 THEN
                    'import { Controller } from "@nestjs/common";' || chr(10) || '@Controller("c' || CAST(c_custkey AS STRING) || '/")' || chr(10) || 'export class C' || CAST(c_custkey AS STRING) || 'Controller {' || chr(10)
                    || '  constructor(private readonly svc: S' || CAST(c_custkey AS STRING) || 'Service, @Inject(X) repo: Repo<Y>) {}' || chr(10)
-                   || '  @Get(":id")' || chr(10) || '  @UseGuards(G)' || chr(10) || '  async find(@Param("id") id: string) { return `x ${id} }`; }' || chr(10)
+                   || '  @Get(":id")' || chr(10) || '  @UseGuards(G)' || chr(10) || '  async find(@Param("id") id: string) { return `x $' || '{id} }`; }' || chr(10)
                    || '  @Post()' || chr(10) || '  create() { /* @Delete("no") } */ }' || chr(10) || '}' || chr(10)
                    || '@Injectable("app")' || chr(10) || 'export class S' || CAST(c_custkey AS STRING) || 'Service { constructor(private db: Db) {} }' || chr(10)
                    || '@Module({ controllers: [C' || CAST(c_custkey AS STRING) || 'Controller], providers: [S' || CAST(c_custkey AS STRING) || 'Service, P], imports: [] })' || chr(10) || 'export class M' || CAST(c_custkey AS STRING) || 'Module {}' || chr(10)
@@ -130,6 +130,18 @@ VIEWS = {
                  ELSE
                    'import fastify from "fastify";' || chr(10) || 'const f = fastify();' || chr(10) || 'fastify.get("/z' || CAST(c_custkey AS STRING) || '", async () => 1);' || chr(10) || 'fastify.get("/z' || CAST(c_custkey AS STRING) || '", again);' || chr(10) END AS content
         FROM {customer}""",
+    "ngsrc_v": """
+        SELECT 'r' || CAST(p_partkey % 2 AS STRING) AS repo, 'src/app/features/f' || CAST(p_partkey % 9 AS STRING) || '/x' || CAST(p_partkey AS STRING) || '.ts' AS path, p_partkey AS k,
+               CASE p_partkey % 3 WHEN 0 THEN 'import { Component } from "@angular/core";' || chr(10) || '@Component({ selector: "app-c' || CAST(p_partkey AS STRING) || '", standalone: true })' || chr(10) || 'export class C' || CAST(p_partkey AS STRING) || 'Component {' || chr(10) || '  @Input() title = "";' || chr(10) || '  @Output() changed = new EventEmitter<string>();' || chr(10) || '  private api = inject(Api' || CAST(p_partkey AS STRING) || 'Service);' || chr(10) || '  constructor(private router: Router, id: string) {}' || chr(10) || '}' || chr(10) || 'export const guard' || CAST(p_partkey AS STRING) || ': CanActivateFn = () => { return inject(Auth' || CAST(p_partkey AS STRING) || ').ok(); };' || chr(10)
+                 WHEN 1 THEN '@Injectable({ providedIn: "root" })' || chr(10) || 'export class Api' || CAST(p_partkey AS STRING) || 'Service {' || chr(10) || '  private base = `$' || '{environment.apiUrl}/items' || CAST(p_partkey AS STRING) || '`;' || chr(10) || '  constructor(private http: HttpClient) {}' || chr(10) || '  all() { return this.http.get<Item[]>(this.base); }' || chr(10) || '  make(b: Item) { return this.http.post(`$' || '{this.base}/new`, b); }' || chr(10) || '  drop(id: number) { return this.http.delete(this.unknown); }' || chr(10) || '}' || chr(10) || '@NgModule({ declarations: [A, B], imports: [], exports: [A] })' || chr(10) || 'export class M' || CAST(p_partkey AS STRING) || 'Module {}' || chr(10)
+                 ELSE 'export const routes: Routes = [' || chr(10) || '  { path: "", redirectTo: "p' || CAST(p_partkey AS STRING) || '", pathMatch: "full" },' || chr(10) || '  { path: "p' || CAST(p_partkey AS STRING) || '", component: C' || CAST(p_partkey AS STRING) || 'Component, canActivate: [guard' || CAST(p_partkey AS STRING) || ', scope("a,b")] },' || chr(10) || '  { path: "lazy' || CAST(p_partkey AS STRING) || '", loadComponent: () => import("./x' || CAST(p_partkey AS STRING) || '").then((m) => m.X) },' || chr(10) || '  { path: "kids' || CAST(p_partkey AS STRING) || '", children: [] }' || chr(10) || '];' || chr(10) END AS content
+        FROM {part}""",
+    "reactsrc_v": """
+        SELECT 'r' || CAST(p_partkey % 2 AS STRING) AS repo, 'src/pages/f' || CAST(p_partkey % 9 AS STRING) || '/x' || CAST(p_partkey AS STRING) || '.tsx' AS path, p_partkey AS k,
+               CASE p_partkey % 3 WHEN 0 THEN 'import { useState } from "react";' || chr(10) || 'export function Page' || CAST(p_partkey AS STRING) || '({ title, size = 1 }: Props) {' || chr(10) || '  const [x] = useState<number>(1);' || chr(10) || '  const list = useItems' || CAST(p_partkey AS STRING) || '(x);' || chr(10) || '  return <div>{title}</div>;' || chr(10) || '}' || chr(10) || 'const helper' || CAST(p_partkey AS STRING) || ' = (a: number) => a + 1;' || chr(10)
+                 WHEN 1 THEN 'export const useItems' || CAST(p_partkey AS STRING) || ' = (q: Query) => {' || chr(10) || '  useEffect(() => {}, []);' || chr(10) || '  return useFetch<Item>(q);' || chr(10) || '};' || chr(10) || 'class Old' || CAST(p_partkey AS STRING) || ' extends React.Component<Props> { render() { return null; } }' || chr(10)
+                 ELSE 'export const App' || CAST(p_partkey AS STRING) || ' = () => (<Routes>' || chr(10) || '  <Route path="/r' || CAST(p_partkey AS STRING) || '" element={<Page' || CAST(p_partkey AS STRING) || ' />} />' || chr(10) || '</Routes>);' || chr(10) || 'const router = createBrowserRouter([{ path: "/d' || CAST(p_partkey AS STRING) || '", element: <Page' || CAST(p_partkey AS STRING) || ' /> }]);' || chr(10) END AS content
+        FROM {part}""",
 }
 
 

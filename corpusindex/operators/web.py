@@ -191,3 +191,72 @@ def node_flows(routes: DataFrame, units: DataFrame) -> DataFrame:
 
 def node_signals(facts: DataFrame) -> DataFrame:
     return facts.select("repo", "ctx_id", F.explode_outer("fw").alias("signal"))
+
+
+# --- Angular and React --------------------------------------------------------------------------------------------------
+
+ANGULAR_KINDS = {"Component": "component", "Injectable": "service", "NgModule": "module", "Directive": "directive", "Pipe": "pipe"}
+
+
+def front_routes(facts: DataFrame) -> DataFrame:
+    """(repo, ctx_id, file, path, target, kind, line, guards) of Angular or React facts; guards comma-joined."""
+    rows = facts.select("repo", "ctx_id", F.col("path").alias("file"), F.explode("routes").alias("r"))
+    return rows.select("repo", "ctx_id", "file", "r.path", "r.target", "r.kind", "r.line", F.array_join("r.guards", ", ").alias("guards"))
+
+
+def angular_units(facts: DataFrame) -> DataFrame:
+    """(repo, ctx_id, file, name, kind, selector, standalone, provided_in, inputs, outputs, arrays, deps) of stereotyped classes and functional guards."""
+    types = facts.select("repo", "ctx_id", F.col("path").alias("file"), F.explode("types").alias("t"))
+    name = lambda d: F.regexp_extract(d, r"^@(?:[\w.]*\.)?(\w+)", 1)
+    marked = F.get(F.filter("t.decorators", lambda d: name(d).isin(*ANGULAR_KINDS)), F.lit(0))
+    types = types.withColumn("d", marked).where("d IS NOT NULL")
+    kind = F.coalesce(*[F.when(name(F.col("d")) == k, v) for k, v in ANGULAR_KINDS.items()])
+
+    def text(key: str) -> Column:
+        value = F.regexp_extract("d", key + r"\s*:\s*['\"]([^'\"]*)", 1)
+        return F.when(value != "", value)
+
+    def listed(key: str) -> Column:
+        inner = F.regexp_extract("d", key + r"\s*:\s*\[([^\]]*)\]", 1)
+        return F.array_join(F.filter(F.transform(F.split(inner, ","), lambda x: F.trim(x)), lambda x: x != ""), ",")
+
+    classes = types.select(
+        "repo", "ctx_id", "file", F.col("t.name").alias("name"), kind.alias("kind"), text("selector").alias("selector"),
+        F.col("d").rlike(r"standalone\s*:\s*true").alias("standalone"), text("providedIn").alias("provided_in"), F.array_join("t.inputs", ",").alias("inputs"),
+        F.array_join("t.outputs", ",").alias("outputs"),
+        F.when(kind == "module", F.concat_ws("|", *[listed(k) for k in ("declarations", "imports", "providers", "exports")])).alias("arrays"),
+        F.array_join("t.ctorDeps", ",").alias("deps"),
+    )
+    none = F.lit(None).cast("string")
+    functional = facts.select("repo", "ctx_id", F.col("path").alias("file"), F.explode("functionals").alias("f"))
+    functional = functional.select(
+        "repo", "ctx_id", "file", "f.name", "f.kind", none.alias("selector"), F.lit(False).alias("standalone"), none.alias("provided_in"), F.lit("").alias("inputs"),
+        F.lit("").alias("outputs"), none.alias("arrays"), F.array_join("f.deps", ",").alias("deps"),
+    )
+    return classes.unionByName(functional)
+
+
+def angular_http(facts: DataFrame) -> DataFrame:
+    """(repo, ctx_id, owner, place, verb, url) of the calls of each class."""
+    types = facts.select("repo", "ctx_id", F.explode("types").alias("t")).select("repo", "ctx_id", F.col("t.name").alias("owner"), F.posexplode("t.http").alias("place", "h"))
+    return types.select("repo", "ctx_id", "owner", "place", "h.verb", "h.url")
+
+
+def front_flows(routes: DataFrame, owners: DataFrame) -> DataFrame:
+    """`routes` with flow; `owners` (repo, name, file, deps) are the components, of a name the last by file counts."""
+    last = owners.groupBy("repo", F.col("name").alias("target")).agg(F.max_by("deps", "file").alias("deps"))
+    joined = routes.join(last, ["repo", "target"], "left")
+    head = F.concat(F.lit("route '"), F.when(F.col("path") == "", "/").otherwise(F.col("path")), F.lit("'"))
+    deps = F.when((F.col("deps") != "") & (F.col("kind") == "component"), F.replace("deps", F.lit(","), F.lit(" → ")))
+    target = F.when(F.col("kind") == "redirect", F.concat(F.lit("↪ "), "target")).otherwise(F.col("target"))
+    flow = F.when(F.col("target").isNotNull(), F.concat_ws(" → ", head, target, deps))
+    guards = F.when(F.col("guards") != "", F.concat(F.lit("  (guards: "), "guards", F.lit(")"))).otherwise("")
+    return joined.withColumn("flow", F.concat(flow, guards)).drop("deps")
+
+
+def react_units(facts: DataFrame) -> DataFrame:
+    """(repo, ctx_id, file, name, kind, hooks, deps, props): hooks, and components as function or class."""
+    rows = facts.select("repo", "ctx_id", F.col("path").alias("file"), F.explode("functionals").alias("f"))
+    kind = F.when(F.col("f.kind") == "hook", "hook").when(F.col("f.class"), "class").otherwise("function")
+    joined = [F.array_join(F.coalesce(f"f.{c}", F.array()), ",").alias(c) for c in ("hooks", "deps", "props")]
+    return rows.select("repo", "ctx_id", "file", F.col("f.name").alias("name"), kind.alias("kind"), *joined)
