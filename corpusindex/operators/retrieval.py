@@ -117,3 +117,27 @@ def ask(queries: DataFrame, contexts: DataFrame) -> DataFrame:
     hit = contexts.select("repo", "id", F.lower("hay").alias("hay")).join(distinct, "repo").where(F.contains("hay", "word"))
     hit = hit.select("repo", "word", "id")
     return hit.join(counted, ["repo", "word"]).groupBy("repo", "query_id", "id").agg(F.sum("times").cast("double").alias("score"))
+
+
+def ask_payload(hits: DataFrame, endpoints: DataFrame, rules: DataFrame) -> DataFrame:
+    """(repo, query_id, id, rank, kind, text): endpoints of the contexts shown, and the first one's rules.
+
+    `endpoints` has repo, id, text; `rules` repo, id, text. Only contexts that a query shows reach the joins' output.
+    """
+    shown = hits.select("repo", "query_id", "id", "rank")
+    calls = shown.join(endpoints.select("repo", "id", F.lit("endpoint").alias("kind"), "text"), ["repo", "id"])
+    first = shown.where("rank = 1").join(rules.select("repo", "id", F.lit("rule").alias("kind"), "text"), ["repo", "id"])
+    return calls.unionByName(first).select("repo", "query_id", "id", "rank", "kind", "text")
+
+
+def signature_lines(endpoints: DataFrame) -> DataFrame:
+    """(repo, id, text): `VERB path <- Req -> Resp` of each endpoint."""
+    req = F.when(F.col("req").isNotNull(), F.concat(F.lit(" <- "), "req")).otherwise("")
+    resp = F.when(F.col("resp").isNotNull(), F.concat(F.lit(" -> "), "resp")).otherwise("")
+    return endpoints.select("repo", F.col("ctx_id").alias("id"), F.concat("verb", F.lit(" "), "path", req, resp).alias("text"))
+
+
+def lookup_detail(wanted: DataFrame, details: DataFrame, *keys: str) -> DataFrame:
+    """`wanted` with the detail row of each key, null where there is none, and `found`."""
+    marked = details.withColumn("found", F.lit(True))
+    return wanted.join(marked, list(keys), "left").withColumn("found", F.coalesce("found", F.lit(False)))
