@@ -247,10 +247,9 @@ def _blocks(live: DataFrame, clusters: DataFrame, weights: DataFrame, block: int
     blocks cover every pair of members once.
     """
     sized = clusters.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
+    narrow = clusters.join(sized, "component").withColumnRenamed("node", "owner").join(weights, "owner")
     placed = (
-        live.join(clusters, live.owner == clusters.node)
-        .join(sized, "component")
-        .join(weights, "owner")
+        live.join(narrow, "owner")
         .withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("owner"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
