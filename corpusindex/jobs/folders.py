@@ -1,0 +1,14 @@
+"""Where jobs put what they write and read again."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one that `spark.checkpoint.dir` names; a local temporary one only where that is unset."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{shared or tempfile.mkdtemp(prefix='spark-jobs-')}/jobs-{uuid.uuid4().hex}"

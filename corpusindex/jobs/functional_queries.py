@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from corpusindex.functions.text import content_hash
 from corpusindex.jobs.decision_queries import CUE_SQL, GAINS_SQL, HASH_SQL
+from corpusindex.jobs.folders import shared_folder
 from corpusindex.jobs.views import sql_for, view
 from corpusindex.operators import functional as fn
 from corpusindex.streaming import streams
@@ -113,12 +111,6 @@ def _grep(spark, d):
 # --- streams ------------------------------------------------------------------------------------------------------------
 
 
-def _folder(spark) -> str:
-    """A new folder in the shared one that spark.checkpoint.dir names; a local temporary one only where that is unset."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='spark-streams-')}/streams-{uuid.uuid4().hex}"
-
-
 def _stream(spark, d, table):
     """A table's files as a stream; the pattern holds for a single file and for a folder."""
     return spark.readStream.schema(spark.read.parquet(f"{d}/{table}.parquet").schema).parquet(f"{d}/{table}.parquet*")
@@ -129,7 +121,7 @@ def _touches(spark, d):
     touched = _stream(spark, d, "events").select(
         F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string")).alias("repo"), F.concat(F.lit("f"), "user_id", kind).alias("file"), "ts"
     )
-    out = _folder(spark)
+    out = shared_folder(spark)
     query = streams.touch_queue(touched, "java", lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{out}/drained"), f"{out}/state")
     query.awaitTermination()
     return spark.read.parquet(f"{out}/drained").select("repo", "file").distinct()
@@ -141,7 +133,7 @@ def _cues(spark, d):
     messages = _stream(spark, d, "conversations").select(
         F.concat(F.lit("r"), (F.col("conv_id") % 3).cast("string")).alias("repo"), F.concat_ws("-", "conv_id", "turn").alias("msg_id"), text.alias("text")
     )
-    out = _folder(spark)
+    out = shared_folder(spark)
     opted = spark.createDataFrame([("r0",), ("r2",)], "repo string")
     streams.append_sink(streams.cue_stream(messages, opted).select("repo", "msg_id"), f"{out}/cues", f"{out}/state").awaitTermination()
     return spark.read.schema("repo string, msg_id string").parquet(f"{out}/cues")
@@ -152,7 +144,7 @@ def _gain_stream(spark, d):
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'.000Z'").alias("time"), F.col("event_type").alias("op"), F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string")).alias("plugin"),
         F.concat("event_type", F.lit("|"), "props", F.lit("|"), F.repeat("event_type", 12)).alias("detail"), F.floor("value").cast("long").alias("used"), (F.col("event_id") % 90).alias("baseline"),
     )
-    out = _folder(spark)
+    out = shared_folder(spark)
     streams.append_sink(streams.gain_stream(rows), f"{out}/gains", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/gains")
 

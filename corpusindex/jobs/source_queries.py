@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from corpusindex.facts.blank import with_code_only
 from corpusindex.jobs.decision_queries import HASH_SQL, files, ledger, with_evidence
 from corpusindex.jobs.functional_queries import functional
+from corpusindex.jobs.folders import shared_folder
 from corpusindex.jobs.retrieval_queries import HAYSTACK, DECISIONS_SQL, decisions, terms_sql
 from corpusindex.jobs.views import sql_for, view
 from corpusindex.operators import retrieval
 from corpusindex.sources import files as io
 
 
-def _folder(spark) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='spark-sources-')}/sources-{uuid.uuid4().hex}"
-
-
 def _decisions(spark, d):
-    path = _folder(spark)
+    path = shared_folder(spark)
     io.write_decisions(with_evidence(spark, d), path)
     back = io.read_decisions(spark, path)
     hashes = F.array_join(F.transform(F.array_sort(F.map_entries("evidence_hashes")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
@@ -30,7 +23,7 @@ def _decisions(spark, d):
 
 
 def _facts(spark, d):
-    path = _folder(spark)
+    path = shared_folder(spark)
     base = files(spark, d).select("repo", "path", "hash")
     io.write_fact_cache(base.withColumn("written", F.lit(1)), path)
     io.write_fact_cache(base.where("substr(hash, 1, 1) < '8'").withColumn("hash", F.upper("hash")).withColumn("written", F.lit(2)), path)
@@ -52,7 +45,7 @@ def _batch(spark, d):
 
 def _index(spark, d):
     """A table of files by context written twice, the second time changed: what the second write reports."""
-    path = _folder(spark)
+    path = shared_folder(spark)
     old = view(spark, d, "old_files_v").where("path NOT LIKE 'gone/%'").select(F.concat_ws("/", "repo", "ctx_id").alias("ctx"), "path", "content")
     new = view(spark, d, "files_v").where("module <> 'src3'").select(F.concat_ws("/", "repo", "ctx_id").alias("ctx"), "path", "content")
     first = io.write_index(spark, old, path, "ctx", None)
@@ -60,13 +53,13 @@ def _index(spark, d):
 
 
 def _postings(spark, d):
-    path = _folder(spark)
+    path = shared_folder(spark)
     io.write_postings(retrieval.postings(retrieval.decision_terms(decisions(spark, d))), path)
     return spark.read.parquet(path).select("repo", "term", F.array_join("ids", ",").alias("ids"))
 
 
 def _ledger(spark, d):
-    path = _folder(spark)
+    path = shared_folder(spark)
     ledger(spark, d).write.mode("append").json(path)
     return spark.read.schema("repo string, entry long, q string, a string, scope string, terms array<string>").json(path).select("repo", "entry", "q", "a", "scope", F.size("terms").alias("n_terms"))
 
