@@ -77,39 +77,28 @@ def fit(
     Loss: weighted log loss + ridge * |w|^2 + penalty * mean squared difference of the log-odds of a text and its swapped
     form, over the texts that hold an identity term.
     """
-    known: dict[str, list[int]] = {}
-
-    def buckets(words: set[str]) -> np.ndarray:
-        out: list[int] = []
-        for w in words:
-            got = known.get(w)
-            if got is None:
-                got = known[w] = word_features(w)
-            out += got
-        return np.unique(np.array(out, np.int64))
-
-    words = [text_words(t) for t in texts]
-    rows = [buckets(w) for w in words]
-    del known
-    support = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
-    for row, label, weight in zip(rows, toxic, weights):
-        support[int(label)][row] += 1
+    support = [np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)]
+    rows, named = [], {}
+    for i, text in enumerate(texts):
+        words = text_words(text)
+        row = np.unique(np.array([f for w in words for f in word_features(w)], np.int32))
+        support[int(toxic[i])][row] += 1
+        rows.append(row)
+        if words & swaps.keys():
+            named[i] = words
     totals = [max(1, int((toxic == k).sum())) for k in (0, 1)]
     shares = [(s + 0.5) / (n + 1) for s, n in zip(support, totals)]
     both = support[0] + support[1]
     ranked = np.where(both >= 4, np.abs(np.log(shares[1] / shares[0])) * np.sqrt(both) * (1 + 9 * (shares[1] > shares[0])), 0)
     chosen = np.sort(np.argsort(-ranked, kind="stable")[:SELECTED])
     chosen = chosen[ranked[chosen] > 0]
-    column = np.full(BUCKETS, -1)
+    column = np.full(BUCKETS, -1, np.int32)
     column[chosen] = np.arange(len(chosen))
     picked = [column[r][column[r] >= 0] for r in rows]
+    del rows, support, both, shares, ranked
     at, col = _matrix(picked)
-    pairs, swapped = [], []
-    for row, own in zip(picked, words):
-        if own & swaps.keys():
-            other = buckets_of({swaps.get(w, w) for w in own}, column)
-            pairs.append(row)
-            swapped.append(other)
+    pairs = [picked[i] for i in named]
+    swapped = [buckets_of({swaps.get(w, w) for w in words}, column) for words in named.values()]
     p_at, p_col = _matrix(pairs)
     s_at, s_col = _matrix(swapped)
     n, k = len(texts), len(chosen)
