@@ -1,4 +1,4 @@
-"""Embedding near-dedup: a robust-pruned flat graph, built on overlapping cluster shards and searched by range."""
+"""Embedding near-dedup: cells around centroids; blocks of points whose cells can hold a link meet once and exactly."""
 
 from __future__ import annotations
 
@@ -14,138 +14,10 @@ from pyspark.sql import functions as F
 from corpusindex.llm.common import checkpointed, dealt, grouped, record
 from corpusindex.llm.graph import connected_components, local_roots
 
-DEGREE, BEAM, ALPHA = 24, 32, 1.2
-
-
-def robust_prune(point: int, candidates: np.ndarray, unit: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
-    """Up to `degree` of the candidates, nearest first, none much nearer to a chosen one than to the point."""
-    candidates = candidates[candidates != point]
-    if not len(candidates):
-        return candidates
-    own = unit[candidates]
-    to_point = np.sqrt(np.maximum(0.0, 2 - 2 * (own @ unit[point])))
-    order = np.argsort(to_point, kind="stable")
-    candidates, own, to_point = candidates[order], own[order], to_point[order]
-    between = alpha * np.sqrt(np.maximum(0.0, 2 - 2 * (own @ own.T)))
-    alive, chosen = np.ones(len(candidates), bool), []
-    at = 0
-    while len(chosen) < degree:
-        chosen.append(at)
-        alive &= between[at] > to_point
-        alive[at] = False
-        rest = np.flatnonzero(alive)
-        if not len(rest):
-            break
-        at = rest[0]
-    return candidates[chosen]
-
-
-def beam_search(queries: np.ndarray, unit: np.ndarray, graph: np.ndarray, start: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the `beam` nearest points met on a greedy walk from `start`, nearest first: ids (-1: none), cosines."""
-    n = len(queries)
-    ids = np.full((n, beam), -1)
-    sims = np.full((n, beam), -np.inf)
-    open_ = np.zeros((n, beam), bool)
-    ids[:, 0], sims[:, 0], open_[:, 0] = start, queries @ unit[start], True
-    width = graph.shape[1]
-    while True:
-        active = np.flatnonzero(open_.any(axis=1))
-        if not len(active):
-            return ids, sims
-        best = np.where(open_[active], sims[active], -np.inf).argmax(axis=1)
-        node = ids[active, best]
-        open_[active, best] = False
-        near = graph[node]
-        known = (near[:, :, None] == ids[active][:, None, :]).any(axis=2) | (near < 0)
-        score = np.einsum("ijk,ik->ij", unit[near], queries[active])
-        score[known] = -np.inf
-        all_ids = np.concatenate([ids[active], near], axis=1)
-        all_sims = np.concatenate([sims[active], score], axis=1)
-        all_open = np.concatenate([open_[active], np.ones((len(active), width), bool)], axis=1)
-        top = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
-        ids[active] = np.take_along_axis(all_ids, top, 1)
-        sims[active] = np.take_along_axis(all_sims, top, 1)
-        open_[active] = np.take_along_axis(all_open, top, 1) & np.isfinite(sims[active])
-        ids[active] = np.where(np.isfinite(sims[active]), ids[active], -1)
-
-
-def medoid(unit: np.ndarray) -> int:
-    return int(np.argmax(unit @ unit.mean(axis=0)))
-
-
-def build_graph(unit: np.ndarray, seed: int = 5, batch: int = 256) -> np.ndarray:
-    """Neighbours of each point, DEGREE wide, -1 where there are fewer; points are inserted in growing batches."""
-    n = len(unit)
-    graph = np.full((n, DEGREE), -1)
-    start = medoid(unit)
-    order = np.random.default_rng(seed).permutation(n)
-    order = np.concatenate([[start], order[order != start]])
-    done = min(n, 32)
-    for p in order[:done]:
-        chosen = robust_prune(int(p), order[:done], unit)
-        graph[p, : len(chosen)] = chosen
-    while done < n:
-        new = order[done : done + min(done, batch)]
-        ids, _ = beam_search(unit[new], unit, graph, start)
-        back: dict[int, list[int]] = {}
-        for p, met in zip(new.tolist(), ids):
-            chosen = robust_prune(p, met[met >= 0], unit)
-            graph[p, : len(chosen)] = chosen
-            for c in chosen.tolist():
-                back.setdefault(c, []).append(p)
-        for c, added in back.items():
-            own = graph[c][graph[c] >= 0]
-            both = np.concatenate([own, np.array(added)])
-            if len(both) > DEGREE:
-                both = robust_prune(c, both, unit)
-            graph[c] = -1
-            graph[c, : len(both)] = both
-        done += len(new)
-    return graph
-
-
-def range_search(unit: np.ndarray, graph: np.ndarray, least: float, slack: float = 0.03, at_once: int = 512):
-    """Pairs (query, other) of points with cosine >= `least`, found by walks from the medoid that expand within range.
-
-    Expansion follows edges both ways and goes on from points within `slack` below the threshold; each pair's cosine is
-    computed once and held against the threshold in double precision.
-    """
-    n, start = len(unit), medoid(unit)
-    tail, slot = np.nonzero(graph >= 0)
-    head = graph[tail, slot]
-    edge = np.unique(np.concatenate([tail * n + head, head * n + tail]))
-    first = np.searchsorted(edge // n, np.arange(n + 1))
-    edge %= n
-    for low in range(0, n, at_once):
-        queries = np.arange(low, min(n, low + at_once))
-        ids, sims = beam_search(unit[queries], unit, graph, start)
-        seen = np.zeros((len(queries), n), bool)
-        seen[np.arange(len(queries)), queries] = True
-        q, slot = np.nonzero(ids >= 0)
-        node, sim = ids[q, slot], sims[q, slot]
-        fresh = ~seen[q, node]
-        q, node, sim = q[fresh], node[fresh], sim[fresh]
-        seen[q, node] = True
-        # the point itself is where the walk should end: its own neighbours are in range if any are
-        q = np.concatenate([q, np.arange(len(queries))])
-        node = np.concatenate([node, queries])
-        sim = np.concatenate([sim, np.ones(len(queries))])
-        found_q, found_o = [], []
-        while len(q):
-            hit = (sim >= least) & (node != queries[q])
-            found_q.append(queries[q[hit]])
-            found_o.append(node[hit])
-            wide = sim >= least - slack
-            q, node = q[wide], node[wide]
-            counts = first[node + 1] - first[node]
-            within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            key = np.unique(np.repeat(q, counts) * n + edge[np.repeat(first[node], counts) + within])
-            q, node = key // n, key % n
-            fresh = ~seen[q, node]
-            q, node = q[fresh], node[fresh]
-            seen[q, node] = True
-            sim = np.einsum("ij,ij->i", unit[queries[q]], unit[node])
-        yield np.concatenate(found_q), np.concatenate(found_o)
+#: Points of a cell that meet as one block, and rows of a block that are multiplied at once.
+BLOCK, TILE = 4096, 512
+#: Added to every bound on angles, far above rounding.
+SLACK = 1e-6
 
 
 def _unit(blobs: list[bytes]) -> np.ndarray:
@@ -198,7 +70,8 @@ def _centroids(points: DataFrame, shard_rows: int, most: int, per_shard: int = 3
             for c in range(len(centres)):
                 if (near == c).any():
                     mean = unit[near == c].mean(axis=0)
-                    centres[c] = mean / max(np.linalg.norm(mean), 1e-12)
+                    if np.linalg.norm(mean) > 1e-9:
+                        centres[c] = mean / np.linalg.norm(mean)
         return pd.DataFrame({"label": frame["label"].iloc[0], "dim": frame["dim"].iloc[0], "centres": [centres.tobytes()]})
 
     fitted = sample.select("label", "dim", "rep", "unit", "k").groupBy("label", "dim")
@@ -206,101 +79,137 @@ def _centroids(points: DataFrame, shard_rows: int, most: int, per_shard: int = 3
     return {(r["label"], r["dim"]): np.frombuffer(r["centres"], np.float64).reshape(-1, r["dim"]) for r in rows}
 
 
-def _sharded(points: DataFrame, centroids: dict[tuple[str, int], np.ndarray]) -> DataFrame:
-    """Each point in the shards of its two nearest centroids: (label, dim, shard, rep, weight, unit)."""
-    schema = pa.schema(
-        [("label", pa.string()), ("dim", pa.int32()), ("shard", pa.int32()), ("rep", pa.int64()), ("weight", pa.int64()), ("unit", pa.binary())]
-    )
+def _homed(points: DataFrame, centroids: dict[tuple[str, int], np.ndarray]) -> DataFrame:
+    """Each point with its nearest centroid's cell and the angle to it; cell 0 and no angle where a label has no centroids."""
+    names = ("label", "dim", "rep", "pid", "weight", "unit")
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    schema = pa.schema([*zip(names, kinds), ("cell", pa.int32()), ("angle", pa.float64())])
 
-    def deal(batches):
+    def place(batches):
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                centres = centroids.get((r["label"], r["dim"]))
-                near = [0] if centres is None else np.argsort(-(centres @ np.frombuffer(r["unit"], np.float64)), kind="stable")[:2].tolist()
-                rows += [(r["label"], r["dim"], s, r["rep"], r["weight"], r["unit"]) for s in near]
-            if rows:
-                yield record(schema, [list(c) for c in zip(*rows)])
+            cells, angles = np.zeros(batch.num_rows, np.int32), np.full(batch.num_rows, np.nan)
+            for key, at in _by_label(batch).items():
+                if key in centroids:
+                    sims = _unit(batch.column("unit").take(pa.array(at)).to_pylist()) @ centroids[key].T
+                    cells[at] = sims.argmax(axis=1)
+                    angles[at] = np.arccos(np.clip(sims.max(axis=1), -1, 1))
+            yield record(schema, [*batch.columns, pa.array(cells), pa.array(angles, from_pandas=True)])
+
+    return points.select(*names).mapInArrow(
+        place, "label string, dim int, rep long, pid long, weight long, unit binary, cell int, angle double"
+    )
+
 
-    schema_sql = "label string, dim int, shard int, rep long, weight long, unit binary"
-    return points.select("label", "dim", "rep", "weight", "unit").mapInArrow(deal, schema_sql)
+def _by_label(batch: pa.RecordBatch) -> dict[tuple[str, int], np.ndarray]:
+    """The rows of each label and dimension."""
+    found: dict[tuple[str, int], list[int]] = {}
+    for i, key in enumerate(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist())):
+        found.setdefault(key, []).append(i)
+    return {key: np.array(at) for key, at in found.items()}
 
 
-def _members(rows: pa.Table):
-    """A shard's rows in the order of their ids, each once."""
-    ids = rows.column("rep").to_numpy()
-    _, first = np.unique(ids, return_index=True)
-    return rows.take(pa.array(first)), ids[first]
+def _cells(homed: DataFrame, centroids: dict[tuple[str, int], np.ndarray]) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+    """(rows, largest angle to the centroid) of each cell of the labels that have centroids; an empty cell has angle -inf."""
+    out = {key: (np.zeros(len(c), np.int64), np.full(len(c), -np.inf)) for key, c in centroids.items()}
+    held = homed.where("angle IS NOT NULL").groupBy("label", "dim", "cell").agg(F.count("*").alias("n"), F.max("angle").alias("angle"))
+    for r in held.collect():
+        rows, widest = out[r["label"], r["dim"]]
+        rows[r["cell"]], widest[r["cell"]] = r["n"], r["angle"]
+    return out
 
 
-def _adjacency(sharded: DataFrame) -> DataFrame:
-    """(rep, near): each point's neighbours in the graphs of all its shards, united."""
-    schema = pa.schema([("rep", pa.int64()), ("near", pa.list_(pa.int64()))])
+def reachable(unit: np.ndarray, home: np.ndarray, centres: np.ndarray, widest: np.ndarray, least: float) -> np.ndarray:
+    """For each point the cells that can hold a point with cosine >= `least`, by two bounds that no such point escapes.
 
-    def build(batches):
-        for _, rows in grouped(batches, 3):
-            rows, ids = _members(rows)
-            graph = build_graph(_unit(rows.column("unit").to_pylist()))
-            yield record(schema, [pa.array(ids), [ids[g[g >= 0]].tolist() for g in graph]])
+    A cell's points lie within `widest` of its centroid, and on its side of the plane between the two centroids.
+    """
+    sims = unit @ centres.T
+    reach = math.acos(min(1.0, max(-1.0, least))) + SLACK
+    near = np.arccos(np.clip(sims, -1, 1)) <= widest + reach
+    apart = np.sqrt(np.maximum(0.0, 2 - 2 * (centres @ centres.T)))[home]
+    across = np.take_along_axis(sims, home[:, None], 1) - sims
+    plane = np.divide(across, apart, out=np.zeros_like(across), where=apart > SLACK)
+    near &= np.arcsin(np.clip(plane, -1, 1)) <= reach
+    near[np.arange(len(unit)), home] = True
+    return near
+
+
+def _paired(homed: DataFrame, centroids: dict, cells: dict, least: float, at_once: int = 4096) -> DataFrame:
+    """Each point once for every pair of blocks in which it can have a link: (label, dim, low, high, block, rep, pid, weight, unit).
+
+    A cell is cut into blocks of about BLOCK points by a hash of ids; every pair of points has one pair of blocks.
+    """
+    names = ("label", "dim", "low", "high", "block", "rep", "pid", "weight", "unit")
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    schema = pa.schema(list(zip(names, kinds)))
+    blocks = {key: np.maximum(1, -(-rows // BLOCK)) for key, (rows, _) in cells.items()}
 
-    built = dealt(sharded, "label", "dim", "shard").mapInArrow(build, "rep long, near array<bigint>")
-    return built.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    def deal(batches):
+        for batch in batches:
+            for key, at in _by_label(batch).items():
+                rows = batch.take(pa.array(at))
+                if key not in centroids:
+                    zero = np.zeros(len(at), np.int32)
+                    yield record(schema, [*rows.columns[:2], *[pa.array(zero)] * 3, *(rows.column(c) for c in names[5:])])
+                    continue
+                many, home = blocks[key], rows.column("cell").to_numpy()
+                offset = np.cumsum(many) - many
+                mixed = (rows.column("pid").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                own = offset[home] + mixed.astype(np.int64) % many[home]
+                near = reachable(_unit(rows.column("unit").to_pylist()), home, centroids[key], cells[key][1], least)
+                point, cell = np.nonzero(near)
+                times = many[cell]
+                within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                point, other = np.repeat(point, times), np.repeat(offset[cell], times) + within
+                for a in range(0, len(point), at_once):
+                    p, o = point[a : a + at_once], other[a : a + at_once]
+                    taken = rows.take(pa.array(p))
+                    pair = (np.minimum(own[p], o), np.maximum(own[p], o), own[p])
+                    yield record(schema, [*taken.columns[:2], *(pa.array(x.astype(np.int32)) for x in pair), *(taken.column(c) for c in names[5:])])
+
+    return homed.select("label", "dim", "rep", "pid", "weight", "unit", "cell").mapInArrow(
+        deal, "label string, dim int, low int, high int, block int, rep long, pid long, weight long, unit binary"
+    )
 
 
-def _found(sharded: DataFrame, adjacency: DataFrame, least: float) -> DataFrame:
-    """(rep, root, others, weights): links found in each shard, packed per point."""
-    schema = pa.schema([("rep", pa.int64()), ("root", pa.int64()), ("others", pa.binary()), ("weights", pa.binary())])
+def block_links(left: np.ndarray, right: np.ndarray | None, left_weight: np.ndarray, right_weight: np.ndarray, least: float):
+    """(links, root) of the points of two blocks, or of one with itself: the weight of the others in range, and the first
+    point of each one's component. Hits never leave a tile."""
+    n, same = len(left), right is None
+    right = left if same else right
+    total = n if same else n + len(right)
+    links, root = np.zeros(total, np.int64), np.arange(total)
+    for a in range(0, n, TILE):
+        hit = left[a : a + TILE] @ right.T >= least
+        if same:
+            hit[np.arange(len(hit)), a + np.arange(len(hit))] = False
+        i, j = np.nonzero(hit)
+        links[a : a + len(hit)] += np.bincount(i, right_weight[j], len(hit)).astype(np.int64)
+        if not same:
+            links[n:] += np.bincount(j, left_weight[a + i], len(right)).astype(np.int64)
+        x, y = root[a + i], root[j if same else n + j]
+        root = local_roots(total, x, y)[root]
+    return links, root
+
+
+def _found(paired: DataFrame, least: float) -> DataFrame:
+    """(rep, pid, root, links) of the linked points of each pair of blocks; links of different pairs add up."""
+    schema = pa.schema([("rep", pa.int64()), ("pid", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
     def search(batches):
-        for _, rows in grouped(batches, 3):
-            rows, ids = _members(rows)
-            unit, weights = _unit(rows.column("unit").to_pylist()), rows.column("weight").to_numpy()
-            near = rows.column("near").to_pylist()
-            owner = np.repeat(np.arange(len(ids)), [len(x) for x in near])
-            target = np.array([y for x in near for y in x], np.int64)
-            at = np.minimum(np.searchsorted(ids, target), len(ids) - 1)
-            here = ids[at] == target
-            owner, at = owner[here], at[here]
-            counts = np.bincount(owner, minlength=len(ids))
-            graph = np.full((len(ids), max(1, counts.max(initial=0))), -1)
-            graph[owner, np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]] = at
-            links = list(range_search(unit, graph, least))
-            q, o = (np.concatenate(c) for c in zip(*links))
-            both = np.unique(np.concatenate([q * len(ids) + o, o * len(ids) + q]))
-            q, o = both // len(ids), both % len(ids)
-            roots = local_roots(len(ids), q, o)
-            ends = np.searchsorted(q, np.arange(len(ids) + 1))
-            out = [
-                (int(ids[i]), int(ids[roots[i]]), ids[o[a:b]].tobytes(), weights[o[a:b]].astype(np.int64).tobytes())
-                for i, (a, b) in enumerate(zip(ends[:-1], ends[1:]))
-                if b > a
-            ]
-            if out:
-                yield record(schema, [list(c) for c in zip(*out)])
-
-    placed = dealt(sharded.join(adjacency, "rep"), "label", "dim", "shard")
-    placed = placed.select("label", "dim", "shard", "rep", "weight", "unit", "near")
-    return placed.mapInArrow(search, "rep long, root long, others binary, weights binary")
-
-
-def _counted(found: DataFrame) -> DataFrame:
-    """(rep, links): the weight of the distinct others over all shards of a point."""
-    schema = pa.schema([("rep", pa.int64()), ("links", pa.int64())])
-
-    def unite(batches):
-        reps, links = [], []
-        for (rep,), rows in grouped(batches, 1):
-            others, weights = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.int64) for c in ("others", "weights"))
-            _, first = np.unique(others, return_index=True)
-            reps.append(rep)
-            links.append(int(weights[first].sum()))
-            if len(reps) == 10_000:
-                yield record(schema, [reps, links])
-                reps, links = [], []
-        if reps:
-            yield record(schema, [reps, links])
-
-    return dealt(found.select("rep", "others", "weights"), "rep").mapInArrow(unite, "rep long, links long")
+        for (_, _, low, high), rows in grouped(batches, 4):
+            block, ids, pids, weights = (rows.column(c).to_numpy() for c in ("block", "rep", "pid", "weight"))
+            order = np.concatenate([np.flatnonzero(block == low), np.flatnonzero(block != low)])
+            n = int((block == low).sum())
+            if low != high and n in (0, len(block)):
+                continue
+            unit, ids, pids, weights = _unit(rows.column("unit").to_pylist())[order], ids[order], pids[order], weights[order]
+            links, root = block_links(unit[:n], None if low == high else unit[n:], weights[:n], weights[:n] if low == high else weights[n:], least)
+            at = np.flatnonzero(links)
+            if len(at):
+                yield record(schema, [pa.array(x) for x in (ids[at], pids[at], ids[root[at]], links[at])])
+
+    return dealt(paired, "label", "dim", "low", "high").mapInArrow(search, "rep long, pid long, root long, links long")
 
 
 def near_vectors(
@@ -317,24 +226,27 @@ def near_vectors(
     Vectors with equal labels link when their cosine, in double precision, is at least `least`; every link found is
     verified. Vectors that are null or empty, hold null or non-finite components or have no length, and rows with a null
     label or id, link with nothing: their component is their own id. Vectors of different dimension never link. Equal
-    directions are one point of the graph, weighted by their rows, so copies are neither compared nor stored twice and
-    link with each other without a search. Ids that repeat count as rows of their own. Other columns are not read.
+    directions are one point, weighted by their rows, so copies are neither compared nor stored twice and link with each
+    other without a search. Ids that repeat count as rows of their own. Other columns are not read.
 
-    The links are those that walks on the graph meet; `audit_recall` measures their share.
+    All links are found: a point meets, in blocks, its own cell and every cell that its bounds do not rule out. A label
+    has a cell for each `shard_rows` points, `most_shards` at most. `audit_recall` holds the counts against brute force.
     """
     named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), vector_col, label_col)
     valid = _valid(vectors, id_col, vector_col, label_col)
     points = valid.groupBy("label", "dim", "digest").agg(
         F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.min_by("unit", "vec_id").alias("unit")
     )
-    # an id that stands with several vectors must not name two points
-    points = checkpointed(points.groupBy("rep", "label", "dim", "digest").agg(F.max("weight").alias("weight"), F.first("unit").alias("unit")))
-    sharded = checkpointed(_sharded(points, _centroids(points, shard_rows, most_shards)))
-    found = checkpointed(_found(sharded, _adjacency(sharded), least))
+    # an id that stands with several vectors names several points
+    points = checkpointed(points.withColumn("pid", F.xxhash64("label", "dim", "digest")))
+    centroids = _centroids(points, shard_rows, most_shards)
+    homed = checkpointed(_homed(points, centroids))
+    found = checkpointed(_found(_paired(homed, centroids, _cells(homed, centroids), least), least))
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    counted = found.groupBy("rep", "pid").agg(F.sum("links").alias("links"))
     labels = (
-        points.select("label", "dim", "digest", "rep", "weight")
-        .join(_counted(found), "rep", "left")
+        points.select("label", "dim", "digest", "rep", "pid", "weight")
+        .join(counted, ["rep", "pid"], "left")
         .join(roots, F.col("rep") == F.col("node"), "left")
         .select(
             "label", "dim", "digest", F.coalesce("component", "rep").alias("component"),

@@ -170,6 +170,25 @@ def test_near_vectors_recall_and_no_false_link(spark):
     assert audit["recall"] >= 0.9 and audit["exact"] > 0
 
 
+def hot_group(n=800, dim=16, seed=8):
+    """One label; all but every tenth row are distinct vectors near one another."""
+    draw = np.random.default_rng(seed)
+    hub = draw.normal(size=dim)
+    hub /= np.linalg.norm(hub)
+    spread = 0.15 / np.sqrt(dim)
+    return [(i, ((hub + spread * draw.normal(size=dim)) if i % 10 else draw.normal(size=dim)).astype(np.float32).tolist(), 1) for i in range(n)]
+
+
+def test_near_vectors_meets_all_links_of_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 64, raising=False)
+    rows = hot_group()
+    degree, roots = plain_near(rows)
+    got = {r["vec_id"]: r for r in vectors.near_vectors(vector_rows(spark, rows), shard_rows=20).collect()}
+    assert degree.sum() > 100_000
+    assert [got[i]["n_links"] for i, *_ in rows] == degree.tolist()
+    assert [got[i]["component_id"] for i, *_ in rows] == [rows[r][0] for r in roots]
+
+
 def test_near_vectors_odd_rows(spark):
     nan = float("nan")
     rows = [(1, None, 1), (2, [], 1), (3, [0, 0], 1), (4, [1, None], 1), (5, [nan, 1], 1), (6, [1, 0], None), (7, [1, 0], 1), (8, [2, 0], 1), (9, [1, 0, 0], 1), (10, [1, 0], 2), (None, [1, 0], 1), (8, [2, 0], 1)]
