@@ -14,36 +14,19 @@ from pyspark.sql.window import Window
 from corpusindex.llm.common import ROW_KEY, checkpointed, keyed_rows, record, row_key, shuffle_partitions, sliced
 from corpusindex.llm.words import word_counts
 
-#: Largest remainder, in words, that the dynamic programme fits.
+#: Remainder, in words, that the dynamic programme fits; twice the longest document where that is more.
 DP_WORDS = 1 << 16
+#: Bits (budget times lengths) up to which a budget that is missed is fitted again from all documents.
+EXACT_BITS = 1 << 30
 #: Documents of one source and size that are ranked together.
 RANKED = 4096
 
 
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
-    """How many documents of each length to take so that their words come as near `budget` from below as can be.
-
-    First every length gives its proportional share; then the longest that fit go in until at most `dp_words` words
-    remain; bounded-knapsack dynamic programming over the reachable sums, kept as the bits of an integer, fits those.
-    """
-    order = np.argsort(-lengths, kind="stable")
-    size, have = lengths[order].astype(object), counts[order].astype(object)
-    total = int(sum(size * have))
-    if budget <= 0 or not total:
-        return np.zeros(len(lengths), np.int64)
-    if budget >= total:
-        return counts.astype(np.int64)
-    take = np.array([int(h) * budget // total for h in have], object)
-    rest = budget - int(sum(size * take))
-    for i in range(len(size)):
-        if rest > dp_words:
-            more = min(have[i] - take[i], (rest - dp_words) // size[i])
-            take[i] += more
-            rest -= more * size[i]
-    goal = min(rest, dp_words)
+def _fitted(size: np.ndarray, have: np.ndarray, goal: int) -> tuple[int, np.ndarray]:
+    """The largest sum of at most `have` of each size that is no more than `goal`, and how many of each give it."""
     reach, mask, steps = 1, (1 << (goal + 1)) - 1, []
     for i in range(len(size)):
-        left, width = int(min(have[i] - take[i], goal // size[i])), int(size[i])
+        left, width = int(min(have[i], goal // size[i])), int(size[i])
         if left <= 0:
             continue
         steps.append((i, reach))
@@ -55,13 +38,43 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: i
             chunk *= 2
         if reach >> goal & 1:
             break
-    at = reach.bit_length() - 1
+    best = at = reach.bit_length() - 1
+    used = np.zeros(len(size), object)
     for i, before in reversed(steps):
-        used = 0
         while not before >> at & 1:
             at -= int(size[i])
-            used += 1
-        take[i] += used
+            used[i] += 1
+    return best, used
+
+
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
+    """How many documents of each length to take so that their words come as near `budget` from below as can be.
+
+    First every length gives its proportional share; then the longest that fit go in until about `dp_words` words, or
+    twice the longest document, remain; bounded-knapsack dynamic programming over the reachable sums, kept as the bits of
+    an integer, fits those. A budget that this misses is fitted from all documents at once, within EXACT_BITS.
+    """
+    order = np.argsort(-lengths, kind="stable")
+    size, have = lengths[order].astype(object), counts[order].astype(object)
+    total = int(sum(size * have))
+    if budget <= 0 or not total:
+        return np.zeros(len(lengths), np.int64)
+    if budget >= total:
+        return counts.astype(np.int64)
+    take = np.array([int(h) * budget // total for h in have], object)
+    rest = budget - int(sum(size * take))
+    wide = max(dp_words, 2 * int(size[0]))
+    for i in range(len(size)):
+        if rest > wide:
+            more = min(have[i] - take[i], (rest - wide) // size[i])
+            take[i] += more
+            rest -= more * size[i]
+    best, used = _fitted(size, have - take, int(rest))
+    take += used
+    if best < rest and budget * len(size) <= EXACT_BITS:
+        whole, used = _fitted(size, have, budget)
+        if whole > budget - rest + best:
+            take = used
     out = np.zeros(len(lengths), np.int64)
     out[order] = take.astype(np.int64)
     return out

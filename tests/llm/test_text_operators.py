@@ -151,6 +151,28 @@ def test_fit_counts_reaches_the_best_sum(sizes, budget):
     assert not len(free) or budget - total < free.min() or budget >= (lengths * counts).sum()
 
 
+@pytest.mark.parametrize(
+    "sizes, budget, best",
+    [((100000, 100001), 150000, 100001), ((100000, 100010, 100200, 100300, 100400), 312500, 300900), ((70000, 90000, 110000), 165000, 160000)],
+)
+def test_fit_counts_of_documents_longer_than_the_programme(sizes, budget, best):
+    lengths = np.array(sizes)
+    take = mixing.fit_counts(lengths, np.ones(len(sizes), int), budget)
+    assert int((take * lengths).sum()) == best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(20, 90), st.integers(1, 3), min_size=1, max_size=6), st.integers(0, 600))
+def test_fit_counts_with_a_narrow_programme(sizes, budget):
+    lengths, counts = (np.array(x) for x in zip(*sizes.items()))
+    sums = {0}
+    for n, c in sizes.items():
+        sums = {s + k * n for s in sums for k in range(c + 1)}
+    take = mixing.fit_counts(lengths, counts, budget, dp_words=8)
+    assert (take >= 0).all() and (take <= counts).all()
+    assert int((take * lengths).sum()) == max(s for s in sums if s <= budget)
+
+
 def slow_targets(sizes, weights=(5, 2, 1), most=3):
     names = sorted((n for n in sizes if n is not None)) + ([None] if None in sizes else [])
     weight = {n: weights[i % len(weights)] for i, n in enumerate(names)}
