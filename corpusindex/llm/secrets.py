@@ -32,14 +32,17 @@ ALLOW = tuple(
         r"(?i)0123456789|abcdefghij|qwertyuiop",
         r"^[0-9-]+$",
         r"^(?:[A-Za-z]+[_/=-])+[A-Za-z]*$",
-        r"(?i)^sha(?:1|256|384|512)-",
     )
 )
+#: A digest that a run begins with is no secret; what follows it may be.
+DIGEST = re.compile(r"(?i)sha(?:1|256|384|512)-[A-Za-z0-9+/]*={0,2}")
 
 
-def entropy_windows(text: str, window: int, threshold: float) -> list[tuple[int, int]]:
+def entropy_windows(text: str, window: int, threshold: float, allowed=None) -> list[tuple[int, int]]:
     """The unions of all windows of `window` characters whose Shannon entropy is at least `threshold` bits.
 
+    A window for which `allowed(start, end)` holds is left out before windows are united.
+
     One step of the window changes two counts, so the sum of c*log2(c) is carried on instead of being summed anew.
     """
     n = len(text)
@@ -61,6 +64,8 @@ def entropy_windows(text: str, window: int, threshold: float) -> list[tuple[int,
             counts[old] = c - 1
         if at >= window - 1 and total <= most:
             start = at - window + 1
+            if allowed and allowed(start, at + 1):
+                continue
             if found and start <= found[-1][1]:
                 found[-1] = (found[-1][0], at + 1)
             else:
@@ -76,12 +81,18 @@ def _entropy_spans(text: str, window: int, thresholds: dict[str, float]) -> list
             continue
         for kind in ENTROPY_KINDS:
             for run in CLASS_RUNS[kind].finditer(string):
-                for start, end in entropy_windows(run.group(), window, thresholds[kind]):
+                digest = DIGEST.match(run.group())
+                known = digest.end() if digest else 0
+
+                def allowed(start: int, end: int, part: str = run.group(), known: int = known) -> bool:
+                    return end <= known or any(p.search(part[start:end]) for p in ALLOW)
+
+                for start, end in entropy_windows(run.group(), window, thresholds[kind], allowed):
                     piece = run.group()[start:end]
                     mixed = any(c.isdigit() for c in piece) and any(c.isalpha() for c in piece)
                     if kind == "entropy_base64":
                         mixed = mixed and any(c.isupper() for c in piece) and any(c.islower() for c in piece)
-                    if mixed and not any(p.search(piece) for p in ALLOW):
+                    if mixed:
                         at = candidate.start() + run.start()
                         spans.append((at + start, at + end, kind))
     return spans
@@ -111,7 +122,7 @@ def scan_secrets(
     """One row per row of `docs`: the id, and `found`, the spans of secrets as structs (kind, start, end, base).
 
     Base spans come from the patterns; `window`-character windows whose entropy reaches `hex_bits` or `base64_bits` add
-    spans, unless the allow-list names them or a base span holds them. Spans are in code points, ordered by start, then
+    spans, unless the allow-list names the window or a base span holds them. Spans are in code points, ordered by start, then
     kind. A null or empty text has no spans; a null id stays null; repeated rows each give a row; other columns are not
     read. The scan is one pass without a shuffle.
     """

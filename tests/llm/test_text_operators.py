@@ -108,6 +108,16 @@ def test_secrets_base_spans_and_additions(spark):
     assert got[10]["spans"] == "" and got[11]["spans"] == "" and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("before", ["sample-data/", "example_pw=", "dummy-"])
+def test_allow_list_names_windows_not_their_union(before):
+    key = "q8Zk2LmP0xW7vTn4RbY1sJd6Hc9GfU3eAa5KoQiX"
+    _, added = secrets.find_secrets(f"see {before}{key} here", 20, {"entropy_hex": 3.0, "entropy_base64": 3.9})
+    at = 4 + len(before)
+    assert any(a <= at and b == at + len(key) for a, b, _ in added)
+    digest = "sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU="
+    assert secrets.find_secrets(f"see {digest} here", 20, {"entropy_hex": 3.0, "entropy_base64": 3.9}) == ([], [])
+
+
 def test_mask_secrets_keeps_rows_and_columns(spark):
     given_ = docs(spark, [(1, "x password=hunter22 y", "a"), *ODD])
     out = secrets.mask_secrets(given_)
