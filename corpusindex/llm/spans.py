@@ -17,10 +17,33 @@ LETTER = re.compile(r"\w")
 TOKEN = re.compile(r"\S+")
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Words among which a long sentence is cut before the one of least hash; 3 parts then fit in any 52 words of it.
+NEAR = 9
+
+
+def cut_places(words: list[str], near: int = NEAR) -> list[int]:
+    """Words before which a long sentence is cut: the last one of least hash among every `near` consecutive words.
+
+    A place depends on less than `near` words to each side only, and parts have at most `near` words, so equal passages
+    get equal parts wherever they stand.
+    """
+    hashes = [xxhash.xxh3_64_intdigest(w) for w in words]
+    out, at = [], -1
+    for start in range(len(hashes) - near + 1):
+        end = start + near - 1
+        if at < start:
+            at = min(range(start, end + 1), key=lambda i: (hashes[i], -i))
+        elif hashes[end] <= hashes[at]:
+            at = end
+        else:
+            continue
+        if at:
+            out.append(at)
+    return out
 
 
 def sentences(text: str, longest: int) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, hash) of each sentence with a letter or digit; a long one is cut after every `longest` words.
+    """(start, end, words, hash) of each sentence with a letter or digit; one of more than `longest` words is cut at `cut_places`.
 
     A sentence ends with a run of full stops, exclamation or question marks, or with its line. Hashes ignore case and
     white space.
@@ -34,9 +57,10 @@ def sentences(text: str, longest: int) -> list[tuple[int, int, int, int]]:
                 out.append((m.start(), m.end(), len(words), xxhash.xxh3_64_intdigest(" ".join(words))))
             continue
         places = [(t.start(), t.end()) for t in TOKEN.finditer(piece)]
-        for at in range(0, len(words), longest):
-            part, spots = words[at : at + longest], places[at : at + longest]
-            end = m.end() if at + longest >= len(words) else m.start() + spots[-1][1]
+        cuts = [0, *cut_places(words, min(NEAR, longest)), len(words)]
+        for at, to in zip(cuts[:-1], cuts[1:]):
+            part, spots = words[at:to], places[at:to]
+            end = m.end() if to == len(words) else m.start() + spots[-1][1]
             out.append((m.start() + spots[0][0], end, len(part), xxhash.xxh3_64_intdigest(" ".join(part))))
     return out
 
@@ -160,7 +184,7 @@ def dedup_sentence_spans(
 
     Every run of `run` consecutive sentences (more where they hold fewer than `least` words) is hashed whole; of the places
     of a run all but the first, by id, then place, are repeats, and sentences that a repeat covers are removed. Sentences
-    of more than `longest` words are cut into parts that count as sentences. `removed` lists the removed spans of the
+    of more than `longest` words are cut by their words into parts that count as sentences. `removed` lists the removed spans of the
     given text as start:end in code points, comma-joined, end exclusive. A text with no full run stays as it is; null
     stays null with 0 sentences. Rows that repeat an id are one document: their common places are not each other's
     repeats. A row with a null id is kept and never searched. Other columns are not read.

@@ -272,6 +272,19 @@ def test_sentence_spans_against_brute_force(spark):
         assert rest == r["text"]
 
 
+def test_sentence_spans_at_any_word_offset(spark):
+    draw = random.Random(9)
+    word = lambda: f"w{draw.randint(0, 99999)}"
+    passage = " ".join(word() for _ in range(52))
+    rows = [(i, " ".join([*(word() for _ in range(20 + i)), passage, *(word() for _ in range(17))])) for i in range(13)]
+    got = {r["doc_id"]: r for r in spans.dedup_sentence_spans(docs(spark, rows)).collect()}
+    assert got[0]["removed"] == ""
+    for i, text in rows[1:]:
+        at = text.index(passage)
+        (a, b), = [map(int, s.split(":")) for s in got[i]["removed"].split(",")]
+        assert at <= a < b <= at + len(passage) and b - a >= 60
+
+
 def test_sentence_spans_odd_rows(spark):
     passage = "One two three four five. Six seven eight nine ten. Eleven twelve thirteen fourteen. Fifteen sixteen."
     rows = [(1, None), (2, ""), (3, passage), (4, passage), (4, passage), (None, passage), (5, "short. text."), (6, "x. " * 40_000)]
