@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+import operator
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +17,23 @@ from corpusindex.llm.common import checkpointed, record
 #: From this local cosine threshold on, coordinates are tested before products are computed.
 COORDINATE_FROM = 0.75
 FOCUS = 4
+#: Length of a row from which on its products are computed with Python's integers.
+WIDE_FROM = float(1 << 31)
+
+
+def integers(vector: np.ndarray, scale: int) -> list[int]:
+    """floor(scale * x) of each finite component as a Python integer, however large."""
+    return [math.floor(scale * x) if abs(x) < WIDE_FROM else scale * int(x) for x in vector.tolist()]
 
 
 def _quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, dim, norm, ints): floor(scale * x) of vectors whose components are all finite."""
-    schema = pa.schema([("id", pa.int64()), ("dim", pa.int32()), ("norm", pa.float64()), ("ints", pa.binary())])
+    """(id, dim, norm, wide, ints) of vectors whose components are all finite.
+
+    A row is wide if its length is 2**31 or more: then `ints` holds the components as they are, as doubles, and `norm` is
+    null; else `ints` holds floor(scale * x) as 64-bit integers, whose products with any other such row fit 63 bits.
+    """
+    names = ("id", "dim", "norm", "wide", "ints")
+    schema = pa.schema(list(zip(names, (pa.int64(), pa.int32(), pa.float64(), pa.bool_(), pa.binary()))))
 
     def scan(batches):
         for batch in batches:
@@ -27,14 +41,21 @@ def _quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) ->
             for vec_id, vector in zip(*(c.to_pylist() for c in batch.columns)):
                 if vec_id is None or vector is None or any(x is None for x in vector):
                     continue
-                x = np.floor(scale * np.array(vector, np.float64))
-                if np.isfinite(x).all():
-                    rows.append((vec_id, len(x), float(np.sqrt((x * x).sum())), x.astype(np.int64).tobytes()))
+                raw = np.array(vector, np.float64)
+                if not np.isfinite(raw).all():
+                    continue
+                if np.abs(raw).max(initial=0) * scale < WIDE_FROM:
+                    x = np.floor(scale * raw)
+                    norm = float(np.sqrt((x * x).sum()))
+                    if norm < WIDE_FROM:
+                        rows.append((vec_id, len(x), norm, False, x.astype(np.int64).tobytes()))
+                        continue
+                rows.append((vec_id, len(raw), None, True, raw.tobytes()))
             if rows:
                 yield record(schema, [list(c) for c in zip(*rows)])
 
     picked = vectors.select(F.col(id_col).cast("long").alias("id"), vector_col)
-    return picked.mapInArrow(scan, "id long, dim int, norm double, ints binary")
+    return picked.mapInArrow(scan, "id long, dim int, norm double, wide boolean, ints binary")
 
 
 def _packed(rows: DataFrame, keys: tuple[str, ...], extra: tuple[str, ...] = ()) -> DataFrame:
@@ -122,6 +143,53 @@ def _searched(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.select("queries", "rows").mapInArrow(scan, "query_id long, vec_id long, score long")
 
 
+def best_exact(q_ids, queries, ids, rows, k):
+    """The `k` best rows for each query, as (query position, row position, score), of products of Python's integers.
+
+    A product that does not fit a 64-bit integer is left out.
+    """
+    found = []
+    for i, query in enumerate(queries):
+        scored = []
+        for j, row in enumerate(rows):
+            score = sum(map(operator.mul, query, row))
+            if ids[j] != q_ids[i] and -(1 << 63) <= score < 1 << 63:
+                scored.append((-score, int(ids[j]), j))
+        found += [(i, j, -score) for score, _, j in heapq.nsmallest(k, scored)]
+    return found
+
+
+def _searched_wide(queries: DataFrame, rows: DataFrame, k: int, scale: int, at_once: int = 256) -> DataFrame:
+    """(query_id, vec_id, score) of pairs of which one side at least is wide, in blocks of both; nothing is pruned."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def packed(side: DataFrame, name: str) -> DataFrame:
+        # blocks are numbered by dimension and kind, so that a pair of blocks is all wide, all plain or mixed
+        counted = side.groupBy("dim", "wide").agg(F.ceil(F.count("*") / at_once).cast("int").alias("blocks"))
+        placed = side.join(counted, ["dim", "wide"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        return placed.groupBy("dim", F.col("wide").alias(f"{name}_wide"), "block").agg(F.collect_list(F.struct("id", "ints")).alias(name)).drop("block")
+
+    def unpack(side, wide):
+        kind = np.float64 if wide else np.int64
+        values = (np.frombuffer(r["ints"], kind) for r in side)
+        return [r["id"] for r in side], [integers(v, scale) if wide else v.tolist() for v in values]
+
+    def scan(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                q_rows, rows, q_wide, wide = (batch.column(c)[at].as_py() for c in ("queries", "rows", "queries_wide", "rows_wide"))
+                q_ids, q_ints = unpack(q_rows, q_wide)
+                ids, ints = unpack(rows, wide)
+                found = best_exact(q_ids, q_ints, ids, ints, k)
+                if found:
+                    yield record(schema, [[q_ids[i] for i, _, _ in found], [ids[j] for _, j, _ in found], [x for _, _, x in found]])
+
+    wide, plain = rows.where("wide"), rows.where("NOT wide")
+    pairs = packed(queries, "queries").join(packed(wide, "rows"), "dim")
+    pairs = pairs.unionByName(packed(queries.where("wide"), "queries").join(packed(plain, "rows"), "dim"))
+    return pairs.select("queries", "rows", "queries_wide", "rows_wide").mapInArrow(scan, "query_id long, vec_id long, score long")
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -142,16 +210,19 @@ def top_inner_products(
     Each component becomes floor(scale * x). Queries are the rows whose id is divisible by `every`; candidates are all
     rows but those with the query's id and with its number of components. Ties go to the smaller id; rows that repeat an
     id and vector count each; fewer candidates give fewer rows. Vectors that are null or hold null or non-finite
-    components, and rows with a null id, take no part. Products must stay below 2**63. Other columns are not read.
+    components, and rows with a null id, take no part. Products are exact whatever the components; a pair whose product
+    does not fit a 64-bit integer is left out, and no other pair is touched by it. Other columns are not read.
 
     Buckets of about `bucket_rows` rows are ranges of length. The longest bucket of a dimension is searched first; the
     k-th score found there is each query's floor for all others. Blocks of `query_rows` queries meet each bucket that
-    their lengths and floors allow; each meeting gives at most `k` rows a query.
+    their lengths and floors allow; each meeting gives at most `k` rows a query. Rows of length 2**31 or more meet all
+    queries, and such queries all rows, in blocks that multiply Python's integers.
     """
-    rows = checkpointed(_quantised(vectors, id_col, vector_col, scale))
-    sizes = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1024).collect()}
-    total = sum(sizes.values())
-    ranges = max(1, math.ceil(total / bucket_rows))
+    everything = checkpointed(_quantised(vectors, id_col, vector_col, scale))
+    asked = everything.where(F.col("id") % every == 0)
+    wide = _searched_wide(asked, everything, k, scale) if everything.where("wide").take(1) else None
+    rows = everything.where("NOT wide").drop("wide")
+    ranges = max(1, math.ceil(rows.count() / bucket_rows))
     ranged = rows.repartitionByRange(ranges, "dim", F.col("norm").desc(), "id").withColumn("bucket", F.spark_partition_id())
     ranged = checkpointed(ranged)
     buckets = _packed(ranged, ("dim", "bucket"))
@@ -175,5 +246,7 @@ def top_inner_products(
     ready = ready.withColumn("bucket", F.explode(F.sequence(F.col("first") + 1, F.col("last"))))
     pairs = ready.join(buckets, ["dim", "bucket"]).where("lowest IS NULL OR q_longest * longest * (1 + 1e-9) >= lowest")
     found = _searched(pairs, k).unionAll(first.select("query_id", "vec_id", "score"))
+    if wide is not None:
+        found = found.unionAll(wide)
     best = _best(found, k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

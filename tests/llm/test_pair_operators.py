@@ -1,7 +1,9 @@
 """Jaccard join, near vectors, top inner products, sentence spans, components: against brute force, with edge cases."""
 
+import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 
@@ -227,6 +229,30 @@ def test_top_inner_products_odd_rows(spark):
     assert topk.top_inner_products(vector_rows(spark, [])).count() == 0
 
 
+def test_top_inner_products_of_large_components(spark):
+    draw = random.Random(8)
+    rows = [(i, [draw.uniform(-2, 2) for _ in range(3)]) for i in range(120)]
+    large = [1e17, 1e30, 1e300, 3.4028234663852886e38, -1e19, 2.0**54, float("inf")]
+    rows += [(1000 + i, [x, 0.0, 1.0]) for i, x in enumerate(large)] + [(50 * 1000, [0.0, 1e12, -3.0]), (150, [-1e305, 0.0, 0.5]), (200, [0.0, 0.0, 0.0])]
+
+    def floors(vector):
+        return [math.floor(256 * Fraction(x)) for x in vector]
+
+    ints = {i: floors(v) for i, v in rows if all(map(math.isfinite, v))}
+    want = {}
+    for q in ints:
+        if q % 50 == 0:
+            scored = [(-sum(a * b for a, b in zip(ints[q], ints[i])), i) for i in ints if i != q]
+            fit = sorted(s for s in scored if -(1 << 63) <= -s[0] < 1 << 63)
+            want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(fit[:5])}
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_inner_products(table, bucket_rows=16).collect()}
+    assert got == want
+    small = spark.createDataFrame([(i, v) for i, v in rows if i < 120], "vec_id long, embedding array<double>")
+    extra = spark.createDataFrame([(7000, [1e300, 1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert topk.top_inner_products(small).collect() == topk.top_inner_products(small.unionAll(extra)).where("vec_id <> 7000").collect()
+
+
 def plain_spans(rows, run=3, least=12):
     first, occurrences = {}, []
     for doc_id, text in rows:
