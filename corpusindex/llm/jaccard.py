@@ -1,9 +1,9 @@
 """Exact Jaccard join on word shingles by vertical partitioning.
 
 The global order of shingles is cut into fragments twice. First, by ranges of their hashes, to count in how many texts
-each shingle stands: texts of which fewer than the threshold's share of shingles stand elsewhere can link with nothing.
-Then, among the few texts left, each fragment counts its part of the overlap of every pair separately, and the parts are
-summed per pair. Texts with equal sets are one class throughout.
+each shingle stands: texts of which fewer than the threshold's share of shingles stand elsewhere can link with nothing. The texts left
+meet where they share one of their rarest shingles. Each fragment then counts its part of the overlap of every candidate
+pair separately, and the parts are summed per pair. Texts with equal sets are one class throughout.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 from corpusindex.llm.common import ROW_KEY, checkpointed, dealt, grouped, keyed_rows, record, row_key, runs, shuffle_partitions, sliced
 from corpusindex.llm.graph import connected_components, local_roots
 
+#: Clusters whose members meet so often that all pairs of members are fewer than twice those meetings.
+DENSE = "members * (members - 1) <= 4 * met"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,6 +84,18 @@ def _long(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def whole_hashes(short: np.ndarray, fragment: np.ndarray, fragments: int) -> np.ndarray:
+    """A 64-bit key of the low 48 bits of a hash and its fragment, different for different ones of both.
+
+    Of the values that the upper half can have in the fragment, it is the first that ends in the given bits: the hash
+    itself where there are 65 536 fragments or more.
+    """
+    first = -(-(fragment.astype(object) << 32) // fragments) if len(fragment) else fragment
+    first = np.array(first, np.uint64)
+    upper = first + (((short >> np.uint64(32)) - first) & np.uint64(0xFFFF))
+    return (upper << np.uint64(32)) | (short & np.uint64(0xFFFFFFFF))
+
+
 def _steps(places: np.ndarray) -> bytes:
     """Ascending places as differences, which compress well."""
     return np.diff(places, prepend=places[:0].dtype.type(0)).tobytes()
@@ -181,7 +195,7 @@ def _at_least(n, percent: int):
     return -(-(n * percent) // 100)
 
 
-def _candidates(shared: DataFrame, percent: int) -> DataFrame:
+def _candidates(shared: DataFrame, percent: int, fragments: int) -> DataFrame:
     """(owner, size, prefix, hashes): classes that may link, shared shingles in the global order, rarest first.
 
     Shingles that stand nowhere else come first in that order and can't match, so of the usual prefix only `prefix`
@@ -196,9 +210,8 @@ def _candidates(shared: DataFrame, percent: int) -> DataFrame:
             places = np.concatenate([_places(x) for x in rows.column("places").to_pylist()])
             spread = np.frombuffer(b"".join(rows.column("spread").to_pylist()), np.int32)
             blobs = rows.column("hashes").to_pylist()
-            tags = rows.column("fragment").to_numpy().astype(np.uint64) & np.uint64(0xFFFF)
-            # 48 bits that are spread evenly, and 16 of the fragment
-            hashes = (_long(b"".join(blobs)) << np.uint64(16)) | np.repeat(tags, [len(x) // 6 for x in blobs])
+            cuts = rows.column("fragment").to_numpy()
+            hashes = np.concatenate([whole_hashes(_long(x), np.full(1, f), fragments) for x, f in zip(blobs, cuts)])
             prefix = np.bincount(places, minlength=len(owners)) - _at_least(sizes, percent) + 1
             keep = prefix[places] > 0
             places, hashes, spread = places[keep], hashes[keep], spread[keep]
@@ -218,22 +231,189 @@ def _candidates(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def _postings(live: DataFrame) -> DataFrame:
-    schema = pa.schema([("hash", pa.int64()), ("owner", pa.int64())])
+    """(hash, owner, size, place, rest, prior): the prefix of each class; `rest` counts its shared shingles from this one
+    on, `prior` is the shingle before it, 0 for the first."""
+    schema = pa.schema([(c, pa.int64()) for c in ("hash", "owner", "size", "place", "rest", "prior")])
 
     def spread(batches):
         for batch in sliced(batches):
-            prefixes = batch.column(1).to_numpy()
-            heads = [np.frombuffer(h, np.int64)[:p] for h, p in zip(batch.column(2).to_pylist(), prefixes)]
-            yield record(schema, [pa.array(np.concatenate(heads)), pa.array(np.repeat(batch.column(0).to_numpy(), prefixes))])
+            prefixes = batch.column(2).to_numpy().astype(np.int64)
+            sets = [np.frombuffer(h, np.int64) for h in batch.column(3).to_pylist()]
+            heads = np.concatenate([x[:p] for x, p in zip(sets, prefixes)])
+            ends = np.cumsum(prefixes)
+            place = np.arange(len(heads)) - np.repeat(ends - prefixes, prefixes)
+            prior = np.roll(heads, 1)
+            prior[place == 0] = 0
+            owner, size, held = (np.repeat(x, prefixes) for x in (batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.array([len(x) for x in sets])))
+            yield record(schema, [pa.array(x.astype(np.int64)) for x in (heads, owner, size, place, held - place, prior)])
 
-    return live.select("owner", "prefix", "hashes").mapInArrow(spread, "hash long, owner long")
+    picked = live.select("owner", "size", "prefix", "hashes")
+    return picked.mapInArrow(spread, ", ".join(f"{c} long" for c in schema.names))
 
 
 def _clusters(live: DataFrame) -> DataFrame:
-    """(node, component) of the classes that share a prefix shingle with another, directly or through others."""
-    postings = _postings(live)
-    least = postings.groupBy("hash").agg(F.min("owner").alias("b"))
-    return connected_components(postings.join(least, "hash").select(F.col("owner").alias("a"), "b"))
+    """(owner, component, members, met): the classes that share a prefix shingle with another, directly or through others;
+    `met` counts the pairs of the component's members that do so, once for each different set of classes that a shingle has."""
+    postings = _postings(live).select("hash", "owner")
+    held = postings.groupBy("hash").agg(F.min("owner").alias("b"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("owner")).alias("digest"))
+    lists = held.where("n > 1").groupBy("b", "n", "digest").agg(F.min("hash").alias("hash"))
+    stars = postings.join(lists, "hash").groupBy(F.col("owner").alias("a"), "b").agg(F.sum(F.col("n") - 1).alias("met"))
+    stars = checkpointed(stars)
+    nodes = connected_components(stars.select("a", "b"))
+    met = stars.join(nodes, F.col("a") == F.col("node")).groupBy("component").agg((F.sum("met") / 2).alias("met"))
+    sized = nodes.groupBy("component").agg(F.count("*").alias("members")).join(met, "component")
+    return nodes.withColumnRenamed("node", "owner").join(sized, "component")
+
+
+def whole_groups(batches, keys: int):
+    """Tables of the rows of sorted batches that hold all rows of each of their groups by the first `keys` columns."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        columns = [table.column(i).to_numpy() for i in range(keys)]
+        other = np.zeros(table.num_rows, bool)
+        for c in columns:
+            other |= c != c[-1]
+        last = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+        if last:
+            yield table.slice(0, last)
+        held = table.slice(last).combine_chunks()
+    if held is not None:
+        yield held
+
+
+def earlier_rows(starts: np.ndarray, at_once: int = 1 << 20):
+    """(row, earlier row) of all pairs of rows of a group, where `starts` is the first row of each row's group, in pieces."""
+    counts = np.arange(len(starts)) - starts
+    ends = np.cumsum(counts)
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + at_once)))
+        some = counts[low:high]
+        row = np.repeat(np.arange(low, high), some)
+        within = np.arange(len(row)) - np.repeat(np.cumsum(some) - some, some)
+        yield row, starts[row] + within
+        low = high
+
+
+PAIR_ROW = "cluster long, left int, right int, a long, b long, need long"
+PAIR_TYPES = pa.schema(
+    [("cluster", pa.int64()), ("left", pa.int32()), ("right", pa.int32())] + [(c, pa.int64()) for c in ("a", "b", "need")]
+)
+
+
+def _candidate_pairs(live: DataFrame, sparse: DataFrame, percent: int, block: int, longest: int = 4096) -> DataFrame:
+    """PAIR_ROW: the pairs of classes (a < b) of `sparse` clusters that share a prefix shingle and can still link.
+
+    A pair's sizes must be near enough, and the shared shingles from the first common one on enough to reach `need`, the
+    overlap with which it links; the first one of every pair that links passes, so later ones may be skipped. A shingle
+    that many classes hold is split into blocks of about `longest` of them, of which each pair of blocks meets once.
+    `left` and `right` are the blocks of about `block` members of the cluster in which the two stand.
+    """
+    of = sparse.select("owner", F.col("component").alias("cluster"), F.ceil(F.col("members") / block).cast("int").alias("blocks"))
+    postings = _postings(live).join(of, "owner")
+    postings = postings.withColumn("block", F.pmod(F.xxhash64("owner"), F.col("blocks")).cast("int"))
+    spread = postings.groupBy("hash").agg(F.ceil(F.count("*") / longest).cast("int").alias("parts"), F.count("*").alias("n"))
+    dealt_out = (
+        postings.join(spread.where("n > 1"), "hash")
+        .withColumn("own", F.pmod(F.xxhash64(F.lit(3), "owner"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select(
+            "hash", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "owner", "size",
+            "rest", "prior", "cluster", "block",
+        )
+    )
+
+    def meet(batches):
+        for rows in whole_groups(batches, 3):
+            hashes, low, high, own, owner, size, rest, prior, cluster, blocks = (c.to_numpy() for c in rows.columns)
+            change = np.ones(len(hashes), bool)
+            change[1:] = (hashes[1:] != hashes[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+            starts = np.maximum.accumulate(np.where(change, np.arange(len(hashes)), 0))
+            for x, y in earlier_rows(starts):
+                need = -(-(percent * (size[x] + size[y])) // (100 + percent))
+                fits = (np.minimum(rest[x], rest[y]) >= need) & (np.minimum(size[x], size[y]) >= need)
+                fits &= (low[x] == high[x]) | (own[x] != own[y])
+                fits &= (prior[x] != prior[y]) | (prior[x] == 0)
+                x, y, need = x[fits], y[fits], need[fits]
+                flip = owner[x] > owner[y]
+                x, y = np.where(flip, y, x), np.where(flip, x, y)
+                both = np.minimum(blocks[x], blocks[y]), np.maximum(blocks[x], blocks[y])
+                yield record(PAIR_TYPES, [pa.array(v) for v in (cluster[x], *both, owner[x], owner[y], need)])
+
+    found = dealt(dealt_out, "hash", "low", "high").mapInArrow(meet, PAIR_ROW)
+    return found.dropDuplicates(["a", "b"])
+
+
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, at_once: int = 1 << 21) -> np.ndarray:
+    """The number of values that each pair of sorted sets without repeats has in common."""
+    out, low = np.zeros(len(left), np.int64), 0
+    lengths = np.array([len(x) for x in sets])
+    ends = np.cumsum(lengths[left] + lengths[right])
+    while low < len(left):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + at_once)))
+        some = np.stack([left[low:high], right[low:high]], axis=1).ravel()
+        values = np.concatenate([sets[i] for i in some])
+        pair = np.repeat(np.arange(high - low), (lengths[left] + lengths[right])[low:high])
+        order = np.lexsort((values, pair))
+        values, pair = values[order], pair[order]
+        twice = (values[1:] == values[:-1]) & (pair[1:] == pair[:-1])
+        out[low:high] = np.bincount(pair[1:][twice], minlength=high - low)
+        low = high
+    return out
+
+
+def _pair_links(live: DataFrame, pairs: DataFrame, weights: DataFrame, cuts: int) -> DataFrame:
+    """(owner, root, links) of the given pairs: every vertical fragment counts its part of a pair's overlap, parts are summed."""
+    place = ["cluster", "left", "right"]
+    ends = pairs.select(*place, F.col("a").alias("owner")).unionAll(pairs.select(*place, F.col("b").alias("owner"))).distinct()
+    members = ends.join(live.select("owner", "hashes"), "owner").select(*place, "owner", "hashes")
+    names = [*place, "cut", "a", "b", "need", "hashes"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    schema = pa.schema(list(zip(names, types)))
+    row = "cluster long, left int, right int, cut int, a long, b long, need long, hashes binary"
+
+    def cut(batches):
+        for batch in sliced(batches):
+            pieces = [piece for h in batch.column(4).to_pylist() for piece in vertical(np.frombuffer(h, np.uint64), cuts)]
+            n = batch.num_rows
+            head = [pa.array(np.repeat(batch.column(i).to_numpy(), cuts)) for i in range(4)]
+            number = pa.array(np.tile(np.arange(cuts, dtype=np.int32), n))
+            empty = pa.nulls(n * cuts, pa.int64())
+            yield record(schema, [*head[:3], number, head[3], empty, empty, pa.array([x.tobytes() for x in pieces], pa.binary())])
+
+    parts = members.mapInArrow(cut, row)
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))).alias("cut")
+    asked = pairs.select(*place, numbers, "a", "b", "need", F.lit(None).cast("binary").alias("hashes"))
+    summed = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("need", pa.int64()), ("overlap", pa.int64())])
+
+    def count(batches):
+        for _, rows in grouped(batches, 4):
+            a, b, need = (rows.column(c) for c in ("a", "b", "need"))
+            member = np.array(b.is_null())
+            owners = a.to_numpy()[member]
+            order = np.argsort(owners)
+            blobs = rows.column("hashes").filter(pa.array(member)).to_pylist()
+            sets = [np.frombuffer(blobs[i], np.uint64) for i in order]
+            x, y, least = a.to_numpy()[~member], b.drop_null().to_numpy(), need.drop_null().to_numpy()
+            found = overlaps(sets, np.searchsorted(owners[order], x), np.searchsorted(owners[order], y))
+            some = found > 0
+            yield record(summed, [pa.array(v[some]) for v in (x, y, least, found)])
+
+    partial = dealt(parts.unionByName(asked), *place, "cut").mapInArrow(count, "a long, b long, need long, overlap long")
+    linked = partial.groupBy("a", "b", "need").agg(F.sum("overlap").alias("overlap")).where("overlap >= need").select("a", "b")
+    linked = checkpointed(linked)
+    both = linked.unionAll(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    weighed = both.join(weights.withColumnRenamed("owner", "b"), "b")
+    return weighed.groupBy(F.col("a").alias("owner"), F.least("a", "b").alias("root")).agg(F.sum("weight").cast("long").alias("links"))
+
+
+def vertical(hashes: np.ndarray, cuts: int) -> list[np.ndarray]:
+    """A set cut into `cuts` equal ranges of hashes, sorted."""
+    hashes = np.sort(hashes)
+    return np.split(hashes, np.searchsorted(hashes, np.array([(k << 64) // cuts for k in range(1, cuts)], np.uint64)))
 
 
 PART_ROW = "cluster long, left int, right int, cut int, owner long, size int, weight long, side int, hashes binary"
@@ -241,13 +421,12 @@ SUM_ROW = "cluster long, left int, right int, owners binary, sizes binary, weigh
 
 
 def _blocks(live: DataFrame, clusters: DataFrame, weights: DataFrame, block: int, cuts: int) -> DataFrame:
-    """The members of each cluster dealt to pairs of blocks and vertical fragments: PART_ROW.
+    """The members of each dense cluster dealt to pairs of blocks and vertical fragments: PART_ROW.
 
     Blocks of about `block` members are by hash of the class, so a large cluster is spread over many tasks; its pairs of
     blocks cover every pair of members once.
     """
-    sized = clusters.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
-    narrow = clusters.join(sized, "component").withColumnRenamed("node", "owner").join(weights, "owner")
+    narrow = clusters.select("owner", "component", "members").join(weights, "owner")
     placed = (
         live.join(narrow, "owner")
         .withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
@@ -271,9 +450,7 @@ def _blocks(live: DataFrame, clusters: DataFrame, weights: DataFrame, block: int
             rows = batch.to_pylist()
             out = []
             for r in rows:
-                hashes = np.sort(np.frombuffer(r["hashes"], np.uint64))
-                edges = np.searchsorted(hashes, np.array([(k << 64) // cuts for k in range(1, cuts)], np.uint64))
-                for k, piece in enumerate(np.split(hashes, edges)):
+                for k, piece in enumerate(vertical(np.frombuffer(r["hashes"], np.uint64), cuts)):
                     out.append([r[c] if c != "cut" else k for c in names[:-1]] + [piece.tobytes()])
             columns = list(zip(*out))
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
@@ -360,10 +537,17 @@ def _classified(
     shingles = members.agg(F.sum("n_shingles")).first()[0] or 0
     fragments = max(shuffle_partitions(spark), math.ceil(shingles / fragment_shingles))
     packed = dealt(_fragments(docs, size, fragments), "fragment")
-    live = checkpointed(_candidates(dealt(_shared(packed), "batch"), percent))
+    live = checkpointed(_candidates(dealt(_shared(packed), "batch"), percent, fragments))
     classes = members.where("owner IS NOT NULL").groupBy("owner").agg(F.count("*").alias("weight"))
-    parts = dealt(_blocks(live, _clusters(live), classes, block, cuts), "cluster", "left", "right", "cut")
-    links = checkpointed(_links(dealt(_partial_overlaps(parts), "cluster", "left", "right"), percent))
+    clusters = checkpointed(_clusters(live))
+    # where most members share shingles with most others, blocks of them are counted whole; else the pairs that meet are
+    parts = dealt(_blocks(live, clusters.where(DENSE), classes, block, cuts), "cluster", "left", "right", "cut")
+    links = _links(dealt(_partial_overlaps(parts), "cluster", "left", "right"), percent)
+    sparse = clusters.where(f"NOT ({DENSE})")
+    if sparse.take(1):
+        pairs = checkpointed(_candidate_pairs(live, sparse, percent, block))
+        links = links.unionAll(_pair_links(live, pairs, classes, cuts))
+    links = checkpointed(links)
     roots = connected_components(links.select(F.col("owner").alias("a"), F.col("root").alias("b")))
     labels = (
         links.groupBy("owner").agg(F.sum("links").alias("links"))
@@ -390,7 +574,8 @@ def jaccard_join(
     than ASCII white space with A-Z lower-cased, and a text of fewer words is one shingle. A text without words (null or
     empty) has no shingles and links with nothing: its component is its own id. `n_links` counts other rows linked
     directly; rows with equal sets link. Rows that repeat an id count each. Null ids take part but never name a component.
-    Ids must be integers; other columns are not read. The result is exact but for collisions of 64-bit hashes.
+    Ids must be integers; other columns are not read. The result is exact but for collisions of hashes: shingles are told
+    apart by 48 bits and their fragment, which makes 64 bits from 65 536 fragments on; a collision adds 1 to an overlap.
 
     Memory: a task holds one fragment (about `fragment_shingles` shingles, and all places of its most frequent shingle; a
     batch of texts sends a shingle once per text and a partition once per class) or one pair of blocks (2 * `block` members).

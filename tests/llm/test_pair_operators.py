@@ -99,6 +99,54 @@ def test_jaccard_join_is_exact(spark):
             assert (r["n_shingles"], r["component_id"], r["n_links"]) == (len(sets[i]), component[i], len(links[i]))
 
 
+def test_jaccard_join_is_exact_by_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "DENSE", "members < 0")
+    pairs = jaccard._candidate_pairs
+    monkeypatch.setattr(jaccard, "_candidate_pairs", lambda *a: pairs(*a, longest=10))
+    rows = near_copies()
+    sets, links, component = plain_links(rows)
+    for options in ({}, {"block": 8, "cuts": 3, "fragment_shingles": 500}):
+        got = {r["doc_id"]: r for r in jaccard.jaccard_join(docs(spark, rows).repartition(5), **options).collect()}
+        for i, (doc_id, _) in enumerate(rows):
+            r = got[doc_id]
+            assert (r["n_shingles"], r["component_id"], r["n_links"]) == (len(sets[i]), component[i], len(links[i]))
+
+
+def test_jaccard_candidates_of_shared_paragraphs(spark, monkeypatch):
+    """Texts of which each shares paragraphs with others, but none links, are no blocks of all pairs."""
+    draw = random.Random(4)
+    paragraphs = [" ".join(f"p{draw.randint(0, 10**6)}" for _ in range(60)) for _ in range(100)]
+    rows = [(i, " ".join(draw.sample(paragraphs, 5))) for i in range(1200)]
+    rows += [(2000, rows[0][1] + " more"), (2001, rows[0][1])]
+    seen = {}
+    for name in ("_candidate_pairs", "_blocks"):
+        made = getattr(jaccard, name)
+        monkeypatch.setattr(jaccard, name, lambda *a, made=made, name=name, **k: seen.setdefault(name, made(*a, **k)))
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard.jaccard_join(docs(spark, rows)).collect()}
+    assert {i: x for i, x in got.items() if x != (i, 0)} == {0: (0, 2), 2000: (0, 2), 2001: (0, 2)}
+    assert seen["_blocks"].count() == 0
+    sets = plain_sets(rows)
+    holders = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    met = set()
+    for i, s in enumerate(sets):
+        for g in sorted((g for g in s if len(holders[g]) > 1), key=lambda g: len(holders[g]))[: len(s) // 5 + 1]:
+            met |= {(j, i) for j in holders[g] if j < i}
+    assert seen["_candidate_pairs"].count() <= len(met) < len(rows) ** 2 / 8
+
+
+def test_whole_hashes_are_the_hashes_or_tell_them_apart():
+    draw = np.random.default_rng(5)
+    hashes = draw.integers(0, 1 << 64, 5000, np.uint64)
+    for fragments in (7, 65_536, 1_000_003):
+        cut = ((hashes >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
+        keys = jaccard.whole_hashes(hashes & np.uint64((1 << 48) - 1), cut.astype(np.int64), fragments)
+        assert len(np.unique(keys)) == len(hashes)
+        assert fragments < 65_536 or (keys == hashes).all()
+
+
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one  TWO"), (5, "one two"), (6, "a b c d e " * 8000), (7, "a b c d e " * 8000), (None, "one two"), (9, "É b c d e"), (10, "é b c d e")]
 
 
