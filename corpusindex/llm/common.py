@@ -81,14 +81,26 @@ def grouped(batches, keys: int):
 ROW_KEY = ("k_id", "k_named", "k_key")
 
 
-def keyed_rows(docs: DataFrame) -> DataFrame:
+def quoted(name: str):
+    """The column of that very name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def keyed_rows(docs: DataFrame, text_key=None) -> DataFrame:
     """`docs` with each row as a struct `row` and the columns ROW_KEY, never null, of its id and text.
 
-    Joins and windows on the same plain columns need the texts shuffled once only.
+    Joins and windows on the same plain columns need the texts shuffled once only. `text_key` stands for the hash of the
+    text where rows are to be told apart by more.
     """
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), *row_key(doc_id, F.xxhash64("text")))
+    row = F.struct(*[quoted(n) for n in docs.columns]).alias("row")
+    return docs.select(row, *row_key(doc_id, F.xxhash64("text") if text_key is None else text_key))
 
 
 def row_key(doc_id, text_key) -> list:
     return [F.coalesce(doc_id, F.lit(0)).alias("k_id"), doc_id.isNotNull().alias("k_named"), text_key.alias("k_key")]
+
+
+def row_hash():
+    """A hash of all columns of the struct `row`, of which map columns could not be hashed otherwise."""
+    return F.xxhash64(F.to_json("row"))

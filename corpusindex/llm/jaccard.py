@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusindex.llm.common import ROW_KEY, checkpointed, dealt, grouped, keyed_rows, record, row_key, runs, shuffle_partitions, sliced
+from corpusindex.llm.common import ROW_KEY, checkpointed, dealt, grouped, keyed_rows, record, row_hash, row_key, runs, shuffle_partitions, sliced
 from corpusindex.llm.graph import connected_components, local_roots
 
 #: Clusters whose members meet so often that all pairs of members are fewer than twice those meetings.
@@ -593,13 +593,14 @@ def jaccard_join(
 def keep_one_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs`, with all columns, of which one of each group of linked rows stays: that with the smallest id.
 
-    Of rows with that id the one with the smallest hash of the text stays, and one of equal rows. Rows without words are
-    linked with nothing and stay.
+    Of rows with that id the one with the smallest hash of the text stays, then of the whole row, and one of equal rows.
+    Rows without words are linked with nothing and stay.
     """
     classed = _classified(docs, "doc_id", "text", size, percent, 2048, 4, 1_000_000)
     heads = classed.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("head"))
     heads = heads.select(*row_key(F.col("head.id"), F.col("head.key")), F.lit(False).alias("wordless"))
     wordless = classed.where("label IS NULL").select(*row_key(F.col("id"), F.col("key")), F.lit(True).alias("wordless")).distinct()
     kept = keyed_rows(docs).join(heads.unionAll(wordless), list(ROW_KEY))
-    number = F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy(F.lit(1)))
+    number = F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy("tie"))
+    kept = kept.withColumn("tie", row_hash())
     return kept.withColumn("number", number).where("wordless OR number = 1").select("row.*")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusindex.llm.common import ROW_KEY, checkpointed, keyed_rows, record, row_key, shuffle_partitions, sliced
+from corpusindex.llm.common import ROW_KEY, checkpointed, keyed_rows, record, row_hash, row_key, shuffle_partitions, sliced
 from corpusindex.llm.words import word_counts
 
 #: Remainder, in words, that the dynamic programme fits; twice the longest document where that is more.
@@ -217,13 +217,14 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 def repeat_mixed(docs: DataFrame) -> DataFrame:
     """`docs` as the mix takes them: a row that is taken n times stands n times, a row that is not taken is gone.
 
-    All columns stay. The decisions are joined back by id and text; where rows are equal in both, the first ones in any
-    order take the larger shares, which gives the same rows.
+    All columns stay. The decisions are joined back by id, text and source; of rows that are equal in these, the first
+    ones by a hash of the whole row take the larger shares.
     """
-    mixed = mix_sources(docs).select(*row_key(F.col("doc_id"), F.col("key")), "times")
+    mixed = mix_sources(docs).select(*row_key(F.col("doc_id"), F.xxhash64("key", "source")), "times")
     mixed = mixed.groupBy(*ROW_KEY).agg(F.sum("times").alias("sum_times"), F.count("*").alias("alike")).where("sum_times > 0")
-    joined = keyed_rows(docs).join(mixed, list(ROW_KEY))
-    number = F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy(F.lit(1)))
+    keyed = keyed_rows(docs, F.xxhash64(F.xxhash64("text"), F.col("source").cast("string")))
+    joined = keyed.join(mixed, list(ROW_KEY)).withColumn("tie", row_hash())
+    number = F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy("tie"))
     share = F.floor(F.col("sum_times") / F.col("alike")) + (number <= F.col("sum_times") % F.col("alike")).cast("long")
     repeated = joined.withColumn("copies", share).where("copies > 0")
     return repeated.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -1,7 +1,8 @@
 """Lexical retrieval packing: each seed document's window is filled with its unused BM25 neighbours.
 
 Token ids serve as the terms, so the statistics over the corpus are bounded by the vocabulary. Documents are dealt to
-shards of about equal size by a signature of their terms; each shard holds an inverted index of its documents.
+shards of about equal size by a signature of their terms, cut where exact counts of signatures say; each shard holds an
+inverted index of its documents.
 """
 
 from __future__ import annotations
@@ -9,16 +10,18 @@ from __future__ import annotations
 import base64
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusindex.llm.common import checkpointed, record, sliced
+from corpusindex.llm.common import checkpointed, record, runs, shuffle_partitions, sliced
 
 END_ID = 0
+#: Signatures are counted by their first SIGNATURE_BITS of 63, and documents dealt to about MOST_GROUPS groups at most.
+SIGNATURE_BITS, MOST_GROUPS = 18, 1 << 16
 K1, B = 1.2, 0.75
 _loaded: dict[str, object] = {}
 
@@ -71,6 +74,15 @@ def _mixed(values: np.ndarray, seed: int) -> np.ndarray:
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def _narrow(values: np.ndarray) -> bytes:
+    """Two bytes a value where that is enough, else four."""
+    return values.astype("<u2" if values.max(initial=0) < 1 << 16 else "<u4").tobytes()
+
+
+def _wide(blob: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(blob, "<u2" if len(blob) == 2 * count else "<u4").astype("<u4")
+
+
 def tokenised(docs: DataFrame, window: int, tokenizer: str) -> DataFrame:
     """Per row: the number of ids, two signatures of its terms, checksums of its whole windows, the ids after the last of
     them, and its distinct ids with their counts."""
@@ -89,7 +101,7 @@ def tokenised(docs: DataFrame, window: int, tokenizer: str) -> DataFrame:
                 full = np.array([zlib.crc32(raw[4 * a : 4 * (a + window)]) for a in range(0, whole, window)], "<u4")
                 terms, counts = np.unique(ids, return_counts=True)
                 near, nearer = (int(_mixed(terms, seed).min() >> np.uint64(1)) for seed in (1, 2))
-                rows.append((doc_id, len(ids), near, nearer, full.tobytes(), ids[whole:].astype("<u2").tobytes() if ids.max() < 65536 else raw[4 * whole :], terms.astype("<u4").tobytes(), np.minimum(counts, 65535).astype("<u2").tobytes()))
+                rows.append((doc_id, len(ids), near, nearer, full.tobytes(), _narrow(ids[whole:]), terms.astype("<u4").tobytes(), _narrow(counts)))
             yield record(schema, [list(c) for c in zip(*rows)])
 
     picked = docs.select(F.col("doc_id").cast("long"), "text")
@@ -117,11 +129,78 @@ def _term_weights(tokens: DataFrame) -> tuple[np.ndarray, float]:
     return np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32), float(mean or 1)
 
 
+def _groups(tokens: DataFrame, shard_docs: int) -> DataFrame:
+    """(prefix, first, parts, shard_rows): which groups take the documents of each first SIGNATURE_BITS of a signature.
+
+    A group takes neighbouring prefixes of `shard_docs` documents or more; a prefix of many more, as that of copies of one
+    text, is a range of `parts` groups, dealt by a hash of the row. The counts are exact, so the groups depend on the
+    documents only, and no more than 2**SIGNATURE_BITS numbers travel.
+    """
+    prefix = F.shiftright("near", 63 - SIGNATURE_BITS).alias("prefix")
+    counted = tokens.groupBy(prefix).agg(F.count("*").alias("n")).toPandas().sort_values("prefix")
+    each = max(shard_docs, -(-int(counted["n"].sum()) // MOST_GROUPS))
+    rows, number, held = [], 0, []
+
+    def close() -> None:
+        nonlocal number, held
+        if held:
+            total = sum(n for _, n in held)
+            per = -(-total // max(1, round(total / shard_docs)))
+            rows.extend((p, number, 1, per) for p, _ in held)
+            number, held = number + 1, []
+
+    for p, n in zip(counted["prefix"].tolist(), counted["n"].tolist()):
+        if n > 2 * each:
+            close()
+            parts = -(-n // each)
+            rows.append((p, number, parts, shard_docs))
+            number += parts
+            continue
+        held.append((p, n))
+        if sum(x for _, x in held) >= each:
+            close()
+    close()
+    return tokens.sparkSession.createDataFrame(rows, "prefix long, first long, parts long, shard_rows long")
+
+
+def _shards(tokens: DataFrame, shard_docs: int) -> DataFrame:
+    """`tokens` dealt by group and ordered by group, signature, id and content, so that a task reads shard after shard."""
+    placed = tokens.withColumn("prefix", F.shiftright("near", 63 - SIGNATURE_BITS))
+    placed = placed.join(F.broadcast(_groups(tokens, shard_docs)), "prefix").withColumn("content", F.xxhash64("full", "rest"))
+    part = F.pmod(F.xxhash64(F.lit(29), "doc_id", "content"), F.col("parts"))
+    placed = placed.withColumn("group", F.col("first") + part)
+    out = placed.repartition(shuffle_partitions(tokens.sparkSession), "group")
+    out = out.sortWithinPartitions("group", "near", "nearer", F.col("doc_id").asc_nulls_last(), "content")
+    return out.select("group", "shard_rows", *(c.split()[0] for c in TOKENISED.split(", ")))
+
+
+def in_shards(batches) -> Iterator[tuple[int, pa.Table]]:
+    """(group, rows): the rows of each group in pieces of its `shard_rows`."""
+    held, count, now = [], 0, None
+    for batch in batches:
+        group = batch.column(0).to_numpy()
+        edges = runs(group)
+        for a, b in zip(edges[:-1], edges[1:]):
+            if held and now != group[a]:
+                yield now, pa.Table.from_batches(held)
+                held, count = [], 0
+            now, per = int(group[a]), int(batch.column(1)[int(a)].as_py())
+            while a < b:
+                some = min(b - a, per - count)
+                held.append(batch.slice(a, some))
+                a, count = a + some, count + some
+                if count == per:
+                    yield now, pa.Table.from_batches(held)
+                    held, count = [], 0
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
 class Shard:
     """The documents of one shard with their inverted index; packs what is left of them after their whole windows."""
 
-    def __init__(self, lengths, rests, terms, counts, idf, mean, window, query_terms):
-        self.window, self.query_terms = window, query_terms
+    def __init__(self, lengths, rests, terms, counts, idf, mean, window):
+        self.window = window
         self.rests = rests
         self.left = np.array([len(r) for r in rests])
         self.order = 0
@@ -133,17 +212,18 @@ class Shard:
         self.postings, self.weights = of[by], weight[by]
         self.names, starts = np.unique(flat[by], return_index=True)
         self.starts = np.append(starts, len(flat))
-        self.terms, self.idf = terms, idf
+        self.several = np.diff(self.starts) > 1
+        self.terms = terms
         self.taken = np.zeros(len(rests), np.int64)
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents by BM25 score for the seed's most telling terms, best first, then the others in order."""
-        own = self.terms[seed]
-        own = own[np.argsort(-self.idf[own], kind="stable")[: self.query_terms]]
-        at = np.searchsorted(self.names, own)
+        """Unused documents by BM25 score for all the seed's terms, best first, then the others in order."""
+        at = np.searchsorted(self.names, self.terms[seed])
+        at = at[self.several[at]]
         spans = [slice(a, b) for a, b in zip(self.starts[at], self.starts[at + 1])]
-        docs = np.concatenate([self.postings[s] for s in spans])
-        score = np.bincount(docs, np.concatenate([self.weights[s] for s in spans]), len(self.left))
+        none = [np.empty(0, np.int64)]
+        docs = np.concatenate([self.postings[s] for s in spans] or none)
+        score = np.bincount(docs, np.concatenate([self.weights[s] for s in spans] or none), len(self.left))
         unused = np.flatnonzero(self.left > 0)
         unused = unused[unused != seed]
         return unused[np.argsort(-score[unused], kind="stable")]
@@ -195,56 +275,52 @@ def pack_documents(
     window: int = 1024,
     tokenizer: str = "byte_bpe_50k",
     shard_docs: int = 2000,
-    query_terms: int = 48,
 ) -> DataFrame:
     """One row per piece of a document in a sequence: PIECES.
 
     A document is the ids of its text and a closing id 0; a null text counts as empty, so every row gives an id at least.
     A document's whole windows are sequences of their own. The rest of a seed document opens a window, and its unused
-    neighbours, by BM25 over the seed's `query_terms` most telling terms, fill it; the last is cut, and what is left of it
-    seeds the next window. Every id lies in exactly one piece. What remains of a shard at the end is less than a window
-    and is cut to powers of two, which need no padding. Rows that repeat an id are documents of their own. Other columns
-    are not read; an empty table gives an empty table; a null id stays null.
+    neighbours, by BM25 over the seed's terms, fill it; the last is cut, and what is left of it seeds the next window.
+    Every id lies in exactly one piece. What remains of a shard at the end is less than a window and is cut to powers of
+    two, which need no padding. Rows that repeat an id are documents of their own. Other columns are not read; an empty
+    table gives an empty table; a null id stays null. Equal tables give equal rows, however they are partitioned.
 
     Statistics cover all documents and are bounded by the vocabulary; a shard, about `shard_docs` documents that are near
-    by signature, is packed by one task, and copies beyond a shard's size go to the next. `sequence_id` is the shard's
-    number times 2**32 plus the sequence's number there.
+    by signature, is packed at once, and copies beyond a shard's size go to the next. `sequence_id` is the number of the
+    shard's group times 2**32 plus the sequence's number there.
     """
     tokens = checkpointed(tokenised(docs, window, tokenizer))
     idf, mean = _term_weights(tokens)
-    shards = max(1, math.ceil(tokens.count() / shard_docs))
-    dealt = tokens.repartitionByRange(shards, "near", "nearer", "doc_id", F.xxhash64("rest"))
     schema = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 
-    def pack(batches):
-        columns = [b for b in batches if b.num_rows]
-        if not columns:
-            return
-        table = pa.Table.from_batches(columns)
-        rows = sorted(zip(*(c.to_pylist() for c in table.columns)), key=lambda r: (r[2], r[3], r[0] is None, r[0] or 0, r[5], r[4]))
-        del table, columns
-        out = []
-        sequence = TaskContext.get().partitionId() << 32
-        rests, terms, counts = [], [], []
-        for doc_id, length, _, _, full, rest, own, tf in rows:
+    def packed(rows: pa.Table, sequence: int, out: list) -> int:
+        columns = {c: rows.column(c).to_pylist() for c in ("doc_id", "tokens", "full", "rest", "terms", "counts")}
+        ids, lengths = columns["doc_id"], columns["tokens"]
+        for doc_id, length, full in zip(ids, lengths, columns["full"]):
             for k, crc in enumerate(np.frombuffer(full, "<u4").tolist()):
                 out.append((doc_id, k * window, window, crc, length, sequence, 0))
                 sequence += 1
-            left = length % window
-            rests.append(np.frombuffer(rest, "<u2" if len(rest) == 2 * left else "<u4").astype("<u4"))
-            terms.append(np.frombuffer(own, "<u4"))
-            counts.append(np.frombuffer(tf, "<u2"))
-        lengths = np.array([r[1] for r in rows])
-        shard = Shard(lengths, rests, terms, counts, idf, mean, window, query_terms)
+        rests = [_wide(x, n % window) for x, n in zip(columns["rest"], lengths)]
+        terms = [np.frombuffer(x, "<u4") for x in columns["terms"]]
+        counts = [_wide(x, len(t)) for x, t in zip(columns["counts"], terms)]
+        shard = Shard(np.array(lengths), rests, terms, counts, idf, mean, window)
         for pieces in shard.sequences():
             offset = 0
             for doc, start, length in pieces:
-                total = int(lengths[doc])
                 crc = zlib.crc32(rests[doc][start : start + length].tobytes())
-                out.append((rows[doc][0], total - total % window + start, length, crc, total, sequence, offset))
+                out.append((ids[doc], lengths[doc] - lengths[doc] % window + start, length, crc, lengths[doc], sequence, offset))
                 offset += length
             sequence += 1
-        for at in range(0, len(out), 10_000):
-            yield record(schema, [list(c) for c in zip(*out[at : at + 10_000])])
+        return sequence
 
-    return dealt.mapInArrow(pack, PIECES)
+    def pack(batches):
+        now, sequence = None, 0
+        for group, rows in in_shards(batches):
+            if group != now:
+                now, sequence = group, group << 32
+            out: list[tuple] = []
+            sequence = packed(rows, sequence, out)
+            for at in range(0, len(out), 10_000):
+                yield record(schema, [list(c) for c in zip(*out[at : at + 10_000])])
+
+    return _shards(tokens, shard_docs).mapInArrow(pack, PIECES)

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusindex.llm import licenses, mixing, packing, pii, secrets, toxicity
+from corpusindex.llm import jaccard, licenses, mixing, packing, pii, secrets, toxicity
 from corpusindex.llm.words import word_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, rank int, found string"
@@ -227,6 +227,22 @@ def test_mixing_odd_rows_and_repeats(spark):
     assert mixed.count() == sum(r["times"] for r in out)
 
 
+def test_mix_gives_each_row_what_was_decided_for_it(spark):
+    names = "doc_id long, text string, source string, `odd ``name` string"
+    rows = [(1, "a b c d e", "s1", "x"), (1, "a b c d e", "s2", "y"), (2, "f g h", "s1", "x"), (3, "i j k l m n o p", None, "z"), (4, None, "s1", None)]
+    rows += [(5, "same same", "s2", v) for v in "pqr"]
+    given_ = spark.createDataFrame(rows, names)
+    decided = mixing.mix_sources(given_).groupBy("source").sum("taken").collect()
+    for table in (given_, given_.repartition(5), given_.orderBy("text")):
+        mixed = mixing.repeat_mixed(table).collect()
+        words = {}
+        for r in mixed:
+            words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
+        assert words == {s: n for s, n in decided if n}
+        assert sorted(mixed, key=str) == sorted(mixing.repeat_mixed(given_).collect(), key=str)
+    assert sorted(jaccard.keep_one_each(given_).collect(), key=str) == sorted(jaccard.keep_one_each(given_.repartition(5)).collect(), key=str)
+
+
 def test_encoder_gives_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
@@ -280,6 +296,17 @@ def test_packing_prefers_lexical_neighbours(spark):
     assert sum(pure) >= 0.8 * len(pure)
 
 
+def test_packing_is_the_same_in_every_run(spark):
+    draw = random.Random(12)
+    rows = [(i, " ".join(draw.choice(["red", "blue", "gold", f"x{draw.randint(0, 99)}"]) for _ in range(draw.randint(0, 60))), "a") for i in range(300)]
+    rows += [(500 + i, "one text that stands many times", "a") for i in range(150)] + [(7, "red", "a"), (7, "red", "a"), (None, None, "a")]
+    given_ = docs(spark, rows)
+    runs = [packing.pack_documents(d, window=64, shard_docs=20).collect() for d in (given_, given_, given_.repartition(7), given_.orderBy("text"))]
+    assert all(sorted(r, key=str) == sorted(runs[0], key=str) for r in runs)
+    assert len({r["sequence_id"] >> 32 for r in runs[0]}) > 10
+    check_packing(spark, rows, window=64, shard_docs=20)
+
+
 def labelled(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, toxic int, score double")
 
