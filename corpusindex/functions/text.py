@@ -29,8 +29,8 @@ def normalize_terms(text: Column) -> Column:
 
     A null text has no terms.
     """
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\s]", " ")
-    words = F.filter(F.split(plain, r"\s+"), lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
+    words = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"))
+    words = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
     return F.array_distinct(F.transform(words, stem))
 
 

@@ -12,6 +12,7 @@ from corpusindex.operators import changes, logs
 from corpusindex.operators import decisions as log
 from corpusindex.operators import ledger as cache
 from corpusindex.operators import retrieval
+from corpusindex.sources.store import stored
 
 SCOPE_SQL = "coalesce(nullif(scope, ''), CASE WHEN type IN ('architecture', 'convention') THEN 'global' ELSE 'domain' END)"
 
@@ -257,8 +258,10 @@ def _append(spark, d):
 
 
 def _cached_recall(spark, d):
-    live = retrieval.recall(view(spark, d, "queries_v"), decisions(spark, d))
-    return cache.cached_or(_verdicts(spark, d), ledger(spark, d), live)
+    """The ledger answers first; only queries without a fresh answer are recalled."""
+    found = stored(_verdicts(spark, d))
+    rest = view(spark, d, "queries_v").join(found.where("verdict = 'fresh'"), ["repo", "query_id"], "left_anti")
+    return cache.cached_or(found, ledger(spark, d), retrieval.recall(rest, decisions(spark, d)))
 
 
 # --- changes ------------------------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusindex.functions.text import content_hash
 from corpusindex.jobs.decision_queries import CUE_SQL, GAINS_SQL, HASH_SQL
-from corpusindex.jobs.folders import shared_folder
+from corpusindex.sources.store import shared_folder
 from corpusindex.jobs.views import sql_for, view
 from corpusindex.operators import functional as fn
 from corpusindex.streaming import streams

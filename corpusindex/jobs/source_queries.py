@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusindex.facts.blank import with_code_only
 from corpusindex.jobs.decision_queries import HASH_SQL, files, ledger, with_evidence
 from corpusindex.jobs.functional_queries import functional
-from corpusindex.jobs.folders import shared_folder
+from corpusindex.sources.store import shared_folder
 from corpusindex.jobs.retrieval_queries import HAYSTACK, DECISIONS_SQL, decisions, terms_sql
 from corpusindex.jobs.views import sql_for, view
 from corpusindex.operators import retrieval

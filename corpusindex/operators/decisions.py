@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusindex.functions.text import content_hash, make_id, normalize_terms, whole_word
-from corpusindex.operators.retrieval import ACTIVE_STATUSES, adaptive_top, decision_terms, overlap_scores
+from corpusindex.operators.retrieval import ACTIVE_STATUSES, adaptive_top, decision_index, overlap_scores
 
 # What a decision's fields may hold.
 TYPES = ("architecture", "technical", "functional", "convention")
@@ -79,8 +79,8 @@ def dedup_gate(candidates: DataFrame, decisions: DataFrame, least: float = 0.5)
     supersedes something.
     """
     asked = candidates.select("repo", "query_id", normalize_terms(F.concat_ws(" ", "title", "decision")).alias("terms"))
-    docs = decision_terms(decisions).select("repo", "id", "terms", "status", "domain")
-    top = adaptive_top(overlap_scores(asked, docs, F.col("status").isin(*ACTIVE_STATUSES)), 1)
+    index = decision_index(decisions, F.col("status").isin(*ACTIVE_STATUSES))
+    top = adaptive_top(overlap_scores(asked, index), 1)
     top = top.select("repo", "query_id", F.col("id").alias("match"), (F.floor(F.col("score") * 100 + 0.5) / 100).alias("score"))
     found = top.join(decisions.select("repo", F.col("id").alias("match"), F.col("domain").alias("m_domain")), ["repo", "match"])
     own = candidates.select("repo", "query_id", "domain", _text(candidates, "supersedes").alias("supersedes"))
@@ -204,8 +204,8 @@ def cue_messages(messages: DataFrame) -> DataFrame:
 def harvest(messages: DataFrame, decisions: DataFrame, covered: float = 0.6, near: float = 0.3) -> DataFrame:
     """(repo, msg_id, match, score, status) of cue messages: covered, supersedes-candidate or new by their best match."""
     cues = cue_messages(messages).select("repo", F.col("msg_id").alias("query_id"), normalize_terms(F.col("text")).alias("terms"))
-    docs = decision_terms(decisions).select("repo", "id", "terms", "status")
-    top = adaptive_top(overlap_scores(cues, docs, F.col("status").isin(*ACTIVE_STATUSES)), 1)
+    index = decision_index(decisions, F.col("status").isin(*ACTIVE_STATUSES))
+    top = adaptive_top(overlap_scores(cues, index), 1)
     joined = cues.select("repo", "query_id").join(top.select("repo", "query_id", "id", "score"), ["repo", "query_id"], "left")
     status = F.when(F.col("score") >= covered, "covered").when(F.col("score") >= near, "supersedes-candidate").otherwise("new")
     return joined.select("repo", F.col("query_id").alias("msg_id"), F.col("id").alias("match"), "score", status.alias("status"))

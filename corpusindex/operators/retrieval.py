@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusindex.functions.text import idf, normalize_terms
+from corpusindex.sources.store import spread, stored
 
 ACTIVE_STATUSES = ("active", "proposed")
 
@@ -38,44 +41,69 @@ def idf_table(docs: DataFrame) -> DataFrame:
     return df.join(sizes, "repo").withColumn("idf", idf(F.col("df"), F.col("n")))
 
 
-def overlap_scores(queries: DataFrame, docs: DataFrame, keep: Column | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """A written index: `postings` (repo, term, id) of the candidates, `weights` (repo, term, w2) of all terms, `norms`
+    (repo, id, d_self) of the candidates and `sizes` (repo, n) of all rows."""
+
+    postings: DataFrame
+    weights: DataFrame
+    norms: DataFrame
+    sizes: DataFrame
+
+
+def build_index(docs: DataFrame, keep: Column | None = None) -> Index:
+    """The index of `docs` (repo, id, terms), written once; `keep` tells which rows are candidates.
+
+    Terms are taken from the texts once; a recall then reads narrow tables only. A term's weight is its squared idf over
+    all rows, candidates or not.
+    """
+    live = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    flat = stored(docs.select("repo", "id", live.alias("live"), F.explode("terms").alias("term")))
+    sizes = stored(docs.groupBy("repo").agg(F.greatest(F.count("*"), F.lit(1)).alias("n")))
+    weights = document_frequency(flat).join(sizes, "repo").select("repo", "term", (idf(F.col("df"), F.col("n")) ** 2).alias("w2"))
+    weights = stored(weights)
+    candidates = flat.where("live").drop("live")
+    norms = candidates.join(weights, ["repo", "term"]).groupBy("repo", "id").agg(F.sum("w2").alias("d_self"))
+    return Index(candidates, weights, stored(norms), sizes)
+
+
+def decision_index(decisions: DataFrame, keep: Column | None = None) -> Index:
+    return build_index(decision_terms(spread(decisions, "repo", "id")), keep)
+
+
+def overlap_scores(queries: DataFrame, index: Index) -> DataFrame:
     """(repo, query_id, id, score) of all pairs that share a term: shared idf**2 over the smaller sum of either side's.
 
-    `queries` has repo, query_id, terms; `docs` repo, id, terms. `keep` filters rows of `docs` as candidates; statistics
-    cover all of them. Only the queries' terms reach the join with the index.
+    `queries` has repo, query_id, terms. The weighed query terms are written first, so that Spark knows how few they are
+    and does not send the postings about.
     """
-    n = docs.groupBy("repo").agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
     asked = queries.select("repo", "query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    index = postings(docs)
-    weights = document_frequency(index).join(n, "repo").withColumn("w2", idf(F.col("df"), F.col("n")) ** 2)
-    weights = weights.select("repo", "term", "w2")
-    unseen = asked.join(n, "repo").join(weights, ["repo", "term"], "left")
-    asked = unseen.withColumn("w2", F.coalesce("w2", idf(F.lit(0), F.col("n")) ** 2)).select("repo", "query_id", "term", "w2")
+    asked = asked.join(index.sizes, "repo").join(index.weights, ["repo", "term"], "left")
+    asked = stored(asked.select("repo", "query_id", "term", F.coalesce("w2", idf(F.lit(0), F.col("n")) ** 2).alias("w2")))
     q_self = asked.groupBy("repo", "query_id").agg(F.sum("w2").alias("q_self"))
-    d_self = index.join(weights, ["repo", "term"]).groupBy("repo", "id").agg(F.sum("w2").alias("d_self"))
-    candidates = postings(docs.where(keep)) if keep is not None else index
-    dots = asked.join(candidates, ["repo", "term"]).groupBy("repo", "query_id", "id").agg(F.sum("w2").alias("dot"))
-    scored = dots.join(q_self, ["repo", "query_id"]).join(d_self, ["repo", "id"])
+    dots = asked.join(index.postings, ["repo", "term"]).groupBy("repo", "query_id", "id").agg(F.sum("w2").alias("dot"))
+    scored = dots.join(q_self, ["repo", "query_id"]).join(index.norms, ["repo", "id"])
     score = F.round(F.col("dot") / F.least("q_self", "d_self"), 6)
     return scored.select("repo", "query_id", "id", score.alias("score")).where("score > 0")
 
 
 def adaptive_top(scored: DataFrame, top: int | None = None) -> DataFrame:
     """The rows shown per query with rank, matched and shown: `top`, else 1 where the first has twice the second's score,
-    else 3. Ties go to the smaller id by code point."""
+    else 3. Ties go to the smaller id by code point.
+
+    Only the first rows of each query, 3 or `top`, are ranked against each other; the others are counted. Scores are
+    written once, as both need them.
+    """
+    scored = stored(scored)
     by = Window.partitionBy("repo", "query_id")
     order = by.orderBy(F.col("score").desc(), "id")
-    ranked = scored.select(
-        "*",
-        F.row_number().over(order).alias("rank"),
-        F.count("*").over(by).alias("matched"),
-        F.max("score").over(by).alias("first"),
-        F.lead("score").over(order).alias("next"),
-    )
-    second = F.coalesce(F.max(F.when(F.col("rank") == 1, F.col("next"))).over(by), F.lit(0.0))
-    shown = F.lit(top) if top else F.when(F.col("first") >= 2 * second, 1).otherwise(3)
-    ranked = ranked.withColumn("shown", F.least(shown, F.col("matched")))
-    return ranked.where("rank <= shown").drop("first", "next")
+    first = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(top or 0, 3))
+    counts = scored.groupBy("repo", "query_id").agg(F.count("*").alias("matched"))
+    ranked = first.withColumn("s1", F.max("score").over(by)).withColumn("s2", F.max(F.when(F.col("rank") == 2, F.col("score"))).over(by))
+    shown = F.lit(top) if top else F.when(F.col("s1") >= 2 * F.coalesce("s2", F.lit(0.0)), 1).otherwise(3)
+    ranked = ranked.join(counts, ["repo", "query_id"]).withColumn("shown", F.least(shown, F.col("matched")))
+    return ranked.where("rank <= shown").drop("s1", "s2")
 
 
 def recall(queries: DataFrame, decisions: DataFrame, statuses=ACTIVE_STATUSES, domain: str | None = None, top: int | None = None) -> DataFrame:
@@ -83,14 +111,13 @@ def recall(queries: DataFrame, decisions: DataFrame, statuses=ACTIVE_STATUSES, d
     keep = F.lit(True) if statuses is None else F.col("status").isin(*statuses)
     if domain is not None:
         keep = keep & (F.col("domain") == domain)
-    docs = decision_terms(decisions).select("repo", "id", "terms", "status", "domain")
     asked = queries.withColumn("terms", normalize_terms(F.col("q")))
-    return adaptive_top(overlap_scores(asked, docs, keep), top)
+    return adaptive_top(overlap_scores(asked, decision_index(decisions, keep)), top)
 
 
 def recall_cards(queries: DataFrame, decisions: DataFrame, **options) -> DataFrame:
     """recall() with the decisions' fields: the first of each query in full, the others as summaries."""
-    hits = recall(queries, decisions, **options)
+    hits = stored(recall(queries, decisions, **options))
     full = F.col("rank") == 1
     fields = ["type", "status", "domain", "title", "decision", "tags"]
     rest = ["date", "context", "rationale", "consequences", "supersedes"]
