@@ -12,16 +12,38 @@ C_STRINGS = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''
 C_COMMENTS = r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)"
 PATTERNS = {
     "java": re.compile(r'"""[\s\S]*?(?:"""|\Z)|' + C_STRINGS + "|" + C_COMMENTS),
-    "typescript": re.compile(r"`(?:\\.|\$\{[^{}`]*\}|[^`\\])*`|" + C_STRINGS + "|" + C_COMMENTS),
+    "typescript": re.compile("`|" + C_STRINGS + "|" + C_COMMENTS),
     "python": re.compile(
         r"(?i:\b[rbuf]{1,2})?(?:\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')|\#[^\n]*"
     ),
 }
+IN_TEMPLATE = re.compile(r"\\.|`|\$\{", re.S)
+IN_INTERPOLATION = re.compile("[`{}]|" + C_STRINGS + "|" + C_COMMENTS)
 _VISIBLE = re.compile(r"[^\n]")
 
 
+def template_end(source: str, at: int) -> int:
+    """Where the template literal that begins at `at` ends, whatever its interpolations hold, templates too."""
+    inside, at = ["`"], at + 1
+    while inside:
+        m = (IN_TEMPLATE if inside[-1] == "`" else IN_INTERPOLATION).search(source, at)
+        if m is None:
+            return len(source)
+        at, piece = m.end(), m.group()
+        if piece in ("`", "}") and piece == {"`": "`", "{": "}"}[inside[-1]]:
+            inside.pop()
+        elif piece in ("`", "{", "${"):
+            inside.append(piece[-1])
+    return at
+
+
 def blanked(source: str, lang: str) -> str:
-    return PATTERNS[lang].sub(lambda m: _VISIBLE.sub(" ", m.group()), source)
+    out, at = [], 0
+    while m := PATTERNS[lang].search(source, at):
+        end = template_end(source, m.start()) if m.group() == "`" else m.end()
+        out += [source[at : m.start()], _VISIBLE.sub(" ", source[m.start() : end])]
+        at = end
+    return "".join(out) + source[at:]
 
 
 def with_code_only(files: DataFrame, lang: str) -> DataFrame:

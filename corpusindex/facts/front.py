@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 
 from corpusindex.facts.blank import Source, extracted, split_top
-from corpusindex.facts.node import CLASS, DECORATOR, _decorators
+from corpusindex.facts.node import CLASS, MEMBERS, _decorators, members
 
 ROUTES = "routes array<struct<path:string,target:string,kind:string,line:int,guards:array<string>>>"
 ANGULAR = (
     "repo string, path string, hash string, parse_error string, types array<struct<name:string,decorators:array<string>,ctorDeps:array<string>,"
-    "inputs:array<string>,outputs:array<string>,http:array<struct<verb:string,url:string>>,line:int>>, "
+    f"inputs:array<string>,outputs:array<string>,http:array<struct<verb:string,url:string>>,line:int,uses:array<string>,{MEMBERS}>>, "
     f"functionals array<struct<name:string,kind:string,deps:array<string>,line:int>>, {ROUTES}"
 )
 REACT = (
@@ -30,12 +31,12 @@ BUILT_IN_HOOKS = set(
 )
 INJECT = re.compile(r"\binject\(\s*([A-Za-z_]\w*)")
 STRING = re.compile(r"""`([^`]*)`|'([^'\n]*)'|"([^"\n]*)\"""")
-HTTP = re.compile(r"\bhttp\w*\s*\.\s*(get|post|put|delete|patch)\b\s*(?:<[^()]*>)?\s*\(", re.I)
+CLIENT = re.compile(r"(\w+)\s*[?!]?\s*:\s*HttpClient\b|(\w+)\s*(?::[^=;\n]+)?=\s*inject\(\s*HttpClient\b")
 RESOURCE = re.compile(r"\bhttpResource\b\s*(?:<[^()]*>)?\s*\(")
 FIELD = re.compile(r"(?m)^\s*(?:(?:public|private|protected|readonly|static)\s+)*(\w+)\s*(?::[^=;\n]+)?=\s*([`'\"])")
 PATH = re.compile(r"\bpath\s*:")
-JSX = re.compile(r"return\s*[(<]|=>\s*[(<]|</[A-Za-z]|/>|<[A-Z][\w.]*[\s/>]")
-HOOK_CALL = re.compile(r"\b(use[A-Z]\w*)\s*(?:<[^>]*>)?\s*\(")
+TAG = re.compile(r"<(?:/?\s*[A-Za-z][\w.]*|)(?=[\s/>])")
+HOOK_CALL = re.compile(r"(?<![\w.])(use[A-Z]\w*)(?=\s*[(<])")
 SYMBOL = re.compile(r"(?m)^[ \t]*(?:export\s+)?(?:default\s+)?(?:(?:async\s+)?function\s+(\w+)\s*\(|const\s+(\w+)\s*[:=])")
 REACT_CLASS = re.compile(r"\bclass\s+([A-Z]\w*)\s+extends\s+(?:React\.)?(?:Pure)?Component\b[^{]*\{")
 
@@ -88,15 +89,19 @@ def _angular_class(src: Source, m: re.Match, before: int) -> dict:
         if value is not None:
             fields[f.group(1)] = _url(f"`{value}`", {}) or ""
     http = []
-    for call in HTTP.finditer(code):
+    clients = {"http", "httpClient", *(name for pair in CLIENT.findall(code) for name in pair if name)}
+    calls = rf"(?:\bthis\s*\.\s*|(?<![\w$.]))(?:{'|'.join(sorted(clients))})\s*\.\s*(get|post|put|delete|patch)\b\s*(?:<[^()]*>)?\s*\("
+    for call in re.finditer(calls, code):
         args = split_top(raw[call.end() : src.end(body + call.end() - 1, close) - body])
         http.append({"verb": call.group(1).upper(), "url": _url(args[0], fields) if args else None})
     for call in RESOURCE.finditer(code):
         config = raw[call.end() : src.end(body + call.end() - 1, close) - body]
         url, method = re.search(r"\burl\s*:\s*([^,}]+(?:\}[^,}]*)*)", config), re.search(r"\bmethod\s*:\s*['\"`](\w+)", config)
         http.append({"verb": method.group(1).upper() if method else "GET", "url": _url(url.group(1) if url else re.sub(r"^\s*\(\)\s*=>\s*", "", config), fields)})
-    return {
-        "name": m.group(1), "decorators": _decorators(src, before, m.start()), "ctorDeps": _distinct(deps), "inputs": marked("Input", "input"),
+    decorators = _decorators(src, before, m.start())
+    imported = next((i.group(1) for d in decorators if (i := re.search(r"\bimports\s*:\s*\[([^\]]*)\]", d)) and d.startswith("@Component")), "")
+    return members(src, m.group(), body, close) | {
+        "name": m.group(1), "decorators": decorators, "uses": [x for part in imported.split(",") if re.fullmatch(r"[A-Z]\w*", x := part.strip())], "ctorDeps": _distinct(deps), "inputs": marked("Input", "input"),
         "outputs": marked("Output", "output"), "http": http, "line": src.line(m.start()),
     }
 
@@ -142,31 +147,75 @@ def parse_angular(text: str) -> dict:
 
 def _props(code: str) -> list[str] | None:
     """Keys of a destructured first parameter, at most 8, else its type's name."""
-    first = re.match(r"[^(]*\(\s*(?:\{([^}]*)\}|\w+\s*:\s*([\w.]+))", code)
+    head = re.search(r"\(", code)
+    first = split_top(code[head.end() :].split(")")[0])[:1] if head else []
     if not first:
         return None
-    if first.group(2):
-        return [first.group(2)]
-    return [k.split(":")[0].split("=")[0].strip() for k in first.group(1).split(",") if k.strip()][:8]
+    pattern, _, kind = first[0].strip().partition("}") if first[0].strip().startswith("{") else ("", "", "")
+    if pattern:
+        return [re.split(r"[:=]", part)[0].strip() for part in pattern[1:].split(",") if part.strip()][:8]
+    named = re.fullmatch(r"\w+\s*\??\s*:\s*([\w.]+).*", first[0].strip(), re.S)
+    return [named.group(1)] if named else None
+
+
+ROUTE_KEY = re.compile(r"[({\[]|\b(path|element|Component)\s*:")
+ELEMENT = re.compile(r"\s*\{?\s*<?\s*([A-Z][\w.]*)")
+
+
+def _tag(src: Source, at: int) -> str:
+    """The source of a tag's attributes from `at` on; what stands in braces belongs to them."""
+    start = at
+    while m := re.compile(r"[{>]").search(src.code, at):
+        if m.group() == ">":
+            return src.text[start : m.start()]
+        at = src.end(m.start(), len(src.code)) + 1
+    return src.text[start:]
+
+
+def _object_keys(src: Source, open_: int) -> dict[str, int]:
+    """Where the values of an object's own path, element and Component begin; nested brackets are skipped."""
+    found, at, close = {}, open_ + 1, src.end(open_, len(src.code))
+    while m := ROUTE_KEY.search(src.code, at, close):
+        at = m.end() if m.group(1) else src.end(m.start(), close) + 1
+        if m.group(1):
+            found.setdefault(m.group(1), m.end())
+    return found
 
 
 def _react_routes(src: Source) -> list[dict]:
-    if not re.search(r"<Route\b|create(?:Browser|Hash|Memory)Router|useRoutes|RouterProvider", src.text):
+    """Routes of tags and of route objects; an index route has the path `(index)`."""
+    if not re.search(r"<Route\b|create\w+Router\b|\buseRoutes\b|\bRouterProvider\b", src.text):
         return []
     out = []
-    for m in re.finditer(r"<Route\b([^<]*?)element=\{\s*<\s*([\w.]+)", src.text):
-        path = re.search(r"\bpath=\{?['\"`]([^'\"`]*)", m.group(1))
-        index = re.search(r"\bindex\b", m.group(1))
-        if path or index:
-            out.append({"path": path.group(1) if path else "", "target": m.group(2), "kind": "component", "line": src.line(m.start()), "guards": []})
+
+    def add(at: int, path: str, target: str | None) -> None:
+        out.append({"path": path, "target": target, "kind": "route", "line": src.line(at), "guards": []})
+
+    for m in re.finditer(r"<Route\b", src.text):
+        tag = _tag(src, m.end())
+        path = re.search(r"\bpath\s*=\s*\{?\s*(['\"`])(.*?)\1", tag)
+        shown = re.search(r"\b(?:element|component|Component)\s*=", tag)
+        target = ELEMENT.match(tag, shown.end()) if shown else None
+        index = not path and re.search(r"\bindex\b", tag[: shown.start()] + tag[shown.end() :] if shown else tag)
+        if path or index or target:
+            add(m.start(), path.group(2) if path else "(index)" if index else "", target.group(1) if target else None)
+    opens = sorted(o for o in src.closes if src.code[o] == "{")
     for m in PATH.finditer(src.code):
-        path, element = _string(src.text[m.end() :]), re.compile(r"\b(?:element\s*:\s*<\s*([\w.]+)|Component\s*:\s*(\w+))").search(src.text, m.end(), m.end() + 300)
-        stop = PATH.search(src.code, m.end())
-        if path is not None and element and (not stop or element.start() < stop.start()):
-            out.append({"path": path, "target": element.group(1) or element.group(2), "kind": "component", "line": src.line(m.start()), "guards": []})
+        around = next((o for o in reversed(opens[: bisect_left(opens, m.start())]) if src.closes[o] > m.start()), None)
+        path = _string(src.text[m.end() :])
+        keys = _object_keys(src, around) if around is not None else {}
+        shown = keys.get("element", keys.get("Component"))
+        if path is not None and shown is not None and keys.get("path") == m.end():
+            target = ELEMENT.match(src.text, shown)
+            add(m.start(), path, target.group(1) if target else None)
     return sorted(out, key=lambda r: r["line"])
 
 
+def _renders(code: str) -> bool:
+    """Whether blanked code holds a JSX element: a tag where a value can stand."""
+    return any(re.search(r"(?:[=(,?:&|\[{>]|\breturn|^)\s*$", code[: m.start()]) for m in TAG.finditer(code))
+
+
 def parse_react(text: str) -> dict:
     src = Source(text, "typescript")
     found = []
@@ -174,7 +223,7 @@ def parse_react(text: str) -> dict:
         name = m.group(1) or m.group(2)
         code = src.code[m.start() : _span(src, m.end() - 1 if m.group(1) else m.end())]
         hook = bool(re.match(r"use[A-Z]", name))
-        if not hook and not (name[0].isupper() and JSX.search(code)):
+        if not hook and not (name[0].isupper() and _renders(code)):
             continue
         hooks = _distinct(h for h in HOOK_CALL.findall(code) if h != name)
         found.append({

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 
 from corpusindex.facts.blank import Source, extracted, split_top
 
+MEMBERS = "bases:array<string>,methods:array<struct<name:string,sig:string,line:int>>,props:array<struct<name:string,type:string>>"
 FACT = (
     "repo string, path string, hash string, parse_error string, "
-    "types array<struct<kind:string,name:string,decorators:array<string>,ctorDeps:array<string>,basePath:string,line:int>>, "
+    f"types array<struct<kind:string,name:string,decorators:array<string>,ctorDeps:array<string>,basePath:string,line:int,{MEMBERS}>>, "
     "routes array<struct<verb:string,path:string,target:string,kind:string,line:int>>, fw array<string>"
 )
 # Receivers that are routers, and the marks of each framework.
@@ -24,6 +25,9 @@ CALL = re.compile(r"\b([A-Za-z_$][\w$]*)\s*\.\s*(get|post|put|delete|patch|all|o
 DECORATOR = re.compile(r"@([\w.]+)\s*")
 VERB = re.compile(r"(?i)@(get|post|put|delete|patch|all|options|head)$")
 CLASS = re.compile(r"\bclass\s+([\w$]+)[^{};]*\{")
+BASES = re.compile(r"\b(?:extends|implements)\s+(.*?)(?=\bextends\b|\bimplements\b|\{|$)", re.S)
+MEMBER = re.compile(r"([\w$]+)\s*[?!]?\s*(?:<[^<>()]*>\s*)?([(:=;])")
+BLOCK_WORDS = {"if", "for", "while", "switch", "catch", "return", "constructor", "function", "super", "await", "new", "typeof"}
 QUOTED = re.compile(r"[`'\"]([^`'\"]*)[`'\"]")
 
 
@@ -47,6 +51,36 @@ def join_path(base: str, sub: str) -> str:
     return path[:-1] if len(path) > 1 and path.endswith("/") else path
 
 
+def members(src: Source, head: str, body: int, close: int) -> dict:
+    """Base types, methods with their parameters and return type, and typed fields of a class, nested code left out."""
+    methods, props, at = [], [], body
+    step = re.compile(r"[({\[]|" + MEMBER.pattern)
+    while m := step.search(src.code, at, close):
+        name, mark = m.group(1), m.group(2)
+        at = m.end()
+        if name is None:
+            at = src.end(m.start(), close) + 1
+        elif mark == "(":
+            end = src.end(m.end() - 1, close)
+            tail = re.compile(r"\)\s*(?::\s*([^{};=]+?))?\s*[{;]").match(src.code, end)
+            if tail and name not in BLOCK_WORDS:
+                given = ", ".join(" ".join(p.split("=")[0].split()) for p in split_top(src.code[m.end() : end]))
+                returns = f": {' '.join(tail.group(1).split())}" if tail.group(1) else ""
+                methods.append({"name": name, "sig": f"({given}){returns}", "line": src.line(m.start())})
+            at = end + 1
+        elif mark == ":":
+            kind = re.compile(r"\s*([^=;{}()\n]+)").match(src.code, m.end(), close)
+            if kind:
+                props.append({"name": name, "type": kind.group(1).strip()})
+                at = kind.end()
+            rest = re.compile(r"[^;\n({\[]*").match(src.code, at, close)
+            at = rest.end()
+        else:
+            at = re.compile(r"[^;\n({\[]*").match(src.code, at, close).end()
+    bases = [" ".join(b.split()) for group in BASES.findall(head) for b in split_top(group)]
+    return {"bases": bases, "methods": methods, "props": props}
+
+
 def _class(src: Source, m: re.Match, before: int) -> tuple[dict, list[dict]]:
     body, close = m.end(), src.end(m.end() - 1, len(src.code))
     decorators = _decorators(src, before, m.start())
@@ -69,6 +103,7 @@ def _class(src: Source, m: re.Match, before: int) -> tuple[dict, list[dict]]:
                 routes.append({"verb": verb.group(1).upper(), "path": path, "target": f"{m.group(1)}.{name.group(1)}", "kind": "endpoint", "line": src.line(d.start())})
         at = max(at, stop)
     entry = {"kind": "class", "name": m.group(1), "decorators": decorators, "ctorDeps": list(dict.fromkeys(deps)), "basePath": base or None, "line": src.line(m.start())}
+    entry |= members(src, m.group(), body, close)
     return entry, routes
 
 

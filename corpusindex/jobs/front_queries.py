@@ -8,16 +8,17 @@ from corpusindex.facts.front import extract_angular_facts, extract_react_facts
 from corpusindex.jobs.views import view
 from corpusindex.operators import web
 from corpusindex.operators.changes import with_hash
+from corpusindex.sources.store import spread, stored
 
 
 def _facts(spark, d, name, extract, lang, root):
-    files = with_hash(view(spark, d, name))
+    files = view(spark, d, name)
     projects = files.select("repo").distinct().select("repo", F.concat(F.lit("app-"), "repo").alias("name"), F.lit(root).alias("root"))
-    return web.assign_feature(extract(files), projects, lang)
+    return stored(web.assign_feature(extract(with_hash(spread(files, "repo", "path"))), projects, lang, files.select("repo", "path")))
 
 
 def angular_facts(spark, d):
-    return _facts(spark, d, "ngsrc_v", extract_angular_facts, "angular", "src/app")
+    return _facts(spark, d, "ngsrc_v", extract_angular_facts, "angular", "src")
 
 
 def react_facts(spark, d):

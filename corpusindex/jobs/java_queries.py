@@ -8,14 +8,16 @@ from corpusindex.facts.java import extract_java_facts
 from corpusindex.jobs.views import view
 from corpusindex.operators import java
 from corpusindex.operators.changes import with_hash
+from corpusindex.sources.store import spread, stored
 
 
 def facts(spark, d):
-    """Facts of all generated files with module and context; every second module has a project."""
-    files = with_hash(view(spark, d, "javasrc_v"))
+    """Facts of all generated files with module and context, read once and written; every second module has a project."""
+    files = view(spark, d, "javasrc_v")
     projects = files.select("repo", F.substring_index("path", "/", 1).alias("dir")).distinct()
     projects = projects.where("dir <> 'mod3'").withColumn("name", F.concat(F.lit("m-"), "dir"))
-    return java.assign_java(extract_java_facts(files), projects)
+    read = extract_java_facts(with_hash(spread(files, "repo", "path")))
+    return stored(java.assign_java(read, projects, files.select("repo", "path")))
 
 
 def _tables(spark, d):
@@ -34,6 +36,11 @@ def _flows(spark, d):
     return java.java_flows(java.java_endpoints(types), java.java_beans(types), contexts)
 
 
+def _module_index(spark, d):
+    _, types, contexts = _tables(spark, d)
+    return java.module_index(contexts, java.java_endpoints(types))
+
+
 def _overview(spark, d):
     _, types, contexts = _tables(spark, d)
     return java.overview(contexts, java.java_endpoints(types), java.java_beans(types), java.java_entities(types))
@@ -103,7 +110,7 @@ QUERIES = {
     "java_entities": lambda s, d: java.java_entities(java.types_of(facts(s, d))),
     "java_flows": lambda s, d: _flows(s, d).select("repo", "fn", "flow"),
     "java_contexts": lambda s, d: java.java_contexts(facts(s, d)).select("repo", "module", "ctx_id", "name", "file_count"),
-    "module_index": lambda s, d: java.module_index(java.java_contexts(facts(s, d)), _endpoints(s, d)),
+    "module_index": _module_index,
     "context_cards": _cards,
     "context_details": lambda s, d: java.dense_types(java.types_of(facts(s, d))).select("repo", "ctx_id", "name", F.size("methods").alias("methods"), "accessors_omitted"),
     "endpoint_lines": lambda s, d: java.endpoint_lines(_endpoints(s, d)),

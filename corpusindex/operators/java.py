@@ -25,14 +25,15 @@ VALUE_TYPES = (
 REPOSITORY_BASE = r"(?<!\w)(?:JpaRepository|CrudRepository|PagingAndSortingRepository|MongoRepository|Repository)\s*<\s*(?:[\w.]*\.)?(\w+)"
 
 
-def assign_java(facts: DataFrame, projects: DataFrame) -> DataFrame:
+def assign_java(facts: DataFrame, projects: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """`facts` with module (the longest project directory above the file, else the repo's name), package and ctx_id.
 
-    Each file's directories are joined on equality with the projects'; an empty directory is the root.
+    Each file's directories are joined on equality with the projects'; an empty directory is the root. `paths` (repo, path)
+    are those of `facts`, where another table gives them without reading the facts.
     """
     parts = F.split(F.regexp_replace("path", "/?[^/]*$", ""), "/")
     dirs = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    above = facts.select("repo", "path", F.explode(F.array_distinct(dirs)).alias("dir"))
+    above = (facts if paths is None else paths).select("repo", "path", F.explode(F.array_distinct(dirs)).alias("dir"))
     best = above.join(projects.select("repo", "dir", "name"), ["repo", "dir"]).groupBy("repo", "path")
     best = best.agg(F.max_by("name", F.length("dir")).alias("module"))
     out = facts.join(best, ["repo", "path"], "left").withColumn("module", F.coalesce("module", "repo"))

@@ -31,14 +31,29 @@ def feature_of(sub: Column, containers: list[str]) -> Column:
     )
 
 
-def assign_feature(facts: DataFrame, projects: DataFrame, lang: str) -> DataFrame:
-    """`facts` with module, feature and ctx_id; `projects` (repo, name, root) has one source root per repo."""
-    joined = facts.join(projects.select("repo", F.col("name").alias("module"), "root"), "repo", "left")
-    joined = joined.withColumn("module", F.coalesce("module", "repo"))
-    prefix = F.when(F.coalesce("root", F.lit("")) == "", "").otherwise(F.concat("root", F.lit("/")))
+def assign_feature(facts: DataFrame, projects: DataFrame, lang: str, paths: DataFrame | None = None) -> DataFrame:
+    """`facts` with module, feature and ctx_id; `projects` (repo, name, root) has one or more source roots per repo.
+
+    A file belongs to the project with the longest root above it, else to that with the shortest root of its repo, else to
+    the repo itself. Roots are met by equality with each file's directories. In Angular an `app` folder below the root is
+    passed over. `paths` (repo, path) are those of `facts`, where another table gives them without reading the facts.
+    """
+    parts = F.split(F.regexp_replace("path", "/?[^/]*$", ""), "/")
+    above = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    known = projects.select("repo", F.coalesce(F.regexp_replace("root", "/+$", ""), F.lit("")).alias("root"), F.col("name").alias("module"))
+    place = F.struct(F.length("root").alias("n"), "module", "root")
+    each = (facts if paths is None else paths).select("repo", "path", F.explode(above).alias("root"))
+    best = each.join(known, ["repo", "root"]).groupBy("repo", "path").agg(F.max(place).alias("best"))
+    short = known.groupBy("repo").agg(F.min(place).alias("short"))
+    joined = facts.join(best, ["repo", "path"], "left").join(short, "repo", "left")
+    joined = joined.withColumn("module", F.coalesce("best.module", "short.module", "repo"))
+    root = F.coalesce("best.root", "short.root", F.lit(""))
+    prefix = F.when(root == "", "").otherwise(F.concat(root, F.lit("/")))
     sub = F.when(F.startswith("path", prefix), F.substring(F.col("path"), F.length(prefix) + 1, F.length("path")))
+    if lang == "angular":
+        sub = F.regexp_replace(sub, "^app/", "")
     feature = F.when(sub.isNull(), "app").otherwise(feature_of(sub, CONTAINERS[lang]))
-    return joined.withColumn("feature", feature).withColumn("ctx_id", F.concat_ws("/", "module", "feature")).drop("root")
+    return joined.withColumn("feature", feature).withColumn("ctx_id", F.concat_ws("/", "module", "feature")).drop("best", "short")
 
 
 def assign_python(facts: DataFrame) -> DataFrame:
@@ -100,6 +115,13 @@ def python_routes(facts: DataFrame) -> DataFrame:
     return plain.unionByName(listed)
 
 
+def python_functions(facts: DataFrame) -> DataFrame:
+    """(repo, ctx_id, file, name, sig, line) of the module-level functions that serve no route."""
+    served = F.exists("f.decorators", lambda d: F.substring_index(F.regexp_extract(d, r"^@([\w.]+)", 1), ".", -1).isin(*PYTHON_VERBS, "route"))
+    rows = facts.select("repo", "ctx_id", F.col("path").alias("file"), F.explode("functions").alias("f")).where(~served)
+    return rows.select("repo", "ctx_id", "file", "f.name", "f.sig", "f.line")
+
+
 def python_di(facts: DataFrame) -> DataFrame:
     """(repo, ctx_id, fn, deps) of handlers with dependencies."""
     return _handlers(facts).where(F.size("deps") > 0).select("repo", "ctx_id", "path", "line", "fn", "deps")
@@ -247,7 +269,7 @@ def front_flows(routes: DataFrame, owners: DataFrame) -> DataFrame:
     last = owners.groupBy("repo", F.col("name").alias("target")).agg(F.max_by("deps", "file").alias("deps"))
     joined = routes.join(last, ["repo", "target"], "left")
     head = F.concat(F.lit("route '"), F.when(F.col("path") == "", "/").otherwise(F.col("path")), F.lit("'"))
-    deps = F.when((F.col("deps") != "") & (F.col("kind") == "component"), F.replace("deps", F.lit(","), F.lit(" → ")))
+    deps = F.when((F.col("deps") != "") & F.col("kind").isin("component", "route"), F.replace("deps", F.lit(","), F.lit(" → ")))
     target = F.when(F.col("kind") == "redirect", F.concat(F.lit("↪ "), "target")).otherwise(F.col("target"))
     flow = F.when(F.col("target").isNotNull(), F.concat_ws(" → ", head, target, deps))
     guards = F.when(F.col("guards") != "", F.concat(F.lit("  (guards: "), "guards", F.lit(")"))).otherwise("")
