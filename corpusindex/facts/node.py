@@ -64,7 +64,8 @@ def members(src: Source, head: str, body: int, close: int) -> dict:
             end = src.end(m.end() - 1, close)
             tail = re.compile(r"\)\s*(?::\s*([^{};=]+?))?\s*[{;]").match(src.code, end)
             if tail and name not in BLOCK_WORDS:
-                given = ", ".join(" ".join(p.split("=")[0].split()) for p in split_top(src.code[m.end() : end]))
+                plain = re.sub(r"@[\w.]+\s*(?:\([^()]*\))?\s*", "", src.code[m.end() : end])
+                given = ", ".join(" ".join(p.split("=")[0].split()) for p in split_top(plain))
                 returns = f": {' '.join(tail.group(1).split())}" if tail.group(1) else ""
                 methods.append({"name": name, "sig": f"({given}){returns}", "line": src.line(m.start())})
             at = end + 1

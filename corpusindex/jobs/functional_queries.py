@@ -116,13 +116,17 @@ def _stream(spark, d, table):
     return spark.readStream.schema(spark.read.parquet(f"{d}/{table}.parquet").schema).parquet(f"{d}/{table}.parquet*")
 
 
-def _touches(spark, d):
+def touches(spark, d):
+    """Touched files as a stream."""
     kind = F.when(F.col("event_type") == "error", ".txt").otherwise(".java")
-    touched = _stream(spark, d, "events").select(
+    return _stream(spark, d, "events").select(
         F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string")).alias("repo"), F.concat(F.lit("f"), "user_id", kind).alias("file"), "ts"
     )
+
+
+def _touches(spark, d):
     out = shared_folder(spark)
-    query = streams.touch_queue(touched, "java", lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{out}/drained"), f"{out}/state")
+    query = streams.touch_queue(touches(spark, d), "java", lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{out}/drained"), f"{out}/state")
     query.awaitTermination()
     return spark.read.parquet(f"{out}/drained").select("repo", "file").distinct()
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusindex.jobs import ask_queries, decision_queries, front_queries, functional_queries, java_queries, retrieval_queries, source_queries, web_queries
+from corpusindex.jobs import ask_queries, decision_queries, front_queries, functional_queries, index_queries, java_queries, retrieval_queries, source_queries, web_queries
 
-MODULES = (retrieval_queries, decision_queries, java_queries, functional_queries, web_queries, front_queries, source_queries, ask_queries)
+MODULES = (retrieval_queries, decision_queries, java_queries, functional_queries, web_queries, front_queries, source_queries, ask_queries, index_queries)
 
 
 def queries() -> dict:

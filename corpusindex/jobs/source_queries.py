@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusindex.facts.blank import with_code_only
+from corpusindex.facts.front import extract_angular_facts, extract_react_facts
+from corpusindex.facts.java import extract_java_facts
+from corpusindex.facts.node import extract_node_facts
+from corpusindex.facts.python import extract_python_facts
+from corpusindex.functions.text import content_hash
 from corpusindex.jobs.decision_queries import HASH_SQL, files, ledger, with_evidence
-from corpusindex.jobs.functional_queries import functional
-from corpusindex.sources.store import shared_folder
+from corpusindex.jobs.functional_queries import functional, touches
+from corpusindex.sources.store import shared_folder, stored
 from corpusindex.jobs.retrieval_queries import HAYSTACK, DECISIONS_SQL, decisions, terms_sql
 from corpusindex.jobs.views import sql_for, view
-from corpusindex.operators import retrieval
+from corpusindex.operators import retrieval, web
+from corpusindex.operators.changes import refreshed, with_hash
 from corpusindex.sources import files as io
+from corpusindex.streaming import streams
 
 
 def _decisions(spark, d):
@@ -49,7 +56,9 @@ def _index(spark, d):
     old = view(spark, d, "old_files_v").where("path NOT LIKE 'gone/%'").select(F.concat_ws("/", "repo", "ctx_id").alias("ctx"), "path", "content")
     new = view(spark, d, "files_v").where("module <> 'src3'").select(F.concat_ws("/", "repo", "ctx_id").alias("ctx"), "path", "content")
     first = io.write_index(spark, old, path, "ctx", None)
-    return io.write_index(spark, new, path, "ctx", first.select("ctx", "content_hash")).select("ctx", "change")
+    changes = io.write_index(spark, new, path, "ctx", first.select("ctx", "content_hash")).select("ctx", "change")
+    held = spark.read.schema("path string, content string, ctx string").parquet(path).groupBy("ctx").agg(F.count("*").alias("held"))
+    return changes.join(held, "ctx", "full_outer").select("ctx", "change", F.coalesce("held", F.lit(0)).alias("held"))
 
 
 def _postings(spark, d):
@@ -71,7 +80,76 @@ def _code(spark, d):
     return out.select("repo", "path", F.length("code").alias("n"), lines(F.col("code")).alias("lines"), F.contains("code", F.lit("Fake")).alias("fake"))
 
 
+def _scan(spark, d):
+    """Generated sources of Python among files that a scan leaves out, written as a tree and scanned."""
+    base = view(spark, d, "pysrc_v").select("repo", "path", "content", "k")
+    k = F.col("k").cast("string")
+    odd = F.when(F.col("k") % 4 == 0, F.concat(F.lit("venv/x"), k, F.lit(".py"))).when(F.col("k") % 4 == 1, F.concat(F.lit("a/test_"), k, F.lit(".py")))
+    odd = odd.when(F.col("k") % 4 == 2, F.concat(F.lit("a/x"), k, F.lit(".txt"))).otherwise(F.concat(F.lit("a/nul"), k, F.lit(".py")))
+    content = F.when(F.col("k") % 4 == 3, F.concat(F.lit("x = 1"), F.decode(F.unhex(F.lit("00")), "UTF-8"))).otherwise(F.lit("x = 1"))
+    root = shared_folder(spark)
+    io.write_tree(base.select("repo", "path", "content").unionByName(base.select("repo", odd.alias("path"), content.alias("content"))), root)
+    return io.scan_source_files(spark, root, "python").select("repo", "path", content_hash(F.col("content")).alias("hash"), "size")
+
+
+def _projects(spark, d):
+    files = view(spark, d, "buildfiles_v")
+    parts = [io.read_projects(files, lang).select(F.lit(lang).alias("lang"), "repo", "dir", "name", "root") for lang in ("java", "node", "angular")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _workspaces(spark, d):
+    """Files of workspaces with several projects, of which the third repo names none."""
+    files = view(spark, d, "workspaces_v")
+    listed = '{"projects": {"shop": {"sourceRoot": "projects/shop/src"}, "admin": {"root": "projects/admin"}, "lib": {"sourceRoot": "lib"}}}'
+    build = files.select("repo").distinct().select("repo", F.when(F.col("repo") == "r2", "readme").otherwise("angular.json").alias("path"), F.lit(listed).alias("content"))
+    return web.assign_feature(files, io.read_projects(build, "angular"), "angular").select("repo", "path", "module", "ctx_id")
+
+
+def _odd(spark, d):
+    """What the readers find in sources that are easily misread."""
+    files = stored(with_hash(view(spark, d, "oddsrc_v")))
+    of = lambda lang: files.where(F.col("lang") == lang)
+    facts = stored(extract_angular_facts(of("angular")))
+    calls = facts.select("repo", "path", F.explode("types").alias("t")).select("repo", "path", F.explode("t.http").alias("h")).select(F.lit("angular").alias("lang"), "repo", "path", F.concat_ws(" ", "h.verb", "h.url").alias("found"))
+    react = extract_react_facts(of("react")).select("repo", "path", F.explode("routes").alias("r")).select(F.lit("react").alias("lang"), "repo", "path", F.concat_ws(" ", "r.path", "r.target").alias("found"))
+    python = web.python_routes(web.assign_python(extract_python_facts(of("python")))).select(F.lit("python").alias("lang"), "repo", F.col("file").alias("path"), F.concat_ws(" ", "verb", "path", "fn").alias("found"))
+    node = extract_node_facts(of("node"))
+    routes = node.select("repo", "path", F.explode("routes").alias("r")).select(F.lit("node").alias("lang"), "repo", "path", F.concat_ws(" ", "r.verb", "r.path").alias("found"))
+    return calls.unionByName(react).unionByName(python).unionByName(routes)
+
+
+def _reconcile(spark, d):
+    """Touched files drained from a stream, their facts read again where their hash changed, taken from the cache else."""
+    users = view(spark, d, "events").select("user_id").distinct()
+    name = F.concat(F.lit("f"), "user_id", F.lit(".java"))
+    body = F.concat(F.lit("class A"), "user_id", F.lit(" { }"))
+    repo = F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string"))
+    files = stored(with_hash(users.where("user_id % 7 <> 0").select(repo.alias("repo"), name.alias("path"), body.alias("content"), "user_id")))
+    manifest = stored(users.where("user_id % 5 <> 0").join(files.select("user_id", "hash"), "user_id", "left").select(
+        repo.alias("repo"), name.alias("path"), F.when(F.col("user_id") % 2 == 0, "old").otherwise(F.coalesce("hash", F.lit("x"))).alias("hash"),
+        F.lit(None).cast("string").alias("parse_error"), F.lit("E1").alias("engine_hash"), F.lit(True).alias("cached"),
+    ))
+    cache = files.select("repo", "path", "hash").withColumn("types", F.lit("from cache"))
+    out = shared_folder(spark)
+
+    def drain(batch, number):
+        names = batch.select("repo", F.col("file").alias("path"))
+        extract = lambda todo: extract_java_facts(todo).select("repo", "path", "hash", F.array_join(F.transform("types", lambda t: t["name"]), ",").alias("types"))
+        classes, facts = refreshed(names, files, cache, manifest, "E1", extract)
+        rows = classes.join(facts.select("repo", "path", "types"), ["repo", "path"], "left").withColumn("batch", F.lit(number))
+        rows.write.mode("overwrite").parquet(f"{out}/drained/batch={number}")
+
+    streams.touch_queue(touches(spark, d), "java", drain, f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/drained").select("repo", "path", "status", "types").distinct()
+
+
 QUERIES = {
+    "scan_files": _scan,
+    "build_projects": _projects,
+    "angular_workspaces": _workspaces,
+    "odd_sources": _odd,
+    "touch_reconcile": _reconcile,
     "decision_roundtrip": _decisions,
     "fact_cache_roundtrip": _facts,
     "functional_roundtrip": _functional,
@@ -83,7 +161,23 @@ QUERIES = {
 }
 
 LINE2 = "coalesce(string_split(decision, chr(10))[2], '')"
+TOUCHED_SQL = "(SELECT DISTINCT user_id AS k, 'r' || (user_id % 3) AS repo, 'f' || user_id || '.java' AS path FROM events WHERE event_type <> 'error')"
 ORACLE = {
+    "scan_files": f"SELECT repo, path, {HASH_SQL.format('content')} AS hash, octet_length(encode(content)) AS size FROM {sql_for('pysrc_v')}",
+    "build_projects": """SELECT 'java' AS lang, 'r' || s_suppkey AS repo, '' AS dir, CASE WHEN s_suppkey % 2 = 0 THEN 'own' || s_suppkey ELSE 'r' || s_suppkey END AS name, '' AS root FROM supplier
+        UNION ALL SELECT 'node', 'r' || s_suppkey, 'web', CASE WHEN s_suppkey % 3 = 0 THEN 'web' ELSE 'web' || s_suppkey END, CASE WHEN s_suppkey % 5 = 0 THEN 'web/src' ELSE 'web' END FROM supplier
+        UNION ALL SELECT 'angular', 'r' || s_suppkey, '', name, root FROM supplier, (VALUES ('shop', 'projects/shop/src'), ('admin', 'projects/admin/src')) v(name, root) WHERE s_suppkey % 2 = 0
+        UNION ALL SELECT 'angular', 'r' || s_suppkey, '', 'r' || s_suppkey, 'src' FROM supplier WHERE s_suppkey % 2 = 1""",
+    "angular_workspaces": f"""SELECT repo, path, CASE WHEN repo = 'r2' THEN 'r2' WHEN k % 4 = 0 THEN 'shop' WHEN k % 4 = 1 THEN 'admin' ELSE 'lib' END AS module,
+        CASE WHEN repo = 'r2' THEN 'r2/app' WHEN k % 4 = 0 THEN 'shop/features.f' || (k % 5) WHEN k % 4 = 1 THEN 'admin/pages.f' || (k % 5) WHEN k % 4 = 2 THEN 'lib/f' || (k % 5) ELSE 'lib/app' END AS ctx_id
+        FROM {sql_for("workspaces_v")}""",
+    "odd_sources": f"""WITH o AS (SELECT * FROM {sql_for("oddsrc_v")})
+        SELECT lang, repo, path, 'GET /o' || k AS found FROM o WHERE lang = 'angular'
+        UNION ALL SELECT lang, repo, path, unnest(['/a' || k || ' A', '/b B', '(index) Home']) FROM o WHERE lang = 'react'
+        UNION ALL SELECT lang, repo, path, 'GET /q' || k || ' ok' || k FROM o WHERE lang = 'python'
+        UNION ALL SELECT lang, repo, path, 'GET /n' || k FROM o WHERE lang = 'node'""",
+    "touch_reconcile": f"""SELECT repo, path, CASE WHEN k % 7 = 0 THEN 'gone' WHEN k % 5 = 0 OR k % 2 = 0 THEN 'parsed' ELSE 'reused' END AS status,
+        CASE WHEN k % 7 = 0 THEN NULL WHEN k % 5 = 0 OR k % 2 = 0 THEN 'A' || k ELSE 'from cache' END AS types FROM {TOUCHED_SQL} WHERE k % 7 <> 0 OR k % 5 <> 0""",
     "decision_roundtrip": f"""SELECT repo, id, title, type, status, scope, domain, date, decision, rationale, supersedes, lang || ' ' || source AS tags,
         CASE WHEN doc_id % 3 = 0 THEN path ELSE path || ':2' END || '=' || CASE WHEN doc_id % 10 = 0 THEN '00000000' WHEN doc_id % 3 = 0 THEN {HASH_SQL.format("decision")} ELSE {HASH_SQL.format(LINE2)} END AS hashes, NULL AS error
         FROM {sql_for("decisions_v")}""",
@@ -91,8 +185,9 @@ ORACLE = {
     "functional_roundtrip": f"SELECT repo, ctx_id, purpose, concat_ws(';', cap1, cap2) AS capabilities, src_hash FROM {sql_for('functional_v')}",
     "inference_batch": f"SELECT ctx_id AS id, purpose FROM {sql_for('functional_v')}",
     "index_write_changes": f"""WITH o AS (SELECT repo || '/' || ctx_id AS ctx, string_agg(path || content, chr(0) ORDER BY path) AS c FROM {sql_for("old_files_v")} WHERE path NOT LIKE 'gone/%' GROUP BY 1),
-        n AS (SELECT repo || '/' || ctx_id AS ctx, string_agg(path || content, chr(0) ORDER BY path) AS c FROM {sql_for("files_v")} WHERE module <> 'src3' GROUP BY 1)
-        SELECT coalesce(o.ctx, n.ctx) AS ctx, CASE WHEN o.ctx IS NULL THEN 'added' WHEN n.ctx IS NULL THEN 'removed' WHEN o.c <> n.c THEN 'changed' ELSE 'same' END AS change FROM o FULL JOIN n ON o.ctx = n.ctx""",
+        n AS (SELECT repo || '/' || ctx_id AS ctx, count(*) AS held, string_agg(path || content, chr(0) ORDER BY path) AS c FROM {sql_for("files_v")} WHERE module <> 'src3' GROUP BY 1)
+        SELECT coalesce(o.ctx, n.ctx) AS ctx, CASE WHEN o.ctx IS NULL THEN 'added' WHEN n.ctx IS NULL THEN 'removed' WHEN o.c <> n.c THEN 'changed' ELSE 'same' END AS change,
+            coalesce(n.held, 0) AS held FROM o FULL JOIN n ON o.ctx = n.ctx""",
     "postings_write": f"""WITH dec AS ({DECISIONS_SQL}), dt AS ({terms_sql("dec", "repo, id", HAYSTACK)}) SELECT repo, term, string_agg(id, ',' ORDER BY id) AS ids FROM dt GROUP BY ALL""",
     "ledger_roundtrip": f"""WITH led AS (SELECT * FROM {sql_for("ledger_v")}), et AS ({terms_sql("led", "repo, entry", "q")})
         SELECT l.repo, l.entry, q, a, scope, (SELECT count(*) FROM et WHERE et.repo = l.repo AND et.entry = l.entry) AS n_terms FROM led l""",

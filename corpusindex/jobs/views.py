@@ -136,6 +136,33 @@ VIEWS = {
                  WHEN 1 THEN '@Injectable({ providedIn: "root" })' || chr(10) || 'export class Api' || CAST(p_partkey AS STRING) || 'Service {' || chr(10) || '  private base = `$' || '{environment.apiUrl}/items' || CAST(p_partkey AS STRING) || '`;' || chr(10) || '  constructor(private http: HttpClient) {}' || chr(10) || '  all() { return this.http.get<Item[]>(this.base); }' || chr(10) || '  make(b: Item) { return this.http.post(`$' || '{this.base}/new`, b); }' || chr(10) || '  drop(id: number) { return this.http.delete(this.unknown); }' || chr(10) || '}' || chr(10) || '@NgModule({ declarations: [A, B], imports: [], exports: [A] })' || chr(10) || 'export class M' || CAST(p_partkey AS STRING) || 'Module {}' || chr(10)
                  ELSE 'export const routes: Routes = [' || chr(10) || '  { path: "", redirectTo: "p' || CAST(p_partkey AS STRING) || '", pathMatch: "full" },' || chr(10) || '  { path: "p' || CAST(p_partkey AS STRING) || '", component: C' || CAST(p_partkey AS STRING) || 'Component, canActivate: [guard' || CAST(p_partkey AS STRING) || ', scope("a,b")] },' || chr(10) || '  { path: "lazy' || CAST(p_partkey AS STRING) || '", loadComponent: () => import("./x' || CAST(p_partkey AS STRING) || '").then((m) => m.X) },' || chr(10) || '  { path: "kids' || CAST(p_partkey AS STRING) || '", children: [] }' || chr(10) || '];' || chr(10) END AS content
         FROM {part}""",
+    "oddsrc_v": """
+        SELECT 'r' || CAST(p_partkey % 97 AS STRING) AS repo, p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'angular' WHEN 1 THEN 'react' WHEN 2 THEN 'python' ELSE 'node' END AS lang,
+               'src/x' || CAST(p_partkey AS STRING) || CASE p_partkey % 4 WHEN 1 THEN '.tsx' WHEN 2 THEN '.py' ELSE '.ts' END AS path,
+               CASE p_partkey % 4
+                 WHEN 0 THEN 'export class O' || CAST(p_partkey AS STRING) || ' {' || chr(10)
+                   || '  constructor(private client: HttpClient, private httpCache: Cache) {}' || chr(10)
+                   || '  all() { this.httpCache.get("k"); return this.client.get("/o' || CAST(p_partkey AS STRING) || '"); }' || chr(10) || '}' || chr(10)
+                 WHEN 1 THEN 'export const App' || CAST(p_partkey AS STRING) || ' = () => (<Routes>' || chr(10)
+                   || '  <Route element={<A />} path="/a' || CAST(p_partkey AS STRING) || '" />' || chr(10)
+                   || '  <Route path="/b" component={B} />' || chr(10) || '  <Route index element={<Home />} />' || chr(10) || '</Routes>);' || chr(10)
+                 WHEN 2 THEN '@app.get("/q' || CAST(p_partkey AS STRING) || '")' || chr(10) || 'def ok' || CAST(p_partkey AS STRING) || '(a):' || chr(10)
+                   || '    print "old"' || chr(10) || '    return 1' || chr(10)
+                 ELSE 'const t = `a $' || '{ f(`class Fake $' || '{"}"} {`) } b`;' || chr(10) || 'router.get("/n' || CAST(p_partkey AS STRING) || '", list);' || chr(10)
+               END AS content
+        FROM {part}""",
+    "workspaces_v": """
+        SELECT 'r' || CAST(p_partkey % 3 AS STRING) AS repo, p_partkey AS k,
+               CASE p_partkey % 4 WHEN 0 THEN 'projects/shop/src/app/features/f' WHEN 1 THEN 'projects/admin/src/pages/f' WHEN 2 THEN 'lib/f' ELSE 'other/f' END
+               || CAST(p_partkey % 5 AS STRING) || '/x' || CAST(p_partkey AS STRING) || '.ts' AS path
+        FROM {part}""",
+    "buildfiles_v": """
+        SELECT 'r' || CAST(s_suppkey AS STRING) AS repo, 'pom.xml' AS path,
+               '<project><parent><artifactId>up</artifactId></parent>' || CASE WHEN s_suppkey % 2 = 0 THEN '<artifactId>own' || CAST(s_suppkey AS STRING) || '</artifactId>' ELSE '' END || '</project>' AS content
+        FROM {supplier}
+        UNION ALL SELECT 'r' || CAST(s_suppkey AS STRING), 'web/package.json', CASE WHEN s_suppkey % 3 = 0 THEN '{{' ELSE '{"name": "@org/web' || CAST(s_suppkey AS STRING) || '"}' END FROM {supplier}
+        UNION ALL SELECT 'r' || CAST(s_suppkey AS STRING), 'web/src/a.ts', 'x' FROM {supplier} WHERE s_suppkey % 5 = 0
+        UNION ALL SELECT 'r' || CAST(s_suppkey AS STRING), 'angular.json', '{"projects": {"shop": {"sourceRoot": "projects/shop/src/"}, "admin": {"root": "projects/admin"}}}' FROM {supplier} WHERE s_suppkey % 2 = 0""",
     "reactsrc_v": """
         SELECT 'r' || CAST(p_partkey % 2 AS STRING) AS repo, 'src/pages/f' || CAST(p_partkey % 9 AS STRING) || '/x' || CAST(p_partkey AS STRING) || '.tsx' AS path, p_partkey AS k,
                CASE p_partkey % 3 WHEN 0 THEN 'import { useState } from "react";' || chr(10) || 'export function Page' || CAST(p_partkey AS STRING) || '({ title, size = 1 }: Props) {' || chr(10) || '  const [x] = useState<number>(1);' || chr(10) || '  const list = useItems' || CAST(p_partkey AS STRING) || '(x);' || chr(10) || '  return <div>{title}</div>;' || chr(10) || '}' || chr(10) || 'const helper' || CAST(p_partkey AS STRING) || ' = (a: number) => a + 1;' || chr(10)

@@ -59,3 +59,13 @@ def functional_drift(contexts: DataFrame, functional: DataFrame) -> DataFrame:
     stored = functional.select("repo", "ctx_id", F.col("src_hash").alias("stored"))
     joined = contexts.join(stored, ["repo", "ctx_id"], "left")
     return joined.withColumn("functional_stale", F.coalesce(F.col("stored") != F.col("src_hash"), F.lit(False))).drop("stored")
+
+
+def refreshed(
+    touched: DataFrame, files: DataFrame, cache: DataFrame, manifest: DataFrame, engine_hash: str, extract: Callable[[DataFrame], DataFrame]
+) -> tuple[DataFrame, DataFrame]:
+    """(classes, facts) of the touched files (repo, path): classify_changes and incremental_facts on them alone."""
+    names = touched.select("repo", "path").distinct()
+    now, known = files.join(names, ["repo", "path"], "left_semi"), manifest.join(names, ["repo", "path"], "left_semi")
+    classes = classify_changes(now, known, engine_hash)
+    return classes, incremental_facts(now, cache.join(names, ["repo", "path"], "left_semi"), classes, extract)

@@ -32,10 +32,27 @@ def evidence_sources(files: DataFrame, per_file: int = 4000, total: int = 16000)
     return sized.withColumn("truncated", lost).where(F.col("before") < total).select("repo", "ctx_id", "path", "place", "source", "truncated")
 
 
-def evidence_hash(sources: DataFrame) -> DataFrame:
-    """(repo, ctx_id, evidence_hash) over the sources in order; a changed body changes it."""
+def evidence_packs(contexts: DataFrame, routes: DataFrame, units: DataFrame, sources: DataFrame) -> DataFrame:
+    """(repo, ctx_id, routes, units, sources, truncated): what a context's meaning is inferred from.
+
+    `routes` are its flows (labels where a route has none), `units` its units by group, a line each, sorted; `sources` are
+    evidence_sources() joined by line breaks, each after its path.
+    """
+    lines = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "\n")
+    flows = routes.groupBy("repo", "ctx_id").agg(lines(F.coalesce("flow", "label")).alias("routes"))
+    named = units.groupBy("repo", "ctx_id").agg(lines(F.concat_ws(" ", "grp", "name")).alias("units"))
     parts = F.array_sort(F.collect_list(F.struct("place", "path", "source")))
-    return sources.groupBy("repo", "ctx_id").agg(content_hash(F.to_json(parts)).alias("evidence_hash"))
+    texts = F.array_join(F.transform(parts, lambda p: F.concat_ws("\n", p["path"], p["source"])), "\n")
+    held = sources.groupBy("repo", "ctx_id").agg(texts.alias("sources"), F.bool_or("truncated").alias("truncated"))
+    out = contexts.select("repo", "ctx_id")
+    for part in (flows, named, held):
+        out = out.join(part, ["repo", "ctx_id"], "left")
+    return out.withColumn("truncated", F.coalesce("truncated", F.lit(False)))
+
+
+def evidence_hash(packs: DataFrame) -> DataFrame:
+    """(repo, ctx_id, evidence_hash) over a pack's facts and sources; a changed body changes it."""
+    return packs.select("repo", "ctx_id", content_hash(F.concat_ws("\n", "ctx_id", "routes", "units", "sources")).alias("evidence_hash"))
 
 
 def stale_contexts(hashes: DataFrame, functional: DataFrame, limit: int | None = None) -> DataFrame:

@@ -146,15 +146,21 @@ def ask(queries: DataFrame, contexts: DataFrame) -> DataFrame:
     return hit.join(counted, ["repo", "word"]).groupBy("repo", "query_id", "id").agg(F.sum("times").cast("double").alias("score"))
 
 
-def ask_payload(hits: DataFrame, endpoints: DataFrame, rules: DataFrame) -> DataFrame:
-    """(repo, query_id, id, rank, kind, text): endpoints of the contexts shown, and the first one's rules.
+def ask_payload(
+    hits: DataFrame, endpoints: DataFrame, rules: DataFrame, cards: DataFrame | None = None, flows: DataFrame | None = None
+) -> DataFrame:
+    """(repo, query_id, id, rank, kind, text): endpoints and cards of the contexts shown, and the first one's rules and flows.
 
-    `endpoints` has repo, id, text; `rules` repo, id, text. Only contexts that a query shows reach the joins' output.
+    Each table has repo, id, text. Only contexts that a query shows reach the joins' output.
     """
     shown = hits.select("repo", "query_id", "id", "rank")
-    calls = shown.join(endpoints.select("repo", "id", F.lit("endpoint").alias("kind"), "text"), ["repo", "id"])
-    first = shown.where("rank = 1").join(rules.select("repo", "id", F.lit("rule").alias("kind"), "text"), ["repo", "id"])
-    return calls.unionByName(first).select("repo", "query_id", "id", "rank", "kind", "text")
+    out = None
+    for kind, table, first in (("endpoint", endpoints, False), ("card", cards, False), ("rule", rules, True), ("flow", flows, True)):
+        if table is not None:
+            part = (shown.where("rank = 1") if first else shown).join(table.select("repo", "id", F.lit(kind).alias("kind"), "text"), ["repo", "id"])
+            part = part.where("text IS NOT NULL").select("repo", "query_id", "id", "rank", "kind", "text")
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def signature_lines(endpoints: DataFrame) -> DataFrame:

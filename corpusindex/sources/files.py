@@ -6,10 +6,13 @@ import json
 import re
 
 import pandas as pd
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusindex.sources.store import stored
+
 # What is scanned for each language, and the folders that are skipped.
 SCAN = {
     "java": (r"\.java$", None, "target build out bin .git node_modules .idea .claude .gradle generated"),
@@ -34,7 +37,8 @@ def _binary(spark: SparkSession, root: str) -> DataFrame:
 def scan_source_files(spark: SparkSession, root: str, lang: str) -> DataFrame:
     """(repo, path, content, size) of the language's files below `root`; the first folder of a path is its repo.
 
-    Files of more than 2 MiB or with a NUL in their first 4096 bytes are left out, as are the language's skipped folders.
+    Files of more than 2 MiB or with a NUL in their first 4096 bytes are left out, as are the language's skipped folders and
+    empty files.
     """
     wanted, unwanted, skipped = SCAN[lang]
     files = _binary(spark, root).where(F.col("length") <= LARGEST)
@@ -50,19 +54,30 @@ def scan_source_files(spark: SparkSession, root: str, lang: str) -> DataFrame:
 
 
 def read_projects(files: DataFrame, lang: str) -> DataFrame:
-    """(repo, dir, name, root) of build files (repo, path, content): Maven artifacts, package names, Angular projects."""
+    """(repo, dir, name, root) of build files (repo, path, content): Maven artifacts, package names, Angular projects.
+
+    An Angular project's sources lie in its sourceRoot, else in `src` below its root; a repo without projects is one, in
+    `src`. A package's lie in `src` where `files` has some there, else in its own folder.
+    """
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     last = F.when(folder == "", F.col("repo")).otherwise(F.substring_index(folder, "/", -1))
     if lang == "java":
         own = F.regexp_extract(F.regexp_replace("content", r"(?s)<parent>.*?</parent>", ""), r"<artifactId>\s*([^<\s]+)", 1)
         name = F.when(own != "", own).otherwise(last)
         return files.where(F.col("path").rlike("(^|/)pom\\.xml$")).select("repo", folder.alias("dir"), name.alias("name"), folder.alias("root"))
+    within = lambda root: F.array_join(F.filter(F.array(F.col("dir"), F.regexp_replace(root, "/+$", "")), lambda p: p != ""), "/")
     if lang == "angular":
         listed = F.from_json("content", "projects map<string, struct<sourceRoot: string, root: string>>")["projects"]
         rows = files.where(F.col("path").rlike("(^|/)angular\\.json$")).select("repo", folder.alias("dir"), F.explode(listed).alias("name", "p"))
-        return rows.select("repo", "dir", "name", F.coalesce("p.sourceRoot", "p.root", F.lit("src")).alias("root"))
+        nested = F.when(F.coalesce("p.root", F.lit("")) != "", F.concat("p.root", F.lit("/src"))).otherwise("src")
+        found = rows.select("repo", "dir", "name", within(F.coalesce(F.when(F.col("p.sourceRoot") != "", F.col("p.sourceRoot")), nested)).alias("root"))
+        lost = files.select("repo").distinct().join(found, "repo", "left_anti")
+        return found.unionByName(lost.select("repo", F.lit("").alias("dir"), F.col("repo").alias("name"), F.lit("src").alias("root")))
     name = F.regexp_replace(F.from_json("content", "name string")["name"], "^@[^/]+/", "")
-    return files.where(F.col("path").rlike("(^|/)package\\.json$")).select("repo", folder.alias("dir"), F.coalesce(name, last).alias("name"), F.lit("src").alias("root"))
+    rows = files.where(F.col("path").rlike("(^|/)package\\.json$")).select("repo", folder.alias("dir"), F.coalesce(name, last).alias("name"))
+    source = F.when(F.startswith("path", F.lit("src/")), "").otherwise(F.regexp_extract("path", "^(.*?)/src/", 1))
+    sourced = files.where(F.col("path").rlike("(^|/)src/")).select("repo", source.alias("dir"), F.lit("src").alias("src")).distinct()
+    return rows.join(sourced, ["repo", "dir"], "left").select("repo", "dir", "name", F.when(F.col("src").isNotNull(), within(F.col("src"))).otherwise(F.col("dir")).alias("root"))
 
 
 def write_fact_cache(facts: DataFrame, path: str) -> None:
@@ -230,21 +245,50 @@ def read_inference_batch(texts: DataFrame, schema: str) -> DataFrame:
 
 
 def write_index(spark: SparkSession, table: DataFrame, path: str, key: str, previous: DataFrame | None) -> DataFrame:
-    """(key, change) of `table`, written by partitions of `key`: added, changed, same or removed; only changes are written.
+    """(key, content_hash, change) of `table`, written by partitions of `key`: added, changed, same or removed.
 
-    A partition's content is the hash of its sorted rows as JSON. `previous` has key and content_hash of the last write.
+    Only added and changed partitions are written, one file each, and those of vanished keys are deleted. A partition's
+    content is the number and order-free sums of the hashes of its rows. `previous` has key and content_hash of the last write.
     """
-    rows = F.to_json(F.struct(*[c for c in table.columns if c != key]))
-    now = table.groupBy(key).agg(F.sha1(F.array_join(F.array_sort(F.collect_list(rows)), "\n").cast("binary")).alias("now"))
+    row = F.to_json(F.struct(*[c for c in table.columns if c != key]))
+    hashed = table.select(key, F.xxhash64(row).alias("h"), F.xxhash64(F.lit(7), row).alias("g"))
+    sums = F.concat_ws("-", F.count("*"), F.sum(F.col("h").cast("decimal(38,0)")), F.bit_xor("g"))
+    now = hashed.groupBy(key).agg(F.sha1(sums.cast("binary")).alias("now"))
     old = previous.select(key, F.col("content_hash").alias("old")) if previous is not None else now.select(key, F.col("now").alias("old")).where("false")
     joined = now.join(old, key, "full_outer")
     change = F.when(F.col("old").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("old") != F.col("now"), "changed").otherwise("same")
-    changes = joined.select(key, F.col("now").alias("content_hash"), change.alias("change"))
+    changes = stored(joined.select(key, F.col("now").alias("content_hash"), change.alias("change")))
     todo = table.join(changes.where(F.col("change").isin("added", "changed")).select(key), key, "left_semi")
-    todo.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    todo.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    _drop_partitions(spark, path, key, changes.where("change = 'removed'"))
     return changes
 
 
+def _drop_partitions(spark: SparkSession, path: str, key: str, gone: DataFrame) -> None:
+    """Delete the folders of the partitions in `gone`; only their names pass the driver, a partition of them at a time."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    system = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in gone.select(F.col(key).cast("string")).toLocalIterator():
+        system.delete(hadoop.Path(f"{path}/{names.getPartitionPathString(key, row[0])}"), True)
+
+
+def write_tree(files: DataFrame, root: str) -> None:
+    """Each row (repo, path, content) as the file `root`/repo/path, written by the tasks; a file written twice is the same."""
+
+    def write(frames):
+        system, base = pa_fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        for frame in frames:
+            for repo, path, content in zip(frame["repo"], frame["path"], frame["content"]):
+                target = f"{base}/{repo}/{path}"
+                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(target) as out:
+                    out.write((content or "").encode())
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    files.select("repo", "path", "content").mapInPandas(write, "n long").write.format("noop").mode("overwrite").save()
+
+
 def write_postings(index: DataFrame, path: str) -> None:
     """One row per term with its sorted ids, files sorted by term."""
     rows = index.groupBy("repo", "term").agg(F.array_sort(F.collect_set("id")).alias("ids"))
