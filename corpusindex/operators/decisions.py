@@ -158,25 +158,27 @@ def decision_conflicts(decisions: DataFrame, files: DataFrame) -> DataFrame:
     return relations.unionByName(missing).unionByName(stale)
 
 
-def _listed(decisions: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Active decisions with `place` within `keys`: architecture and convention first, then the newest, then by id."""
+def _listed(decisions: DataFrame, keys: tuple[str, ...], k: int) -> DataFrame:
+    """The first `k` active decisions within `keys`, with `place`: architecture and convention first, then the newest, then
+    by id; `n` is how many there are."""
     active = decisions.where(F.col("status").isin(*ACTIVE_STATUSES))
     first = F.col("type").isin("architecture", "convention").cast("int")
     order = Window.partitionBy(*keys).orderBy(first.desc(), F.col("date").desc(), "id")
-    return active.withColumn("place", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+    counts = active.groupBy(*keys).agg(F.count("*").alias("n"))
+    return active.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).join(counts, list(keys))
 
 
 def constitution(decisions: DataFrame, k: int = 30) -> DataFrame:
     """(repo, place, id, type, title, more): active global decisions; `more` is how many are not shown."""
     scoped = decisions.where(effective_scope(F.col("scope"), F.col("type")) == "global")
-    listed = _listed(scoped, ("repo",)).where(F.col("place") <= k)
+    listed = _listed(scoped, ("repo",), k)
     return listed.select("repo", "place", "id", "type", "title", F.greatest(F.col("n") - k, F.lit(0)).alias("more"))
 
 
 def domain_cards(decisions: DataFrame, k: int = 25) -> DataFrame:
     """(repo, domain, place, id, type, scope, title, active, total, more) of each domain's active decisions."""
     totals = decisions.groupBy("repo", "domain").agg(F.count("*").alias("total"))
-    listed = _listed(decisions, ("repo", "domain")).where(F.col("place") <= k)
+    listed = _listed(decisions, ("repo", "domain"), k)
     scope = effective_scope(F.col("scope"), F.col("type")).alias("scope")
     more = F.greatest(F.col("n") - k, F.lit(0)).alias("more")
     return listed.join(totals, ["repo", "domain"]).select("repo", "domain", "place", "id", "type", scope, "title", F.col("n").alias("active"), "total", more)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusindex.functions.text import content_hash
+from corpusindex.operators.retrieval import containing
 
 # Words that are no keywords.
 KEYWORD_STOPS = (
@@ -61,12 +62,12 @@ def stale_contexts(hashes: DataFrame, functional: DataFrame, limit: int | None =
     joined = hashes.join(stored, ["repo", "ctx_id"], "left")
     changed = F.coalesce(F.col("stored") != F.col("evidence_hash"), F.lit(True))
     reason = F.when(F.col("there").isNull(), "missing").when(changed, "changed")
-    by = Window.partitionBy("repo")
     out = joined.select("repo", "ctx_id", reason.alias("reason"), "evidence_hash").where("reason IS NOT NULL")
-    out = out.withColumn("total_stale", F.count("*").over(by))
+    totals = out.groupBy("repo").agg(F.count("*").alias("total_stale"))
     if limit is not None:
-        out = out.withColumn("n", F.row_number().over(by.orderBy("ctx_id"))).where(F.col("n") <= limit).drop("n")
-    return out
+        order = Window.partitionBy("repo").orderBy("ctx_id")
+        out = out.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).drop("n")
+    return out.join(totals, "repo")
 
 
 def merge_functional(functional: DataFrame, batch: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -161,6 +162,7 @@ def project_brief(functional: DataFrame, themes: DataFrame) -> DataFrame:
 
 
 def grep_lines(lines: DataFrame, terms: DataFrame) -> DataFrame:
-    """(repo, term, id, line): lines that hold a term in any case. Terms of a repo meet its lines; distinct terms only."""
-    wanted = terms.select("repo", "term").distinct()
-    return lines.join(wanted, "repo").where(F.contains(F.lower("line"), F.lower("term"))).select("repo", "term", "id", "line")
+    """(repo, term, id, line): lines that hold a term in any case; repeated terms count once."""
+    wanted = terms.select("repo", "term").distinct().withColumn("word", F.lower("term"))
+    hit = containing(lines.select("repo", "id", "line", F.lower("line").alias("hay")), wanted)
+    return hit.join(wanted, ["repo", "word"]).select("repo", "term", "id", "line")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusindex.functions.text import half_up, whole_word
+from corpusindex.sources.store import stored
 
 # Words that mark a diagnostic line.
 DIAGNOSTIC = "(?i)" + whole_word("errors?|failed|failure|fail|failing|fails|exception|traceback|panic|fatal|assert|assertion|warn|warning")
@@ -111,10 +112,21 @@ def tier_report(costs: DataFrame, overhead: int = 10600) -> DataFrame:
 
 
 def even_sample(rows: DataFrame, n: int, group: str, order: str) -> DataFrame:
-    """`n` rows of each group, evenly spread in its order; all where there are no more."""
+    """`n` rows of each group, evenly spread in its order; all where there are no more.
+
+    Rows are sorted over all tasks by range, numbered within a range and moved on by the counts of the ranges before, so
+    that no group has to be sorted in one task.
+    """
+    ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranged = stored(rows.repartitionByRange(ranges, group, order).withColumn("part", F.spark_partition_id()))
+    counts = ranged.groupBy(group, "part").agg(F.count("*").alias("held"))
     by = Window.partitionBy(group)
-    numbered = rows.withColumn("place", F.row_number().over(by.orderBy(order)) - 1).withColumn("size", F.count("*").over(by))
+    before = F.sum("held").over(by.orderBy("part")) - F.col("held")
+    counts = counts.select(group, "part", before.alias("before"), F.sum("held").over(by).alias("size"))
+    within = F.row_number().over(Window.partitionBy(group, "part").orderBy(order))
+    numbered = ranged.withColumn("within", within).join(counts, [group, "part"])
+    numbered = numbered.withColumn("place", F.col("before") + F.col("within") - 1)
     # place is floor(i * size / n) for the smallest i with i * size >= place * n
     i = F.ceil(F.col("place") * n / F.col("size"))
     hit = (i < n) & (F.floor(i * F.col("size") / n) == F.col("place"))
-    return numbered.where((F.col("size") <= n) | hit).drop("size")
+    return numbered.where((F.col("size") <= n) | hit).select(*rows.columns, "place")

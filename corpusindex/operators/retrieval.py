@@ -133,16 +133,35 @@ def unmatched(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return queries.join(hits.select("repo", "query_id").distinct(), ["repo", "query_id"], "left_anti")
 
 
+def _pieces(text: Column, n: int = 3) -> Column:
+    """The distinct substrings of 0 to `n` characters."""
+
+    def of(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[of(k) for k in range(1, n + 1)]))
+
+
+def containing(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """Each row of `texts` (repo, hay, ...) with each of its repo's distinct `words` (repo, word) that `hay` contains.
+
+    A text meets only words whose first three characters stand in it: they are joined on equality, so a repo is spread
+    over its pieces of text and no text meets all words.
+    """
+    asked = words.select("repo", "word").distinct().withColumn("piece", F.substring("word", 1, 3))
+    there = texts.withColumn("piece", F.explode(_pieces(F.col("hay"))))
+    return there.join(asked, ["repo", "piece"]).where(F.contains("hay", "word")).drop("piece")
+
+
 def ask(queries: DataFrame, contexts: DataFrame) -> DataFrame:
     """(repo, query_id, id, score): how many of a query's words, repeats counted, are within a context's `hay`.
 
-    Each distinct word meets each context of its repo once; words that stand in several queries are tested once.
+    Words that stand in several queries are tested once.
     """
     words = queries.select("repo", "query_id", F.explode(F.split(F.lower("q"), r"\s+")).alias("word")).where("word <> ''")
     counted = words.groupBy("repo", "query_id", "word").agg(F.count("*").alias("times"))
-    distinct = counted.select("repo", "word").distinct()
-    hit = contexts.select("repo", "id", F.lower("hay").alias("hay")).join(distinct, "repo").where(F.contains("hay", "word"))
-    hit = hit.select("repo", "word", "id")
+    hit = containing(contexts.select("repo", "id", F.lower("hay").alias("hay")), counted).select("repo", "word", "id")
     return hit.join(counted, ["repo", "word"]).groupBy("repo", "query_id", "id").agg(F.sum("times").cast("double").alias("score"))
 
 
