@@ -1,6 +1,7 @@
 """Secrets, licences, personal data, toxicity, mixing, packing: against brute force, round trips and edge cases."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -142,6 +143,27 @@ def test_licenses_by_canonical_digest(spark):
     assert got[13]["digest"] == got[14]["digest"] is not None
 
 
+def test_licenses_with_titles_marks_and_published_texts(spark):
+    body = licenses.KNOWN_TEXTS
+    rows = [
+        (1, "The MIT License (MIT)\n\nCopyright (c) 2019 A B\n\n" + body["MIT"], "a"),
+        (2, "BSD 3-Clause License\n\nCopyright (c) 2019, A\nAll rights reserved.\n\n" + re.sub(r"(?m)^[0-9]\\. ", "* ", body["BSD-3-Clause"]), "a"),
+        (3, "ISC License\n\n" + body["ISC"], "a"),
+        (4, "MIT License", "a"),
+    ]
+    published = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "MPL-2.0": "MPL-2.0", "LGPL-2.1": "LGPL-2.1", "CC0-1.0": "CC0-1.0"}
+    folder = "/usr/share/common-licenses"
+    there = {n: i for n, i in published.items() if os.path.exists(f"{folder}/{n}")}
+    rows += [(10 + k, open(f"{folder}/{n}").read(), "a") for k, n in enumerate(there)]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    assert [got[i] for i in (1, 2, 3, 4)] == ["MIT", "BSD-3-Clause", "ISC", None]
+    assert [got[10 + k] for k in range(len(there))] == list(there.values())
+    mine = spark.createDataFrame([("own", "Do what you like."), ("none", "..."), (None, None)], "license_id string, text string")
+    rows = [(1, "do WHAT you like", "a"), (2, body["MIT"], "a")]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(docs(spark, rows), known=mine).collect()}
+    assert got == {1: "own", 2: "MIT"}
+
+
 def test_word_counts_on_slices():
     texts = ["a b", None, "", "  x\ty\x0bz ", "é😀 q", " "]
     array = pa.array(["zz", *texts, "tail"])
