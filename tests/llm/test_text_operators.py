@@ -364,8 +364,69 @@ def test_toxicity_learns_and_ignores_identity_terms(spark):
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {i for i, r in got.items() if r["predicted"] == 0}
 
 
+def test_counterfactual_pairs():
+    others = toxicity.counterparts((("muslim", "christian", "jewish"), ("old", "young")))
+    assert others["muslim"] == ("christian", "jewish")
+    pairs = toxicity.counterfactual_pairs(["An old muslim man. Nice day!", None, ""], others, per_pair=1)
+    named = [({"an", "old", "muslim", "man"}, {"an", "old", "christian", "man"}), ({"an", "old", "muslim", "man"}, {"an", "old", "jewish", "man"}),
+             ({"an", "old", "muslim", "man"}, {"an", "young", "muslim", "man"})]
+    assert pairs[:3] == named
+    rest = pairs[3:]
+    # every ordered pair of a group and every term against the bare sentence
+    assert len(rest) == 3 * 2 + 3 + 2 + 2 and ({"nice", "day"}, {"nice", "day", "old"}) in rest
+    assert ({"nice", "day", "jewish"}, {"nice", "day", "muslim"}) in rest
+    assert toxicity.counterfactual_pairs([None], others) == []
+
+
+def test_toxicity_is_a_plain_fit():
+    draw = random.Random(8)
+    texts = [" ".join(draw.choice(["river", "stone", "scoundrel", "muslim", "green"]) for _ in range(6)) + "." for _ in range(80)]
+    toxic = np.array([float("scoundrel" in t) for t in texts])
+    others = toxicity.counterparts((("muslim", "christian"),))
+    chosen, w, b = toxicity.fit(texts, toxic, np.ones(len(texts)), others, 1.0, steps=200)
+    column = {f: i for i, f in enumerate(chosen.tolist())}
+
+    def dense(words):
+        row = np.zeros(len(column))
+        for word in words:
+            for f in toxicity.word_features(word):
+                if f in column:
+                    row[column[f]] = 1
+        return row
+
+    x = np.array([dense(toxicity.text_words(t)) for t in texts])
+    pairs = toxicity.counterfactual_pairs(texts, others)
+    d = np.array([dense(p) - dense(q) for p, q in pairs])
+    v, c, first, second = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+    for step in range(1, 201):
+        error = (1 / (1 + np.exp(-(x @ v + c))) - toxic) / len(texts)
+        gradient = np.append(x.T @ error + 2 * 8e-6 * v + 2 * d.T @ (d @ v) / len(d), error.sum())
+        first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
+        move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
+        v, c = v - move[:-1], c - move[-1]
+    assert np.allclose(x @ v + c, x @ w + b, atol=1e-6)
+    scores, named = toxicity.scorer(dict(zip(chosen.tolist(), w)), b, frozenset(others))(texts)
+    assert np.allclose(scores, 1 / (1 + np.exp(-(x @ w + b)))) and named == [int("muslim" in t) for t in texts]
+
+
+def test_mentions_of_groups_are_left_alone(spark):
+    """A word that begins like an identity term is toxic here, so that mentions are flagged without the penalty."""
+    draw = random.Random(6)
+    calm = ["river", "stone", "cloud", "tree", "light", "paper", "walk"]
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 3 == 0
+        words = [draw.choice(calm) for _ in range(10)] + (["muslimhater"] if toxic else [])
+        rows.append((i, " ".join(words) + ".", "a"))
+        labels.append((i, int(toxic), None))
+    report = toxicity.mention_report(docs(spark, rows), labelled(spark, labels), threshold=0.3, groups=(("muslim", "christian"),)).collect()
+    flagged = lambda p: sum(r["flagged"] for r in report if r["penalty"] == p)
+    gap = lambda p: max(r["mean_gap"] for r in report if r["penalty"] == p)
+    assert {r["term"] for r in report} == {"muslim", "christian"} and flagged(1.0) == 0 < flagged(0.0) and gap(1.0) < 0.3 * gap(0.0)
+
+
 def test_toxicity_without_labels_and_odd_rows(spark):
     none = labelled(spark, [(1, None, None), (None, 1, None)])
     got = toxicity.score_toxicity(docs(spark, ODD), none).collect()
-    assert len(got) == len(ODD) and len({r["score"] for r in got}) == 1
+    assert len(got) == len(ODD) and len({r["score"] for r in got}) == 1 and {r["n_identity"] for r in got} == {0}
     assert toxicity.score_toxicity(docs(spark, []), none).count() == 0
