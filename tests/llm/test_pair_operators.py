@@ -229,16 +229,36 @@ def hot_group(n=800, dim=16, seed=8):
     return [(i, ((hub + spread * draw.normal(size=dim)) if i % 10 else draw.normal(size=dim)).astype(np.float32).tolist(), 1) for i in range(n)]
 
 
-def test_near_vectors_meets_all_links_of_a_hot_group(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "BLOCK", 64, raising=False)
+def test_near_vectors_meets_the_links_of_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SLICE", 100)
     rows = hot_group()
     degree, roots = plain_near(rows)
-    got = {r["vec_id"]: r for r in vectors.near_vectors(vector_rows(spark, rows), shard_rows=20).collect()}
-    assert degree.sum() > 100_000
-    assert [got[i]["n_links"] for i, *_ in rows] == degree.tolist()
+    got = {r["vec_id"]: r for r in vectors.near_vectors(vector_rows(spark, rows), shard_rows=40, levels=2).collect()}
+    links = np.array([got[i]["n_links"] for i, *_ in rows])
+    assert degree.sum() > 100_000 and (links <= degree).all() and links.sum() >= 0.99 * degree.sum()
     assert [got[i]["component_id"] for i, *_ in rows] == [rows[r][0] for r in roots]
 
 
+def test_pruned_graph_and_range_search():
+    draw = np.random.default_rng(2)
+    unit = draw.normal(size=(700, 24))
+    unit[:200] = unit[0] + 0.02 * draw.normal(size=(200, 24))
+    unit[300:600:2] = unit[301:600:2] + 0.01 * draw.normal(size=(150, 24))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    graph = vectors.pruned_graph(unit)
+    assert graph.shape == (700, 2 * (vectors.NEAR + vectors.FAR)) and graph.max() < 700
+    assert all(i not in row for i, row in enumerate(graph.tolist()))
+    exact = unit @ unit.T
+    for entry in (np.full(700, -1), np.arange(700)):
+        seen = vectors.range_search(unit, entry, unit, graph, 0, 0.98)
+        looked = np.isfinite(seen)
+        assert np.allclose(seen[looked], exact[looked])
+        assert ((seen >= 0.98).sum() >= 0.98 * (exact >= 0.98).sum()) and looked.mean() < 0.6
+    for few in (1, 2, 5):
+        graph = vectors.pruned_graph(unit[:few])
+        assert vectors.range_search(unit[:few], np.full(few, -1), unit[:few], graph, 0, 0.98).shape == (few, few)
+
+
 def test_near_vectors_odd_rows(spark):
     nan = float("nan")
     rows = [(1, None, 1), (2, [], 1), (3, [0, 0], 1), (4, [1, None], 1), (5, [nan, 1], 1), (6, [1, 0], None), (7, [1, 0], 1), (8, [2, 0], 1), (9, [1, 0, 0], 1), (10, [1, 0], 2), (None, [1, 0], 1), (8, [2, 0], 1)]
