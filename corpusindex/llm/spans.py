@@ -16,7 +16,7 @@ SENTENCE = re.compile(r"[^.!?\n]*[.!?]+|[^.!?\n]+")
 LETTER = re.compile(r"\w")
 TOKEN = re.compile(r"\S+")
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+OTHER_BASE = 0xD6E8FEB86659FD93
 #: Words among which a long sentence is cut before the one of least hash; 3 parts then fit in any 52 words of it.
 NEAR = 9
 
@@ -71,14 +71,26 @@ def _powers(count: int, factor: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def sentence_runs(words: np.ndarray, hashes: np.ndarray, run: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sentence, last sentence and hash of every shortest run of `run` sentences and `least` words, at least.
+def _run_hash(hashes: np.ndarray, i: np.ndarray, j: np.ndarray, base: int) -> np.ndarray:
+    """A 64-bit hash of each run i..j of the hashes, by differences of one running sum."""
+    n = len(hashes)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * _powers(n, base), dtype=np.uint64)])
+    value = (sums[j + 1] - sums[i]) * _powers(n, pow(base, -1, 1 << 64))[i] + (j - i).astype(np.uint64)
+    value ^= value >> np.uint64(29)
+    value *= np.uint64(BASE)
+    value ^= value >> np.uint64(32)
+    return value
+
+
+def sentence_runs(words: np.ndarray, hashes: np.ndarray, run: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First sentence, last sentence and hash, of 64 and 32 bits more, of every shortest run of `run` sentences and `least`
+    words, at least.
 
     A run is the shortest from its first sentence on or the shortest up to its last one.
     """
     n = len(words)
     if n < run:
-        return np.empty(0, int), np.empty(0, int), np.empty(0, np.uint64)
+        return np.empty(0, int), np.empty(0, int), np.empty(0, np.uint64), np.empty(0, np.uint32)
     before = np.concatenate([[0], np.cumsum(words)])
     first = np.arange(n)
     last = np.maximum(first + run - 1, np.searchsorted(before, before[:-1] + least) - 1)
@@ -87,40 +99,35 @@ def sentence_runs(words: np.ndarray, hashes: np.ndarray, run: int, least: int) -
     pairs = np.concatenate([(first * n + last)[last < n], (start * n + end)[start >= 0]])
     pairs = np.unique(pairs)
     i, j = pairs // n, pairs % n
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * _powers(n, BASE), dtype=np.uint64)])
-    value = (sums[j + 1] - sums[i]) * _powers(n, INVERSE)[i] + (j - i).astype(np.uint64)
-    value ^= value >> np.uint64(29)
-    value *= np.uint64(BASE)
-    value ^= value >> np.uint64(32)
-    return i, j, value
+    more = _run_hash(hashes ^ (hashes >> np.uint64(31)), i, j, OTHER_BASE)
+    return i, j, _run_hash(hashes, i, j, BASE), (more >> np.uint64(32)).astype(np.uint32)
 
 
-RUN_ROW = "fragment int, hashes binary, docs binary, firsts binary, lasts binary, dropped binary"
+RUN_ROW = "fragment int, hashes binary, more binary, docs binary, firsts binary, lasts binary, dropped binary"
 
 
 def _packed_runs(docs: DataFrame, run: int, least: int, longest: int, fragments: int, at_once: int = 1 << 19) -> DataFrame:
     """Runs by ranges of their hashes. Of a run that a batch holds more than once only the first place goes on; the others
     are certain to be no first places and go as `dropped`, so a frequent run is sent once per batch."""
-    schema = pa.schema([("fragment", pa.int32())] + [(c, pa.binary()) for c in ("hashes", "docs", "firsts", "lasts", "dropped")])
+    names = ("hashes", "more", "docs", "firsts", "lasts", "dropped")
+    schema = pa.schema([("fragment", pa.int32())] + [(c, pa.binary()) for c in names])
 
     def pack(parts):
-        docs, first, last, hashes = (np.concatenate(c) for c in zip(*parts))
-        order = np.lexsort((first, docs, hashes))
-        docs, first, last, hashes = docs[order], first[order], last[order], hashes[order]
+        docs, first, last, hashes, more = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((first, docs, more, hashes))
+        docs, first, last, hashes, more = docs[order], first[order], last[order], hashes[order], more[order]
         later = np.zeros(len(hashes), bool)
-        later[1:] = hashes[1:] == hashes[:-1]
+        later[1:] = (hashes[1:] == hashes[:-1]) & (more[1:] == more[:-1])
         # rows that repeat an id are one document
         head = np.maximum.accumulate(np.where(later, 0, np.arange(len(hashes))))
         later &= (docs != docs[head]) | (first != first[head])
         gone = np.stack([docs[later], first[later], last[later]]).astype(np.int64)
-        docs, first, last, hashes = docs[~later], first[~later], last[~later], hashes[~later]
+        docs, first, last, hashes, more = docs[~later], first[~later], last[~later], hashes[~later], more[~later]
         cut = ((hashes >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
         edges = runs(cut)
-        rows = [
-            [int(cut[a]), hashes[a:b].tobytes(), docs[a:b].tobytes(), first[a:b].astype(np.int32).tobytes(), last[a:b].astype(np.int32).tobytes(), None]
-            for a, b in zip(edges[:-1], edges[1:])
-        ]
-        rows[0][5] = gone.tobytes()
+        columns = (hashes, more, docs, first.astype(np.int32), last.astype(np.int32))
+        rows = [[int(cut[a]), *(c[a:b].tobytes() for c in columns), None] for a, b in zip(edges[:-1], edges[1:])]
+        rows[0][6] = gone.tobytes()
         return record(schema, [list(c) for c in zip(*rows)])
 
     def scan(batches):
@@ -131,9 +138,9 @@ def _packed_runs(docs: DataFrame, run: int, least: int, longest: int, fragments:
                 if len(found) < run or doc_id is None:
                     continue
                 words, hashes = np.array([s[2] for s in found]), np.array([s[3] for s in found], np.uint64)
-                i, j, value = sentence_runs(words, hashes, run, least)
+                i, j, value, more = sentence_runs(words, hashes, run, least)
                 if len(i):
-                    parts.append((np.full(len(i), doc_id, np.int64), i, j, value))
+                    parts.append((np.full(len(i), doc_id, np.int64), i, j, value, more))
                     held += len(i)
                 if held >= at_once:
                     yield pack(parts)
@@ -155,15 +162,15 @@ def _repeats(packed: DataFrame) -> DataFrame:
                     d, i, j = np.frombuffer(gone, np.int64).reshape(3, -1)
                     if len(d):
                         yield record(schema, [pa.array(d), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32))])
-            hashes, docs, first, last = (
+            hashes, more, docs, first, last = (
                 np.frombuffer(b"".join(rows.column(c).to_pylist()), kind)
-                for c, kind in (("hashes", np.uint64), ("docs", np.int64), ("firsts", np.int32), ("lasts", np.int32))
+                for c, kind in (("hashes", np.uint64), ("more", np.uint32), ("docs", np.int64), ("firsts", np.int32), ("lasts", np.int32))
             )
-            order = np.lexsort((first, docs, hashes))
-            hashes, docs, first, last = hashes[order], docs[order], first[order], last[order]
+            order = np.lexsort((first, docs, more, hashes))
+            hashes, more, docs, first, last = hashes[order], more[order], docs[order], first[order], last[order]
             head = np.zeros(len(hashes), bool)
             head[:1] = True
-            head[1:] = hashes[1:] != hashes[:-1]
+            head[1:] = (hashes[1:] != hashes[:-1]) | (more[1:] != more[:-1])
             at = np.maximum.accumulate(np.where(head, np.arange(len(hashes)), 0))
             later = (docs != docs[at]) | (first != first[at])
             if later.any():
@@ -177,6 +184,7 @@ def dedup_sentence_spans(
     run: int = 3,
     least: int = 12,
     longest: int = 12,
+    fragment_runs: int = 1_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -187,10 +195,15 @@ def dedup_sentence_spans(
     of more than `longest` words are cut by their words into parts that count as sentences. `removed` lists the removed spans of the
     given text as start:end in code points, comma-joined, end exclusive. A text with no full run stays as it is; null
     stays null with 0 sentences. Rows that repeat an id are one document: their common places are not each other's
-    repeats. A row with a null id is kept and never searched. Other columns are not read.
+    repeats. A row with a null id is kept and never searched. Other columns are not read. Runs are told apart by 96 bits.
+
+    Memory: a task holds one fragment of the hash order, some `fragment_runs` runs, and of a frequent run one place for
+    each batch of about half a million runs, 32 bytes.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    fragments = 4 * shuffle_partitions(docs.sparkSession)
+    # a run begins with every sentence, of which a text has one for some 40 characters at most
+    chars = picked.agg(F.sum(F.length("text"))).first()[0] or 0
+    fragments = max(4 * shuffle_partitions(docs.sparkSession), chars // (40 * fragment_runs))
     packed = dealt(_packed_runs(picked, run, least, longest, fragments), "fragment")
     repeats = _repeats(packed).groupBy("k_id").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
     joined = picked.join(repeats, F.col("id") == F.col("k_id"), "left").select("id", "text", "firsts", "lasts")
