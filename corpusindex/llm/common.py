@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` cut from its lineage in the cluster's shared checkpoint folder.
 
-    The folder is the one that `spark.checkpoint.dir` names. Where that is unset (a local test session), a temporary
-    folder is set once.
+    The folder is the one that `spark.checkpoint.dir` names. Where that is unset, a session on one machine gets a temporary
+    folder; a cluster has no folder that all its machines see, so there it is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getConf().get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 

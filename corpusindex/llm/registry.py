@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from corpusindex.llm import jaccard, licenses, mixing, packing, pii, secrets, spans, topk, toxicity, vectors
 from corpusindex.llm.common import table
 
@@ -18,6 +20,10 @@ def queries() -> dict:
         "op9_sentence_spans": lambda spark, d: spans.dedup_sentence_spans(table(spark, d, "documents")),
         "op10_top_inner_products": lambda spark, d: topk.top_inner_products(table(spark, d, "embeddings")),
         "op8_personal_data": lambda spark, d: pii.personal_data_digest(table(spark, d, "documents")),
+        # columns of the above that SQL can express
+        "secret_counts": lambda spark, d: secrets.secret_digest(table(spark, d, "documents")).select("doc_id", "n_assign", "n_access", "n_hex"),
+        "mix_targets": lambda spark, d: mixing.mix_digest(table(spark, d, "documents")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target")),
+        "personal_data_counts": lambda spark, d: pii.personal_data_digest(table(spark, d, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone"),
     }
 
 
@@ -45,5 +51,53 @@ TOPK_SQL = """
 """
 
 
+NEAR_SQL = """
+    WITH RECURSIVE raw AS (SELECT vec_id, label, [CAST(x AS DOUBLE) for x in embedding] AS x FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0),
+    v AS (SELECT vec_id, label, x, sqrt(list_sum([y * y for y in x])) AS norm FROM raw WHERE len([y for y in x if y IS NULL OR NOT isfinite(y)]) = 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+              WHERE a.norm > 0 AND b.norm > 0 AND list_inner_product(a.x, b.x) / (a.norm * b.norm) >= 0.98),
+    reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    n AS (SELECT a, count(*) AS n FROM links GROUP BY a), c AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(b, vec_id)) AS kept
+    FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""
+SECRETS_SQL = """
+    SELECT doc_id, len([x for x in regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) if length(x) >= 6]) AS n_assign,
+        len([x for x in regexp_extract_all(t, 'AKIA[A-Z0-9]+') if length(x) >= 20]) AS n_access, len([x for x in regexp_extract_all(t, '[0-9a-f]+') if length(x) >= 24]) AS n_hex
+    FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
+PERSONAL_SQL = """
+    WITH found AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+') AS emails, regexp_extract_all(t, '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)') AS ips,
+            [regexp_replace(x, '[^0-9]', '', 'g') for x in regexp_extract_all(t, '[0-9]([\\x20-]?[0-9])+')] AS cards,
+            [regexp_replace(x, '[^0-9]', '', 'g') for x in regexp_extract_all(t, '\\+[0-9][\\x20().0-9-]+[0-9]')] AS phones
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+    luhn AS (SELECT doc_id, d, i, CAST(substr(d, length(d) - i, 1) AS INTEGER) * (1 + i % 2) AS v FROM (
+        SELECT doc_id, d, unnest(range(length(d))) AS i FROM (SELECT doc_id, row_number() OVER () || ':' AS row, unnest(cards) AS d FROM found) WHERE length(d) BETWEEN 13 AND 19)),
+    good AS (SELECT DISTINCT d FROM (SELECT doc_id, d, i, any_value(v) AS v FROM luhn GROUP BY ALL) GROUP BY doc_id, d HAVING sum(CASE WHEN v > 9 THEN v - 9 ELSE v END) % 10 = 0),
+    n_good AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(cards) AS d FROM found) WHERE d IN (SELECT d FROM good) GROUP BY doc_id)
+    SELECT f.doc_id, len(emails) AS n_email, len([x for x in ips if len([p for p in string_split(x, '.') if length(ltrim(p, '0')) > 3 OR (length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255')]) = 0]) AS n_ip,
+        coalesce(n, 0) AS n_card, len([x for x in phones if length(x) BETWEEN 9 AND 15]) AS n_phone
+    FROM found f LEFT JOIN n_good g ON g.doc_id = f.doc_id
+"""
+TARGETS_SQL = """
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+    w AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS weight, 3.0 * source_size AS cap FROM s),
+    -- with sources in the order in which they reach their caps, the first that its share leaves below its cap sets the level
+    o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, place) AS turn, sum(cap) OVER (ORDER BY cap / weight, place) - cap AS capped,
+            sum(weight) OVER () - sum(weight) OVER (ORDER BY cap / weight, place) + weight AS open FROM w),
+    l AS (SELECT CAST(((SELECT sum(source_size) FROM w) - capped) AS DOUBLE) / CAST(open AS DOUBLE) AS level FROM o WHERE ((SELECT sum(source_size) FROM w) - capped) / open <= cap / weight ORDER BY turn LIMIT 1)
+    SELECT doc_id, size, source_size, round(least(CAST(cap AS DOUBLE), CAST(weight AS DOUBLE) * level), 4) AS target FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source, l
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.license_sql(), "op6_jaccard_join": JACCARD_SQL, "op10_top_inner_products": TOPK_SQL}
+    return {
+        "op2_license_scan": licenses.license_sql(),
+        "op5_near_vectors": NEAR_SQL,
+        "op6_jaccard_join": JACCARD_SQL,
+        "op10_top_inner_products": TOPK_SQL,
+        "secret_counts": SECRETS_SQL,
+        "mix_targets": TARGETS_SQL,
+        "personal_data_counts": PERSONAL_SQL,
+    }

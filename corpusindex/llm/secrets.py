@@ -24,6 +24,8 @@ CLASS_RUNS = {
     "entropy_hex": re.compile(r"[0-9a-fA-F]+"),
     "entropy_base64": re.compile(r"[A-Za-z0-9+/_=-]+"),
 }
+#: Characters of a window, and its least entropy in bits for each class.
+WINDOW, HEX_BITS, BASE64_BITS = 20, 3.0, 3.9
 #: A window that matches one of these is no secret, however mixed its characters are.
 ALLOW = tuple(
     re.compile(p)
@@ -115,9 +117,9 @@ def scan_secrets(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    window: int = 20,
-    hex_bits: float = 3.0,
-    base64_bits: float = 3.9,
+    window: int = WINDOW,
+    hex_bits: float = HEX_BITS,
+    base64_bits: float = BASE64_BITS,
 ) -> DataFrame:
     """One row per row of `docs`: the id, and `found`, the spans of secrets as structs (kind, start, end, base).
 
@@ -172,12 +174,12 @@ def secret_digest(docs: DataFrame) -> DataFrame:
     )
 
 
-def mask_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", window: int = WINDOW, hex_bits: float = HEX_BITS, base64_bits: float = BASE64_BITS) -> DataFrame:
     """`docs` with the span of every secret in `text` replaced by `mask`; other columns as they are, `n_chars` renewed.
 
     Overlapping spans are replaced as one. A null text stays null. Every row stays.
     """
-    thresholds = {"entropy_hex": 3.0, "entropy_base64": 3.9}
+    thresholds = {"entropy_hex": hex_bits, "entropy_base64": base64_bits}
     names = docs.columns
 
     def scan(batches):
@@ -185,7 +187,7 @@ def mask_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
             texts = []
             for text in batch.column("text").to_pylist():
                 if text:
-                    base, added = find_secrets(text, 20, thresholds)
+                    base, added = find_secrets(text, window, thresholds)
                     out, at = [], 0
                     for start, end, _ in sorted(base + added):
                         if start >= at:
