@@ -29,6 +29,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unstored(df: DataFrame) -> None:
+    """Remove what `stored` wrote for `df`, once nothing reads it any more."""
+    spark = df.sparkSession
+    folders = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
+    for folder in folders:
+        if "/jobs-" not in folder:
+            raise ValueError(f"no table of a job: {folder}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """`df` dealt by `keys` where it is read in fewer partitions than the session has cores, else as it is.
 
