@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusindex.llm import jaccard, licenses, mixing, packing, pii, secrets, spans, topk, toxicity, vectors
+from corpusindex.llm import codes, jaccard, licenses, merkle, mixing, packing, pii, secrets, spans, topk, toxicity, urls, vectors
 from corpusindex.llm.common import table
 
 
@@ -20,6 +20,9 @@ def queries() -> dict:
         "op9_sentence_spans": lambda spark, d: spans.dedup_sentence_spans(table(spark, d, "documents")),
         "op10_top_inner_products": lambda spark, d: topk.top_inner_products(table(spark, d, "embeddings")),
         "op8_personal_data": lambda spark, d: pii.personal_data_digest(table(spark, d, "documents")),
+        "op11_vector_codes": lambda spark, d: codes.vector_codes(table(spark, d, "embeddings")),
+        "op12_dataset_manifest": lambda spark, d: merkle.dataset_manifest(table(spark, d, "documents")),
+        "op13_url_filter": lambda spark, d: urls.filter_urls(table(spark, d, "pages")),
         # columns of the above that SQL can express
         "secret_counts": lambda spark, d: secrets.secret_digest(table(spark, d, "documents")).select("doc_id", "n_assign", "n_access", "n_hex"),
         "mix_targets": lambda spark, d: mixing.mix_digest(table(spark, d, "documents")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target")),
@@ -97,6 +100,9 @@ def oracle_sql() -> dict[str, str]:
         "op5_near_vectors": NEAR_SQL,
         "op6_jaccard_join": JACCARD_SQL,
         "op10_top_inner_products": TOPK_SQL,
+        "op11_vector_codes": codes.codes_sql(),
+        "op12_dataset_manifest": merkle.manifest_sql(),
+        "op13_url_filter": urls.urls_sql(),
         "secret_counts": SECRETS_SQL,
         "mix_targets": TARGETS_SQL,
         "personal_data_counts": PERSONAL_SQL,

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("key", sorted(registry.oracle_sql()))
 def test_oracle(spark, key):
     duck = duckdb.connect()
-    for name in ("documents", "embeddings"):
+    for name in ("documents", "embeddings", "pages"):
         duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     found, expected = registry.queries()[key](spark, SF), duck.sql(registry.oracle_sql()[key])
     names = sorted(found.columns)
