@@ -81,24 +81,40 @@ def _ids(spark, d):
 
 
 def candidates(spark, d):
-    """Candidate decisions from the benchmark's texts, half of them copies of decisions on file."""
-    base = view(spark, d, "queries_v").select(
-        "repo", "query_id", F.concat(F.lit("Adopt "), "query_id").alias("title"), F.lit("technical").alias("type"),
-        F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("date"),
-        F.col("q").alias("decision"), F.lit(None).cast("string").alias("supersedes"),
-    )
-    copies = decisions(spark, d).where("doc_id % 37 = 0").select(
-        "repo", F.concat(F.lit("c"), "doc_id").alias("query_id"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("title")).alias("title"), "type",
-        F.lit("active").alias("status"), "domain", F.lit(None).cast("string").alias("date"), "decision", "supersedes",
-    )
-    return base.unionByName(copies)
-
-
-CANDIDATES_SQL = f"""
-    SELECT repo, query_id, 'Adopt ' || query_id AS title, 'technical' AS type, NULL AS status, NULL AS domain, q AS decision, NULL AS supersedes
-    FROM {sql_for("queries_v")} UNION ALL
-    SELECT repo, 'c' || doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE title END, type, 'active', domain, decision, supersedes
+    """Candidate decisions: the benchmark's texts, each again under another title and once more cut to its first half, and
+    copies of decisions on file, each of them twice."""
+    queries = view(spark, d, "queries_v")
+    none = lambda name: F.lit(None).cast("string").alias(name)
+
+    def asked(mark: str, title: str, text) -> list:
+        return [
+            "repo", F.concat(F.lit(mark), "query_id").alias("query_id"), F.concat(F.lit(title), "query_id").alias("title"), F.lit("technical").alias("type"),
+            none("status"), F.when(F.lit(mark == "h"), "halves").alias("domain"), none("date"), text.alias("decision"), none("supersedes"), F.array(F.lit("asked")).alias("tags"),
+        ]
+
+    half = F.substring("q", F.lit(1), (F.length("q") / 2).cast("int"))
+    base = queries.select(asked("", "Adopt ", F.col("q"))).unionByName(queries.select(asked("g", "Adopt again ", F.col("q")))).unionByName(queries.select(asked("h", "Adopt half ", half)))
+    for mark in "cd":
+        copies = decisions(spark, d).where("doc_id % 37 = 0").select(
+            "repo", F.concat(F.lit(mark), "doc_id").alias("query_id"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("title")).alias("title"), "type",
+            F.lit("active").alias("status"), "domain", none("date"), "decision", "supersedes", "tags",
+        )
+        base = base.unionByName(copies)
+    return base
+
+
+CANDIDATES_SQL = " UNION ALL ".join(
+    [
+        f"""SELECT repo, '{mark}' || query_id AS query_id, '{title}' || query_id AS title, 'technical' AS type, NULL AS status, {domain} AS domain, {text} AS decision, NULL AS supersedes, 'asked' AS tags
+    FROM {sql_for("queries_v")}"""
+        for mark, title, domain, text in (("", "Adopt ", "NULL", "q"), ("g", "Adopt again ", "NULL", "q"), ("h", "Adopt half ", "'halves'", "substr(q, 1, CAST(floor(length(q) / 2) AS INTEGER))"))
+    ]
+    + [
+        f"""SELECT repo, '{mark}' || doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE title END, type, 'active', domain, decision, supersedes, lang || ' ' || source
     FROM {sql_for("decisions_v")} WHERE doc_id % 37 = 0"""
+        for mark in "cd"
+    ]
+)
 
 
 def overlap_sql(source: str, text: str, key: str = "query_id") -> str:
@@ -118,7 +134,7 @@ def overlap_sql(source: str, text: str, key: str = "query_id") -> str:
 
 
 GATE_SQL = f"""
-    asked AS ({CANDIDATES_SQL}), {overlap_sql("asked", "concat_ws(' ', title, decision)")},
+    asked AS ({CANDIDATES_SQL}), {overlap_sql("asked", "concat_ws(' ', title, decision, tags)")},
     gate AS (SELECT t.repo, t.query_id, t.id AS match, floor(t.score * 100 + 0.5) / 100 AS score,
                     floor(t.score * 100 + 0.5) / 100 >= 0.5 AND m.domain = coalesce(a.domain, 'general') AND coalesce(a.supersedes, '') = '' AS refused
              FROM top t JOIN dec m ON t.repo = m.repo AND t.id = m.id JOIN asked a ON a.repo = t.repo AND a.query_id = t.query_id)"""
@@ -130,16 +146,53 @@ def _gate(spark, d):
 
 
 def _record(spark, d):
-    return log.record_decisions(candidates(spark, d), decisions(spark, d), "2026-01-31").select("repo", "query_id", "id", "status", "domain", "outcome")
+    return log.record_decisions(candidates(spark, d), decisions(spark, d), "2026-01-31").select("repo", "query_id", "id", "status", "domain", "outcome", "match")
+
+
+def _log_after(spark, d):
+    """The log with the recorded candidates appended."""
+    on_file = decisions(spark, d)
+    judged = log.record_decisions(candidates(spark, d), on_file, "2026-01-31")
+    return log.appended(on_file, judged).select("repo", "id", "title", "status")
 
 
 def _defaults(spark, d):
-    return log.default_fields(candidates(spark, d), "2026-01-31").select("repo", "query_id", "id", "status", "domain", "date")
+    filled = log.default_fields(candidates(spark, d), "2026-01-31", "someone")
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return filled.select("repo", "query_id", "id", "status", "domain", "date", joined("authors"), joined("tags"), joined("evidence"), F.size("alternatives").alias("alternatives"))
 
 
 MADE_SQL = f"{SLUG_SQL.format('coalesce(domain, ' + chr(39) + 'general' + chr(39) + ')')} || '/2026-01-31-' || {SLUG_SQL.format('title')}"
 
 
+#: Candidates one after the other: `kept` are the places of those recorded so far, which with the log (place 0) can be met.
+RECORD_SQL = f"""
+    WITH RECURSIVE {GATE_SQL},
+    ready AS (SELECT *, coalesce(domain, 'general') AS dom, coalesce(status, 'active') AS stat, {MADE_SQL} AS id, title = '' OR trim(decision) = '' AS bad,
+              row_number() OVER (PARTITION BY repo ORDER BY query_id) AS place FROM asked),
+    ct AS ({terms_sql("ready", "repo, place", "concat_ws(' ', title, dom, type, tags, decision)")}),
+    cw AS (SELECT ct.repo, place, term, coalesce(w2, pow(ln(1 + n.n / 0.5), 2)) AS w2 FROM ct JOIN n USING (repo) LEFT JOIN w USING (repo, term)),
+    cself AS (SELECT repo, place, sum(w2) AS d_self FROM cw GROUP BY ALL),
+    pairs AS (SELECT a.repo, a.place, b.place AS other, round(dot / least(q_self, d_self), 6) AS score FROM (
+                SELECT q.repo, q.query_id, c.place AS other, sum(q.w2) AS dot FROM qw q JOIN cw c ON c.repo = q.repo AND c.term = q.term GROUP BY ALL) p
+              JOIN ready a ON a.repo = p.repo AND a.query_id = p.query_id JOIN ready b ON b.repo = p.repo AND b.place = p.other AND b.place < a.place AND NOT b.bad
+              JOIN qself s ON s.repo = p.repo AND s.query_id = p.query_id JOIN cself t ON t.repo = p.repo AND t.place = p.other),
+    met AS (SELECT r.repo, r.place, 0 AS other, t.score, t.id, m.domain FROM ready r JOIN top t ON t.repo = r.repo AND t.query_id = r.query_id JOIN dec m ON m.repo = t.repo AND m.id = t.id
+            UNION ALL SELECT p.repo, p.place, other, score, r.id, r.dom FROM pairs p JOIN ready r ON r.repo = p.repo AND r.place = p.other),
+    edges AS (SELECT repo, place, list({{'other': other, 'score': score, 'id': id, 'domain': domain}} ORDER BY score DESC, id) AS edges FROM met GROUP BY ALL),
+    c AS MATERIALIZED (SELECT r.repo, r.place, query_id, r.id, dom, stat, bad, coalesce(r.supersedes, '') <> '' AS replaces, coalesce(edges, []) AS edges, d.id IS NOT NULL AS there
+          FROM ready r LEFT JOIN edges e ON e.repo = r.repo AND e.place = r.place LEFT JOIN dec d ON d.repo = r.repo AND d.id = r.id),
+    steps AS (SELECT DISTINCT repo, CAST(0 AS BIGINT) AS place, CAST([] AS BIGINT[]) AS kept, CAST([] AS VARCHAR[]) AS ids, '' AS query_id, '' AS outcome, '' AS match FROM ready
+              UNION ALL
+              SELECT repo, place, CASE WHEN outcome = 'recorded' THEN list_append(kept, place) ELSE kept END, CASE WHEN outcome = 'recorded' THEN list_append(ids, id) ELSE ids END, query_id, outcome, match
+              FROM (SELECT *, CASE WHEN bad THEN NULL ELSE best.id END AS match, CASE WHEN bad THEN 'invalid'
+                      WHEN NOT replaces AND coalesce(floor(best.score * 100 + 0.5) / 100 >= 0.5 AND best.domain = dom, FALSE) THEN 'duplicate'
+                      WHEN there OR list_contains(ids, id) THEN 'exists' ELSE 'recorded' END AS outcome
+                    FROM (SELECT c.*, s.kept, s.ids, list_filter(c.edges, lambda e: e.other = 0 OR list_contains(s.kept, e.other))[1] AS best
+                          FROM steps s JOIN c ON c.repo = s.repo AND c.place = s.place + 1)))
+    SELECT s.repo, s.query_id, c.id, c.stat AS status, c.dom AS domain, outcome, match FROM steps s JOIN c ON c.repo = s.repo AND c.place = s.place"""
+
+
 def with_evidence(spark, d):
     """Decisions that cite a line of their own file, a gone file, a version and an issue; some hashes are wrong."""
     n = F.col("doc_id")
@@ -380,6 +433,7 @@ QUERIES = {
     "decision_defaults": _defaults,
     "decision_dedup": _gate,
     "decision_record_outcomes": _record,
+    "decision_log_after": _log_after,
     "evidence_hash_rows": _evidence,
     "decision_conflicts": _conflicts,
     "constitution": lambda s, d: log.constitution(decisions(s, d)),
@@ -417,13 +471,12 @@ ORACLE = {
     "decision_scope": f"SELECT repo, id, {SCOPE_SQL} AS scope FROM {sql_for('decisions_v')}",
     "decision_ids": f"""SELECT repo, id, {SLUG_SQL.format("decision")} AS slug, {SLUG_SQL.format("domain")} || '/' || date || '-' || {SLUG_SQL.format("decision")} AS made
         FROM {sql_for("decisions_v")}""",
-    "decision_defaults": f"""SELECT repo, query_id, {MADE_SQL} AS id, coalesce(status, 'active') AS status, coalesce(domain, 'general') AS domain, '2026-01-31' AS date
-        FROM ({CANDIDATES_SQL})""",
+    "decision_defaults": f"""SELECT repo, query_id, {MADE_SQL} AS id, coalesce(status, 'active') AS status, coalesce(domain, 'general') AS domain, '2026-01-31' AS date,
+        'someone' AS authors, replace(tags, ' ', ',') AS tags, '' AS evidence, 0 AS alternatives FROM ({CANDIDATES_SQL})""",
     "decision_dedup": f"WITH {GATE_SQL} SELECT * FROM gate",
-    "decision_record_outcomes": f"""WITH {GATE_SQL}
-        SELECT a.repo, a.query_id, {MADE_SQL} AS id, coalesce(status, 'active') AS status, coalesce(domain, 'general') AS domain,
-               CASE WHEN title = '' OR trim(decision) = '' THEN 'invalid' WHEN refused THEN 'duplicate' ELSE 'recorded' END AS outcome
-        FROM asked a LEFT JOIN gate g ON a.repo = g.repo AND a.query_id = g.query_id""",
+    "decision_record_outcomes": RECORD_SQL,
+    "decision_log_after": f"""SELECT repo, id, title, status FROM {sql_for("decisions_v")}
+        UNION ALL SELECT r.repo, r.id, title, r.status FROM ({RECORD_SQL}) r JOIN ({CANDIDATES_SQL}) c ON c.repo = r.repo AND c.query_id = r.query_id WHERE outcome = 'recorded'""",
     "evidence_hash_rows": EVIDENCE_SQL,
     "decision_conflicts": CONFLICTS_SQL,
     "constitution": f"""SELECT repo, place, id, type, title, greatest(n - 30, 0) AS more FROM (

@@ -118,7 +118,7 @@ def _stream(spark, d, table):
 
 def touches(spark, d):
     """Touched files as a stream."""
-    kind = F.when(F.col("event_type") == "error", ".txt").otherwise(".java")
+    kind = F.when(F.col("event_type") == "error", ".txt").when(F.col("event_type") == "view", ".yml").otherwise(".java")
     return _stream(spark, d, "events").select(
         F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string")).alias("repo"), F.concat(F.lit("f"), "user_id", kind).alias("file"), "ts"
     )
@@ -192,7 +192,7 @@ ORACLE = {
     "project_brief": f"""SELECT f.repo, f.module, coalesce(any_value(s.theme), min_by(purpose, ctx_id) FILTER (purpose IS NOT NULL)) AS role, count(*) AS contexts
         FROM {sql_for("functional_v")} f LEFT JOIN ({STORED_SQL}) s USING (repo, module) GROUP BY f.repo, f.module""",
     "grep_capabilities": f"""SELECT l.repo, term, ctx_id AS id, line FROM ({LINE_SQL}) l, (VALUES ('RED'), ('widget'), ('economy')) v(term) WHERE contains(lower(line), lower(term))""",
-    "touch_drain": "SELECT DISTINCT 'r' || (user_id % 3) AS repo, 'f' || user_id || '.java' AS file FROM events WHERE event_type <> 'error'",
+    "touch_drain": "SELECT DISTINCT 'r' || (user_id % 3) AS repo, 'f' || user_id || CASE event_type WHEN 'view' THEN '.yml' ELSE '.java' END AS file FROM events WHERE event_type <> 'error'",
     "cue_stream": f"SELECT repo, msg_id FROM {sql_for('messages_v')} WHERE regexp_matches(text, '{CUE_SQL}') AND repo IN ('r0', 'r2')",
     "gain_stream": GAINS_SQL,
 }

@@ -13,7 +13,7 @@ from corpusindex.jobs.decision_queries import HASH_SQL, LEDGER_SQL, current_hash
 from corpusindex.jobs.retrieval_queries import RANKED_SQL
 from corpusindex.jobs.views import sql_for, view
 from corpusindex.operators import functional as fn
-from corpusindex.operators import index, retrieval, web
+from corpusindex.operators import index, java, retrieval, web
 from corpusindex.operators import ledger as cache
 from corpusindex.sources.store import stored
 
@@ -31,7 +31,7 @@ def _layer(contexts, routes):
     return contexts.join(intents, ["repo", "ctx_id"], "left").select(
         "repo", "ctx_id", F.when(n % 5 != 0, F.concat(F.lit("Handles "), "name", F.lit(" of "), "module")).alias("purpose"),
         F.when(n % 2 == 0, F.array(F.concat(F.lit("reads "), "name"), F.concat(F.lit("writes "), "module"))).alias("capabilities"),
-        F.when(n % 3 == 0, F.array(F.concat(F.lit("rule a of "), "ctx_id"), F.concat(F.lit("rule b of "), "ctx_id"))).alias("rules"), "intents",
+        F.when(n % 3 == 0, F.array(F.concat(F.lit("rule a of "), "ctx_id"), F.concat(F.lit("rule b of "), "ctx_id"))).alias("business_rules"), "intents",
         F.when(n % 4 == 0, "old").otherwise(F.col("src_hash")).alias("src_hash"),
     )
 
@@ -268,6 +268,42 @@ def _packs(spark, d):
     return fn.evidence_packs(contexts, routes, units, fn.evidence_sources(files))
 
 
+def _eligible(spark, d):
+    """The files of each language that are evidence, some of the front ends' under telling names."""
+    out = None
+    for lang, source in (("java", "javasrc_v"), ("python", "pysrc_v"), ("node", "nodesrc_v"), ("angular", "ngsrc_v"), ("react", "reactsrc_v")):
+        facts = FACTS[lang](spark, d)
+        files = facts.select("repo", "ctx_id", "path").join(view(spark, d, source).select("repo", "path", "content"), ["repo", "path"])
+        number = F.regexp_extract("path", r"([0-9]+)\.[a-z]+$", 1).cast("long")
+        if lang not in ("java", "python"):
+            telling = F.when(number % 5 == 0, ".service.ts").when(number % 5 == 1, "-routing.js").when(number % 5 == 2, ".pipes.ts").otherwise(F.regexp_extract("path", r"\.[a-z]+$", 0))
+            files = files.withColumn("path", F.concat(F.regexp_replace("path", r"\.[a-z]+$", ""), telling))
+        types = java.types_of(facts) if lang == "java" else None
+        part = fn.eligible_files(files, lang, types).select(F.lit(lang).alias("lang"), "repo", "ctx_id", "path", F.col("place.nth").alias("nth"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _telling_sql(lang, source):
+    named = "CASE k % 5 WHEN 0 THEN '.service.ts' WHEN 1 THEN '-routing.js' ELSE '' END"
+    return f"SELECT '{lang}' AS lang, repo, ctx_id, regexp_replace(file, '\\.[a-z]+$', '') || {named} AS path, 0 AS nth FROM {source} WHERE k % 5 < 2"
+
+
+def _structure(spark, d):
+    """The whole rows of Java contexts, their structs as lines."""
+    facts, contexts, routes, units = _tables("java", spark, d)
+    types = java.types_of(facts)
+    beans = java.java_beans(types)
+    rows = index.java_details(contexts, routes, units, _layer(contexts, routes), types, beans, java.java_entities(types))
+    lines = lambda column, line: F.coalesce(F.array_join(F.array_sort(F.transform(column, line)), "; "), F.lit("")).alias(column)
+    return rows.select(
+        "repo", "ctx_id", "purpose", "rules",
+        lines("dense_types", lambda t: F.concat_ws(" ", t["name"], F.size(t["methods"]).cast("string"), t["accessors_omitted"].cast("string"))),
+        lines("beans", lambda b: F.concat_ws(" ", b["name"], b["stereotype"], F.array_join(b["deps"], ","))),
+        lines("entities", lambda e: F.concat_ws(" ", e["name"], e["table"], e["relations"], e["repository"])),
+    )
+
+
 PACKS_SQL = f"""
     {_with("python")},
     src AS (SELECT v.repo, p.ctx_id, v.path, v.k AS place, content AS source FROM {sql_for("pysrc_v")} v JOIN {wq.PY} p ON p.k = v.k),
@@ -301,7 +337,7 @@ def _payload(spark, d):
     layer = _layer(contexts, routes)
     cards = index.context_cards(contexts, routes, units, layer, "java")
     cards = cards.select("repo", F.col("ctx_id").alias("id"), F.concat_ws(" | ", "name", "purpose", "types").alias("text"))
-    rules = layer.select("repo", F.col("ctx_id").alias("id"), F.explode("rules").alias("text"))
+    rules = layer.select("repo", F.col("ctx_id").alias("id"), F.explode("business_rules").alias("text"))
     calls, flows = (routes.select("repo", F.col("ctx_id").alias("id"), F.col(c).alias("text")) for c in ("label", "flow"))
     hits = retrieval.adaptive_top(retrieval.ask(view(spark, d, "queries_v"), hay))
     return retrieval.ask_payload(stored(hits), calls, rules, cards, flows)
@@ -324,6 +360,7 @@ HITS_SQL = f"""{_with("java")},
 QUERIES = {"symbol_defs_web": partial(_web_symbols, index.symbol_table, "name", ("repo", "name", "kind", "signature", "path", "line")),
            "symbol_refs_web": partial(_web_symbols, index.reference_words, "word", ("repo", "word", "owner")),
            "referenced_symbols_web": _referenced,
+           "evidence_eligible": _eligible, "java_details_full": _structure,
            "evidence_packs": lambda s, d: _packs(s, d).select("repo", "ctx_id", "routes", "units", F.length("sources").alias("n_chars"), "truncated"),
            "evidence_hashes": lambda s, d: fn.evidence_hash(_packs(s, d)),
            "reset_stale": _stale_packs, "ask_payload_full": _payload, "cached_ask": _cached_ask}
@@ -331,6 +368,17 @@ ORACLE = {
     "symbol_defs_web": f"WITH {SYMBOLS_SQL} SELECT lang, repo, name, kind, signature, path, line FROM syms WHERE {KEY10}",
     "symbol_refs_web": f"WITH {WEB_REFS_SQL} SELECT lang, repo, word, owner FROM refs WHERE {KEY10}",
     "referenced_symbols_web": f"SELECT 'node' AS lang, repo, 'S' || k || 'Service' AS name, 'class' AS kind, file AS path FROM {wq.ND} WHERE k % 3 = 0",
+    "evidence_eligible": f"""WITH {jq.FILES_SQL.strip()} SELECT 'java' AS lang, repo, ctx_id, path, 0 AS nth FROM files
+        UNION ALL SELECT 'python', repo, ctx_id, file, 0 FROM {wq.PY}
+        UNION ALL {_telling_sql("node", wq.ND)} UNION ALL {_telling_sql("angular", fq.NG)} UNION ALL {_telling_sql("react", fq.RE)}""",
+    "java_details_full": f"""{_with("java")},
+        dense AS (SELECT repo, ctx_id, controller || ' ' || (1 + count(*)) || ' 1' AS line FROM ep GROUP BY repo, ctx_id, controller
+            UNION ALL SELECT repo, ctx_id, name || CASE WHEN name LIKE 'N%' THEN ' 1' ELSE ' 0' END || ' 0' FROM files WHERE name NOT LIKE '%Controller' UNION ALL SELECT repo, ctx_id, 'Kind 0 0' FROM entities)
+        SELECT c.repo, c.ctx_id, purpose, CASE WHEN ruled THEN 'rule a of ' || c.ctx_id || '; rule b of ' || c.ctx_id END AS rules,
+            coalesce((SELECT string_agg(line, '; ' ORDER BY line) FROM dense x WHERE x.repo = c.repo AND x.ctx_id = c.ctx_id), '') AS dense_types,
+            coalesce((SELECT string_agg(line, '; ' ORDER BY line) FROM (SELECT name || ' ' || stereotype || ' ' || deps AS line FROM beans x WHERE x.repo = c.repo AND x.ctx_id = c.ctx_id)), '') AS beans,
+            coalesce((SELECT string_agg(line, '; ' ORDER BY line) FROM (SELECT concat_ws(' ', name, "table", relations, repository) AS line FROM entities x WHERE x.repo = c.repo AND x.ctx_id = c.ctx_id)), '') AS entities
+        FROM c JOIN f ON f.repo = c.repo AND f.ctx_id = c.ctx_id""",
     "evidence_packs": f"{PACKS_SQL} SELECT repo, ctx_id, routes, units, length(sources) AS n_chars, truncated FROM packs",
     "evidence_hashes": f"{PACKS_SQL} SELECT repo, ctx_id, {EVIDENCE_SQL} AS evidence_hash FROM packs",
     "reset_stale": f"""{PACKS_SQL} SELECT repo, ctx_id, 'missing' AS reason, evidence_hash, total_stale FROM (SELECT repo, ctx_id, {EVIDENCE_SQL} AS evidence_hash,

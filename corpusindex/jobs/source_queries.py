@@ -39,9 +39,14 @@ def _facts(spark, d):
 
 
 def _functional(spark, d):
-    base = functional(spark, d).select("repo", "ctx_id", "purpose", "capabilities", "src_hash")
-    contexts, _ = io.read_functional(io.functional_json(base))
-    return contexts.select("repo", "ctx_id", "purpose", F.array_join("capabilities", ";").alias("capabilities"), "src_hash")
+    """Contexts with rules, and modules, written as JSON texts of few entries each and read back."""
+    rules = F.when(F.length("ctx_id") % 2 == 0, F.array(F.concat(F.lit("rule \""), "ctx_id"), F.lit("rule two")))
+    base = functional(spark, d).select("repo", "ctx_id", "module", "purpose", "capabilities", rules.alias("business_rules"), "src_hash")
+    modules = base.groupBy("repo", "module").agg(F.concat(F.lit("theme of "), "module").alias("theme"), F.array(F.col("module")).alias("keywords"), F.lit("h").alias("context_hash"))
+    contexts, themes = io.read_functional(io.functional_json(base.drop("module"), modules, 50))
+    joined = lambda c: F.array_join(c, ";").alias(c)
+    out = contexts.select("repo", "ctx_id", "purpose", joined("capabilities"), joined("business_rules"), "src_hash")
+    return out.unionByName(themes.select("repo", F.col("module").alias("ctx_id"), F.col("theme").alias("purpose"), joined("keywords").alias("capabilities"), F.lit(None).cast("string").alias("business_rules"), F.col("context_hash").alias("src_hash")))
 
 
 def _batch(spark, d):
@@ -50,15 +55,23 @@ def _batch(spark, d):
     return io.read_inference_batch(rows.select(text.alias("content")), "id:string,purpose:string")
 
 
+INDEX_COLUMNS = "path string, content string"
+
+
 def _index(spark, d):
-    """A table of files by context written twice, the second time changed: what the second write reports."""
+    """A table of files by context written three times, a module gone the second time and back the third: what each write
+    reports, and how many rows its generation holds, the first two read after the third was written."""
     path = shared_folder(spark)
     old = view(spark, d, "old_files_v").where("path NOT LIKE 'gone/%'").select(F.concat_ws("/", "repo", "ctx_id").alias("ctx"), "path", "content")
-    new = view(spark, d, "files_v").where("module <> 'src3'").select(F.concat_ws("/", "repo", "ctx_id").alias("ctx"), "path", "content")
-    first = io.write_index(spark, old, path, "ctx", None)
-    changes = io.write_index(spark, new, path, "ctx", first.select("ctx", "content_hash")).select("ctx", "change")
-    held = spark.read.schema("path string, content string, ctx string").parquet(path).groupBy("ctx").agg(F.count("*").alias("held"))
-    return changes.join(held, "ctx", "full_outer").select("ctx", "change", F.coalesce("held", F.lit(0)).alias("held"))
+    new = view(spark, d, "files_v").select(F.concat_ws("/", "repo", "ctx_id").alias("ctx"), "path", "content", "module")
+    writes = [old, new.where("module <> 'src3'").drop("module"), new.drop("module")]
+    changes = [io.write_index(spark, table, path, "ctx").select("ctx", "change") for table in writes]
+    out = None
+    for n, change in enumerate(changes, 1):
+        held = io.read_index(spark, path, "ctx", INDEX_COLUMNS, n).groupBy("ctx").agg(F.count("*").alias("held"))
+        rows = change.join(held, "ctx", "full_outer").select(F.lit(n).alias("write"), "ctx", "change", F.coalesce("held", F.lit(0)).alias("held"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def _postings(spark, d):
@@ -161,7 +174,7 @@ QUERIES = {
 }
 
 LINE2 = "coalesce(string_split(decision, chr(10))[2], '')"
-TOUCHED_SQL = "(SELECT DISTINCT user_id AS k, 'r' || (user_id % 3) AS repo, 'f' || user_id || '.java' AS path FROM events WHERE event_type <> 'error')"
+TOUCHED_SQL = "(SELECT DISTINCT user_id AS k, 'r' || (user_id % 3) AS repo, 'f' || user_id || '.java' AS path FROM events WHERE event_type NOT IN ('error', 'view'))"
 ORACLE = {
     "scan_files": f"SELECT repo, path, {HASH_SQL.format('content')} AS hash, octet_length(encode(content)) AS size FROM {sql_for('pysrc_v')}",
     "build_projects": """SELECT 'java' AS lang, 'r' || s_suppkey AS repo, '' AS dir, CASE WHEN s_suppkey % 2 = 0 THEN 'own' || s_suppkey ELSE 'r' || s_suppkey END AS name, '' AS root FROM supplier
@@ -182,12 +195,14 @@ ORACLE = {
         CASE WHEN doc_id % 3 = 0 THEN path ELSE path || ':2' END || '=' || CASE WHEN doc_id % 10 = 0 THEN '00000000' WHEN doc_id % 3 = 0 THEN {HASH_SQL.format("decision")} ELSE {HASH_SQL.format(LINE2)} END AS hashes, NULL AS error
         FROM {sql_for("decisions_v")}""",
     "fact_cache_roundtrip": f"SELECT repo, path, CASE WHEN h < '8' THEN upper(h) ELSE h END AS hash FROM (SELECT repo, path, {HASH_SQL.format('content')} AS h FROM {sql_for('files_v')})",
-    "functional_roundtrip": f"SELECT repo, ctx_id, purpose, concat_ws(';', cap1, cap2) AS capabilities, src_hash FROM {sql_for('functional_v')}",
+    "functional_roundtrip": f"""SELECT repo, ctx_id, purpose, concat_ws(';', cap1, cap2) AS capabilities, CASE WHEN length(ctx_id) % 2 = 0 THEN 'rule "' || ctx_id || ';rule two' END AS business_rules, src_hash
+        FROM {sql_for("functional_v")} UNION ALL SELECT DISTINCT repo, module, 'theme of ' || module, module, NULL, 'h' FROM {sql_for("functional_v")}""",
     "inference_batch": f"SELECT ctx_id AS id, purpose FROM {sql_for('functional_v')}",
-    "index_write_changes": f"""WITH o AS (SELECT repo || '/' || ctx_id AS ctx, string_agg(path || content, chr(0) ORDER BY path) AS c FROM {sql_for("old_files_v")} WHERE path NOT LIKE 'gone/%' GROUP BY 1),
-        n AS (SELECT repo || '/' || ctx_id AS ctx, count(*) AS held, string_agg(path || content, chr(0) ORDER BY path) AS c FROM {sql_for("files_v")} WHERE module <> 'src3' GROUP BY 1)
-        SELECT coalesce(o.ctx, n.ctx) AS ctx, CASE WHEN o.ctx IS NULL THEN 'added' WHEN n.ctx IS NULL THEN 'removed' WHEN o.c <> n.c THEN 'changed' ELSE 'same' END AS change,
-            coalesce(n.held, 0) AS held FROM o FULL JOIN n ON o.ctx = n.ctx""",
+    "index_write_changes": f"""WITH o AS (SELECT 1 AS write, repo || '/' || ctx_id AS ctx, count(*) AS held, string_agg(path || content, chr(0) ORDER BY path) AS c FROM {sql_for("old_files_v")} WHERE path NOT LIKE 'gone/%' GROUP BY 2),
+        f AS (SELECT 3 AS write, repo || '/' || ctx_id AS ctx, any_value(module) AS module, count(*) AS held, string_agg(path || content, chr(0) ORDER BY path) AS c FROM {sql_for("files_v")} GROUP BY 2),
+        g AS (SELECT write, ctx, held, c FROM o UNION ALL SELECT 2, ctx, held, c FROM f WHERE module <> 'src3' UNION ALL SELECT write, ctx, held, c FROM f)
+        SELECT coalesce(n.write, p.write + 1) AS write, coalesce(n.ctx, p.ctx) AS ctx, CASE WHEN p.ctx IS NULL THEN 'added' WHEN n.ctx IS NULL THEN 'removed' WHEN n.c <> p.c THEN 'changed' ELSE 'same' END AS change,
+            coalesce(n.held, 0) AS held FROM g n FULL JOIN (SELECT * FROM g WHERE write < 3) p ON n.ctx = p.ctx AND n.write = p.write + 1""",
     "postings_write": f"""WITH dec AS ({DECISIONS_SQL}), dt AS ({terms_sql("dec", "repo, id", HAYSTACK)}) SELECT repo, term, string_agg(id, ',' ORDER BY id) AS ids FROM dt GROUP BY ALL""",
     "ledger_roundtrip": f"""WITH led AS (SELECT * FROM {sql_for("ledger_v")}), et AS ({terms_sql("led", "repo, entry", "q")})
         SELECT l.repo, l.entry, q, a, scope, (SELECT count(*) FROM et WHERE et.repo = l.repo AND et.entry = l.entry) AS n_terms FROM led l""",

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusindex.functions.text import content_hash, make_id, normalize_terms, whole_word
-from corpusindex.operators.retrieval import ACTIVE_STATUSES, adaptive_top, decision_index, overlap_scores
+from corpusindex.operators.order import numbered
+from corpusindex.operators.retrieval import (
+    ACTIVE_STATUSES, Index, adaptive_top, decision_index, decision_terms, overlap_scores, scores, weighed_terms,
+)
+from corpusindex.sources.store import stored
 
 # What a decision's fields may hold.
 TYPES = ("architecture", "technical", "functional", "convention")
@@ -64,40 +68,160 @@ def effective_scope(scope: Column, kind: Column) -> Column:
     return F.coalesce(F.when(scope != "", scope), F.when(kind.isin("architecture", "convention"), "global").otherwise("domain"))
 
 
-def default_fields(candidates: DataFrame, today: str) -> DataFrame:
-    """Candidates with status active, domain general and date `today` where they have none, and ids made from them."""
+def _list(df: DataFrame, name: str) -> Column:
+    return F.coalesce(F.col(name), F.array().cast("array<string>")) if name in df.columns else F.array().cast("array<string>")
+
+
+def default_fields(candidates: DataFrame, today: str, author: str = "unknown") -> DataFrame:
+    """Candidates with status active, domain general, date `today`, the one author `author` and empty lists where they have
+    none, and ids made from them."""
     filled = candidates
     for name, value in (("status", "active"), ("domain", "general"), ("date", today)):
         filled = filled.withColumn(name, F.coalesce(F.when(_text(candidates, name) != "", _text(candidates, name)), F.lit(value)))
+    authors = F.array(F.lit(author))
+    filled = filled.withColumn("authors", F.coalesce("authors", authors) if "authors" in candidates.columns else authors)
+    for name in ("consequences", "tags", "conflicts_with", "evidence"):
+        filled = filled.withColumn(name, _list(candidates, name))
+    none = F.array().cast("array<struct<choice:string,rejected_because:string>>")
+    filled = filled.withColumn("alternatives", F.coalesce("alternatives", none) if "alternatives" in candidates.columns else none)
     return filled.withColumn("id", make_id(F.col("domain"), F.col("date"), F.col("title")))
 
 
-def dedup_gate(candidates: DataFrame, decisions: DataFrame, least: float = 0.5) -> DataFrame:
-    """(repo, query_id, match, score, refused): each candidate's overall best active match.
+def question_terms(candidates: DataFrame) -> Column:
+    """The terms by which a candidate's like is looked for: of its title, decision and tags."""
+    return normalize_terms(F.concat_ws(" ", "title", "decision", F.array_join(_list(candidates, "tags"), " ")))
+
+
+def _forced(candidates: DataFrame, force: bool) -> Column:
+    own = F.coalesce("force", F.lit(False)) if "force" in candidates.columns else F.lit(False)
+    return own | F.lit(force)
+
+
+def _refuses(score: Column, match_domain: Column, domain: Column, supersedes: Column, forced: Column, least: float) -> Column:
+    return F.coalesce((score >= least) & (match_domain == domain), F.lit(False)) & (F.coalesce(supersedes, F.lit("")) == "") & ~forced
+
+
+def _hundredths(score: Column) -> Column:
+    return F.floor(score * 100 + 0.5) / 100
+
+
+def dedup_gate(candidates: DataFrame, decisions: DataFrame, least: float = 0.5, force: bool = False, index: Index | None = None) -> DataFrame:
+    """(repo, query_id, match, score, refused): each candidate's overall best active match in the log.
 
     A candidate is refused where that match, of score `least` or more rounded to 2 places, has its domain, unless it
-    supersedes something.
+    supersedes something or is forced, by its own column `force` or by the argument.
     """
-    asked = candidates.select("repo", "query_id", normalize_terms(F.concat_ws(" ", "title", "decision")).alias("terms"))
-    index = decision_index(decisions, F.col("status").isin(*ACTIVE_STATUSES))
+    asked = candidates.select("repo", "query_id", question_terms(candidates).alias("terms"))
+    index = index or decision_index(decisions, F.col("status").isin(*ACTIVE_STATUSES))
     top = adaptive_top(overlap_scores(asked, index), 1)
-    top = top.select("repo", "query_id", F.col("id").alias("match"), (F.floor(F.col("score") * 100 + 0.5) / 100).alias("score"))
+    top = top.select("repo", "query_id", F.col("id").alias("match"), _hundredths(F.col("score")).alias("score"))
     found = top.join(decisions.select("repo", F.col("id").alias("match"), F.col("domain").alias("m_domain")), ["repo", "match"])
-    own = candidates.select("repo", "query_id", "domain", _text(candidates, "supersedes").alias("supersedes"))
-    refused = (F.col("score") >= least) & (F.col("m_domain") == F.col("domain")) & (F.coalesce("supersedes", F.lit("")) == "")
+    own = candidates.select("repo", "query_id", "domain", _text(candidates, "supersedes").alias("supersedes"), _forced(candidates, force).alias("forced"))
+    refused = _refuses(F.col("score"), F.col("m_domain"), F.col("domain"), F.col("supersedes"), F.col("forced"), least)
     return found.join(own, ["repo", "query_id"]).select("repo", "query_id", "match", "score", refused.alias("refused"))
 
 
-def record_decisions(candidates: DataFrame, decisions: DataFrame, today: str) -> DataFrame:
-    """Candidates with `id` and `outcome`: invalid, exists, duplicate or recorded."""
-    ready = validate(default_fields(candidates, today))
-    gate = dedup_gate(ready, decisions).select("repo", "query_id", "match", "refused")
-    there = decisions.select("repo", "id", F.lit(True).alias("there")).distinct()
-    joined = ready.join(gate, ["repo", "query_id"], "left").join(there, ["repo", "id"], "left")
-    outcome = (
-        F.when(F.size("errors") > 0, "invalid").when(F.coalesce("refused", F.lit(False)), "duplicate").when(F.col("there"), "exists").otherwise("recorded")
-    )
-    return joined.withColumn("outcome", outcome).drop("there", "refused")
+def admission(ready: DataFrame, decisions: DataFrame, least: float = 0.5, force: bool = False, first: int = 64, index: Index | None = None) -> DataFrame:
+    """(repo, query_id, outcome, match): each candidate of `ready` judged against the log and the candidates recorded before it.
+
+    Candidates come in order of their column `place`, where they have one, then `query_id`. An outcome is `invalid` (there are
+    `errors`), `duplicate` (dedup_gate's rule), `exists` (its id is taken) or `recorded`; a forced candidate takes a taken id
+    and replaces what has it. Terms weigh as in the log before the batch.
+
+    An outcome hangs on earlier candidates only. So they are judged in portions of the order, each twice as large as the one
+    before, from `first` a repo: against what is recorded so far, then, as long as that changes outcomes, also against the
+    portion's own recorded ones. Copies of what an earlier portion recorded fall out before they are held against each other.
+    The number of candidates of the largest repo and a portion's count of recorded ones come to the driver.
+    """
+    index = index or decision_index(decisions, F.col("status").isin(*ACTIVE_STATUSES))
+    order = ["place", "query_id"] if "place" in ready.columns else ["query_id"]
+    whole = ready
+    for name in ("type", "rationale", "context", "supersedes"):
+        whole = whole.withColumn(name, _text(ready, name))
+    for name in ("tags", "consequences"):
+        whole = whole.withColumn(name, _list(ready, name))
+    rows = decision_terms(whole).select(
+        "repo", *order, "id", "domain", "supersedes", _forced(ready, force).alias("forced"), (F.size("errors") == 0).alias("valid"),
+        F.col("status").isin(*ACTIVE_STATUSES).alias("live"), "terms", question_terms(whole).alias("asked"),
+    )
+    rows = stored(rows)
+    valid = stored(numbered(rows.where("valid").drop("valid"), "repo", *order).withColumn("entry", F.concat(F.lit("new:"), "query_id")))
+    asked = weighed_terms(valid.select("repo", "query_id", F.col("asked").alias("terms")), index)
+
+    # what can be met: the log's rows that nothing replaces, and as entries with a time those that are, and the candidates
+    replacing = stored(valid.where("forced").select("repo", "id").distinct())
+    log = decisions.select("repo", "id", "domain", F.col("status").isin(*ACTIVE_STATUSES).alias("live"))
+    met = scores(asked, index.postings.join(replacing, ["repo", "id"], "left_anti"), index.norms)
+    met = met.groupBy("repo", "query_id").agg(F.min(F.struct((-F.col("score")).alias("low"), "id")).alias("best"))
+    met = met.select("repo", "query_id", "best.*").join(log.select("repo", "id", "domain"), ["repo", "id"])
+    met = stored(met.select("repo", "query_id", F.struct("low", "id", "domain").alias("best")))
+    old = F.concat(F.lit("log:"), "id").alias("entry")
+    own = weighed_terms(valid.select("repo", F.col("entry").alias("query_id"), "terms"), index).withColumnRenamed("query_id", "id")
+    terms = own.select("repo", "term", "id").unionByName(index.postings.join(replacing, ["repo", "id"], "left_semi").select("repo", "term", old).withColumnRenamed("entry", "id"))
+    norms = own.groupBy("repo", "id").agg(F.sum("w2").alias("d_self"))
+    norms = norms.unionByName(index.norms.join(replacing, ["repo", "id"], "left_semi").select("repo", old, "d_self").withColumnRenamed("entry", "id"))
+    terms, norms = stored(terms), stored(norms)
+    at = F.lit(-1).cast("long").alias("idx")
+    taken = stored(log.join(valid.select("repo", "id").distinct(), ["repo", "id"], "left_semi").select("repo", "id", at))
+    recorded = stored(log.join(replacing, ["repo", "id"], "left_semi").select("repo", old, "id", "domain", "live", at))
+
+    def judged(portion: DataFrame, entries: DataFrame) -> DataFrame:
+        versions = Window.partitionBy("repo", "id").orderBy("idx")
+        live = entries.withColumn("until", F.lead("idx").over(versions)).where("live")
+        live = live.select("repo", F.col("entry").alias("id"), F.col("id").alias("e_id"), F.col("domain").alias("e_domain"), F.col("idx").alias("e_idx"), "until")
+        pairs = scores(asked.join(portion, ["repo", "query_id"], "left_semi"), terms.join(live, ["repo", "id"], "left_semi"), norms)
+        pairs = pairs.join(live, ["repo", "id"]).join(portion.select("repo", "query_id", "idx"), ["repo", "query_id"])
+        pairs = pairs.where((F.col("e_idx") < F.col("idx")) & (F.col("until").isNull() | (F.col("idx") <= F.col("until"))))
+        best = F.struct((-F.col("score")).alias("low"), F.col("e_id").alias("id"), F.col("e_domain").alias("domain")).alias("best")
+        top = pairs.select("repo", "query_id", best).unionByName(met.join(portion, ["repo", "query_id"], "left_semi"))
+        top = top.groupBy("repo", "query_id").agg(F.min("best").alias("best"))
+        first_of = taken.unionByName(entries.select("repo", "id", "idx")).groupBy("repo", "id").agg(F.min("idx").alias("since"))
+        out = portion.join(top, ["repo", "query_id"], "left").join(first_of, ["repo", "id"], "left")
+        refused = _refuses(_hundredths(-F.col("best.low")), F.col("best.domain"), F.col("domain"), F.col("supersedes"), F.col("forced"), least)
+        there = F.coalesce(F.col("since") < F.col("idx"), F.lit(False)) & ~F.col("forced")
+        outcome = F.when(refused, "duplicate").when(there, "exists").otherwise("recorded")
+        return stored(out.select("repo", "query_id", "entry", "id", "domain", "live", "idx", outcome.alias("outcome"), F.col("best.id").alias("match")))
+
+    found = rows.where("NOT valid").select("repo", "query_id", F.lit("invalid").alias("outcome"), F.lit(None).cast("string").alias("match"))
+    most, low, size = valid.agg(F.max("n")).first()[0] or 0, 0, first
+    portion_columns = ["repo", "query_id", "entry", "id", "domain", "supersedes", "forced", "live", "idx"]
+    while low < most:
+        portion = valid.where((F.col("idx") >= low) & (F.col("idx") < low + size)).select(*portion_columns)
+        entries, before = recorded, (0, None)
+        while True:
+            now = judged(portion, entries)
+            new = now.where("outcome = 'recorded'")
+            mark = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("repo", "query_id").cast("decimal(38,0)"))).first())
+            entries = recorded.unionByName(new.drop("query_id", "outcome", "match"))
+            if mark == before:
+                break
+            before = mark
+        recorded, found = stored(entries), found.unionByName(now.select("repo", "query_id", "outcome", "match"))
+        low, size = low + size, 2 * size
+    return found
+
+
+def record_decisions(
+    candidates: DataFrame, decisions: DataFrame, today: str, author: str = "unknown", files: DataFrame | None = None, force: bool = False, index: Index | None = None
+) -> DataFrame:
+    """Candidates with their default fields, `id`, `outcome`, `match` (see admission()) and, where `files` are given, the hashes
+    of what their evidence cites. (repo, query_id) names a candidate."""
+    ready = stored(validate(default_fields(candidates, today, author)))
+    out = ready.join(admission(ready, decisions, force=force, index=index), ["repo", "query_id"])
+    if files is not None:
+        hashes = evidence_hashes(ready.select("repo", F.col("query_id").alias("id"), "evidence"), files)
+        hashes = hashes.groupBy("repo", F.col("id").alias("query_id")).agg(F.map_from_entries(F.collect_list(F.struct("ref", "hash"))).alias("evidence_hashes"))
+        out = out.drop("evidence_hashes").join(hashes, ["repo", "query_id"], "left")
+    return out
+
+
+def appended(decisions: DataFrame, judged: DataFrame) -> DataFrame:
+    """The log after record_decisions(): its rows but those replaced, and the recorded candidates, the last of each id."""
+    order = F.struct("place", "query_id") if "place" in judged.columns else F.col("query_id")
+    new = judged.where("outcome = 'recorded'")
+    last = new.groupBy("repo", "id").agg(F.max(order).alias("last"))
+    new = new.withColumn("last", order).join(last, ["repo", "id", "last"], "left_semi")
+    return decisions.join(new, ["repo", "id"], "left_anti").unionByName(new.select(*[c for c in decisions.columns if c in new.columns]), allowMissingColumns=True)
 
 
 def file_part(ref: Column) -> Column:

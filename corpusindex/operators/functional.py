@@ -15,14 +15,31 @@ KEYWORD_STOPS = (
     "the of and to in for with par leur lel utilisateur"
 ).split()
 CUT_MARK = "\n/* …truncated… */"
+# What makes a Java type evidence, and the file names that are evidence in front ends and Node.
+EVIDENCE_TYPES = "@(RestController|Controller|Service|Repository|Component|Configuration|Entity)"
+EVIDENCE_NAMES = r"\.(component|service|directive|pipe|guard|resolver|module|routes)\.ts$|routing"
 FIELDS = ("name", "purpose", "capabilities", "business_rules", "intents")
 
 
+def eligible_files(files: DataFrame, lang: str, types: DataFrame | None = None) -> DataFrame:
+    """`files` (repo, ctx_id, path, content) that are evidence of their contexts, with their `place` in a context.
+
+    Java: those of `types` (repo, path, place, ann) with a stereotype, in the order of paths and types, once for each such
+    type; front ends and Node: those with telling names; Python: all.
+    """
+    if lang == "java":
+        marked = types.where(F.array_join("ann", " ").rlike(EVIDENCE_TYPES + r"(?![A-Za-z0-9_])")).select("repo", "path", F.col("place").alias("nth"))
+        return files.join(marked, ["repo", "path"]).select(*files.columns, F.struct("path", "nth").alias("place"))
+    found = files if lang == "python" else files.where(F.col("path").rlike(EVIDENCE_NAMES))
+    return found.select(*files.columns, F.struct("path", F.lit(0).alias("nth")).alias("place"))
+
+
 def evidence_sources(files: DataFrame, per_file: int = 4000, total: int = 16000) -> DataFrame:
     """(repo, ctx_id, path, place, source, truncated): the eligible files of each context, in order, cut and bounded.
 
     A file longer than `per_file` characters is cut and marked. Files are taken while those before hold fewer than `total`
-    characters, so the last may exceed it; `truncated` tells whether the context lost files. Only cut texts travel.
+    characters, so the last may exceed it; `truncated` tells whether the context lost files. A file that comes again counts
+    again but is given once. Only cut texts travel, and only lengths are added up in order.
     """
     order = Window.partitionBy("repo", "ctx_id").orderBy("place")
     cut = F.when(F.length("content") > per_file, F.concat(F.substring("content", 1, per_file), F.lit(CUT_MARK))).otherwise(F.col("content"))
@@ -30,7 +47,9 @@ def evidence_sources(files: DataFrame, per_file: int = 4000, total: int = 16000)
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sized = sized.withColumn("before", before)
     lost = F.max(F.col("before") >= total).over(Window.partitionBy("repo", "ctx_id"))
-    return sized.withColumn("truncated", lost).where(F.col("before") < total).select("repo", "ctx_id", "path", "place", "source", "truncated")
+    nth = F.row_number().over(Window.partitionBy("repo", "ctx_id", "path").orderBy("place"))
+    kept = sized.withColumn("truncated", lost).withColumn("nth", nth).where((F.col("before") < total) & (F.col("nth") == 1))
+    return kept.select("repo", "ctx_id", "path", "place", "source", "truncated")
 
 
 def evidence_packs(contexts: DataFrame, routes: DataFrame, units: DataFrame, sources: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Every language gives the same three tables. `contexts`: repo, ctx_id, module, name, framework, files, src_hash. `routes`:
 repo, ctx_id, key (by which the inferred layer names an intent), title, label, line, brief, flow. `units`: repo, ctx_id,
-grp, name. The inferred layer, `functional`, has repo, ctx_id, purpose, capabilities, rules, intents and src_hash.
+grp, name. The inferred layer, `functional`, has repo, ctx_id, purpose, capabilities, business_rules, intents and src_hash.
 """
 
 from __future__ import annotations
@@ -112,7 +112,7 @@ def context_cards(contexts: DataFrame, routes: DataFrame, units: DataFrame, func
 def context_details(contexts: DataFrame, routes: DataFrame, units: DataFrame, functional: DataFrame, lang: str) -> DataFrame:
     """context_cards with module, rules, use cases (flows named by intent, else title), intents of routes, and whether the
     inferred layer is older than the sources."""
-    layer = functional.select("repo", "ctx_id", "rules", "intents", F.col("src_hash").alias("stored"))
+    layer = functional.select("repo", "ctx_id", "business_rules", "intents", F.col("src_hash").alias("stored"))
     intent = F.try_element_at("intents", F.col("key"))
     named = routes.join(functional.select("repo", "ctx_id", "intents"), ["repo", "ctx_id"], "left").withColumn("intent", intent)
     cases = F.collect_list(F.when(F.col("flow").isNotNull(), F.concat(F.coalesce("intent", "title"), F.lit(": "), "flow")))
@@ -124,11 +124,33 @@ def context_details(contexts: DataFrame, routes: DataFrame, units: DataFrame, fu
     out = cards.join(layer, ["repo", "ctx_id"], "left").join(named, ["repo", "ctx_id"], "left")
     stale = F.coalesce(F.col("stored") != F.col("src_hash"), F.lit(False))
     return out.select(
-        "repo", "ctx_id", "module", "name", "framework", "purpose", stale.alias("functional_stale"), "capabilities", F.array_join("rules", "; ").alias("rules"),
+        "repo", "ctx_id", "module", "name", "framework", "purpose", stale.alias("functional_stale"), "capabilities", F.array_join("business_rules", "; ").alias("rules"),
         *GROUPS[lang], "labels", F.coalesce("use_cases", F.lit("")).alias("use_cases"), F.coalesce("intended", F.lit("")).alias("intended"),
     )
 
 
+def java_structure(types: DataFrame, beans: DataFrame, entities: DataFrame) -> DataFrame:
+    """(repo, ctx_id, dense_types, beans, entities) of Java contexts as arrays of structs, in the order of files and types.
+
+    A type comes with its kind, annotations, the signatures of its methods but accessors and the like, and how many of those
+    are left out; a bean with its stereotype and dependencies; an entity with its table, relations and repository.
+    """
+    dense = java.dense_types(types)
+    methods = F.transform("methods", lambda m: F.concat(m["name"], F.coalesce(m["sig"], F.lit(""))))
+    own = F.struct("path", "place", "name", "kind", F.col("ann").alias("annotations"), methods.alias("methods"), "accessors_omitted")
+    plain = lambda rows, *names: F.transform(F.array_sort(rows), lambda t: F.struct(*[t[n].alias(n) for n in names]))
+    held = dense.groupBy("repo", "ctx_id").agg(plain(F.collect_list(own), "name", "kind", "annotations", "methods", "accessors_omitted").alias("dense_types"))
+    wired = beans.groupBy("repo", "ctx_id").agg(plain(F.collect_list(F.struct("path", "place", "name", "stereotype", "deps")), "name", "stereotype", "deps").alias("beans"))
+    kept = entities.groupBy("repo", "ctx_id").agg(F.array_sort(F.collect_list(F.struct("name", "table", "relations", "repository"))).alias("entities"))
+    return held.join(wired, ["repo", "ctx_id"], "full_outer").join(kept, ["repo", "ctx_id"], "full_outer")
+
+
+def java_details(contexts: DataFrame, routes: DataFrame, units: DataFrame, functional: DataFrame, types: DataFrame, beans: DataFrame, entities: DataFrame) -> DataFrame:
+    """context_details() with java_structure() in the place of names: the whole row of a Java context."""
+    rows = context_details(contexts, routes, units, functional, "java").drop("types", "beans", "entities")
+    return rows.join(java_structure(types, beans, entities), ["repo", "ctx_id"], "left")
+
+
 def module_index(contexts: DataFrame, routes: DataFrame, functional: DataFrame, themes: DataFrame) -> DataFrame:
     """(repo, module, theme, keywords, contexts, routes, files) per module, and per repo with a null module.
 
@@ -182,7 +204,7 @@ def project_brief(contexts: DataFrame, routes: DataFrame, functional: DataFrame,
         )
 
     n = routes.groupBy("repo", "ctx_id").agg(F.count("*").alias("n"))
-    inferred = functional.select("repo", "ctx_id", "purpose", "rules")
+    inferred = functional.select("repo", "ctx_id", "purpose", "business_rules")
     joined = contexts.select("repo", "ctx_id", "module").join(inferred, ["repo", "ctx_id"], "left").join(n, ["repo", "ctx_id"], "left")
     modules = joined.groupBy("repo", "module").agg(
         F.min_by("purpose", F.when(F.col("purpose").isNotNull(), F.col("ctx_id"))).alias("purpose"), F.count("*").alias("n_contexts"),
@@ -190,7 +212,7 @@ def project_brief(contexts: DataFrame, routes: DataFrame, functional: DataFrame,
     )
     modules = modules.join(themes.select("repo", "module", "theme"), ["repo", "module"], "left")
     order = Window.partitionBy("repo").orderBy("ctx_id", "pos")
-    rules = joined.select("repo", "ctx_id", F.posexplode("rules").alias("pos", "rule")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= MOST_RULES)
+    rules = joined.select("repo", "ctx_id", F.posexplode("business_rules").alias("pos", "rule")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= MOST_RULES)
     total = routes.groupBy("repo").agg(F.count("*").alias("total"))
     few = routes.join(total.where(F.col("total") <= MANY_ROUTES), "repo", "left_semi")
     return (

@@ -72,22 +72,29 @@ def decision_index(decisions: DataFrame, keep: Column | None = None) -> Index:
     return build_index(decision_terms(spread(decisions, "repo", "id")), keep)
 
 
-def overlap_scores(queries: DataFrame, index: Index) -> DataFrame:
-    """(repo, query_id, id, score) of all pairs that share a term: shared idf**2 over the smaller sum of either side's.
-
-    `queries` has repo, query_id, terms. The weighed query terms are written first, so that Spark knows how few they are
-    and does not send the postings about.
-    """
+def weighed_terms(queries: DataFrame, index: Index) -> DataFrame:
+    """(repo, query_id, term, w2) of `queries` (repo, query_id, terms), written first, so that Spark knows how few they are and
+    does not send the postings about. A repo without rows has n 1."""
     asked = queries.select("repo", "query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    asked = asked.join(index.sizes, "repo").join(index.weights, ["repo", "term"], "left")
-    asked = stored(asked.select("repo", "query_id", "term", F.coalesce("w2", idf(F.lit(0), F.col("n")) ** 2).alias("w2")))
+    asked = asked.join(index.sizes, "repo", "left").join(index.weights, ["repo", "term"], "left")
+    n = F.coalesce("n", F.lit(1))
+    return stored(asked.select("repo", "query_id", "term", F.coalesce("w2", idf(F.lit(0), n) ** 2).alias("w2")))
+
+
+def scores(asked: DataFrame, postings: DataFrame, norms: DataFrame) -> DataFrame:
+    """(repo, query_id, id, score) of all pairs that share a term: shared idf**2 over the smaller sum of either side's."""
     q_self = asked.groupBy("repo", "query_id").agg(F.sum("w2").alias("q_self"))
-    dots = asked.join(index.postings, ["repo", "term"]).groupBy("repo", "query_id", "id").agg(F.sum("w2").alias("dot"))
-    scored = dots.join(q_self, ["repo", "query_id"]).join(index.norms, ["repo", "id"])
+    dots = asked.join(postings, ["repo", "term"]).groupBy("repo", "query_id", "id").agg(F.sum("w2").alias("dot"))
+    scored = dots.join(q_self, ["repo", "query_id"]).join(norms, ["repo", "id"])
     score = F.round(F.col("dot") / F.least("q_self", "d_self"), 6)
     return scored.select("repo", "query_id", "id", score.alias("score")).where("score > 0")
 
 
+def overlap_scores(queries: DataFrame, index: Index) -> DataFrame:
+    """scores() of `queries` (repo, query_id, terms) against the index."""
+    return scores(weighed_terms(queries, index), index.postings, index.norms)
+
+
 def adaptive_top(scored: DataFrame, top: int | None = None) -> DataFrame:
     """The rows shown per query with rank, matched and shown: `top`, else 1 where the first has twice the second's score,
     else 3. Ties go to the smaller id by code point.

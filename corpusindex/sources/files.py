@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 import pandas as pd
 from pyarrow import fs as pa_fs
@@ -218,7 +219,7 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame:
 
 # --- JSON layers and index tables ---------------------------------------------------------------------------------------
 
-CONTEXT_FIELDS = "name string, purpose string, capabilities array<string>, intents map<string,string>, evidence_hash string, src_hash string"
+CONTEXT_FIELDS = "name string, purpose string, capabilities array<string>, business_rules array<string>, intents map<string,string>, evidence_hash string, src_hash string"
 
 
 def read_functional(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -229,12 +230,29 @@ def read_functional(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return fields.select("repo", "ctx_id", "f.*"), modules.select("repo", "module", "m.*")
 
 
-def functional_json(functional: DataFrame) -> DataFrame:
-    """(repo, content): each repo's contexts as one JSON object by context id."""
-    row = F.struct(*[c for c in functional.columns if c not in ("repo", "ctx_id")])
-    entries = F.array_sort(F.collect_list(F.struct(F.col("ctx_id").alias("key"), F.to_json(row).alias("value"))))
-    body = F.transform(entries, lambda e: F.concat(F.regexp_extract(F.to_json(F.struct(e["key"].alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit(":"), e["value"]))
-    return functional.groupBy("repo").agg(F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}")).alias("content"))
+def _json_string(text: Column) -> Column:
+    return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+
+
+def functional_json(functional: DataFrame, modules: DataFrame | None = None, per_text: int = 1000) -> DataFrame:
+    """(repo, content): each repo's contexts, and under `__modules__` its modules, as JSON objects by id.
+
+    A repo of more than about `per_text` contexts or modules gives several texts, so that none has to fit a task whole;
+    read_functional reads them all.
+    """
+
+    def texts(table: DataFrame, key: str) -> DataFrame:
+        row = F.struct(*[c for c in table.columns if c not in ("repo", key)])
+        parts = table.groupBy("repo").agg(F.ceil(F.count("*") / per_text).alias("parts"))
+        rows = table.select("repo", F.concat(_json_string(F.col(key)), F.lit(":"), F.to_json(row)).alias("entry"), F.xxhash64(key).alias("h")).join(parts, "repo")
+        body = F.array_join(F.array_sort(F.collect_list("entry")), ",")
+        return rows.groupBy("repo", F.pmod("h", F.col("parts")).alias("part")).agg(F.concat(F.lit("{"), body, F.lit("}")).alias("content")).drop("part")
+
+    out = texts(functional, "ctx_id")
+    if modules is None:
+        return out
+    listed = texts(modules, "module").withColumn("content", F.concat(F.lit('{"__modules__":'), "content", F.lit("}")))
+    return out.unionByName(listed)
 
 
 def read_inference_batch(texts: DataFrame, schema: str) -> DataFrame:
@@ -244,33 +262,88 @@ def read_inference_batch(texts: DataFrame, schema: str) -> DataFrame:
     return texts.select(F.inline(F.from_json(listed, f"array<struct<{schema}>>")))
 
 
-def write_index(spark: SparkSession, table: DataFrame, path: str, key: str, previous: DataFrame | None) -> DataFrame:
-    """(key, content_hash, change) of `table`, written by partitions of `key`: added, changed, same or removed.
+def _files_of(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    return hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop.Path
+
+
+def index_generation(spark: SparkSession, path: str) -> int:
+    """The last committed generation of the index at `path`; 0 where there is none."""
+    system, at = _files_of(spark, path)
+    if not system.exists(at(f"{path}/manifest")):
+        return 0
+    return max([int(f.getPath().getName()) for f in system.listStatus(at(f"{path}/manifest"))], default=0)
 
-    Only added and changed partitions are written, one file each, and those of vanished keys are deleted. A partition's
-    content is the number and order-free sums of the hashes of its rows. `previous` has key and content_hash of the last write.
+
+def index_manifest(spark: SparkSession, path: str, generation: int) -> DataFrame:
+    """(key, content_hash, part): the keys of a generation, and the folder that holds each one's rows."""
+    return spark.read.schema("key string, content_hash string, part string").parquet(f"{path}/manifest/{generation}")
+
+
+def read_index(spark: SparkSession, path: str, key: str, schema: str, generation: int | None = None) -> DataFrame:
+    """The rows of a generation, the last by default; a reader keeps its generation while others are written.
+
+    `schema` has the table's columns but `key`, which comes as a string.
+    """
+    generation = generation or index_generation(spark, path)
+    if not generation:
+        return spark.createDataFrame([], f"{key} string, {schema}")
+    manifest = index_manifest(spark, path, generation)
+    parts = [r.part for r in manifest.select("part").distinct().collect()]  # one a generation that still has rows
+    if not parts:
+        return spark.createDataFrame([], f"{key} string, {schema}")
+    rows = spark.read.schema(f"index_key string, {schema}").parquet(*[f"{path}/data/{p}" for p in parts])
+    part = F.regexp_extract(F.col("_metadata.file_path"), "/data/([^/]+)/", 1)
+    held = manifest.select(F.col("key").alias("index_key"), "part")
+    return rows.withColumn("part", part).join(held, ["index_key", "part"], "left_semi").drop("part").withColumnRenamed("index_key", key)
+
+
+def write_index(spark: SparkSession, table: DataFrame, path: str, key: str) -> DataFrame:
+    """(key, content_hash, change) of `table` against the last generation at `path`: added, changed, same or removed.
+
+    Only rows of added and changed keys are written, to a folder of their own, gathered to files of the session's target size and sorted by key.
+    A manifest then names the folder of every key; renaming it to its number commits the generation. A write that ends
+    before leaves the generation before as it was, and of two writers at once only one can commit. A key's content is the
+    number and order-free sums of the hashes of its rows. Keys are strings and not null.
     """
     row = F.to_json(F.struct(*[c for c in table.columns if c != key]))
-    hashed = table.select(key, F.xxhash64(row).alias("h"), F.xxhash64(F.lit(7), row).alias("g"))
+    hashed = table.select(F.col(key).alias("key"), F.xxhash64(row).alias("h"), F.xxhash64(F.lit(7), row).alias("g"))
     sums = F.concat_ws("-", F.count("*"), F.sum(F.col("h").cast("decimal(38,0)")), F.bit_xor("g"))
-    now = hashed.groupBy(key).agg(F.sha1(sums.cast("binary")).alias("now"))
-    old = previous.select(key, F.col("content_hash").alias("old")) if previous is not None else now.select(key, F.col("now").alias("old")).where("false")
-    joined = now.join(old, key, "full_outer")
+    now = hashed.groupBy("key").agg(F.sha1(sums.cast("binary")).alias("now"))
+    last = index_generation(spark, path)
+    old = index_manifest(spark, path, last) if last else spark.createDataFrame([], "key string, content_hash string, part string")
+    joined = now.join(old.withColumnRenamed("content_hash", "old"), "key", "full_outer")
     change = F.when(F.col("old").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("old") != F.col("now"), "changed").otherwise("same")
-    changes = stored(joined.select(key, F.col("now").alias("content_hash"), change.alias("change")))
-    todo = table.join(changes.where(F.col("change").isin("added", "changed")).select(key), key, "left_semi")
-    todo.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
-    _drop_partitions(spark, path, key, changes.where("change = 'removed'"))
-    return changes
-
-
-def _drop_partitions(spark: SparkSession, path: str, key: str, gone: DataFrame) -> None:
-    """Delete the folders of the partitions in `gone`; only their names pass the driver, a partition of them at a time."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-    system = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for row in gone.select(F.col(key).cast("string")).toLocalIterator():
-        system.delete(hadoop.Path(f"{path}/{names.getPartitionPathString(key, row[0])}"), True)
+    changes = stored(joined.select("key", F.col("now").alias("content_hash"), change.alias("change"), "part"))
+    folder = f"{last + 1}-{uuid.uuid4().hex}"
+    todo = table.withColumnRenamed(key, "index_key")
+    todo = todo.join(changes.where("change IN ('added', 'changed')").select(F.col("key").alias("index_key")), "index_key", "left_semi")
+    todo.hint("rebalance", "index_key").sortWithinPartitions("index_key").write.parquet(f"{path}/data/{folder}")
+    part = F.when(F.col("change") == "same", F.col("part")).otherwise(folder).alias("part")
+    changes.where("change <> 'removed'").select("key", "content_hash", part).write.parquet(f"{path}/pending/{folder}")
+    system, at = _files_of(spark, path)
+    system.mkdirs(at(f"{path}/manifest"))
+    target = at(f"{path}/manifest/{last + 1}")
+    if system.exists(target) or not system.rename(at(f"{path}/pending/{folder}"), target):
+        raise RuntimeError(f"generation {last + 1} of {path} was written by another")
+    return changes.select(F.col("key").alias(key), "content_hash", "change")
+
+
+def clean_index(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Remove the manifests but the last `keep`, and the folders that none of those names; the folders' names.
+
+    Folders of a write that goes on are named by no manifest yet: clean only while nothing writes.
+    """
+    system, at = _files_of(spark, path)
+    last = index_generation(spark, path)
+    kept = [g for g in range(max(1, last - keep + 1), last + 1)]
+    named = {r.part for g in kept for r in index_manifest(spark, path, g).select("part").distinct().collect()}
+    gone = [f.getPath().getName() for f in system.listStatus(at(f"{path}/data")) if f.getPath().getName() not in named]
+    for number in {int(f.getPath().getName()) for f in system.listStatus(at(f"{path}/manifest"))} - set(kept):
+        system.delete(at(f"{path}/manifest/{number}"), True)
+    for name in gone:
+        system.delete(at(f"{path}/data/{name}"), True)
+    return sorted(gone)
 
 
 def write_tree(files: DataFrame, root: str) -> None:

@@ -11,18 +11,18 @@ from pyspark.sql.streaming import StreamingQuery
 from corpusindex.operators.decisions import cue_messages
 from corpusindex.operators.logs import gain_rows
 
-# The extensions of each language's sources.
+# The extensions whose files count as touched, sources first, then those of builds, settings and styles.
 EXTENSIONS = {
-    "java": (".java",),
-    "angular": (".ts",),
-    "node": (".ts", ".js", ".mjs", ".cjs"),
-    "react": (".ts", ".js", ".mjs", ".cjs", ".tsx", ".jsx"),
-    "python": (".py", ".pyi"),
+    "java": (".java", ".yml", ".yaml", ".properties"),
+    "angular": (".ts", ".html", ".scss"),
+    "node": (".ts", ".js", ".mjs", ".cjs", ".html", ".scss"),
+    "react": (".ts", ".js", ".mjs", ".cjs", ".tsx", ".jsx", ".html", ".scss"),
+    "python": (".py", ".pyi", ".toml", ".cfg"),
 }
 
 
 def of_language(touches: DataFrame, lang: str) -> DataFrame:
-    """Touches (repo, file, ts) of the language's sources."""
+    """Touches (repo, file, ts) of the language's sources and of what belongs to them."""
     keep = F.lit(False)
     for extension in EXTENSIONS[lang]:
         keep = keep | F.col("file").endswith(extension)

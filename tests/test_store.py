@@ -20,15 +20,45 @@ def test_no_reader_stands_in_a_plan_twice(spark):
     assert plan(web_queries.QUERIES["python_flows"](spark, SF)).count("MapInPandas") == 0
 
 
-def test_index_partitions_come_and_go(spark, tmp_path):
+def test_index_generations_come_and_go(spark, tmp_path):
     path = str(tmp_path / "index")
     table = lambda *rows: spark.createDataFrame(rows, "ctx string, v int")
-    first = io.write_index(spark, table(("a/1", 1), ("a/1", 2), ("b", 3), ("c", 4)), path, "ctx", None)
-    assert {r["change"] for r in first.collect()} == {"added"}
-    second = io.write_index(spark, table(("a/1", 2), ("a/1", 1), ("b", 5)), path, "ctx", first.select("ctx", "content_hash"))
-    assert {r["ctx"]: r["change"] for r in second.collect()} == {"a/1": "same", "b": "changed", "c": "removed"}
-    held = spark.read.schema("v int, ctx string").parquet(path)
-    assert sorted(tuple(r) for r in held.select("ctx", "v").collect()) == [("a/1", 1), ("a/1", 2), ("b", 5)]
+    reported = lambda df: {r["ctx"]: r["change"] for r in df.collect()}
+    held = lambda g=None: sorted(tuple(r) for r in io.read_index(spark, path, "ctx", "v int", g).select("ctx", "v").collect())
+    assert io.index_generation(spark, path) == 0 and held() == []
+    assert reported(io.write_index(spark, table(("a/1", 1), ("a/1", 2), ("b", 3), ("c", 4)), path, "ctx")) == {"a/1": "added", "b": "added", "c": "added"}
+    assert reported(io.write_index(spark, table(("a/1", 2), ("a/1", 1), ("b", 5)), path, "ctx")) == {"a/1": "same", "b": "changed", "c": "removed"}
+    assert held() == [("a/1", 1), ("a/1", 2), ("b", 5)]
+    assert reported(io.write_index(spark, table(("a/1", 1), ("a/1", 2), ("b", 5)), path, "ctx")) == {"a/1": "same", "b": "same"}  # c is not there to be removed again
+    assert reported(io.write_index(spark, table(("b", 5), ("c", 4)), path, "ctx")) == {"a/1": "removed", "b": "same", "c": "added"}
+    assert held() == [("b", 5), ("c", 4)] and held(1) == [("a/1", 1), ("a/1", 2), ("b", 3), ("c", 4)]  # a reader keeps its generation
+    gone = io.clean_index(spark, path, keep=1)
+    assert len(gone) == 2 and held() == [("b", 5), ("c", 4)]
+
+
+def test_a_write_killed_half_way_leaves_the_index_readable(spark, tmp_path, monkeypatch):
+    import pytest
+
+    path = str(tmp_path / "index")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "ctx string, v int")
+    io.write_index(spark, rows, path, "ctx")
+    whole = io._files_of
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    def before_commit(session, at):
+        system, make = whole(session, at)
+        return system, killed if (tmp_path / "index" / "pending").exists() and any((tmp_path / "index" / "pending").iterdir()) else make
+
+    monkeypatch.setattr(io, "_files_of", before_commit)
+    with pytest.raises(KeyboardInterrupt):
+        io.write_index(spark, rows.withColumn("v", F.col("v") + 1), path, "ctx")
+    monkeypatch.setattr(io, "_files_of", whole)
+    assert io.index_generation(spark, path) == 1
+    assert sorted(r["v"] for r in io.read_index(spark, path, "ctx", "v int").collect()) == [1, 2]
+    assert {r["change"] for r in io.write_index(spark, rows.withColumn("v", F.col("v") + 1), path, "ctx").collect()} == {"changed"}
+    assert sorted(r["v"] for r in io.read_index(spark, path, "ctx", "v int").collect()) == [2, 3]
 
 
 def test_tree_round_trip(spark, tmp_path):
