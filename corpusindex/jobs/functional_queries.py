@@ -108,6 +108,14 @@ def _grep(spark, d):
     return fn.grep_lines(lines, terms)
 
 
+def _grep_documents(spark, d):
+    """Whole documents that hold words of their repo's questions, part words and words of all questions among them."""
+    words = view(spark, d, "queries_v").select("repo", F.explode(F.split("q", " ")).alias("w"))
+    terms = words.select("repo", F.explode(F.array(F.col("w"), F.concat(F.lit("x"), "w"), F.substring("w", 2, 4), F.concat_ws(" ", "w", F.lit("de")))).alias("term")).where("trim(term) <> ''")
+    texts = view(spark, d, "files_v").select("repo", F.col("path").alias("id"), F.col("content").alias("line"))
+    return fn.grep_lines(texts, terms, whole=False)
+
+
 # --- streams ------------------------------------------------------------------------------------------------------------
 
 
@@ -166,6 +174,7 @@ QUERIES = {
     "context_listing": _listing,
     "project_brief": lambda s, d: fn.project_brief(functional(s, d), _stored_modules(s, d)),
     "grep_capabilities": _grep,
+    "grep_documents": _grep_documents,
     "touch_drain": _touches,
     "cue_stream": _cues,
     "gain_stream": _gain_stream,
@@ -192,6 +201,9 @@ ORACLE = {
     "project_brief": f"""SELECT f.repo, f.module, coalesce(any_value(s.theme), min_by(purpose, ctx_id) FILTER (purpose IS NOT NULL)) AS role, count(*) AS contexts
         FROM {sql_for("functional_v")} f LEFT JOIN ({STORED_SQL}) s USING (repo, module) GROUP BY f.repo, f.module""",
     "grep_capabilities": f"""SELECT l.repo, term, ctx_id AS id, line FROM ({LINE_SQL}) l, (VALUES ('RED'), ('widget'), ('economy')) v(term) WHERE contains(lower(line), lower(term))""",
+    "grep_documents": f"""WITH w AS (SELECT repo, unnest(string_split(q, ' ')) AS w FROM {sql_for("queries_v")}),
+        t AS (SELECT DISTINCT repo, unnest([w, 'x' || w, substr(w, 2, 4), w || ' de']) AS term FROM w)
+        SELECT t.repo, term, path AS id FROM t JOIN {sql_for("files_v")} f ON f.repo = t.repo AND contains(lower(content), lower(term)) WHERE trim(term) <> ''""",
     "touch_drain": "SELECT DISTINCT 'r' || (user_id % 3) AS repo, 'f' || user_id || CASE event_type WHEN 'view' THEN '.yml' ELSE '.java' END AS file FROM events WHERE event_type <> 'error'",
     "cue_stream": f"SELECT repo, msg_id FROM {sql_for('messages_v')} WHERE regexp_matches(text, '{CUE_SQL}') AND repo IN ('r0', 'r2')",
     "gain_stream": GAINS_SQL,

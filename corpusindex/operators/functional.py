@@ -180,8 +180,9 @@ def project_brief(functional: DataFrame, themes: DataFrame) -> DataFrame:
     )
 
 
-def grep_lines(lines: DataFrame, terms: DataFrame) -> DataFrame:
-    """(repo, term, id, line): lines that hold a term in any case; repeated terms count once."""
+def grep_lines(lines: DataFrame, terms: DataFrame, whole: bool = True) -> DataFrame:
+    """(repo, term, id, line): lines that hold a term in any case, without the lines unless `whole`; repeated terms count once."""
     wanted = terms.select("repo", "term").distinct().withColumn("word", F.lower("term"))
-    hit = containing(lines.select("repo", "id", "line", F.lower("line").alias("hay")), wanted)
-    return hit.join(wanted, ["repo", "word"]).select("repo", "term", "id", "line")
+    keep = ["id", "line"] if whole else ["id"]
+    hit = containing(lines.select("repo", *keep, F.lower("line").alias("hay")), wanted, *keep)
+    return hit.join(wanted, ["repo", "word"]).select("repo", "term", *keep)

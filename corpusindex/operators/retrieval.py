@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from corpusindex.functions.text import idf, normalize_terms
@@ -140,35 +144,131 @@ def unmatched(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return queries.join(hits.select("repo", "query_id").distinct(), ["repo", "query_id"], "left_anti")
 
 
-def _pieces(text: Column, n: int = 3) -> Column:
-    """The distinct substrings of 0 to `n` characters."""
+#: Words of as many characters in all go to every task; more are dealt out with the texts.
+WORDS_SENT = 1 << 20
+#: Words of an automaton, and bytes of text that meet one, where words are dealt out.
+SLICE_WORDS, BLOCK_BYTES = 50_000, 64 << 20
 
-    def of(size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
 
-    return F.array_distinct(F.concat(F.array(F.lit("")), *[of(k) for k in range(1, n + 1)]))
+def _automaton(words: list[str]):
+    import ahocorasick
 
+    found = ahocorasick.Automaton()
+    for w in words:
+        if w:
+            found.add_word(w, w)
+    found.make_automaton()
+    return found if len(found) else None
 
-def containing(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """Each row of `texts` (repo, hay, ...) with each of its repo's distinct `words` (repo, word) that `hay` contains.
 
-    A text meets only words whose first three characters stand in it: they are joined on equality, so a repo is spread
-    over its pieces of text and no text meets all words.
+def _within(automaton, empty: bool, hay: str | None) -> list[str]:
+    """The distinct words in a text, in one pass over it."""
+    if hay is None:
+        return []
+    found = {w for _, w in automaton.iter(hay)} if automaton else set()
+    return [*([""] if empty else []), *sorted(found)]
+
+
+def _hits(batch: pa.RecordBatch, hits: Iterable[tuple[int, int, list[str]]], schema: pa.Schema, most: int = 1 << 23):
+    """Batches of `hits` (row of `batch`, length of its text, words), of some `most` characters, as a row comes with every word."""
+    rows, found, size = [], [], 0
+
+    def flush():
+        taken = batch.take(pa.array(rows, pa.int64()))
+        columns = [taken.column(f.name).cast(f.type) for f in schema if f.name != "word"]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string())], schema=schema)
+
+    for row, length, words in hits:
+        for word in words:
+            rows.append(row)
+            found.append(word)
+            size += length + len(word) + 64
+            if size > most:
+                yield flush()
+                rows, found, size = [], [], 0
+    if rows:
+        yield flush()
+
+
+def containing(texts: DataFrame, words: DataFrame, *keep: str, sent: int = WORDS_SENT, slice_words: int = SLICE_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(repo, keep, word): each row of `texts` (repo, hay, keep) with each distinct one of its repo's `words` that `hay` contains.
+
+    All words of a repo are looked for in one pass over a text. Words of at most `sent` characters in all go to the tasks that
+    read the texts, and no text moves. More words are cut into slices of about `slice_words` a repo and the texts into blocks
+    of about `block_bytes`; a text moves once for each slice of its repo, together with its block, to where the slice's words
+    stand before it, so a repo with most texts or words is spread. Null texts and words meet nothing; the empty word is in
+    every text.
     """
-    asked = words.select("repo", "word").distinct().withColumn("piece", F.substring("word", 1, 3))
-    there = texts.withColumn("piece", F.explode(_pieces(F.col("hay"))))
-    return there.join(asked, ["repo", "piece"]).where(F.contains("hay", "word")).drop("piece")
+    spark = texts.sparkSession
+    asked = words.select("repo", "word").where("word IS NOT NULL").distinct()
+    size = asked.agg(F.sum(F.length("word") + 1)).first()[0] or 0
+    columns = ["repo", *keep]
+    out = T.StructType([*[texts.select(*columns).schema[c] for c in columns], T.StructField("word", T.StringType())])
+    schema = to_arrow_schema(out)
+    if size <= sent:
+        by_repo: dict = {}
+        for r in asked.collect():
+            by_repo.setdefault(r.repo, []).append(r.word)
+
+        def scan(batches):
+            built: dict = {}
+
+            def hits(batch):
+                for i, (repo, hay) in enumerate(zip(batch.column("repo").to_pylist(), batch.column("hay").to_pylist())):
+                    if repo in by_repo:
+                        if repo not in built:
+                            built[repo] = _automaton(by_repo[repo]), "" in by_repo[repo]
+                        yield i, len(hay or ""), _within(*built[repo], hay)
+
+            for batch in batches:
+                yield from _hits(batch, hits(batch), schema)
+
+        return texts.select("hay", *columns).mapInArrow(scan, out)
+
+    asked = stored(asked)
+    slices = asked.groupBy("repo").agg(F.ceil(F.count("*") / slice_words).alias("slices"))
+    blocks = texts.groupBy("repo").agg(F.ceil(F.sum(F.octet_length("hay")) / block_bytes).alias("blocks"))
+    sizes = stored(slices.join(blocks, "repo").where("blocks > 0"))
+    each = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+    of = F.struct(*columns).alias("row")
+    moved = texts.join(sizes, "repo").select(F.col("repo").alias("key"), F.pmod(F.xxhash64("hay", *keep), "blocks").alias("block"), "hay", of, "slices")
+    moved = moved.select("key", "block", each("slices").alias("slice"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("word"), "hay", "row")
+    sliced = asked.join(sizes, "repo").select("repo", "word", F.pmod(F.xxhash64("word"), "slices").alias("slice"), each("blocks").alias("block"))
+    none = lambda name: F.lit(None).cast(moved.schema[name].dataType).alias(name)
+    sliced = sliced.select(F.col("repo").alias("key"), "block", "slice", F.lit(0).alias("kind"), "word", none("hay"), none("row"))
+    keys = ["key", "block", "slice"]
+    met = sliced.unionByName(moved).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "kind")
+
+    def meet(batches):
+        state: list = [None, [], None]  # the group, its words, its automaton
+
+        def hits(batch):
+            kinds, own, hays = (batch.column(c).to_pylist() for c in ("kind", "word", "hay"))
+            for i, key in enumerate(zip(*[batch.column(c).to_pylist() for c in keys])):
+                if key != state[0]:
+                    state[:] = key, [], None
+                if kinds[i] == 0:
+                    state[1].append(own[i])
+                    continue
+                if state[2] is None:
+                    state[2] = _automaton(state[1]), "" in state[1]
+                yield i, len(hays[i] or ""), _within(*state[2], hays[i])
+
+        for batch in batches:
+            flat = pa.RecordBatch.from_arrays(batch.column("row").flatten(), names=columns)
+            yield from _hits(flat, hits(batch), schema)
+
+    return met.mapInArrow(meet, out)
 
 
 def ask(queries: DataFrame, contexts: DataFrame) -> DataFrame:
     """(repo, query_id, id, score): how many of a query's words, repeats counted, are within a context's `hay`.
 
-    Words that stand in several queries are tested once.
+    Words that stand in several queries are looked for once.
     """
     words = queries.select("repo", "query_id", F.explode(F.split(F.lower("q"), r"\s+")).alias("word")).where("word <> ''")
     counted = words.groupBy("repo", "query_id", "word").agg(F.count("*").alias("times"))
-    hit = containing(contexts.select("repo", "id", F.lower("hay").alias("hay")), counted).select("repo", "word", "id")
+    hit = containing(contexts.select("repo", "id", F.lower("hay").alias("hay")), counted, "id")
     return hit.join(counted, ["repo", "word"]).groupBy("repo", "query_id", "id").agg(F.sum("times").cast("double").alias("score"))
 
 
