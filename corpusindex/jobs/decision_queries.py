@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusindex.functions.text import content_hash, make_id, slugify, tokens
-from corpusindex.jobs.retrieval_queries import ACTIVE, DECISIONS_SQL, HAYSTACK, RANKED_SQL, decisions, scores_sql, terms_sql
+from corpusindex.jobs.retrieval_queries import ACTIVE, DECISIONS_SQL, HAYSTACK, RANKED_SQL, decisions, kept_index, scores_sql, terms_sql
 from corpusindex.jobs.views import sql_for, view
 from corpusindex.operators import changes, logs
 from corpusindex.operators import decisions as log
 from corpusindex.operators import ledger as cache
-from corpusindex.operators import retrieval
+from corpusindex.operators import postings
 from corpusindex.sources.store import stored
 
 SCOPE_SQL = "coalesce(nullif(scope, ''), CASE WHEN type IN ('architecture', 'convention') THEN 'global' ELSE 'domain' END)"
@@ -142,7 +142,7 @@ GATE_SQL = f"""
 
 def _gate(spark, d):
     ready = log.default_fields(candidates(spark, d), "2026-01-31")
-    return log.dedup_gate(ready, decisions(spark, d))
+    return log.dedup_gate(ready, decisions(spark, d), index=kept_index(spark, d))
 
 
 def _record(spark, d):
@@ -259,7 +259,7 @@ CUE_SQL = "(?i)(^|[^A-Za-z0-9_])(from now on|by convention)([^A-Za-z0-9_]|$)"
 
 
 def _harvest(spark, d):
-    return log.harvest(view(spark, d, "messages_v"), decisions(spark, d))
+    return log.harvest(view(spark, d, "messages_v"), decisions(spark, d), index=kept_index(spark, d))
 
 
 LISTED_SQL = f"""SELECT *, {SCOPE_SQL} AS eff, CASE WHEN type IN ('architecture', 'convention') THEN 1 ELSE 0 END AS structuring
@@ -314,7 +314,7 @@ def _cached_recall(spark, d):
     """The ledger answers first; only queries without a fresh answer are recalled."""
     found = stored(_verdicts(spark, d))
     rest = view(spark, d, "queries_v").join(found.where("verdict = 'fresh'"), ["repo", "query_id"], "left_anti")
-    return cache.cached_or(found, ledger(spark, d), retrieval.recall(rest, decisions(spark, d)))
+    return cache.cached_or(found, ledger(spark, d), postings.recall(rest, kept_index(spark, d)))
 
 
 # --- changes ------------------------------------------------------------------------------------------------------------
@@ -417,7 +417,7 @@ def _recall_scale(spark, d):
     """Per repo: tokens of all decisions, mean tokens of a query's cards, and the factor between them."""
     docs = decisions(spark, d)
     corpus = docs.groupBy("repo").agg(F.count("*").alias("n"), F.sum(tokens(F.col("decision"))).alias("corpus"))
-    hits = retrieval.recall(view(spark, d, "queries_v"), docs)
+    hits = postings.recall(view(spark, d, "queries_v"), kept_index(spark, d))
     cards = hits.join(docs.select("repo", "id", tokens(F.col("decision")).alias("t")), ["repo", "id"])
     payload = cards.groupBy("repo", "query_id").agg(F.sum("t").alias("t")).groupBy("repo").agg(F.avg("t").alias("payload"))
     joined = corpus.join(payload, "repo")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from corpusindex.functions.text import STOP_WORDS, normalize_terms, normalized_query
 from corpusindex.jobs.views import sql_for, view
-from corpusindex.operators import retrieval
+from corpusindex.operators import postings, retrieval
+from corpusindex.sources.store import shared_folder
 
 
 def decisions(spark, d):
@@ -20,6 +21,15 @@ def decisions(spark, d):
     )
 
 
+_FOLDERS: dict[tuple[str, str], str] = {}
+
+
+def kept_index(spark, d):
+    """The decisions' index in a folder of this application's; brought up to date, so that only changes are read again."""
+    path = _FOLDERS.setdefault((spark.sparkContext.applicationId, d), shared_folder(spark))
+    return postings.refresh_index(spark, decisions(spark, d), path)
+
+
 DECISIONS_SQL = f"""SELECT *, lang || ' ' || source AS tags, 'Applies to ' || lang AS consequences FROM {sql_for("decisions_v")}"""
 STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
@@ -71,7 +81,25 @@ ACTIVE = "status IN ('active', 'proposed')"
 
 
 def _recall(spark, d, **options):
-    return retrieval.recall(view(spark, d, "queries_v"), decisions(spark, d), **options)
+    return postings.recall(view(spark, d, "queries_v"), kept_index(spark, d), **options)
+
+
+def _candidates(spark, d):
+    """How many decisions share a term with each question, and the places shown."""
+    hits = _recall(spark, d)
+    return hits.groupBy("repo", "query_id").agg(F.max("matched").alias("matched"), F.max("rank").alias("places"))
+
+
+def _delta(spark, d):
+    """Recall after a refresh by changed, gone and new decisions, and after compaction: rows of both."""
+    base, path = decisions(spark, d), shared_folder(spark)
+    before = base.where("doc_id % 5 <> 1").withColumn("decision", F.when(F.col("doc_id") % 4 == 0, F.concat("decision", F.lit(" earlier"))).otherwise(F.col("decision")))
+    extra = base.where("doc_id % 9 = 2").withColumn("id", F.concat(F.lit("old/"), "id"))
+    postings.refresh_index(spark, before.unionByName(extra), path)
+    queries = view(spark, d, "queries_v")
+    refreshed = postings.recall(queries, postings.refresh_index(spark, base, path))
+    compacted = postings.recall(queries, postings.compact_index(spark, path))
+    return refreshed.withColumn("after", F.lit("refresh")).unionByName(compacted.withColumn("after", F.lit("compaction")))
 
 
 def _terms(spark, d):
@@ -89,13 +117,13 @@ def _df(spark, d):
 
 
 def _cards(spark, d):
-    cards = retrieval.recall_cards(view(spark, d, "queries_v"), decisions(spark, d))
+    cards = retrieval.cards(_recall(spark, d), decisions(spark, d))
     return cards.withColumn("tags", F.array_join("tags", " ")).withColumn("consequences", F.array_join("consequences", " "))
 
 
 def _unmatched(spark, d):
     queries = view(spark, d, "queries_v")
-    hits = retrieval.recall(queries, decisions(spark, d), domain="src7")
+    hits = _recall(spark, d, domain="src7")
     return retrieval.unmatched(queries, hits).select("repo", "query_id", "q")
 
 
@@ -133,6 +161,8 @@ QUERIES = {
     "recall_domain": lambda s, d: _recall(s, d, domain="src7"),
     "recall_all_statuses": lambda s, d: _recall(s, d, statuses=None),
     "recall_cards": _cards,
+    "recall_after_delta": _delta,
+    "recall_counts": _candidates,
     "recall_unmatched": _unmatched,
     "ask_scores": _ask,
     "ask_fallback": _ask_fallback,
@@ -153,6 +183,8 @@ ORACLE = {
     "recall_top": scores_sql(ACTIVE) + "," + RANKED_SQL + " SELECT * FROM hits",
     "recall_domain": scores_sql(ACTIVE + " AND domain = 'src7'") + "," + RANKED_SQL + " SELECT * FROM hits",
     "recall_all_statuses": scores_sql() + "," + RANKED_SQL + " SELECT * FROM hits",
+    "recall_after_delta": scores_sql(ACTIVE) + "," + RANKED_SQL + " SELECT hits.*, after FROM hits, (VALUES ('refresh'), ('compaction')) v(after)",
+    "recall_counts": scores_sql(ACTIVE) + "," + RANKED_SQL + " SELECT repo, query_id, max(matched) AS matched, max(rank) AS places FROM hits GROUP BY ALL",
     "recall_cards": scores_sql(ACTIVE) + "," + RANKED_SQL + """
         SELECT h.repo, query_id, rank, matched, shown, h.id, floor(score * 100 + 0.5) / 100 AS score, type, status, domain, title, decision, tags,
                CASE WHEN rank = 1 THEN date END AS date, CASE WHEN rank = 1 THEN context END AS context,

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from corpusindex.functions.text import content_hash, make_id, normalize_terms, whole_word
 from corpusindex.operators.order import numbered
+from corpusindex.operators.postings import StoredIndex, top_matches
 from corpusindex.operators.retrieval import (
     ACTIVE_STATUSES, Index, adaptive_top, decision_index, decision_terms, overlap_scores, scores, weighed_terms,
 )
@@ -105,15 +106,22 @@ def _hundredths(score: Column) -> Column:
     return F.floor(score * 100 + 0.5) / 100
 
 
-def dedup_gate(candidates: DataFrame, decisions: DataFrame, least: float = 0.5, force: bool = False, index: Index | None = None) -> DataFrame:
+def _best(asked: DataFrame, decisions: DataFrame, index: StoredIndex | None) -> DataFrame:
+    """The best active decision of each row of `asked` (repo, query_id, terms), from a kept index where there is one."""
+    active = F.col("status").isin(*ACTIVE_STATUSES)
+    if index is not None:
+        return top_matches(asked, index, active, 1)
+    return adaptive_top(overlap_scores(asked, decision_index(decisions, active)), 1)
+
+
+def dedup_gate(candidates: DataFrame, decisions: DataFrame, least: float = 0.5, force: bool = False, index: StoredIndex | None = None) -> DataFrame:
     """(repo, query_id, match, score, refused): each candidate's overall best active match in the log.
 
     A candidate is refused where that match, of score `least` or more rounded to 2 places, has its domain, unless it
     supersedes something or is forced, by its own column `force` or by the argument.
     """
     asked = candidates.select("repo", "query_id", question_terms(candidates).alias("terms"))
-    index = index or decision_index(decisions, F.col("status").isin(*ACTIVE_STATUSES))
-    top = adaptive_top(overlap_scores(asked, index), 1)
+    top = _best(asked, decisions, index)
     top = top.select("repo", "query_id", F.col("id").alias("match"), _hundredths(F.col("score")).alias("score"))
     found = top.join(decisions.select("repo", F.col("id").alias("match"), F.col("domain").alias("m_domain")), ["repo", "match"])
     own = candidates.select("repo", "query_id", "domain", _text(candidates, "supersedes").alias("supersedes"), _forced(candidates, force).alias("forced"))
@@ -327,11 +335,10 @@ def cue_messages(messages: DataFrame) -> DataFrame:
     return messages.where(F.col("text").rlike(CUES))
 
 
-def harvest(messages: DataFrame, decisions: DataFrame, covered: float = 0.6, near: float = 0.3) -> DataFrame:
+def harvest(messages: DataFrame, decisions: DataFrame, covered: float = 0.6, near: float = 0.3, index: StoredIndex | None = None) -> DataFrame:
     """(repo, msg_id, match, score, status) of cue messages: covered, supersedes-candidate or new by their best match."""
     cues = cue_messages(messages).select("repo", F.col("msg_id").alias("query_id"), normalize_terms(F.col("text")).alias("terms"))
-    index = decision_index(decisions, F.col("status").isin(*ACTIVE_STATUSES))
-    top = adaptive_top(overlap_scores(cues, index), 1)
+    top = _best(cues, decisions, index)
     joined = cues.select("repo", "query_id").join(top.select("repo", "query_id", "id", "score"), ["repo", "query_id"], "left")
     status = F.when(F.col("score") >= covered, "covered").when(F.col("score") >= near, "supersedes-candidate").otherwise("new")
     return joined.select("repo", F.col("query_id").alias("msg_id"), F.col("id").alias("match"), "score", status.alias("status"))

@@ -24,8 +24,12 @@ def with_terms(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.withColumn("terms", normalize_terms(F.concat_ws(" ", *parts)))
 
 
+#: The fields of a decision that are searched.
+HAYSTACK = ("title", "domain", "type", "tags", "decision", "rationale", "context", "consequences")
+
+
 def decision_terms(decisions: DataFrame) -> DataFrame:
-    return with_terms(decisions, "title", "domain", "type", "tags", "decision", "rationale", "context", "consequences")
+    return with_terms(decisions, *HAYSTACK)
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -99,24 +103,25 @@ def overlap_scores(queries: DataFrame, index: Index) -> DataFrame:
     return scores(weighed_terms(queries, index), index.postings, index.norms)
 
 
-def adaptive_top(scored: DataFrame, top: int | None = None) -> DataFrame:
-    """The rows shown per query with rank, matched and shown: `top`, else 1 where the first has twice the second's score,
-    else 3. Ties go to the smaller id by code point.
-
-    Only the first rows of each query, 3 or `top`, are ranked against each other; the others are counted. Scores are
-    written once, as both need them.
-    """
-    scored = stored(scored)
+def ranked_top(scored: DataFrame, counts: DataFrame, top: int | None = None) -> DataFrame:
+    """`scored` (repo, query_id, id, score) with rank, matched (of `counts`) and shown, its first rows only: `top`, else 1
+    where the first has twice the second's score, else 3. Ties go to the smaller id by code point."""
     by = Window.partitionBy("repo", "query_id")
     order = by.orderBy(F.col("score").desc(), "id")
     first = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(top or 0, 3))
-    counts = scored.groupBy("repo", "query_id").agg(F.count("*").alias("matched"))
     ranked = first.withColumn("s1", F.max("score").over(by)).withColumn("s2", F.max(F.when(F.col("rank") == 2, F.col("score"))).over(by))
     shown = F.lit(top) if top else F.when(F.col("s1") >= 2 * F.coalesce("s2", F.lit(0.0)), 1).otherwise(3)
     ranked = ranked.join(counts, ["repo", "query_id"]).withColumn("shown", F.least(shown, F.col("matched")))
     return ranked.where("rank <= shown").drop("s1", "s2")
 
 
+def adaptive_top(scored: DataFrame, top: int | None = None) -> DataFrame:
+    """ranked_top() of `scored`, counted by itself. Scores are written once, as both need them; only the first rows of each
+    query are ranked against each other."""
+    scored = stored(scored)
+    return ranked_top(scored, scored.groupBy("repo", "query_id").agg(F.count("*").alias("matched")), top)
+
+
 def recall(queries: DataFrame, decisions: DataFrame, statuses=ACTIVE_STATUSES, domain: str | None = None, top: int | None = None) -> DataFrame:
     """(repo, query_id, id, score, rank, matched, shown); `statuses` None searches all."""
     keep = F.lit(True) if statuses is None else F.col("status").isin(*statuses)
@@ -128,7 +133,11 @@ def recall(queries: DataFrame, decisions: DataFrame, statuses=ACTIVE_STATUSES, d
 
 def recall_cards(queries: DataFrame, decisions: DataFrame, **options) -> DataFrame:
     """recall() with the decisions' fields: the first of each query in full, the others as summaries."""
-    hits = stored(recall(queries, decisions, **options))
+    return cards(recall(queries, decisions, **options), decisions)
+
+
+def cards(hits: DataFrame, decisions: DataFrame) -> DataFrame:
+    hits = stored(hits)
     full = F.col("rank") == 1
     fields = ["type", "status", "domain", "title", "decision", "tags"]
     rest = ["date", "context", "rationale", "consequences", "supersedes"]
