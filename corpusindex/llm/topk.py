@@ -236,15 +236,17 @@ def top_inner_products(
     first = checkpointed(_best(first, k))
     floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor")).distinct()
     ready = _packed(queries.join(floors, "id", "left"), ("dim", "block"), ("floor",))
-    ready = ready.select("dim", "block", F.col("rows").alias("queries"), F.col("longest").alias("q_longest"))
-    # a block meets a bucket unless its lowest floor is out of reach for the longest vectors of both
-    lowest = F.when(F.exists("queries", lambda q: q["floor"].isNull()), None).otherwise(
-        F.array_min(F.transform("queries", lambda q: q["floor"]))
-    )
+    ready = ready.select("dim", "block", F.col("rows").alias("queries"))
+    # a block meets a bucket unless its lowest floor is out of reach for the longest vectors of both; that is settled by
+    # numbers alone, before any vectors are copied
+    lowest = F.when(F.count("*") == F.count("floor"), F.min("floor")).alias("lowest")
+    asking = queries.select("id", "dim", "block", "norm").join(floors, "id", "left")
+    asking = asking.groupBy("dim", "block").agg(lowest, F.max("norm").alias("q_longest"))
     spread = ranged.groupBy("dim").agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"))
-    ready = ready.withColumn("lowest", lowest).join(spread, "dim").where("last > first")
-    ready = ready.withColumn("bucket", F.explode(F.sequence(F.col("first") + 1, F.col("last"))))
-    pairs = ready.join(buckets, ["dim", "bucket"]).where("lowest IS NULL OR q_longest * longest * (1 + 1e-9) >= lowest")
+    asking = asking.join(spread, "dim").where("last > first").withColumn("bucket", F.explode(F.sequence(F.col("first") + 1, F.col("last"))))
+    lengths = ranged.groupBy("dim", "bucket").agg(F.max("norm").alias("longest"))
+    meetings = asking.join(lengths, ["dim", "bucket"]).where("lowest IS NULL OR q_longest * longest * (1 + 1e-9) >= lowest")
+    pairs = meetings.select("dim", "block", "bucket").join(ready, ["dim", "block"]).join(buckets, ["dim", "bucket"])
     found = _searched(pairs, k).unionAll(first.select("query_id", "vec_id", "score"))
     if wide is not None:
         found = found.unionAll(wide)
