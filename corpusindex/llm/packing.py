@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from corpusindex.llm.common import checkpointed, record, runs, shuffle_partitions, sliced
 
 END_ID = 0
-#: Signatures are counted by their first SIGNATURE_BITS of 63, and documents dealt to about MOST_GROUPS groups at most.
-SIGNATURE_BITS, MOST_GROUPS = 18, 1 << 16
+#: Signatures are counted by their first SIGNATURE_BITS of 63.
+SIGNATURE_BITS = 18
 K1, B = 1.2, 0.75
 _loaded: dict[str, object] = {}
 
@@ -138,7 +138,6 @@ def _groups(tokens: DataFrame, shard_docs: int) -> DataFrame:
     """
     prefix = F.shiftright("near", 63 - SIGNATURE_BITS).alias("prefix")
     counted = tokens.groupBy(prefix).agg(F.count("*").alias("n")).toPandas().sort_values("prefix")
-    each = max(shard_docs, -(-int(counted["n"].sum()) // MOST_GROUPS))
     rows, number, held = [], 0, []
 
     def close() -> None:
@@ -150,14 +149,14 @@ def _groups(tokens: DataFrame, shard_docs: int) -> DataFrame:
             number, held = number + 1, []
 
     for p, n in zip(counted["prefix"].tolist(), counted["n"].tolist()):
-        if n > 2 * each:
+        if n > 2 * shard_docs:
             close()
-            parts = -(-n // each)
+            parts = -(-n // shard_docs)
             rows.append((p, number, parts, shard_docs))
             number += parts
             continue
         held.append((p, n))
-        if sum(x for _, x in held) >= each:
+        if sum(x for _, x in held) >= shard_docs:
             close()
     close()
     return tokens.sparkSession.createDataFrame(rows, "prefix long, first long, parts long, shard_rows long")
