@@ -16,7 +16,7 @@ from corpusindex.llm.words import word_counts
 
 #: Remainder, in words, that the dynamic programme fits; twice the longest document where that is more.
 DP_WORDS = 1 << 16
-#: Bits (budget times lengths) up to which a budget that is missed is fitted again from all documents.
+#: Bits (words fitted times lengths) up to which the part that is fitted is doubled while the budget is missed.
 EXACT_BITS = 1 << 30
 #: Documents of one source and size that are ranked together.
 RANKED = 4096
@@ -52,7 +52,8 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: i
 
     First every length gives its proportional share; then the longest that fit go in until about `dp_words` words, or
     twice the longest document, remain; bounded-knapsack dynamic programming over the reachable sums, kept as the bits of
-    an integer, fits those. A budget that this misses is fitted from all documents at once, within EXACT_BITS.
+    an integer, fits those. While that misses the budget by more than a remainder that no documents can fill, documents are
+    given back and twice as many words fitted, up to the whole budget from all documents, or to EXACT_BITS of work.
     """
     order = np.argsort(-lengths, kind="stable")
     size, have = lengths[order].astype(object), counts[order].astype(object)
@@ -61,22 +62,26 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: i
         return np.zeros(len(lengths), np.int64)
     if budget >= total:
         return counts.astype(np.int64)
-    take = np.array([int(h) * budget // total for h in have], object)
-    rest = budget - int(sum(size * take))
+    share = np.array([int(h) * budget // total for h in have], object)
+    unfillable = budget % math.gcd(*[int(x) for x in size])
     wide = max(dp_words, 2 * int(size[0]))
-    for i in range(len(size)):
-        if rest > wide:
-            more = min(have[i] - take[i], (rest - wide) // size[i])
-            take[i] += more
-            rest -= more * size[i]
-    best, used = _fitted(size, have - take, int(rest))
-    take += used
-    if best < rest and budget * len(size) <= EXACT_BITS:
-        whole, used = _fitted(size, have, budget)
-        if whole > budget - rest + best:
-            take = used
+    opened, missed, kept = 0, budget, np.zeros(len(size), object)
+    while missed > unfillable:
+        take = np.array([int(s) * (budget - opened) // budget for s in share], object)
+        rest, most = budget - int(sum(size * take)), max(wide, opened)
+        for i in range(len(size)):
+            if rest > most:
+                more = min(have[i] - take[i], (rest - most) // size[i])
+                take[i] += more
+                rest -= more * size[i]
+        best, used = _fitted(size, have - take, int(rest))
+        if rest - best < missed:
+            missed, kept = int(rest - best), take + used
+        if opened >= budget or max(wide, 2 * opened) * len(size) > EXACT_BITS:
+            break
+        opened = min(budget, max(wide, 2 * opened))
     out = np.zeros(len(lengths), np.int64)
-    out[order] = take.astype(np.int64)
+    out[order] = kept.astype(np.int64)
     return out
 
 
