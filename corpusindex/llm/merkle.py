@@ -14,9 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from corpusindex.llm.common import shuffle_partitions
+from corpusindex.operators.order import numbered
 from corpusindex.sources.store import stored
 
 ARITY = 2
@@ -57,24 +56,6 @@ def _whole(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def ranked(rows: DataFrame, *order: str) -> DataFrame:
-    """`rows` with `idx`, the place within their `tree` by the columns `order`, and `n`, the tree's size.
-
-    Rows are dealt by range and numbered where they lie; only a count for each range and tree is added up, so no task holds a
-    tree. Rows equal in all columns are told apart by where they were read.
-    """
-    held = stored(rows).withColumn("tie", F.monotonically_increasing_id())
-    dealt = held.repartitionByRange(shuffle_partitions(rows.sparkSession), "tree", *order, "tie")
-    dealt = dealt.sortWithinPartitions("tree", *order, "tie").drop("tie")
-    placed = stored(dealt.withColumn("at", F.monotonically_increasing_id()).withColumn("slice", F.shiftright("at", 33)))
-    slices = placed.groupBy("tree", "slice").agg(F.count("*").alias("rows"), F.min("at").alias("first"))
-    tree = Window.partitionBy("tree")
-    before = F.sum("rows").over(tree.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("rows")
-    slices = stored(slices.select("tree", "slice", "first", before.alias("before"), F.sum("rows").over(tree).alias("n")))
-    found = placed.join(slices, ["tree", "slice"]).withColumn("idx", F.col("before") + F.col("at") - F.col("first"))
-    return found.drop("slice", "at", "first", "before")
-
-
 def _nodes(leaves: DataFrame, arity: int) -> DataFrame:
     """(tree, n, level, at, hash): the nodes of every block of `leaves` (tree, n, idx, hash) up to the blocks' roots."""
     block = _whole(F.col("idx"), F.lit(arity ** stride(arity)))
@@ -178,11 +159,9 @@ def dataset_manifest(docs: DataFrame, arity: int = ARITY) -> DataFrame:
     Null and empty fields differ; null languages form a tree of their own, and null ids stand first. Rows of equal id are
     ordered by their leaves; rows equal throughout have leaves of their own beside each other. No rows give no rows.
     """
-    leaves = ranked(manifest_leaves(docs), "doc_id", "leaf")
-    places = stored(leaves)
+    places = stored(numbered(manifest_leaves(docs), "tree", "doc_id", "leaf"))
     tiers, subroots = climbed(places.select("tree", "n", "idx", F.col("leaf").alias("hash")), arity)
-    named = ranked(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "root"), "name")
-    named = stored(named)
+    named = stored(numbered(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "root"), "tree", "name"))
     last, roots = climbed(named.select("tree", "n", "idx", F.col("root").alias("hash")), arity)
     none = F.array().cast("array<struct<left:string,right:string>>")
     whole = descended(named.select("tree", "n", "idx"), last, roots.select("tree", none.alias("path"), "root"), arity)
