@@ -106,29 +106,41 @@ def _angular_class(src: Source, m: re.Match, before: int) -> dict:
     }
 
 
+# Words of files with routes; a route's keys by rank with the kind that each makes; keys that list guards.
+ROUTED = ("Route", "Routes", "RouterModule", "provideRouter")
+ROUTE_KINDS = {"redirectTo": "redirect", "loadComponent": "lazy", "loadChildren": "lazy-children", "component": "component", "children": "parent"}
+GUARD_KEYS = ("canActivate", "canActivateChild", "canMatch", "canDeactivate", "canLoad")
+NG_KEY = re.compile(r"[({\[]|\b(" + "|".join(("path", *ROUTE_KINDS, *GUARD_KEYS)) + r")\s*:")
+
+
+def _target(key: str, value: str) -> str | None:
+    """What a route's key leads to: a path, a module, a class, or nothing by itself."""
+    if key == "redirectTo":
+        return _string(value)
+    if key.startswith("load"):
+        module = re.search(r"\bimport\(\s*", value)
+        return (_string(value[module.end() :]) if module else None) or "(lazy)"
+    name = re.match(r"\s*([A-Za-z_]\w*)", value)
+    return name.group(1) if key == "component" and name else None
+
+
 def _angular_routes(src: Source) -> list[dict]:
-    if not re.search(r"\bRoutes?\b|RouterModule|provideRouter", src.text):
+    """Routes of the objects that have a path of their own, nested ones too, in the order of the text."""
+    if not any(re.search(rf"\b{word}\b", src.text) for word in ROUTED):
         return []
-    marks = [m for m in PATH.finditer(src.code)]
     out = []
-    for m, after in zip(marks, [*[n.start() for n in marks[1:]], len(src.text)]):
-        path = _string(src.text[m.end() :])
+    for open_ in sorted(o for o in src.closes if src.code[o] == "{"):
+        keys = _object_keys(src, open_, NG_KEY)
+        path = _string(src.text[keys["path"] :]) if "path" in keys else None
         if path is None:
             continue
-        window = "\n".join(src.text[m.start() : after].split("\n")[:6])
-        redirect, component = re.search(r"redirectTo\s*:\s*['\"]([^'\"]*)", window), re.search(r"\bcomponent\s*:\s*([A-Za-z_]\w*)", window)
-        imported = re.search(r"import\(\s*['\"]([^'\"]+)['\"]\s*\)", window)
-        lazy = imported.group(1) if imported else "(lazy)"
-        target, kind = (
-            (redirect.group(1), "redirect") if redirect
-            else (lazy, "lazy") if "loadComponent" in window
-            else (lazy, "lazy-children") if "loadChildren" in window
-            else (component.group(1), "component") if component
-            else (None, "parent" if re.search(r"\bchildren\s*:", window) else "component")
-        )
-        guards = re.search(r"\bcan(?:Activate|ActivateChild|Match|Deactivate|Load)\s*:\s*\[", window)
-        listed = split_top(src.text[m.start() + guards.end() : src.end(m.start() + guards.end() - 1, after)]) if guards else []
-        out.append({"path": path, "target": target, "kind": kind, "line": src.line(m.start()), "guards": [g.strip() for g in listed]})
+        ends = sorted([*keys.values(), src.end(open_, len(src.code))])
+        value = {key: src.text[at : ends[bisect_left(ends, at) + 1]] for key, at in keys.items()}
+        key = next((k for k in ROUTE_KINDS if k in keys), "component")
+        lists = [src.code.find("[", keys[k]) for k in sorted((k for k in GUARD_KEYS if k in keys), key=keys.get) if value[k].lstrip().startswith("[")]
+        guards = split_top(src.text[lists[0] + 1 : src.end(lists[0], len(src.code))]) if lists else []
+        line = src.line(src.code.rfind("path", open_, keys["path"]))
+        out.append({"path": path, "target": _target(key, value.get(key, "")), "kind": ROUTE_KINDS[key], "line": line, "guards": [g.strip() for g in guards]})
     return out
 
 
@@ -172,10 +184,10 @@ def _tag(src: Source, at: int) -> str:
     return src.text[start:]
 
 
-def _object_keys(src: Source, open_: int) -> dict[str, int]:
-    """Where the values of an object's own path, element and Component begin; nested brackets are skipped."""
+def _object_keys(src: Source, open_: int, wanted: re.Pattern = ROUTE_KEY) -> dict[str, int]:
+    """Where the values of an object's own keys begin, of those that are wanted; nested brackets are skipped."""
     found, at, close = {}, open_ + 1, src.end(open_, len(src.code))
-    while m := ROUTE_KEY.search(src.code, at, close):
+    while m := wanted.search(src.code, at, close):
         at = m.end() if m.group(1) else src.end(m.start(), close) + 1
         if m.group(1):
             found.setdefault(m.group(1), m.end())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 
@@ -28,30 +29,94 @@ SCAN = {
 LARGEST = 2 * 1024 * 1024
 
 
-def _binary(spark: SparkSession, root: str) -> DataFrame:
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace("path", r"^[a-z0-9]+:/*", "/")
-    base = F.lit(re.sub(r"^[a-z0-9]+:/*", "/", root).rstrip("/") + "/")
-    return found.withColumn("path", F.regexp_replace(path, F.concat(F.lit(r"^\Q"), base, F.lit(r"\E")), ""))
+#: Folders that a task lists, and bytes that it reads, before what is left goes to others or on.
+FOLDERS_LISTED, BYTES_READ = 2000, 16 << 20
+LISTED = "path string, folder boolean, size long"
+
+
+def _opened(root: str):
+    """The file system and folder of an address or local path."""
+    return pa_fs.FileSystem.from_uri(root if re.match(r"[a-z0-9]+:", root) else f"file://{root}")
+
+
+def _walk(root: str, skipped: frozenset[str], most: int):
+    """Lists folders below `root`, those within them too, until `most` are listed; gives the files, and the folders not listed."""
+
+    def walk(frames):
+        system, base = _opened(root)
+        for frame in frames:
+            waiting, listed, out = list(frame["path"]), 0, []
+            while waiting and listed < max(most, len(frame)):
+                folder = waiting.pop(0)
+                listed += 1
+                for info in system.get_file_info(pa_fs.FileSelector(f"{base}/{folder}".rstrip("/"), allow_not_found=True)):
+                    path = f"{folder}/{info.base_name}".lstrip("/")
+                    if isinstance(system, pa_fs.LocalFileSystem) and os.path.islink(info.path):
+                        continue
+                    if info.type == pa_fs.FileType.Directory:
+                        if info.base_name not in skipped or "/" not in path:  # a repo may be called anything
+                            waiting.append(path)
+                    elif info.type == pa_fs.FileType.File:
+                        out.append((path, False, info.size))
+            out += [(path, True, None) for path in waiting]
+            yield pd.DataFrame(out, columns=["path", "folder", "size"]).astype({"folder": bool, "size": "Int64"})
+
+    return walk
+
+
+def list_files(spark: SparkSession, root: str, skipped: frozenset[str] = frozenset(), folders: int = FOLDERS_LISTED) -> DataFrame:
+    """(path, size) of the files below `root`, without ever listing a folder of a skipped name below the first level.
+
+    The first level is listed alone, then every task lists what lies below its folders, `folders` of them at most, and hands
+    on the rest, which the next round deals out again. Symbolic links of a local tree are not followed.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    waiting, found, most = spark.createDataFrame([("",)], "path string"), None, 1
+    while True:
+        listed = stored(waiting.mapInPandas(_walk(root, skipped, most), LISTED))
+        files = listed.where("NOT folder").select("path", "size")
+        found = files if found is None else found.unionByName(files)
+        waiting, most = listed.where("folder").select("path"), folders
+        if waiting.isEmpty():
+            return found
+        waiting = waiting.repartition(parts, "path")
+
+
+def _read(root: str):
+    """(path, content, size) of files: those with a NUL in their first 4096 bytes are left out."""
+
+    def read(frames):
+        system, base = _opened(root)
+        for frame in frames:
+            out, held = [], 0
+            for path in frame["path"]:
+                with system.open_input_stream(f"{base}/{path}") as stream:
+                    data = stream.read()
+                if b"\0" not in data[:4096]:
+                    out.append((path, data.decode("utf-8", "replace"), len(data)))
+                    held += len(data)
+                if held > BYTES_READ:
+                    yield pd.DataFrame(out, columns=["path", "content", "size"])
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=["path", "content", "size"])
+
+    return read
 
 
 def scan_source_files(spark: SparkSession, root: str, lang: str) -> DataFrame:
     """(repo, path, content, size) of the language's files below `root`; the first folder of a path is its repo.
 
-    Files of more than 2 MiB or with a NUL in their first 4096 bytes are left out, as are the language's skipped folders and
-    empty files.
+    The language's skipped folders are never listed, and only files of wanted names and at most 2 MiB are opened. Files with
+    a NUL in their first 4096 bytes are left out, as are empty ones; bytes that are no UTF-8 are replaced.
     """
     wanted, unwanted, skipped = SCAN[lang]
-    files = _binary(spark, root).where(F.col("length") <= LARGEST)
-    below = F.regexp_replace("path", "^[^/]*/", "")
-    folders = F.slice(F.split(below, "/"), F.lit(1), F.greatest(F.size(F.split(below, "/")) - 1, F.lit(0)))
-    keep = F.col("path").rlike(wanted) & ~F.exists(folders, lambda s: s.isin(*skipped.split()))
+    files = list_files(spark, root, frozenset(skipped.split()))
+    keep = F.col("path").rlike(wanted) & F.col("size").between(1, LARGEST) & F.contains("path", F.lit("/"))
     if unwanted:
         keep = keep & ~F.col("path").rlike(unwanted)
-    text = F.instr(F.decode(F.substring("content", 1, 4096), "ISO-8859-1"), "\u0000") == 0
-    return files.where(keep & text).select(
-        F.substring_index("path", "/", 1).alias("repo"), below.alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size")
-    )
+    files = files.where(keep).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    read = files.select("path").mapInPandas(_read(root), "path string, content string, size long")
+    return read.select(F.substring_index("path", "/", 1).alias("repo"), F.regexp_replace("path", "^[^/]*/", "").alias("path"), "content", "size")
 
 
 def read_projects(files: DataFrame, lang: str) -> DataFrame:
@@ -350,7 +415,7 @@ def write_tree(files: DataFrame, root: str) -> None:
     """Each row (repo, path, content) as the file `root`/repo/path, written by the tasks; a file written twice is the same."""
 
     def write(frames):
-        system, base = pa_fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        system, base = _opened(root)
         for frame in frames:
             for repo, path, content in zip(frame["repo"], frame["path"], frame["content"]):
                 target = f"{base}/{repo}/{path}"

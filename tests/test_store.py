@@ -65,7 +65,31 @@ def test_tree_round_trip(spark, tmp_path):
     rows = [("r1", "a/b.py", "x = 1\né"), ("r2", "c.py", ""), ("r2", "d.py", " "), ("r2", "e.py", None)]
     io.write_tree(spark.createDataFrame(rows, "repo string, path string, content string"), str(tmp_path))
     got = {(r["repo"], r["path"]): r["content"] for r in io.scan_source_files(spark, str(tmp_path), "python").collect()}
-    assert got == {("r1", "a/b.py"): "x = 1\né", ("r2", "d.py"): " "}  # Spark reads no empty files
+    assert got == {("r1", "a/b.py"): "x = 1\né", ("r2", "d.py"): " "}  # empty files are left out
+
+
+def test_skipped_folders_are_not_listed(spark, tmp_path, monkeypatch):
+    rows = [("r1", "src/a.js", "a"), ("r1", "node_modules/x/deep/b.js", "b"), ("r1", "src/.git/c.js", "c"), ("r1", "s/t/u/v/w/d.js", "d"), ("dist", "e.js", "e"), ("r2", "f.txt", "f")]
+    io.write_tree(spark.createDataFrame(rows, "repo string, path string, content string"), str(tmp_path))
+    (tmp_path / "r2" / "loop").symlink_to(tmp_path)
+    (tmp_path / "r2" / "bad.js").write_bytes(b"x\xff")
+    walked = []
+    real = io.pa_fs.FileSelector
+    monkeypatch.setattr(io.pa_fs, "FileSelector", lambda path, **options: walked.append(path) or real(path, **options))
+    import pandas as pd
+
+    waiting = [""]
+    while waiting:  # the tasks' own function, one folder at a time
+        frame = next(io._walk(str(tmp_path), frozenset(io.SCAN["node"][2].split()), 1)(iter([pd.DataFrame({"path": waiting[:1]})])))
+        waiting = waiting[1:] + list(frame["path"][frame["folder"]])
+    below = {p.removeprefix(str(tmp_path)) for p in walked}
+    assert "/s/t/u/v/w" in {p.removeprefix("/r1") for p in below} and not any("node_modules" in p or ".git" in p or "loop" in p for p in below)
+    monkeypatch.undo()
+    for most in (1, 2000):
+        listed = io.list_files(spark, str(tmp_path), frozenset(["node_modules", ".git"]), most)
+        assert sorted(r["path"] for r in listed.collect()) == ["dist/e.js", "r1/s/t/u/v/w/d.js", "r1/src/a.js", "r2/bad.js", "r2/f.txt"]
+    got = {(r["repo"], r["path"], r["content"], r["size"]) for r in io.scan_source_files(spark, f"file://{tmp_path}", "node").collect()}
+    assert got == {("r1", "src/a.js", "a", 1), ("r1", "s/t/u/v/w/d.js", "d", 1), ("dist", "e.js", "e", 1), ("r2", "bad.js", "x\ufffd", 2)}
 
 
 def test_templates_within_templates():
