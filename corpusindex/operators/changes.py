@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusindex.functions.text import content_hash
+from corpusindex.operators.digests import group_digest
 
 
 def with_hash(files: DataFrame) -> DataFrame:
@@ -50,8 +51,8 @@ def incremental_facts(files: DataFrame, cache: DataFrame, classes: DataFrame, ex
 
 def context_fingerprint(facts: DataFrame) -> DataFrame:
     """(repo, ctx_id, file_count, src_hash): the hash of a context's sorted file hashes joined by bars."""
-    joined = F.array_join(F.array_sort(F.collect_list(F.coalesce("hash", F.lit("")))), "|")
-    return facts.groupBy("repo", "ctx_id").agg(F.count("*").alias("file_count"), content_hash(joined).alias("src_hash"))
+    found = group_digest(facts, ["repo", "ctx_id"], F.col("hash"), "|")
+    return found.select("repo", "ctx_id", F.col("n").alias("file_count"), F.col("digest").alias("src_hash"))
 
 
 def functional_drift(contexts: DataFrame, functional: DataFrame) -> DataFrame:

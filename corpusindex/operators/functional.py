@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusindex.functions.text import content_hash
+from corpusindex.operators.digests import group_digest
 from corpusindex.operators.retrieval import containing
 
 # Words that are no keywords.
@@ -130,8 +131,7 @@ def module_keywords(functional: DataFrame, k: int = 6) -> DataFrame:
 def module_context_hash(functional: DataFrame) -> DataFrame:
     """(repo, module, context_hash) over sorted lines of id, purpose and capabilities."""
     line = F.concat_ws("|", "ctx_id", F.coalesce("purpose", F.lit("")), F.array_join(F.coalesce("capabilities", F.array()), ","))
-    lines = F.array_join(F.array_sort(F.collect_list(line)), "\n")
-    return functional.groupBy("repo", "module").agg(content_hash(lines).alias("context_hash"))
+    return group_digest(functional, ["repo", "module"], line, "\n").select("repo", "module", F.col("digest").alias("context_hash"))
 
 
 def stale_modules(functional: DataFrame, stored: DataFrame) -> DataFrame:

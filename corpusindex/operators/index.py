@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusindex.functions.text import content_hash
 from corpusindex.operators import java, web
+from corpusindex.operators.digests import group_digest
 from corpusindex.operators.functional import module_keywords
 
 # What a context of each language lists, and how a repo without a framework is described.
@@ -34,8 +34,8 @@ def contexts_of(facts: DataFrame, lang: str, frameworks: DataFrame | None = None
     """The contexts of facts with module and ctx_id; `frameworks` (repo, ctx_id, framework) where the language has some."""
     local = F.substring(F.col("ctx_id"), F.length("module") + 2, F.length("ctx_id"))
     name = F.substring_index("ctx_id", ".", -1) if lang == "java" else F.substring_index(local, ".", -1) if lang == "python" else local
-    hashes = F.array_join(F.array_sort(F.collect_list(F.coalesce("hash", F.lit("")))), "|")
-    out = facts.groupBy("repo", "ctx_id", "module").agg(F.count("*").alias("files"), content_hash(hashes).alias("src_hash"))
+    out = group_digest(facts, ["repo", "ctx_id", "module"], F.col("hash"), "|")
+    out = out.select("repo", "ctx_id", "module", F.col("n").alias("files"), F.col("digest").alias("src_hash"))
     out = out.withColumn("name", name)
     if frameworks is None:
         return out.withColumn("framework", F.lit(None).cast("string"))

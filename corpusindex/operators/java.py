@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusindex.functions.text import content_hash
+from corpusindex.operators.digests import group_digest
 
 # Annotations that make a bean, and the mapping annotations' verbs.
 STEREOTYPES = {
@@ -144,9 +144,12 @@ def last_beans(beans: DataFrame, contexts: DataFrame) -> DataFrame:
 
 def java_contexts(facts: DataFrame) -> DataFrame:
     """(repo, ctx_id, module, package, name, file_count, src_hash, seen): `seen` is the first path of the context."""
-    hashes = F.array_join(F.array_sort(F.collect_list(F.coalesce("hash", F.lit("")))), "|")
-    return facts.groupBy("repo", "ctx_id", "module", "package").agg(
-        F.substring_index("package", ".", -1).alias("name"), F.count("*").alias("file_count"), content_hash(hashes).alias("src_hash"), F.min("path").alias("seen")
+    keys = ["repo", "ctx_id", "module", "package"]
+    found = group_digest(facts, keys, F.col("hash"), "|")
+    seen = facts.groupBy(*keys).agg(F.min("path").alias("seen"))
+    joined = found.alias("d").join(seen.alias("s"), [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
+    return joined.select(
+        *[f"d.{k}" for k in keys], F.substring_index("d.package", ".", -1).alias("name"), F.col("n").alias("file_count"), F.col("digest").alias("src_hash"), "seen"
     )
 
 
