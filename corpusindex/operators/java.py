@@ -278,11 +278,11 @@ def reference_words(types: DataFrame) -> DataFrame:
 
 
 def symbol_refs(types: DataFrame, names: DataFrame) -> DataFrame:
-    wanted = names.select("repo", F.col("name").alias("word"))
+    wanted = names.select("repo", F.col("name").alias("word")).distinct()
     return reference_words(types).join(wanted, ["repo", "word"], "left_semi")
 
 
 def referenced_symbols(types: DataFrame) -> DataFrame:
     """Symbols with a reference at least."""
-    words = reference_words(types).select("repo", F.col("word").alias("name"))
+    words = reference_words(types).select("repo", F.col("word").alias("name")).distinct()
     return symbol_table(types).join(words, ["repo", "name"], "left_semi")

@@ -14,42 +14,52 @@ DIAGNOSTIC = "(?i)" + whole_word("errors?|failed|failure|fail|failing|fails|exce
 
 
 def prune_logs(
-    lines: DataFrame, head: int = 20, tail: int = 20, context: int = 1, max_keep: int = 4000, pattern: str = DIAGNOSTIC
+    lines: DataFrame, head: int = 20, tail: int = 20, context: int = 1, max_keep: int = 4000, pattern: str = DIAGNOSTIC, range_lines: int = 100_000
 ) -> DataFrame:
     """(log_id, line_no, text, elided_before, elided_after, total, kept) of the lines kept; `line_no` counts from 0.
 
     A log of at most head + tail + 10 lines stays whole. Else the first `head` and last `tail` lines stay, and each
     diagnostic line with `context` lines around it, up to the first whose group makes more than `max_keep` lines stay.
     `elided_before` counts the lines left out right before a line, `elided_after` those after the log's last kept one.
-    Windows see line numbers and flags only; texts are joined to the lines kept.
+
+    A log is no group of a task. Diagnostic lines bring in their neighbours by number; how many lines the diagnostics bring
+    in is added up by ranges of `range_lines` lines, and line by line only in the range where `max_keep` is passed. What is
+    kept of a log, some `max_keep` lines, is the most that is ordered together. Texts are joined to the lines kept.
     """
-    by = Window.partitionBy("log_id")
-    order = by.orderBy("line_no")
-    flags = lines.select("log_id", "line_no", F.coalesce(F.col("text").rlike(pattern), F.lit(False)).alias("diag"))
-    flags = flags.select("*", F.count("*").over(by).alias("total"))
-    ends = (F.col("line_no") < head) | (F.col("line_no") >= F.col("total") - tail)
-    near = F.max(F.when(F.col("diag"), F.col("line_no"))).over(order.rowsBetween(-context, context)).isNotNull()
+    sizes = stored(lines.groupBy("log_id").agg(F.count("*").alias("total")))
+    marked = lines.where(F.col("text").rlike(pattern)).select("log_id", F.col("line_no").cast("long").alias("by_line"))
+    marked = stored(marked.join(sizes, "log_id").where(F.col("total") > head + tail + 10))
+    around = F.sequence(F.greatest(F.col("by_line") - context, F.lit(0)), F.least(F.col("by_line") + context, F.col("total") - 1))
+    near = marked.select("log_id", "total", "by_line", F.explode(around).alias("line_no"))
     # the first diagnostic line that brings a line in: from it on, the line stays
-    entered = F.min(F.when(F.col("diag"), F.col("line_no"))).over(order.rowsBetween(-context, context))
-    flags = flags.select("*", ends.alias("ends"), near.alias("near"), entered.alias("entered"))
-    flags = flags.withColumn("ends_total", F.count_if("ends").over(by))
-    brought = F.when(F.col("near") & ~F.col("ends"), F.col("entered"))
-    # how many lines the diagnostics up to each one bring in
-    so_far = F.count(F.when(F.col("near") & ~F.col("ends"), 1)).over(by.orderBy("brought").rangeBetween(Window.unboundedPreceding, 0))
-    flags = flags.withColumn("brought", brought).withColumn("so_far", so_far)
-    over = F.min(F.when(F.col("brought").isNotNull() & (F.col("ends_total") + F.col("so_far") > max_keep), F.col("brought"))).over(by)
+    near = stored(near.groupBy("log_id", "line_no", "total").agg(F.min("by_line").alias("entered")))
+    in_ends = (F.col("line_no") < head) | (F.col("line_no") >= F.col("total") - tail)
+    room = F.lit(max_keep) - F.least(F.col("total"), F.lit(head + tail))  # beside the ends
+    brought = near.where(~in_ends).groupBy("log_id", "total", "entered").agg(F.count("*").alias("n"))
+    brought = brought.withColumn("range", F.call_function("div", F.col("entered"), F.lit(range_lines)))
+    by_range = brought.groupBy("log_id", "total", "range").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("log_id").orderBy("range"))
+    passed = by_range.withColumn("before", upto - F.col("n")).where(F.col("before") + F.col("n") > room)
+    passed = passed.groupBy("log_id").agg(F.min(F.struct("range", "before")).alias("at")).select("log_id", "at.*")
+    within = F.sum("n").over(Window.partitionBy("log_id", "range").orderBy("entered"))
+    over = brought.join(passed, ["log_id", "range"]).withColumn("so_far", F.col("before") + within).where(F.col("so_far") > room)
+    over = over.groupBy("log_id").agg(F.min("entered").alias("over"))
     # with more than max_keep in the ends alone, the first diagnostic line is the last that is looked at
-    first = F.min(F.when(F.col("diag"), F.col("line_no"))).over(by)
-    last = F.when(F.col("ends_total") > max_keep, first).otherwise(over)
-    flags = flags.withColumn("last", last)
-    stays = F.col("ends") | (F.col("near") & (F.col("last").isNull() | (F.col("entered") <= F.col("last"))))
-    kept = flags.where((F.col("total") <= head + tail + 10) | stays)
+    last = marked.groupBy("log_id", "total").agg(F.min("by_line").alias("first")).join(over, "log_id", "left")
+    last = last.select("log_id", F.when(room < 0, F.col("first")).otherwise(F.col("over")).alias("last"))
+    shown = near.join(last, "log_id").where(F.col("last").isNull() | (F.col("entered") <= F.col("last"))).select("log_id", "line_no", "total")
+    count = lambda start, stop: F.when(stop > start, F.sequence(start.cast("long"), (stop - 1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    total, none = F.col("total"), F.lit(0)
+    ends = F.concat(count(none, F.least(total, F.lit(head))), count(F.greatest(total - tail, none), total))
+    ends = F.when(total <= head + tail + 10, count(none, total)).otherwise(ends)
+    kept = shown.unionByName(sizes.select("log_id", F.explode(ends).alias("line_no"), "total")).distinct()
+    order = Window.partitionBy("log_id").orderBy("line_no")
     kept = kept.select(
-        "log_id", "line_no", "total", F.count("*").over(by).alias("kept"),
+        "log_id", "line_no", "total", F.count("*").over(Window.partitionBy("log_id")).alias("kept"),
         (F.col("line_no") - F.coalesce(F.lag("line_no").over(order), F.lit(-1)) - 1).alias("elided_before"),
         F.when(F.lead("line_no").over(order).isNull(), F.col("total") - 1 - F.col("line_no")).otherwise(0).alias("elided_after"),
     )
-    return kept.join(lines.select("log_id", "line_no", "text"), ["log_id", "line_no"])
+    return kept.join(lines.select("log_id", F.col("line_no").cast("long").alias("line_no"), "text"), ["log_id", "line_no"])
 
 
 def prune_totals(lines: DataFrame, **options) -> DataFrame:
