@@ -12,6 +12,7 @@ from corpusindex.jobs import web_queries as wq
 from corpusindex.jobs.decision_queries import HASH_SQL, LEDGER_SQL, current_hashes, ledger
 from corpusindex.jobs.retrieval_queries import RANKED_SQL
 from corpusindex.jobs.views import sql_for, view
+from corpusindex.operators import changes
 from corpusindex.operators import functional as fn
 from corpusindex.operators import index, java, retrieval, web
 from corpusindex.operators import ledger as cache
@@ -260,6 +261,29 @@ WEB_REFS_SQL = f"""
 # --- evidence ------------------------------------------------------------------------------------------------------------
 
 
+def _module_sums(contexts):
+    return contexts.groupBy("repo", "module").agg(F.count("*").alias("contexts"), F.sum("files").alias("files"))
+
+
+def _rollup(spark, d):
+    """Contexts and modules of Python sources after some files came, changed and went, from those before and the changes."""
+    new = wq.python_facts(spark, d).select("repo", "path", "ctx_id", "module", "hash").withColumn("k", F.regexp_extract("path", "m([0-9]+)[.]py$", 1).cast("long"))
+    new = stored(new)
+    kept = new.where("k % 13 <> 0").withColumn("hash", F.when(F.col("k") % 17 == 0, "old").otherwise(F.col("hash")))
+    gone = new.where("k % 11 = 0").withColumns({"path": F.concat(F.lit("gone/"), "path"), "ctx_id": F.when(F.col("k") % 2 == 0, "lost/x").otherwise(F.col("ctx_id"))})
+    old = stored(kept.unionByName(gone))
+    manifest = old.select("repo", "path", "hash", F.lit(None).cast("string").alias("parse_error"), F.lit("E").alias("engine_hash"), F.lit(True).alias("cached"))
+    classes = stored(changes.classify_changes(new, manifest, "E"))
+    contexts, build = stored(index.contexts_of(old, "python")), lambda rows: index.contexts_of(rows, "python")
+    modules = stored(_module_sums(contexts))
+    keys = ("repo", "ctx_id", "module")
+    touched = stored(changes.touched_groups(classes, old, new, *keys))
+    contexts = stored(changes.rolled_up(contexts, new, touched, keys, build))
+    modules = changes.rolled_up(modules, contexts, touched.select("repo", "module").distinct(), ("repo", "module"), _module_sums)
+    below = contexts.select("repo", "module", "ctx_id", "files", "src_hash")
+    return below.unionByName(modules.select("repo", "module", F.lit(None).cast("string").alias("ctx_id"), "files", F.col("contexts").cast("string").alias("src_hash")))
+
+
 def _packs(spark, d):
     """Packs of the generated Python contexts, of which every source is eligible."""
     _, contexts, routes, units = _tables("python", spark, d)
@@ -360,7 +384,7 @@ HITS_SQL = f"""{_with("java")},
 QUERIES = {"symbol_defs_web": partial(_web_symbols, index.symbol_table, "name", ("repo", "name", "kind", "signature", "path", "line")),
            "symbol_refs_web": partial(_web_symbols, index.reference_words, "word", ("repo", "word", "owner")),
            "referenced_symbols_web": _referenced,
-           "evidence_eligible": _eligible, "java_details_full": _structure,
+           "incremental_rollup": _rollup, "evidence_eligible": _eligible, "java_details_full": _structure,
            "evidence_packs": lambda s, d: _packs(s, d).select("repo", "ctx_id", "routes", "units", F.length("sources").alias("n_chars"), "truncated"),
            "evidence_hashes": lambda s, d: fn.evidence_hash(_packs(s, d)),
            "reset_stale": _stale_packs, "ask_payload_full": _payload, "cached_ask": _cached_ask}
@@ -368,6 +392,9 @@ ORACLE = {
     "symbol_defs_web": f"WITH {SYMBOLS_SQL} SELECT lang, repo, name, kind, signature, path, line FROM syms WHERE {KEY10}",
     "symbol_refs_web": f"WITH {WEB_REFS_SQL} SELECT lang, repo, word, owner FROM refs WHERE {KEY10}",
     "referenced_symbols_web": f"SELECT 'node' AS lang, repo, 'S' || k || 'Service' AS name, 'class' AS kind, file AS path FROM {wq.ND} WHERE k % 3 = 0",
+    "incremental_rollup": f"""WITH h AS (SELECT p.repo, p.ctx_id, split_part(p.ctx_id, '/', 1) AS module, {HASH_SQL.format("content")} AS h FROM {wq.PY} p JOIN {sql_for("pysrc_v")} v ON v.k = p.k),
+        c AS (SELECT repo, module, ctx_id, count(*) AS files, {HASH_SQL.format("string_agg(h, '|' ORDER BY h)")} AS src_hash FROM h GROUP BY ALL)
+        SELECT * FROM c UNION ALL SELECT repo, module, NULL, CAST(sum(files) AS BIGINT), CAST(count(*) AS VARCHAR) FROM c GROUP BY repo, module""",
     "evidence_eligible": f"""WITH {jq.FILES_SQL.strip()} SELECT 'java' AS lang, repo, ctx_id, path, 0 AS nth FROM files
         UNION ALL SELECT 'python', repo, ctx_id, file, 0 FROM {wq.PY}
         UNION ALL {_telling_sql("node", wq.ND)} UNION ALL {_telling_sql("angular", fq.NG)} UNION ALL {_telling_sql("react", fq.RE)}""",

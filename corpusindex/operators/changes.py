@@ -70,3 +70,21 @@ def refreshed(
     now, known = files.join(names, ["repo", "path"], "left_semi"), manifest.join(names, ["repo", "path"], "left_semi")
     classes = classify_changes(now, known, engine_hash)
     return classes, incremental_facts(now, cache.join(names, ["repo", "path"], "left_semi"), classes, extract)
+
+
+def touched_groups(classes: DataFrame, old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
+    """The distinct `keys` of groups that lose, gain or change a file: those, in the facts before and now, of files that are
+    not reused. Only names are shuffled."""
+    moved = classes.where("status <> 'reused'").select("repo", "path")
+    found = [facts.select("path", *keys).join(moved, ["repo", "path"], "left_semi").select(*keys) for facts in (old, new)]
+    return found[0].unionByName(found[1]).distinct()
+
+
+def rolled_up(previous: DataFrame, rows: DataFrame, touched: DataFrame, keys: tuple[str, ...], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`previous` with the groups in `touched` built anew from `rows`, which hold all rows of the next level below; groups
+    that have none left go. Groups that nothing touched are neither read nor aggregated again.
+
+    A rollup of several levels goes on with the touched keys of the level above: files to contexts, contexts to modules.
+    """
+    fresh = build(rows.join(touched, list(keys), "left_semi"))
+    return previous.join(touched, list(keys), "left_anti").unionByName(fresh)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +23,33 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared}/jobs-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def job(spark: SparkSession):
+    """What is stored within is removed at the end, when the job's results are written elsewhere."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for folder in _scopes.pop():
+            _remove(spark, folder)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """`df` written once and read back: what several branches of a plan use is computed once, and survives lost executors."""
+    """`df` written once and read back: what several branches of a plan use is computed once, and survives lost executors.
+
+    The folder goes with the innermost job() that is open, or stays until the shared folder is cleared.
+    """
     path = shared_folder(df.sparkSession)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -36,8 +61,7 @@ def unstored(df: DataFrame) -> None:
     for folder in folders:
         if "/jobs-" not in folder:
             raise ValueError(f"no table of a job: {folder}")
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(spark, folder)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

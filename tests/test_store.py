@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from corpusindex.facts.blank import blanked
 from corpusindex.jobs import java_queries, web_queries
-from corpusindex.operators import retrieval
+from corpusindex.operators import changes, retrieval
 from corpusindex.sources import files as io
+from corpusindex.sources import store
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,6 +62,36 @@ def test_a_write_killed_half_way_leaves_the_index_readable(spark, tmp_path, monk
     assert sorted(r["v"] for r in io.read_index(spark, path, "ctx", "v int").collect()) == [2, 3]
 
 
+def test_a_job_removes_what_it_stored(spark):
+    import os
+
+    with store.job(spark):
+        df = store.stored(spark.range(5))
+        folder = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert df.count() == 5 and os.path.isdir(folder)
+    assert not os.path.exists(folder)
+    assert store.stored(spark.range(2)).count() == 2
+
+
+def test_a_rollup_of_changes_is_a_rebuild_and_leaves_the_rest_in_place(spark, tmp_path):
+    files = lambda *rows: spark.createDataFrame(rows, "repo string, path string, ctx_id string, module string, hash string")
+    old = files(("r", "a", "m/x", "m", "1"), ("r", "b", "m/x", "m", "2"), ("r", "c", "m/y", "m", "3"), ("r", "d", "n/z", "n", "4"), ("r", "e", "o/w", "o", "5"))
+    new = files(("r", "a", "m/x", "m", "1"), ("r", "b", "m/x", "m", "9"), ("r", "d", "n/z", "n", "4"), ("r", "f", "n/v", "n", "6"), ("r", "e", "o/w", "o", "5"))
+    manifest = old.select("repo", "path", "hash", F.lit(None).cast("string").alias("parse_error"), F.lit("E").alias("engine_hash"), F.lit(True).alias("cached"))
+    classes = changes.classify_changes(new, manifest, "E")
+    touched = changes.touched_groups(classes, old, new, "repo", "ctx_id")
+    assert {r["ctx_id"] for r in touched.collect()} == {"m/x", "m/y", "n/v"}
+    before = changes.context_fingerprint(old)
+    after = changes.rolled_up(before, new, touched, ("repo", "ctx_id"), changes.context_fingerprint)
+    assert sorted(map(tuple, after.collect())) == sorted(map(tuple, changes.context_fingerprint(new).collect()))
+    path = str(tmp_path / "index")
+    io.write_index(spark, before, path, "ctx_id")
+    parts = lambda g: {r["key"]: r["part"] for r in io.index_manifest(spark, path, g).collect()}
+    reported = {r["ctx_id"]: r["change"] for r in io.write_index(spark, after, path, "ctx_id").collect()}
+    assert reported == {"m/x": "changed", "m/y": "removed", "n/v": "added", "n/z": "same", "o/w": "same"}
+    assert all(parts(1)[k] == parts(2)[k] for k in ("n/z", "o/w"))
+
+
 def test_tree_round_trip(spark, tmp_path):
     rows = [("r1", "a/b.py", "x = 1\né"), ("r2", "c.py", ""), ("r2", "d.py", " "), ("r2", "e.py", None)]
     io.write_tree(spark.createDataFrame(rows, "repo string, path string, content string"), str(tmp_path))
