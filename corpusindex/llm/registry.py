@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusindex.llm import codes, jaccard, licenses, merkle, mixing, packing, pii, secrets, spans, topk, toxicity, urls, vectors
+from corpusindex.llm import codes, jaccard, licenses, merkle, mixing, packing, pii, planted, secrets, spans, topk, toxicity, urls, vectors
 from corpusindex.llm.common import table
 
 
@@ -23,6 +23,9 @@ def queries() -> dict:
         "op11_vector_codes": lambda spark, d: codes.vector_codes(table(spark, d, "embeddings")),
         "op12_dataset_manifest": lambda spark, d: merkle.dataset_manifest(table(spark, d, "documents")),
         "op13_url_filter": lambda spark, d: urls.filter_urls(table(spark, d, "pages")),
+        "secrets_planted": lambda spark, d: planted.secrets_planted(table(spark, d, "documents")),
+        "licenses_planted": lambda spark, d: planted.licenses_planted(table(spark, d, "documents")),
+        "mention_report": lambda spark, d: toxicity.mention_report(table(spark, d, "documents"), table(spark, d, "labels")),
         # columns of the above that SQL can express
         "secret_counts": lambda spark, d: secrets.secret_digest(table(spark, d, "documents")).select("doc_id", "n_assign", "n_access", "n_hex"),
         "mix_targets": lambda spark, d: mixing.mix_digest(table(spark, d, "documents")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target")),
@@ -103,6 +106,8 @@ def oracle_sql() -> dict[str, str]:
         "op11_vector_codes": codes.codes_sql(),
         "op12_dataset_manifest": merkle.manifest_sql(),
         "op13_url_filter": urls.urls_sql(),
+        "secrets_planted": planted.SECRETS_SQL,
+        "licenses_planted": planted.LICENSES_SQL,
         "secret_counts": SECRETS_SQL,
         "mix_targets": TARGETS_SQL,
         "personal_data_counts": PERSONAL_SQL,
