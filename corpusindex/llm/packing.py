@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,7 +96,9 @@ def tokenised(docs: DataFrame, window: int, tokenizer: str) -> DataFrame:
         for batch in sliced(batches, 4 << 20):
             rows = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.array((encode.ids(text) if text else []) + [END_ID], "<u4")
+                held = array("I", encode.ids(text) if text else ())
+                held.append(END_ID)
+                ids = np.frombuffer(held, "<u4")
                 whole = len(ids) - len(ids) % window
                 raw = ids.tobytes()
                 full = np.array([zlib.crc32(raw[4 * a : 4 * (a + window)]) for a in range(0, whole, window)], "<u4")
@@ -196,7 +199,15 @@ def in_shards(batches) -> Iterator[tuple[int, pa.Table]]:
 
 
 class Shard:
-    """The documents of one shard with their inverted index; packs what is left of them after their whole windows."""
+    """The documents of one shard with their inverted index; packs what is left of them after their whole windows.
+
+    A term that one in COMMON documents holds has a row of weights by document in a table, so that a seed's common terms
+    are added row by row; the others have postings. Both leave used documents out from time to time.
+    """
+
+    COMMON = 8
+    #: Neighbours that are ordered at first; the others only where these don't fill a window.
+    FIRST = 16
 
     def __init__(self, lengths, rests, terms, counts, idf, mean, window):
         self.window = window
@@ -208,24 +219,49 @@ class Shard:
         norm = K1 * (1 - B + B * lengths / mean).astype(np.float32)
         weight = idf[flat] * tf * (K1 + 1) / (tf + norm[of])
         by = np.argsort(flat, kind="stable")
-        self.postings, self.weights = of[by], weight[by]
-        self.names, starts = np.unique(flat[by], return_index=True)
-        self.starts = np.append(starts, len(flat))
-        self.several = np.diff(self.starts) > 1
+        of, weight = of[by], weight[by]
+        self.names, starts, held = np.unique(flat[by], return_index=True, return_counts=True)
+        common = held * self.COMMON >= len(terms)
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        row = np.repeat(self.row, held)
+        table = np.zeros((int(common.sum()), len(terms)), np.float32)
+        table[row[row >= 0], of[row >= 0]] = weight[row >= 0]
+        self.table = list(table)
+        self.postings, self.weights = of[row < 0], weight[row < 0]
+        self.starts = np.append(0, np.cumsum(np.where(common, 0, held)))
         self.terms = terms
         self.taken = np.zeros(len(rests), np.int64)
-
-    def neighbours(self, seed: int) -> np.ndarray:
+        self.live = np.arange(len(terms))
+
+    def _shrink(self) -> None:
+        """Leaves used documents out of the index once they are a quarter of it."""
+        unused = self.left[self.live] > 0
+        if 4 * np.count_nonzero(unused) > 3 * len(self.live):
+            return
+        stay = unused[self.postings]
+        self.starts = np.append(0, np.cumsum(stay))[self.starts]
+        self.postings, self.weights = (np.cumsum(unused) - 1)[self.postings[stay]], self.weights[stay]
+        self.table, self.live = [w[unused] for w in self.table], self.live[unused]
+
+    def neighbours(self, seed: int) -> Iterator[int]:
         """Unused documents by BM25 score for all the seed's terms, best first, then the others in order."""
+        self._shrink()
         at = np.searchsorted(self.names, self.terms[seed])
-        at = at[self.several[at]]
-        spans = [slice(a, b) for a, b in zip(self.starts[at], self.starts[at + 1])]
-        none = [np.empty(0, np.int64)]
-        docs = np.concatenate([self.postings[s] for s in spans] or none)
-        score = np.bincount(docs, np.concatenate([self.weights[s] for s in spans] or none), len(self.left))
-        unused = np.flatnonzero(self.left > 0)
-        unused = unused[unused != seed]
-        return unused[np.argsort(-score[unused], kind="stable")]
+        rows = self.row[at]
+        score = np.zeros(len(self.live), np.float32)
+        for row in rows[rows >= 0].tolist():
+            score += self.table[row]
+        first, last = self.starts[at], self.starts[at + 1]
+        some = last - first
+        spans = np.repeat(last - np.cumsum(some), some) + np.arange(some.sum())
+        score = score + np.bincount(self.postings[spans], self.weights[spans], len(score))
+        unused = np.flatnonzero((self.left[self.live] > 0) & (self.live != seed))
+        score, unused = score[unused], self.live[unused]
+        best = np.ones(len(score), bool)
+        if len(score) > 2 * self.FIRST:
+            best = score >= np.partition(score, -self.FIRST)[-self.FIRST]
+        for part in (best, ~best):
+            yield from unused[part][np.argsort(-score[part], kind="stable")].tolist()
 
     def _cut(self, doc: int, most: int) -> tuple[int, int, int]:
         length = int(min(self.left[doc], most))
@@ -246,7 +282,7 @@ class Shard:
             room -= pieces[0][2]
             if room:
                 for doc in self.neighbours(seed):
-                    pieces.append(self._cut(int(doc), room))
+                    pieces.append(self._cut(doc, room))
                     room -= pieces[-1][2]
                     if not room:
                         break

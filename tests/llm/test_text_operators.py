@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -329,6 +330,47 @@ def test_packing_is_the_same_in_every_run(spark):
     check_packing(spark, rows, window=64, shard_docs=20)
 
 
+class PlainShard(packing.Shard):
+    """Each neighbour list from a new sum over all postings of the seed's terms."""
+
+    def __init__(self, lengths, rests, terms, counts, idf, mean, window):
+        super().__init__(lengths, rests, terms, counts, idf, mean, window)
+        norm = packing.K1 * (1 - packing.B + packing.B * lengths / mean).astype(np.float32)
+        of = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+        flat, tf = np.concatenate(terms), np.concatenate(counts).astype(np.float32)
+        weight = idf[flat] * tf * (packing.K1 + 1) / (tf + norm[of])
+        by = np.argsort(flat, kind="stable")
+        names, starts = np.unique(flat[by], return_index=True)
+        self.plain = dict(zip(names.tolist(), zip(np.split(of[by], starts[1:]), np.split(weight[by], starts[1:]))))
+
+    def neighbours(self, seed):
+        found = [self.plain[t] for t in self.terms[seed].tolist()]
+        score = np.bincount(np.concatenate([d for d, _ in found]), np.concatenate([w for _, w in found]), len(self.left))
+        unused = np.array([d for d in np.flatnonzero(self.left > 0) if d != seed], int)
+        return unused[np.argsort(-score[unused], kind="stable")].tolist()
+
+
+def packed_by(kind, texts, window):
+    terms, counts = zip(*[np.unique(t, return_counts=True) for t in texts])
+    df = np.bincount(np.concatenate(terms))
+    idf = np.log(1 + (len(texts) - df + 0.5) / (df + 0.5)).astype(np.float32)
+    lengths = np.array([len(t) for t in texts])
+    shard = kind(lengths, texts, terms, counts, idf, float(lengths.mean()), window)
+    began = time.process_time()
+    return list(shard.sequences()), time.process_time() - began
+
+
+def test_packing_scores_unused_documents_only_and_common_terms_by_row():
+    draw = np.random.default_rng(8)
+    small = [np.minimum(draw.zipf(1.3, draw.integers(1, 40)), 300).astype("<u4") for _ in range(90)]
+    for texts in (small, small[:1], small[:3], small[:20] * 4, [small[0]] * 70):
+        assert packed_by(packing.Shard, texts, 64)[0] == packed_by(PlainShard, texts, 64)[0]
+    large = [np.minimum(draw.zipf(1.25, 500), 30_000).astype("<u4") for _ in range(1500)]
+    (got, took), (expected, plain) = (min((packed_by(kind, large, 1024) for _ in range(2)), key=lambda x: x[1]) for kind in (packing.Shard, PlainShard))
+    assert got == expected
+    assert took < 0.7 * plain
+
+
 def labelled(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, toxic int, score double")
 
