@@ -90,7 +90,7 @@ def _entropy_spans(text: str, window: int, thresholds: dict[str, float]) -> list
                     return end <= known or any(p.search(part[start:end]) for p in ALLOW)
 
                 for start, end in entropy_windows(run.group(), window, thresholds[kind], allowed):
-                    piece = run.group()[start:end]
+                    piece = run.group()[max(known, start - window) : end + window]  # a key's digits may stand beside its windows
                     mixed = any(c.isdigit() for c in piece) and any(c.isalpha() for c in piece)
                     if kind == "entropy_base64":
                         mixed = mixed and any(c.isupper() for c in piece) and any(c.islower() for c in piece)

@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusindex.llm import jaccard, licenses, mixing, packing, pii, secrets, toxicity
+from corpusindex.llm import jaccard, licenses, mixing, packing, pii, planted, secrets, toxicity
 from corpusindex.llm.words import word_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, rank int, found string"
@@ -120,6 +120,15 @@ def test_allow_list_names_windows_not_their_union(before):
     assert secrets.find_secrets(f"see {digest} here", 20, {"entropy_hex": 3.0, "entropy_base64": 3.9}) == ([], [])
 
 
+def test_a_key_whose_digits_stand_beside_its_windows_is_found(spark):
+    key = "sA1aCnBHYccthXWzcoYcumrXwvcBfYseAAUgbPibRv+HrPFuhNdtYZaXuVjPZLgW+P+hTVGAN/XL"  # its windows begin after the digit
+    assert secrets.find_secrets(f"see {key} here", 20, {"entropy_hex": 3.0, "entropy_base64": 3.9}) == ([], [(21, 80, "entropy_base64")])
+    own = "q8Zk2LmP0xW7vTn4RbY1sJd6"
+    rows = [(11566, "x", "a"), (530648, None, "a"), (7, f"has its own {own}", "a"), (7, "", "a"), (None, own, "a")]
+    found = planted.secrets_planted(docs(spark, rows)).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted([(11566, True), (530648, True), (7, False), (7, False), (None, None)], key=repr)
+
+
 def test_mask_secrets_keeps_rows_and_columns(spark):
     given_ = docs(spark, [(1, "x password=hunter22 y", "a"), *ODD])
     out = secrets.mask_secrets(given_)
