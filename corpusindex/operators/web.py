@@ -41,10 +41,11 @@ def assign_feature(facts: DataFrame, projects: DataFrame, lang: str, paths: Data
     parts = F.split(F.regexp_replace("path", "/?[^/]*$", ""), "/")
     above = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
     known = projects.select("repo", F.coalesce(F.regexp_replace("root", "/+$", ""), F.lit("")).alias("root"), F.col("name").alias("module"))
-    place = F.struct(F.length("root").alias("n"), "module", "root")
+    known = known.withColumn("place", F.struct(F.length("root").alias("n"), "module", "root"))
     each = (facts if paths is None else paths).select("repo", "path", F.explode(above).alias("root"))
-    best = each.join(known, ["repo", "root"]).groupBy("repo", "path").agg(F.max(place).alias("best"))
-    short = known.groupBy("repo").agg(F.min(place).alias("short"))
+    # an outer join, so that Spark can send the projects to all tasks but never the directories, whose number it can't tell
+    best = each.join(known, ["repo", "root"], "left").groupBy("repo", "path").agg(F.max("place").alias("best"))
+    short = known.groupBy("repo").agg(F.min("place").alias("short"))
     joined = facts.join(best, ["repo", "path"], "left").join(short, "repo", "left")
     joined = joined.withColumn("module", F.coalesce("best.module", "short.module", "repo"))
     root = F.coalesce("best.root", "short.root", F.lit(""))

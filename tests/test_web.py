@@ -69,6 +69,18 @@ def test_features(spark):
     assert [r["f"] for r in table.collect()] == ["app", "users", "features.chat", "features", "modules.x"]
 
 
+def test_directories_of_files_are_never_broadcast(spark, tmp_path):
+    names = [("a", "lib/x.ts"), ("a", "other/x.ts"), ("b", "x.ts")]
+    spark.createDataFrame(names, "repo string, path string").coalesce(1).write.parquet(f"{tmp_path}/files")
+    rows = [("a", "lib", "lib/")] + [("a", f"p{i}", f"projects/p{i}") for i in range(500)]
+    spark.createDataFrame(rows, "repo string, name string, root string").coalesce(1).write.parquet(f"{tmp_path}/projects")
+    files, projects = spark.read.parquet(f"{tmp_path}/files"), spark.read.parquet(f"{tmp_path}/projects")
+    out = web.assign_feature(files, projects, "angular")
+    assert "BuildLeft" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.repo, r.path): r.ctx_id for r in out.collect()}
+    assert got == {("a", "lib/x.ts"): "lib/app", ("a", "other/x.ts"): "lib/app", ("b", "x.ts"): "b/app"}
+
+
 def test_node_facts():
     source = '''
 import { Controller } from '@nestjs/common';
