@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusindex.functions.text import content_hash, make_id, normalize_terms, whole_word
+from corpusindex.operators.nearest import best_matches, held_decisions, held_index, questions
 from corpusindex.operators.order import numbered
-from corpusindex.operators.postings import StoredIndex, top_matches
-from corpusindex.operators.retrieval import (
-    ACTIVE_STATUSES, Index, adaptive_top, decision_index, decision_terms, overlap_scores, scores, weighed_terms,
-)
+from corpusindex.operators.postings import StoredIndex
+from corpusindex.operators.retrieval import ACTIVE_STATUSES, Index, decision_index, decision_terms, scores, weighed_terms
 from corpusindex.sources.store import stored
 
 # What a decision's fields may hold.
@@ -107,11 +106,11 @@ def _hundredths(score: Column) -> Column:
 
 
 def _best(asked: DataFrame, decisions: DataFrame, index: StoredIndex | None) -> DataFrame:
-    """The best active decision of each row of `asked` (repo, query_id, terms), from a kept index where there is one."""
+    """(repo, query_id, id, domain, score): the best active decision of each row of `asked` (repo, query_id, terms). Terms come
+    from a kept index where there is one."""
     active = F.col("status").isin(*ACTIVE_STATUSES)
-    if index is not None:
-        return top_matches(asked, index, active, 1)
-    return adaptive_top(overlap_scores(asked, decision_index(decisions, active)), 1)
+    held = held_decisions(decisions, active) if index is None else held_index(index, decisions, active)
+    return best_matches(questions(weighed_terms(asked, held)), held.texts.where("live"), held.weights)
 
 
 def dedup_gate(candidates: DataFrame, decisions: DataFrame, least: float = 0.5, force: bool = False, index: StoredIndex | None = None) -> DataFrame:
@@ -122,8 +121,7 @@ def dedup_gate(candidates: DataFrame, decisions: DataFrame, least: float = 0.5,
     """
     asked = candidates.select("repo", "query_id", question_terms(candidates).alias("terms"))
     top = _best(asked, decisions, index)
-    top = top.select("repo", "query_id", F.col("id").alias("match"), _hundredths(F.col("score")).alias("score"))
-    found = top.join(decisions.select("repo", F.col("id").alias("match"), F.col("domain").alias("m_domain")), ["repo", "match"])
+    found = top.select("repo", "query_id", F.col("id").alias("match"), F.col("domain").alias("m_domain"), _hundredths(F.col("score")).alias("score"))
     own = candidates.select("repo", "query_id", "domain", _text(candidates, "supersedes").alias("supersedes"), _forced(candidates, force).alias("forced"))
     refused = _refuses(F.col("score"), F.col("m_domain"), F.col("domain"), F.col("supersedes"), F.col("forced"), least)
     return found.join(own, ["repo", "query_id"]).select("repo", "query_id", "match", "score", refused.alias("refused"))
