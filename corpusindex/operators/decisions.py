@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusindex.functions.text import content_hash, make_id, normalize_terms, whole_word
-from corpusindex.operators.nearest import best_matches, held_decisions, held_index, questions
+from corpusindex.operators.nearest import Held, best_matches, held_decisions, held_index, questions
 from corpusindex.operators.order import numbered
 from corpusindex.operators.postings import StoredIndex
-from corpusindex.operators.retrieval import ACTIVE_STATUSES, Index, decision_index, decision_terms, scores, weighed_terms
+from corpusindex.operators.retrieval import ACTIVE_STATUSES, decision_terms, weighed_terms
 from corpusindex.sources.store import stored
 
 # What a decision's fields may hold.
@@ -127,7 +127,7 @@ def dedup_gate(candidates: DataFrame, decisions: DataFrame, least: float = 0.5,
     return found.join(own, ["repo", "query_id"]).select("repo", "query_id", "match", "score", refused.alias("refused"))
 
 
-def admission(ready: DataFrame, decisions: DataFrame, least: float = 0.5, force: bool = False, first: int = 64, index: Index | None = None) -> DataFrame:
+def admission(ready: DataFrame, decisions: DataFrame, least: float = 0.5, force: bool = False, first: int = 64, index: Held | None = None) -> DataFrame:
     """(repo, query_id, outcome, match): each candidate of `ready` judged against the log and the candidates recorded before it.
 
     Candidates come in order of their column `place`, where they have one, then `query_id`. An outcome is `invalid` (there are
@@ -139,7 +139,7 @@ def admission(ready: DataFrame, decisions: DataFrame, least: float = 0.5, force:
     portion's own recorded ones. Copies of what an earlier portion recorded fall out before they are held against each other.
     The number of candidates of the largest repo and a portion's count of recorded ones come to the driver.
     """
-    index = index or decision_index(decisions, F.col("status").isin(*ACTIVE_STATUSES))
+    index = index or held_decisions(decisions, F.col("status").isin(*ACTIVE_STATUSES))
     order = ["place", "query_id"] if "place" in ready.columns else ["query_id"]
     whole = ready
     for name in ("type", "rationale", "context", "supersedes"):
@@ -152,21 +152,19 @@ def admission(ready: DataFrame, decisions: DataFrame, least: float = 0.5, force:
     )
     rows = stored(rows)
     valid = stored(numbered(rows.where("valid").drop("valid"), "repo", *order).withColumn("entry", F.concat(F.lit("new:"), "query_id")))
-    asked = weighed_terms(valid.select("repo", "query_id", F.col("asked").alias("terms")), index)
+    asked = questions(weighed_terms(valid.select("repo", "query_id", F.col("asked").alias("terms")), index))
 
     # what can be met: the log's rows that nothing replaces, and as entries with a time those that are, and the candidates
     replacing = stored(valid.where("forced").select("repo", "id").distinct())
-    log = decisions.select("repo", "id", "domain", F.col("status").isin(*ACTIVE_STATUSES).alias("live"))
-    met = scores(asked, index.postings.join(replacing, ["repo", "id"], "left_anti"), index.norms)
-    met = met.groupBy("repo", "query_id").agg(F.min(F.struct((-F.col("score")).alias("low"), "id")).alias("best"))
-    met = met.select("repo", "query_id", "best.*").join(log.select("repo", "id", "domain"), ["repo", "id"])
-    met = stored(met.select("repo", "query_id", F.struct("low", "id", "domain").alias("best")))
+    log = index.texts.select("repo", "id", "domain", "live")
+    met = best_matches(asked, index.texts.where("live").join(replacing, ["repo", "id"], "left_anti"), index.weights)
+    met = stored(met.select("repo", "query_id", F.struct((-F.col("score")).alias("low"), "id", "domain").alias("best")))
     old = F.concat(F.lit("log:"), "id").alias("entry")
-    own = weighed_terms(valid.select("repo", F.col("entry").alias("query_id"), "terms"), index).withColumnRenamed("query_id", "id")
-    terms = own.select("repo", "term", "id").unionByName(index.postings.join(replacing, ["repo", "id"], "left_semi").select("repo", "term", old).withColumnRenamed("entry", "id"))
-    norms = own.groupBy("repo", "id").agg(F.sum("w2").alias("d_self"))
-    norms = norms.unionByName(index.norms.join(replacing, ["repo", "id"], "left_semi").select("repo", old, "d_self").withColumnRenamed("entry", "id"))
-    terms, norms = stored(terms), stored(norms)
+    replaced = index.texts.join(replacing, ["repo", "id"], "left_semi").select("repo", old, "terms")
+    texts = stored(valid.select("repo", "entry", "terms").unionByName(replaced))
+    own = weighed_terms(texts.withColumnRenamed("entry", "query_id"), index)
+    norms = own.groupBy("repo", F.col("query_id").alias("entry")).agg(F.sum("w2").alias("d_self"))
+    texts = stored(texts.join(norms, ["repo", "entry"]))
     at = F.lit(-1).cast("long").alias("idx")
     taken = stored(log.join(valid.select("repo", "id").distinct(), ["repo", "id"], "left_semi").select("repo", "id", at))
     recorded = stored(log.join(replacing, ["repo", "id"], "left_semi").select("repo", old, "id", "domain", "live", at))
@@ -174,12 +172,10 @@ def admission(ready: DataFrame, decisions: DataFrame, least: float = 0.5, force:
     def judged(portion: DataFrame, entries: DataFrame) -> DataFrame:
         versions = Window.partitionBy("repo", "id").orderBy("idx")
         live = entries.withColumn("until", F.lead("idx").over(versions)).where("live")
-        live = live.select("repo", F.col("entry").alias("id"), F.col("id").alias("e_id"), F.col("domain").alias("e_domain"), F.col("idx").alias("e_idx"), "until")
-        pairs = scores(asked.join(portion, ["repo", "query_id"], "left_semi"), terms.join(live, ["repo", "id"], "left_semi"), norms)
-        pairs = pairs.join(live, ["repo", "id"]).join(portion.select("repo", "query_id", "idx"), ["repo", "query_id"])
-        pairs = pairs.where((F.col("e_idx") < F.col("idx")) & (F.col("until").isNull() | (F.col("idx") <= F.col("until"))))
-        best = F.struct((-F.col("score")).alias("low"), F.col("e_id").alias("id"), F.col("e_domain").alias("domain")).alias("best")
-        top = pairs.select("repo", "query_id", best).unionByName(met.join(portion, ["repo", "query_id"], "left_semi"))
+        live = texts.join(live.select("repo", "entry", "id", "domain", F.col("idx").alias("since"), "until"), ["repo", "entry"])
+        own = best_matches(asked.join(portion.select("repo", "query_id", "idx"), ["repo", "query_id"]), live)
+        top = own.select("repo", "query_id", F.struct((-F.col("score")).alias("low"), "id", "domain").alias("best"))
+        top = top.unionByName(met.join(portion, ["repo", "query_id"], "left_semi"))
         top = top.groupBy("repo", "query_id").agg(F.min("best").alias("best"))
         first_of = taken.unionByName(entries.select("repo", "id", "idx")).groupBy("repo", "id").agg(F.min("idx").alias("since"))
         out = portion.join(top, ["repo", "query_id"], "left").join(first_of, ["repo", "id"], "left")
@@ -208,7 +204,7 @@ def admission(ready: DataFrame, decisions: DataFrame, least: float = 0.5, force:
 
 
 def record_decisions(
-    candidates: DataFrame, decisions: DataFrame, today: str, author: str = "unknown", files: DataFrame | None = None, force: bool = False, index: Index | None = None
+    candidates: DataFrame, decisions: DataFrame, today: str, author: str = "unknown", files: DataFrame | None = None, force: bool = False, index: Held | None = None
 ) -> DataFrame:
     """Candidates with their default fields, `id`, `outcome`, `match` (see admission()) and, where `files` are given, the hashes
     of what their evidence cites. (repo, query_id) names a candidate."""

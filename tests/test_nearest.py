@@ -52,5 +52,9 @@ def test_no_pair_is_written(spark, monkeypatch):
     assert log.dedup_gate(asked, held).count() == 200
     assert max(written) < 5000  # terms of texts and questions; there are some 20 000 pairs
     written.clear()
+    ready = log.validate(log.default_fields(asked.withColumn("decision", F.col("title")).withColumn("supersedes", F.lit("x")).withColumn("type", F.lit("technical")), "2026-01-01"))
+    judged = log.admission(ready, held)
+    assert judged.where("outcome = 'recorded'").count() > 150 and max(written) < 5000
+    written.clear()
     messages = asked.select("repo", F.col("query_id").alias("msg_id"), F.concat(F.lit("from now on "), "title").alias("text"))
     assert log.harvest(messages, held).where("match IS NOT NULL").count() == 200 and max(written) < 5000
