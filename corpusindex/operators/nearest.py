@@ -20,11 +20,12 @@ from corpusindex.operators.retrieval import decision_terms, document_frequency,
 from corpusindex.sources.store import spread, stored
 
 #: Terms of a slice's texts, about. A task holds one slice.
-SLICE_TERMS = 1 << 22
+SLICE_TERMS = 1 << 21
 #: A term that one in so many texts of a slice holds has a row of 0 and 1 by text, the others lists of texts.
 COMMON = 4
-#: Scores that are summed up at once.
+#: Scores that are summed up at once, and rows of questions and of texts whose terms are.
 CELLS = 1 << 20
+ASKED, READ = 512, 4000
 
 ROW = "repo string, slice long, kind int, name string, domain string, value double, since long, until long, terms array<string>, w2 array<double>"
 BEST = "repo string, query_id string, low double, id string, domain string"
@@ -76,7 +77,7 @@ def _vocabulary(texts: DataFrame) -> DataFrame:
     """(repo, slice, term) of `texts`, repeats within a batch left out where the texts are read."""
 
     def own(batches):
-        for batch in batches:
+        for batch in (b.slice(at, READ) for b in batches for at in range(0, b.num_rows, READ)):
             terms = batch.column("terms")
             at = _parents(terms)
             table = pa.table({"repo": batch.column("repo").take(pa.array(at)), "slice": batch.column("slice").take(pa.array(at)), "term": terms.flatten()})
@@ -159,7 +160,7 @@ def _meet(batches):
     key, held = None, None
     for batch in batches:
         keys = list(zip(batch.column("repo").to_pylist(), batch.column("slice").to_pylist(), batch.column("kind").to_pylist()))
-        starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+        starts = [i for i in range(len(keys)) if i % ASKED == 0 or keys[i] != keys[i - 1]]
         for a, b in zip(starts, [*starts[1:], len(keys)]):
             if keys[a][:2] != key:
                 key, held = keys[a][:2], _Slice()
